@@ -53,6 +53,10 @@ CUES = {
 AGAINST = r"version|isbn|order|sku|invoice|serial|ticket|build"
 CONTEXT, LABELERS = 32, ["strict", "known", "cued", "alone"]
 MARK, OTHER = "\u0001", "\u0002"
+#: Bounds between which a labeler's reliability is estimated: a failed format check weighs more than any two others.
+BOUNDS = {"strict": (0.95, 0.99), "known": (0.55, 0.85), "cued": (0.6, 0.9), "alone": (0.5, 0.7)}
+#: Digits that a candidate of a numeric kind has at least; shorter runs are no candidates.
+LEAST_DIGITS = {"card": 13, "phone": 9}
 SPAN = "struct<kind:int,start:int,stop:int,strict:int,known:int,cued:int,alone:int>"
 
 
@@ -73,6 +77,8 @@ def _places(parts: Column, kind: int) -> Column:
         after = F.get(parts, acc["i"] + 1)
         span = _span(kind, name, acc["at"], stop, part, before, after)
         is_hit = acc["i"] % 2 == 1
+        if name in LEAST_DIGITS:
+            is_hit &= F.length(F.regexp_replace(part, "[^0-9]", "")) >= LEAST_DIGITS[name]
         out = F.when(is_hit, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
 
@@ -155,10 +161,10 @@ class SpanModel:
 def fit_spans(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> SpanModel:
     """EM over ``(kind, votes, count)`` rows, then logistic regression on the estimated labels.
 
-    The hidden label of a span is right or not; a labeler that votes is correct with its reliability, which
-    starts at 0.8; a kind has a prior. Without rows every span is as likely as not.
+    The hidden label of a span is right or not; a labeler that votes is correct with its reliability, kept
+    within ``BOUNDS``; a kind has a prior. Without rows every span is as likely as not.
     """
-    rate = {n: 0.8 for n in LABELERS}
+    rate = {n: sum(BOUNDS[n]) / 2 for n in LABELERS}
     prior = {k: 0.5 for k in range(len(KINDS))}
     belief = [0.5] * len(patterns)
     for _ in range(rounds):
@@ -172,7 +178,8 @@ def fit_spans(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50
         for j, name in enumerate(LABELERS):
             cast = [(b if v[j] > 0 else 1 - b, c) for b, (_, v, c) in zip(belief, patterns) if v[j]]
             right, total = sum(b * c for b, c in cast), sum(c for _, c in cast)
-            rate[name] = min(0.99, max(0.51, (right + 8.0) / (total + 10.0)))
+            low, high = BOUNDS[name]
+            rate[name] = min(high, max(low, (right + 8.0) / (total + 10.0)))
         for kind in prior:
             own = [(b, c) for b, (k, _, c) in zip(belief, patterns) if k == kind]
             prior[kind] = (sum(b * c for b, c in own) + 1.0) / (sum(c for _, c in own) + 2.0)
