@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    import tidewire.queries.texts  # noqa: F401
+    from tidewire.queries import aggregates, gates, joins, texts  # noqa: F401
