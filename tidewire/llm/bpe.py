@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewire.llm.common import ChunkEncoder, map_batches, slim
+from tidewire.llm.common import ChunkEncoder, Memo, map_batches, slim
 
 NO_PAIR = 1 << 62
 
@@ -95,23 +95,8 @@ class Codec:
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
-        self.by_chunk = ChunkEncoder(self._encode_chunks)
-        self.known: dict[str, bytes] = {}
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known, out = self.known, []
-        for chunk in chunks:
-            ids = b""
-            for piece in self.pieces.findall(chunk):
-                got = known.get(piece)
-                if got is None:
-                    got = np.array(merge_bytes(piece.encode(), self.ranks), "<u4").tobytes()
-                    known[piece] = got
-                ids += got
-            out.append(ids)
-        return out
+        self.by_piece = Memo(lambda piece: np.array(merge_bytes(piece.encode(), self.ranks), "<u4").tobytes(), 400_000)
+        self.by_chunk = ChunkEncoder(lambda chunk: b"".join([self.by_piece[p] for p in self.pieces.findall(chunk)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""

@@ -41,7 +41,23 @@ def id_bucket(col: Column, buckets: int) -> Column:
 
 
 #: Chunks whose ids a worker remembers; the table starts afresh when it is full.
-REMEMBERED_CHUNKS = 400_000
+REMEMBERED_CHUNKS = 600_000
+
+
+class Memo(dict):
+    """Results of a function by argument, up to a bound."""
+
+    def __init__(self, fn: Callable, bound: int):
+        super().__init__()
+        self.fn, self.bound = fn, bound
+
+    def __missing__(self, key):
+        if len(self) >= self.bound:
+            self.clear()
+        self[key] = got = self.fn(key)
+        return got
+
+
 #: White space other than a blank or a newline, before one of these two.
 ODD_SPACE = re.compile(r"[^\S \n][ \n]")
 BEFORE_SPACE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -52,31 +68,23 @@ class ChunkEncoder:
 
     A chunk starts at a blank or newline after a character that is no white space. The pattern of the
     byte-level vocabularies, like a tokenizer that drops white space, makes no token across such a place, so
-    the ids of a text are the ids of its chunks in order. ``encode`` maps chunks to ids as little-endian
+    the ids of a text are the ids of its chunks in order. ``encode`` gives a chunk's ids as little-endian
     unsigned 32-bit bytes.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.known = Memo(lambda c: encode(c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c), REMEMBERED_CHUNKS)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """Chunks of a text; the blank that leads a chunk is left out where a word follows, and a first chunk
-        without a blank gets a mark instead, so that equal chunks are equal strings."""
-        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or ODD_SPACE.search(text):
-            first, *rest = BEFORE_SPACE.split(text)
-            rest = [c[1:] if c[0] == " " else c for c in rest]
-        else:
-            first, *rest = text.replace("\n", " \n").split(" ")
-        rest.append("\0" + first)
-        return rest
+        """Chunks of a text. A chunk loses the blank that leads it; one that has none, as the
+        first, is marked instead. In a text with runs of white space all chunks are marked and whole."""
+        if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or "\0" in text or ODD_SPACE.search(text):
+            return ["\0" + c for c in BEFORE_SPACE.split(text)]
+        parts = text.replace("\n", " \n").split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        if len(self.known) > REMEMBERED_CHUNKS:
-            self.known.clear()
-        known = self.known
-        new = list({c for chunks in cut for c in chunks} - known.keys())
-        whole = [c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c for c in new]
-        known.update(zip(new, self.encode(whole)))
-        return [known[c[-1]] + b"".join([known[x] for x in c[:-1]]) for c in cut]
+        of = self.known.__getitem__
+        return [b"".join(map(of, self.chunks(t))) for t in texts]

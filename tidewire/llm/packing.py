@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -9,9 +10,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewire.llm.common import ChunkEncoder, map_batches, slim
+from tidewire.llm.common import ChunkEncoder, Memo, map_batches, slim
 from tidewire.shared import materialize
 
 #: Pieces that one packing group holds on average; a group wastes less than one sequence or so.
@@ -20,23 +22,49 @@ GROUP_PIECES = 20_000
 PATIENCE, PAIRED_ITEMS = 12, 24
 
 
+#: The byte-level alphabet. Printable Latin-1 bytes stand for themselves, the others, in order, for
+#: the characters from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = dict(zip([b for b in range(256) if b not in PRINTABLE], range(256, 512)))
+#: Fixed value: the split pattern of a byte-level pre-tokenizer that uses its own.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def split_pattern(pre_tokenizer: dict) -> str | None:
+    """The pattern whose matches a byte-level tokenizer encodes one by one; None for another kind of tokenizer."""
+    if pre_tokenizer.get("type") == "ByteLevel":
+        plain = pre_tokenizer["use_regex"] and not pre_tokenizer["add_prefix_space"]
+        return BYTE_LEVEL_PATTERN if plain else None
+    steps = pre_tokenizer.get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+        return None
+    keeps = steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    return steps[0]["pattern"].get("Regex") if keeps else None
+
+
 @lru_cache(maxsize=4)
 def json_encoder(path: str) -> ChunkEncoder:
-    """Encodes with the tokenizers library, chunk by chunk; the strings of special tokens are ordinary text."""
+    """Encodes with the tokenizers library, chunk by chunk; the strings of special tokens are ordinary text.
+
+    Most chunks that a worker has not met hold words it knows, so the pieces of a chunk are remembered too,
+    and only new pieces go to the library's model.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    pattern = split_pattern(json.loads(tokenizer.to_str())["pre_tokenizer"] or {})
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        out = []
-        for start in range(0, len(chunks), 2000):
-            part = tokenizer.encode_batch_fast(chunks[start : start + 2000], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in part]
-        return out
+    def as_bytes(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
-    return ChunkEncoder(encode)
+    if pattern is None:
+        return ChunkEncoder(lambda chunk: as_bytes(tokenizer.encode(chunk, add_special_tokens=False).ids))
+    normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    pieces, tokenize = regex.compile(pattern).findall, tokenizer.model.tokenize
+    known = Memo(lambda p: as_bytes([t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARS))]), 400_000)
+    return ChunkEncoder(lambda chunk: b"".join([known[p] for p in pieces(normal(chunk))]))
 
 
 PIECES = pa.schema(
