@@ -197,7 +197,7 @@ def grp_events(spark, sf_dir):
 @query("grp_headlines")
 def grp_headlines(spark, sf_dir):
     rows = ad.articles(spark, sf_dir)
-    rows = rows.select(F.concat_ws("-", F.date_format("publish_date", "yyyyMMddHH"), "source").alias("edition"), "id", t.content_tokens(F.col("headline")).alias("tokens"))
+    rows = rows.select(F.date_format("publish_date", "yyyyMMddHH").alias("edition"), "id", t.content_tokens(F.col("headline")).alias("tokens"))
     return grouping.headline_leaders(rows)
 
 

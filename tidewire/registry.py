@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tidewire.queries import aggregates, changes, gates, joins, rankings, texts  # noqa: F401
+    from tidewire.queries import aggregates, changes, gates, joins, rankings, texts, views  # noqa: F401
