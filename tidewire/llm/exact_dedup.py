@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,13 @@ from tidewire.shared import materialize, shuffle_width
 LANES = 4096
 KEY = ["digest", "check_bits", "n_bytes"]
 DIGESTS = pa.schema(
-    [("doc_id", pa.int64()), ("digest", pa.binary()), ("check_bits", pa.int64()), ("n_bytes", pa.int64())]
+    [
+        ("doc_id", pa.int64()),
+        ("text_crc", pa.int64()),
+        ("digest", pa.binary()),
+        ("check_bits", pa.int64()),
+        ("n_bytes", pa.int64()),
+    ]
 )
 RUN = pa.schema(
     [
@@ -37,10 +44,12 @@ def normalise(text: bytes) -> bytes:
 
 
 def _digest(batch: pa.RecordBatch) -> dict:
-    texts = [normalise(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    raw = batch.column("text").cast(pa.binary()).to_pylist()
+    texts = [normalise(t) for t in raw]
     second = (hashlib.blake2b(t, digest_size=8).digest() for t in texts)
     return {
         "doc_id": batch.column("doc_id"),
+        "text_crc": [zlib.crc32(t) for t in raw],
         "digest": [hashlib.sha256(t).digest() for t in texts],
         "check_bits": [int.from_bytes(d, "little", signed=True) for d in second],
         "n_bytes": [len(t) for t in texts],
@@ -48,12 +57,12 @@ def _digest(batch: pa.RecordBatch) -> dict:
 
 
 def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, digest, check_bits, n_bytes, lane, run)``, one row per document.
+    """``(doc_id, text_crc, digest, check_bits, n_bytes, lane, run)``, one row per document.
 
     The digest is verified by a second, independent hash and the length: rows match on all three only.
     """
     rows = slim(docs, id_col, text_col).mapInArrow(
-        map_batches(_digest, DIGESTS), "doc_id long, digest binary, check_bits long, n_bytes long"
+        map_batches(_digest, DIGESTS), "doc_id long, text_crc long, digest binary, check_bits long, n_bytes long"
     )
     return rows.withColumn("lane", id_bucket(F.col("digest"), LANES)).withColumn("run", id_bucket(F.col("doc_id"), runs))
 
@@ -116,6 +125,11 @@ def exact_groups(
     any other and get the same flag. A null id stays only where no row of its group has an id. An empty
     table gives an empty table; other columns are not read.
     """
+    return _grouped(docs, id_col, text_col, keep, runs, fan_in).drop("text_crc")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: str, runs: int = 64, fan_in: int = 4) -> DataFrame:
+    """As :func:`exact_groups`, with the CRC-32 of each row's own text, which tells rows without an id apart."""
     rows = materialize(digests(docs, runs, id_col, text_col), "digests")
     best = F.max("doc_id") if keep == "largest" else F.min("doc_id")
     first = rows.groupBy("lane", "run", *KEY).agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -127,6 +141,7 @@ def exact_groups(
     out = rows.join(told, ["run", *KEY])
     return out.select(
         "doc_id",
+        "text_crc",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -136,14 +151,17 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The documents without their copies, all columns kept; of rows that repeat an id with one text, one stays."""
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept")
-    kept = kept.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = materialize(kept, "kept-ids")
+    kept = _grouped(docs, id_col, text_col, keep).where("kept")
+    return rows_of(docs, kept, id_col, text_col)
 
-    def rows_of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
 
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents named in ``kept(doc_id, text_crc)``, each once though rows of it may be repeated."""
+    kept = kept.groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_crc").alias("_kept_crc"))
+    kept = materialize(kept.agg(F.count(F.lit(1)).alias("_rows")), "kept-ids")
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (crc == F.col("_kept_crc"))
     once, again = kept.where("_rows = 1"), kept.where("_rows > 1")
     if again.isEmpty():
-        return rows_of(once)
-    return rows_of(once).unionByName(rows_of(again).dropDuplicates([id_col, text_col]))
+        return docs.join(once, same, "left_semi")
+    return docs.join(once, same, "left_semi").unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

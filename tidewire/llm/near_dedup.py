@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewire.llm.common import map_batches, slim
+from tidewire.llm.exact_dedup import rows_of
 from tidewire.operators.graph import components
 from tidewire.shared import materialize
 
@@ -122,26 +124,34 @@ def signed_bands(texts_words: list[list[str]], size: int, bands: int, rows: int)
 
 
 SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("words_key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    [
+        ("doc_id", pa.int64()),
+        ("text_crc", pa.int64()),
+        ("words_key", pa.binary()),
+        ("n_shingles", pa.int64()),
+        ("bands", pa.list_(pa.int64())),
+    ]
 )
 SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, words_key, n_shingles, bands``: the digest of the word sequence, and the band keys."""
+    """``doc_id, text_crc, words_key, n_shingles, bands``: the digest of the word sequence, and the band keys."""
 
     def run(batch: pa.RecordBatch) -> dict:
         keys, fresh = [], {}
-        for text in batch.column("text").to_pylist():
+        texts = batch.column("text").to_pylist()
+        for text in texts:
             words = words_of(text)
             keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
             fresh.setdefault(keys[-1], words)
         made = dict(zip(fresh, signed_bands(list(fresh.values()), size, bands, rows)))
         counts, own = zip(*(made[k] for k in keys)) if keys else ((), ())
-        return {"doc_id": batch.column("doc_id"), "words_key": keys, "n_shingles": counts, "bands": list(own)}
+        crcs = [zlib.crc32(t.encode()) for t in texts]
+        return {"doc_id": batch.column("doc_id"), "text_crc": crcs, "words_key": keys, "n_shingles": counts, "bands": list(own)}
 
     return slim(docs, id_col, text_col).mapInArrow(
-        map_batches(run, SIGNED), "doc_id long, words_key binary, n_shingles long, bands array<long>"
+        map_batches(run, SIGNED), "doc_id long, text_crc long, words_key binary, n_shingles long, bands array<long>"
     )
 
 
@@ -191,24 +201,37 @@ def near_classes(
     class of their word sequence whose id is null if no row of it has one. Other columns are not read.
 
     Candidates share a band of their signatures. In a band's bucket every text is compared with the bucket's
-    leader, the member of smallest hash; that is linear in the bucket. Where a bucket's members are still in
+    leader, a member drawn by a hash of the band; that is linear in the bucket. Where a bucket's members are still in
     different classes afterwards, those outside its largest class are compared with all members of other
     classes, so no candidate link is lost. Every comparison is exact.
     """
+    return _classed(docs, id_col, text_col, size, similarity, bands, rows).drop("text_crc")
+
+
+def _classed(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    size: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """As :func:`near_classes`, with the CRC-32 of each row's own text."""
     signed = materialize(signatures(docs, size, bands, rows, id_col, text_col), "signatures")
     nodes = signed.groupBy(F.col("words_key").alias("node")).agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     nodes = materialize(nodes, "nodes")
     members = nodes.select("node", "rep", "n", F.explode("bands").alias("band"))
-    # The leader has the smallest hash overall, so a class tends to have few leaders.
-    rank = F.struct(F.xxhash64("node"), "node", "n")
+    # Each band draws its leaders anew: a text that is unlike one leader of its class meets others.
+    rank = F.struct(F.xxhash64("band", "node"), "node", "n")
     leaders = members.groupBy("band").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("in_bucket"))
     leaders = leaders.where("in_bucket > 1").select("band", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
     busy = members.join(leaders, "band").select("band", "node", "rep", "n", "a", "na")
     busy = materialize(busy, "buckets")
     pairs = busy.where(F.col("a") != F.col("node")).where(comparable("n", "na", similarity))
-    pairs = pairs.select("a", F.col("node").alias("b")).distinct()
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     involved = busy.where("rep is not null").select(F.col("rep").alias("doc_id"), "node").distinct()
     sets = materialize(shingle_sets(docs, involved, size, id_col, text_col), "shingle-sets")
     links = materialize(verified(pairs, sets, similarity), "links")
@@ -242,7 +265,7 @@ def _unresolved(busy: DataFrame, labels: DataFrame, similarity: float) -> DataFr
     )
     once = F.col("in_main") | (F.col("a") < F.col("b"))
     on = (minor.band == other.band) & (F.col("la") != F.col("lb")) & once & comparable("na", "nb", similarity)
-    return minor.join(other, on).select("a", "b").distinct()
+    return minor.join(other, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _classes(signed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,20 +274,18 @@ def _classes(signed: DataFrame, labels: DataFrame) -> DataFrame:
     ids = materialize(ids.join(labels, F.col("words_key") == F.col("node")), "node-classes")
     named = ids.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("c").alias("class_size"))
     told = materialize(ids.select("words_key", "label").join(named, "label"), "class-names")
-    out = signed.select("doc_id", "words_key").join(told, "words_key")
+    out = signed.select("doc_id", "text_crc", "words_key").join(told, "words_key")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return out.select("doc_id", "class_id", "class_size", kept.alias("kept"))
+    return out.select("doc_id", "text_crc", "class_id", "class_size", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents of which each class keeps one, all columns kept; of rows that repeat an id one stays."""
-    kept = near_classes(docs, id_col, text_col, **how).where("kept").groupBy(F.col("doc_id").alias("_kept_id"))
-    kept = materialize(kept.agg(F.count(F.lit(1)).alias("_rows")), "kept-ids")
+    """The documents of which each class keeps one, all columns kept; of rows that repeat an id one stays.
 
-    def rows_of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-
-    once, again = kept.where("_rows = 1"), kept.where("_rows > 1")
-    if again.isEmpty():
-        return rows_of(once)
-    return rows_of(once).unionByName(rows_of(again).dropDuplicates([id_col]))
+    Rows without an id stay where no row of their class has one.
+    """
+    kept = _classed(docs, id_col, text_col, **how)
+    # Of a kept id's rows with different texts one text stays; rows without an id have nothing in common.
+    one = Window.partitionBy("class_id", "doc_id").orderBy("text_crc")
+    kept = kept.where("kept").withColumn("_first", F.min("text_crc").over(one))
+    return rows_of(docs, kept.where("text_crc = _first or doc_id is null"), id_col, text_col)
