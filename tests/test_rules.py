@@ -1,0 +1,164 @@
+"""Edge cases of the rules that SQL does not express."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.functions import text as t, times, urls
+from tidewire.operators import aggregates, graph, grouping, ranking, snapshots
+from tidewire.sources import feeds
+
+
+def one(spark, column, **values):
+    schema = ", ".join(f"{k} string" for k in values)
+    return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("He met Dr. Khan. They spoke.", ["He met Dr. Khan.", "They spoke."]),
+        ("It fell on Sept. 16 in all. Then 2 rose.", ["It fell on Sept. 16 in all.", "Then 2 rose."]),
+        ("A. B. Cole won! Really?  Yes", ["A. B. Cole won!", "Really?", "Yes"]),
+        ("Rs. 30m was paid. and so on. End.", ["Rs. 30m was paid. and so on.", "End."]),
+        ("", []),
+    ],
+)
+def test_sentences(spark, text, parts):
+    assert one(spark, t.sentences(F.col("v")), v=text) == parts
+
+
+@pytest.mark.parametrize(
+    "text, tokens",
+    [
+        ("Rs22bn was lost", ["22000000000"]),
+        ("Rs 22 billion and 22m", ["22000000", "22000000000"]),
+        ("on Sept 16 and September 2,500", ["16", "2500", "sep"]),
+        ("the party may expand; 3 may", ["3", "may"]),
+        ("21 lakh, 7.5 per cent", ["2100000", "7.5%"]),
+    ],
+)
+def test_evidence_tokens(spark, text, tokens):
+    assert one(spark, t.evidence_tokens(F.col("v")), v=text) == tokens
+
+
+def test_year_ranges_are_expanded(spark):
+    assert {"2007", "2009"} <= set(one(spark, t.source_evidence_tokens(F.col("v")), v="in 2007-09 it rose"))
+    assert {"1998", "2003"} <= set(one(spark, t.source_evidence_tokens(F.col("v")), v="1998-03"))
+
+
+def test_event_core(spark):
+    core = lambda v: one(spark, t.event_core(F.col("v")), v=v)
+    assert core("After the PIMS fire, Punjab orders inspections") == "Punjab orders inspections"
+    assert core("Hospital fire: Punjab orders audit") == "Punjab orders audit"
+    assert core("Mill fire prompts safety review") == "safety review"
+    assert core("City orders audit after deadly blaze") == "City orders audit"
+    assert core("Rupee gains") == "Rupee gains"
+
+
+def test_furniture_comes_off_once_and_stays_off(spark):
+    body = "Associated Press Of Pakistan Rates rise today. This post Rates rise first appeared on Associated Press Of Pakistan and owns the property."
+    clean = one(spark, t.strip_furniture(F.col("b"), F.col("h")), b=body, h="Nothing")
+    assert clean == "Rates rise today."
+    assert one(spark, t.strip_furniture(F.col("b"), F.col("h")), b=clean, h="Nothing") == clean
+    assert one(spark, t.strip_furniture(F.col("b"), F.col("h")), b="Rates rise - banks cheer", h="Rates rise") == "banks cheer"
+
+
+def test_snippets(spark):
+    two = "One is here. Two is there. Three is gone."
+    assert one(spark, t.snippet(F.col("v")), v=two) == "One is here. Two is there."
+    long = "word " * 100
+    cut = one(spark, t.snippet(F.col("v")), v=long)
+    assert cut.endswith("…") and len(cut) <= 242
+    assert one(spark, t.snippet(F.col("v")), v="") == ""
+
+
+def test_publishers_and_guilt(spark):
+    assert one(spark, t.named_publishers(F.col("v")), v="Dawn reports a rise; across the nation it fell") == ["dawn"]
+    assert one(spark, t.named_publishers(F.col("v")), v="according to the Tribune, rates fell") == ["tribune"]
+    assert one(spark, t.asserts_culpability(F.col("v")), v="The office is corrupt.") is True
+    assert one(spark, t.asserts_culpability(F.col("v")), v="Members alleged the office is corrupt.") is False
+
+
+def test_urls(spark):
+    canonical = lambda v: one(spark, urls.canonical(F.col("v")), v=v)
+    assert canonical("HTTPS://www.Site.com/a/b/?q=1#f") == "https://site.com/a/b"
+    assert canonical("http://site.com") == "http://site.com/"
+    allowed = lambda a, b: one(spark, urls.host_allowed(F.col("a"), F.col("b")), a=a, b=b)
+    assert allowed("https://www.x.pk/1", "https://x.pk") and not allowed("https://life.x.pk/1", "https://x.pk")
+    assert not allowed("no url", "https://x.pk")
+
+
+def test_dates(spark):
+    parse = lambda v: one(spark, times.parse_feed_date(F.col("v")), v=v)
+    assert str(parse("Thu, 27 Aug 2026 10:00:00 +0500")).startswith("2026-08-27 05:00:00") or parse("Thu, 27 Aug 2026 10:00:00 +0500") is not None
+    assert parse("2026-08-27T10:00:00Z") is not None
+    assert parse("yesterday") is None
+
+
+def test_feed_payloads(spark, tmp_path):
+    (tmp_path / "one.xml").write_text(
+        "<rss><channel><item><title><![CDATA[A &amp; B]]></title><link> https://x.pk/1 </link><description>short</description>"
+        "<content:encoded><![CDATA[<p>a longer body</p>]]></content:encoded><pubDate>Thu, 27 Aug 2026 10:00:00 GMT</pubDate>"
+        "<category>a</category><category>b</category></item><item><title>no date</title><link>u</link></item></channel></rss>"
+    )
+    rows = feeds.read_rss(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r["rank"], r.headline, r.link, r.body, r.tags) for r in rows] == [(0, "A & B", "https://x.pk/1", "a longer body", ["a", "b"]), (1, "no date", "u", "", [])]
+    assert rows[0].published is not None and rows[1].published is None
+
+
+def test_components_and_empty_graphs(spark):
+    nodes = spark.range(12).select(F.col("id").alias("node"))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 6)] + [(9, 8), (3, 3)], "a long, b long")
+    got = {r.node: r.label for r in graph.components(nodes, edges).collect()}
+    assert got == {k: 0 if k <= 6 else 8 if k in (8, 9) else k for k in range(12)}
+    none = spark.createDataFrame([], "a long, b long")
+    assert graph.components(nodes, none).where("node <> label").count() == 0
+    assert graph.components(nodes.where("node < 0"), none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_keep_is_the_walk(spark, seed):
+    rng = random.Random(seed)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)}
+    kept = []
+    for k in range(40):
+        if not any((a, k) in pairs for a in kept):
+            kept.append(k)
+    edges = spark.createDataFrame(sorted(pairs), "a long, b long")
+    got = sorted(r.id for r in grouping.greedy_keep(spark.range(40), edges).collect())
+    assert got == kept
+
+
+def test_event_groups(spark):
+    rows = [(k, f"s{k}", f"u{k}", "2024-01-01 00:00:00", [1.0, 0.01 * k] if k < 3 else [0.0, 1.0]) for k in range(5)]
+    articles = spark.createDataFrame(rows, "id long, source string, url string, d string, embedding array<float>").withColumn("publish_date", F.col("d").cast("timestamp"))
+    pairs = spark.createDataFrame([(0, 1, 0.99, 0.5, 0.5), (1, 2, 0.99, 0.5, 0.5), (3, 4, 0.99, 0.5, 0.5)], "a long, b long, similarity double, h double, e double")
+    got = {r.id: (r.group_id, r["size"]) for r in grouping.event_groups(articles, pairs).collect()}
+    assert {k: v[1] for k, v in got.items()} == {0: 3, 1: 3, 2: 3, 3: 2, 4: 2}
+    assert got[0][0] == got[1][0] == got[2][0] != got[3][0]
+
+
+def test_diverse_select_guarantees_economy(spark):
+    rows = [(1, k, k, "city", [], 1) for k in range(1, 8)] + [(1, 9, 9, "economy", [], 1)]
+    ranked = spark.createDataFrame(rows, "edition int, place int, id int, category string, families array<string>, sources int")
+    got = [r.id for r in ranking.diverse_select(ranked, most=3).orderBy("slot").collect()]
+    assert got == [1, 2, 9]
+
+
+def test_quality_of_a_partition(spark):
+    rows = spark.createDataFrame([(0, "a"), (0, "a"), (0, "b"), (1, "c"), (2, "c")], "ours int, truth string")
+    assert aggregates.partition_quality(rows, "ours", "truth").first()[:] == (3, 2)
+
+
+def test_snapshots_swap_and_changes_fail_whole(spark, tmp_path):
+    root = str(tmp_path / "t")
+    snapshots.write_snapshot(spark.range(3), root)
+    snapshots.write_snapshot(spark.range(5), root)
+    assert snapshots.read_snapshot(spark, root).count() == 5
+    table = spark.createDataFrame([(1, "a")], "id int, v string")
+    with pytest.raises(ValueError):
+        snapshots.apply_columns(table, spark.createDataFrame([(2, "b")], "id int, v string"), "id", ["v"])
+    once = snapshots.upsert(table, spark.createDataFrame([(1, "b")], "id int, v string"), "id")
+    assert snapshots.upsert(once, spark.createDataFrame([(1, "b")], "id int, v string"), "id").collect() == once.collect()
