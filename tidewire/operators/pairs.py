@@ -37,6 +37,21 @@ def band_candidates(prints: DataFrame, bands: int = 4, cap: int | None = 200) ->
     return left.join(right, ["band", "slice"]).where("a < b").select("a", "b").distinct()
 
 
+def near_duplicates_of(new: DataFrame, stored: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7) -> DataFrame:
+    """Pairs ``(a, b)`` of a new row and an earlier one, stored or new too; both tables have ``id`` and the text."""
+    prints = lambda df: df.select("id", text.alias("x")).select(
+        "id", t.simhash64(F.col("x")).alias("fp"), t.shingle_hashes(F.col("x")).alias("s")
+    )
+    slices = lambda df: df.select("id", "fp", "s", F.posexplode(t.band_keys(F.col("fp"))).alias("band", "slice"))
+    fresh = slices(prints(new)).select("band", "slice", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
+    known = slices(prints(stored)).withColumn("old", F.lit(True))
+    known = known.unionByName(slices(prints(new)).withColumn("old", F.lit(False)))
+    known = known.select("band", "slice", "old", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
+    near = known.join(fresh, ["band", "slice"]).where((F.col("a") != F.col("b")) & (F.col("old") | (F.col("a") < F.col("b"))))
+    near = near.where(t.hamming(F.col("fa"), F.col("fb")) <= distance)
+    return near.where(t.jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b").distinct()
+
+
 def near_duplicate_pairs(articles: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7, cap: int | None = 200) -> DataFrame:
     """Candidate pairs within ``distance`` bits whose shingle sets have a Jaccard of ``similarity`` or more."""
     rows = articles.select("id", text.alias("x"))

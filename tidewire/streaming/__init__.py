@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewire.shared import shared_path
 
@@ -49,3 +49,19 @@ def run_batches(stream: DataFrame, label: str, step) -> DataFrame:
 
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
+
+
+def against_store(store: str, step):
+    """A batch step ``step(new, stored)`` that also keeps each batch's rows for the ones after it.
+
+    Rows are kept in a folder per epoch; a replayed epoch sees the epochs before it and overwrites its own.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> DataFrame:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+        kept = spark.read.schema(T.StructType([*batch.schema.fields]).add("epoch", "long")).option("basePath", store).parquet(store)
+        new, old = (kept.where(F.col("epoch") == epoch), kept.where(F.col("epoch") < epoch))
+        return step(new.select(*batch.columns), old.select(*batch.columns))
+
+    return run
