@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewire.llm.common import ChunkEncoder, Memo, map_batches, slim
+from tidewire.llm.common import ChunkEncoder, Memo, id_bytes, map_batches, slim
 
 NO_PAIR = 1 << 62
 
@@ -95,7 +95,7 @@ class Codec:
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
-        self.by_piece = Memo(lambda piece: np.array(merge_bytes(piece.encode(), self.ranks), "<u4").tobytes(), 400_000)
+        self.by_piece = Memo(lambda piece: id_bytes(merge_bytes(piece.encode(), self.ranks)), 400_000)
         self.by_chunk = ChunkEncoder(lambda chunk: b"".join([self.by_piece[p] for p in self.pieces.findall(chunk)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:

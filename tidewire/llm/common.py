@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +41,11 @@ def id_bucket(col: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 #: Chunks whose ids a worker remembers; the table starts afresh when it is full.
 REMEMBERED_CHUNKS = 600_000
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewire.llm.common import ChunkEncoder, Memo, map_batches, slim
+from tidewire.llm.common import ChunkEncoder, Memo, id_bytes, map_batches, slim
 from tidewire.shared import materialize
 
 #: Pieces that one packing group holds on average; a group wastes less than one sequence or so.
@@ -56,15 +57,45 @@ def json_encoder(path: str) -> ChunkEncoder:
     tokenizer.encode_special_tokens = True
     pattern = split_pattern(json.loads(tokenizer.to_str())["pre_tokenizer"] or {})
 
-    def as_bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
     if pattern is None:
-        return ChunkEncoder(lambda chunk: as_bytes(tokenizer.encode(chunk, add_special_tokens=False).ids))
-    normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        return ChunkEncoder(lambda chunk: id_bytes(tokenizer.encode(chunk, add_special_tokens=False).ids))
+    normal = normalizer_of(tokenizer, json.loads(tokenizer.to_str())["normalizer"])
     pieces, tokenize = regex.compile(pattern).findall, tokenizer.model.tokenize
-    known = Memo(lambda p: as_bytes([t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARS))]), 400_000)
-    return ChunkEncoder(lambda chunk: b"".join([known[p] for p in pieces(normal(chunk))]))
+    blank = chr(BYTE_CHARS[32])
+
+    def encode_piece(piece: str) -> bytes:
+        # Of printable ASCII only the blank has another character in the byte-level alphabet.
+        plain = piece.isascii() and piece.isprintable()
+        spelt = piece.replace(" ", blank) if plain else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        return id_bytes([t.id for t in tokenize(spelt)])
+
+    known = Memo(encode_piece, 400_000)
+    # What the pattern makes of a word behind a blank: one piece with the blank, or one without it.
+    lead = {(" ab", "."): " ", ("ab", "."): ""}.get(tuple(pieces(" ab.")))
+
+    def encode(chunk: str) -> bytes:
+        chunk = normal(chunk)
+        if lead is not None and chunk[:1] == " ":
+            word = chunk[1:]
+            if word.isalpha():
+                return known[lead + word]
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return known[lead + word[:-1]] + known[word[-1]]
+        return b"".join([known[p] for p in pieces(chunk)])
+
+    return ChunkEncoder(encode)
+
+
+def normalizer_of(tokenizer, described: dict | None) -> Callable[[str], str]:
+    """The tokenizer's normalizer; ASCII text needs no more than lower case where that is all it does to it."""
+    if not described:
+        return str
+    whole = tokenizer.normalizer.normalize_str
+    steps = [x["type"] for x in described.get("normalizers", [])]
+    if steps != ["NFC", "Replace", "Lowercase"] or described["normalizers"][1]["pattern"] != {"Regex": "\\s+"}:
+        return whole
+    # A chunk of ASCII has one blank at most, in front; other ASCII white space is left to the normalizer.
+    return lambda text: text.lower() if text.isascii() and len(text.split()) == 1 and text[:1] == " " else whole(text)
 
 
 PIECES = pa.schema(

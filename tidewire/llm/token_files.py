@@ -43,7 +43,7 @@ def write_tokens(
     spread = slim(docs, id_col, text_col).repartitionByRange(shuffle_width(docs.sparkSession), "doc_id")
     rows = token_rows(spread.sortWithinPartitions("doc_id"), tokenizer_path, end_id)
     (
-        rows.write.option("orc.compress", "ZSTD")
+        rows.write.option("orc.compress", "SNAPPY")
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.row.index.stride", INDEX_ROWS)
         .option("orc.create.index", "true")
