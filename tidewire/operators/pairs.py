@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewire.functions import text as t
+from tidewire.shared import materialize
 
 
 def unseen(items: DataFrame, seen: DataFrame, key: str) -> DataFrame:
@@ -28,7 +29,9 @@ def band_candidates(prints: DataFrame, bands: int = 4, cap: int | None = 200) ->
 
     Only the ``cap`` smallest ids of a slice take part (null: all); that bound is the operator's definition.
     """
-    keyed = prints.where("fp is not null").select("id", F.posexplode(t.band_keys(F.col("fp"), bands)).alias("band", "slice"))
+    # Written once, or each use of a fingerprint would compute it anew.
+    prints = materialize(prints.select("id", "fp"), "prints").where("fp is not null")
+    keyed = prints.select("id", F.posexplode(t.band_keys(F.col("fp"), bands)).alias("band", "slice"))
     if cap is not None:
         place = F.row_number().over(Window.partitionBy("band", "slice").orderBy("id"))
         keyed = keyed.withColumn("_rn", place).where(F.col("_rn") <= cap).drop("_rn")
@@ -43,9 +46,10 @@ def near_duplicates_of(new: DataFrame, stored: DataFrame, text: Column, distance
         "id", t.simhash64(F.col("x")).alias("fp"), t.shingle_hashes(F.col("x")).alias("s")
     )
     slices = lambda df: df.select("id", "fp", "s", F.posexplode(t.band_keys(F.col("fp"))).alias("band", "slice"))
-    fresh = slices(prints(new)).select("band", "slice", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
-    known = slices(prints(stored)).withColumn("old", F.lit(True))
-    known = known.unionByName(slices(prints(new)).withColumn("old", F.lit(False)))
+    new = materialize(prints(new), "fingerprints")
+    fresh = slices(new).select("band", "slice", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
+    known = slices(materialize(prints(stored), "fingerprints")).withColumn("old", F.lit(True))
+    known = known.unionByName(slices(new).withColumn("old", F.lit(False)))
     known = known.select("band", "slice", "old", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
     near = known.join(fresh, ["band", "slice"]).where((F.col("a") != F.col("b")) & (F.col("old") | (F.col("a") < F.col("b"))))
     near = near.where(t.hamming(F.col("fa"), F.col("fb")) <= distance)
@@ -56,6 +60,7 @@ def near_duplicate_pairs(articles: DataFrame, text: Column, distance: int = 18,
     """Candidate pairs within ``distance`` bits whose shingle sets have a Jaccard of ``similarity`` or more."""
     rows = articles.select("id", text.alias("x"))
     rows = rows.select("id", t.simhash64(F.col("x")).alias("fp"), t.shingle_hashes(F.col("x")).alias("s"))
+    rows = materialize(rows, "fingerprints")
     pairs = band_candidates(rows.select("id", "fp"), cap=cap)
     a = rows.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
     b = rows.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"))

@@ -77,9 +77,9 @@ def cues(core: str) -> str:
 
 
 def shingles(x: str, size: int = 3) -> str:
-    w = f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
-    return f"""case when len({w}) = 0 then [] else list_transform(range(1, greatest(len({w}) - {size - 1}, 1) + 1),
-        lambda i: array_to_string({w}[i:i + {size - 1}], ' ')) end"""
+    # The words are bound once by an outer lambda.
+    return f"""(list_transform([regexp_extract_all(lower({x}), '[a-z0-9]+')], lambda ws: case when len(ws) = 0 then []::varchar[] else
+        list_transform(range(1, greatest(len(ws) - {size - 1}, 1) + 1), lambda i: array_to_string(ws[i:i + {size - 1}], ' ')) end)[1])"""
 
 
 def hash64(x: str) -> str:

@@ -27,9 +27,9 @@ def join_unique_insert(spark, sf_dir):
     return pairs.unique_insert(new, stored, ("content_hash",), "doc_id").select("doc_id")
 
 
-BANDS = f"""{SIM}, k as (select id, b, (fp >> (16 * b)::ubigint) & 65535 as s from sim cross join (select unnest(range(0, 4)) as b)
+BANDS = f"""{SIM}, k as materialized (select id, b, (fp >> (16 * b)::ubigint) & 65535 as s from sim cross join (select unnest(range(0, 4)) as b)
     qualify row_number() over (partition by b, s order by id) <= 200),
-    band as (select distinct x.id as a, y.id as b from k x join k y on x.b = y.b and x.s = y.s and x.id < y.id)"""
+    band as materialized (select distinct x.id as a, y.id as b from k x join k y on x.b = y.b and x.s = y.s and x.id < y.id)"""
 
 
 @query("join_band_candidates", f"with {ad.ARTICLES_SQL}, {BANDS} select a, b from band")
@@ -38,7 +38,7 @@ def join_band_candidates(spark, sf_dir):
     return pairs.band_candidates(prints)
 
 
-SH = f"sh as (select id, list_distinct({d.shingles('headline')}) as s from articles)"
+SH = f"sh as materialized (select id, list_distinct({d.shingles('headline')}) as s from articles)"
 INTER = "len(list_intersect(x.s, y.s))"
 
 

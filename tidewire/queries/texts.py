@@ -59,7 +59,7 @@ on_articles(
     lambda: F.array_join(F.array_sort(F.transform(t.shingle_hashes(head()), lambda h: F.hex(h))), ","),
     f"array_to_string(list_sort(list_distinct(list_transform({d.shingles('headline')}, lambda s: ltrim(upper(substr(md5(s), 1, 16)), '0')))), ',')",
 )
-SIM = f"""sim as (
+SIM = f"""sim as materialized (
     select id, sum(case when 2 * ones > n then (1::hugeint << b::int) else 0 end)::ubigint as fp from (
         select id, b, sum(((h >> b::ubigint) & 1)::int) as ones, count(*) as n from (
             select id, unnest(list_transform({d.shingles('headline')}, lambda s: {d.hash64('s')})) as h from articles)
