@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewire.llm.common import map_batches, slim
 from tidewire.llm.exact_dedup import rows_of
@@ -132,7 +132,9 @@ SIGNED = pa.schema(
         ("bands", pa.list_(pa.int64())),
     ]
 )
-SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+#: Bits of the map that bounds an intersection from above.
+MAP_BITS = 2048
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -156,14 +158,18 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, t
 
 
 def shingle_sets(docs: DataFrame, involved: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``(node, shingles)`` of the documents in ``involved(doc_id, node)``: sorted distinct shingle hashes."""
+    """``(node, shingles, bits)`` of the documents in ``involved(doc_id, node)``: distinct hashes and their bit map."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        sets = [np.unique(shingle_hashes(words_of(t), size)).astype(np.int64) for t in batch.column("text").to_pylist()]
-        return {"node": batch.column("node"), "shingles": sets}
+        sets = [np.unique(shingle_hashes(words_of(t), size)) for t in batch.column("text").to_pylist()]
+        maps = np.zeros((len(sets), MAP_BITS), np.uint8)
+        for row, hashes in zip(maps, sets):
+            row[(hashes % np.uint64(MAP_BITS)).astype(np.intp)] = 1
+        maps = np.packbits(maps, axis=1).view(np.int64)
+        return {"node": batch.column("node"), "shingles": [x.astype(np.int64) for x in sets], "bits": list(maps)}
 
     texts = slim(docs, id_col, text_col).join(involved, "doc_id").select("node", "text")
-    return texts.mapInArrow(map_batches(run, SETS), "node binary, shingles array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(map_batches(run, SETS), "node binary, shingles array<long>, bits array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -182,6 +188,18 @@ def comparable(a: str, b: str, similarity: float):
     return low >= F.lit(similarity - 1e-9) * high
 
 
+def may_overlap_enough(similarity: float) -> Column:
+    """Whether the bit maps of ``a`` and ``b`` leave room for the similarity; never false for a pair that has it.
+
+    Two sets share at most one element per common bit, and beyond that no more than the smaller number of
+    elements by which either set exceeds its bits.
+    """
+    count = lambda bits: F.aggregate(bits, F.lit(0), lambda acc, x: acc + x)
+    common = count(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))))
+    most = common + F.least("surplus_a", "surplus_b")
+    return most * F.lit(1 + similarity) >= F.lit(similarity - 1e-9) * (F.col("na") + F.col("nb"))
+
+
 def near_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -203,7 +221,8 @@ def near_classes(
     Candidates share a band of their signatures. In a band's bucket every text is compared with the bucket's
     leader, a member drawn by a hash of the band; that is linear in the bucket. Where a bucket's members are still in
     different classes afterwards, those outside its largest class are compared with all members of other
-    classes, so no candidate link is lost. Every comparison is exact.
+    classes that an upper bound of the similarity does not rule out, so no candidate link is lost. Every
+    comparison is exact.
     """
     return _classed(docs, id_col, text_col, size, similarity, bands, rows).drop("text_crc")
 
@@ -238,7 +257,7 @@ def _classed(
     every = nodes.select("node")
     labels = components(every, links)
 
-    rest = _unresolved(busy, labels, similarity)
+    rest = _unresolved(busy, labels, nodes, sets, similarity)
     rest = materialize(rest, "rest-pairs")
     if not rest.isEmpty():
         more = verified(rest, sets, similarity)
@@ -246,26 +265,33 @@ def _classed(
     return _classes(signed, materialize(labels, "classes"))
 
 
-def _unresolved(busy: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket that are in different classes, each once."""
+def _unresolved(busy: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of one bucket that are in different classes and that sizes and bit maps do not rule out.
+
+    A pair comes up in each bucket that it shares and is emitted for the first of its bands only.
+    """
     placed = busy.select("band", "node", "n").join(labels, "node")
     per_class = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = per_class.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k"))
     mixed = mixed.where("k > 1").select("band", F.col("top.label").alias("main"))
-    placed = materialize(placed.join(mixed, "band"), "mixed")
-    minor = placed.where("label <> main").select(
-        "band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")
-    )
-    other = placed.select(
+    filled = F.aggregate("bits", F.lit(0), lambda acc, x: acc + F.bit_count(x))
+    maps = sets.select("node", "bits", (F.size("shingles") - filled).alias("surplus"))
+    placed = placed.join(mixed, "band").join(maps, "node").join(nodes.select("node", "bands"), "node")
+    placed = materialize(placed, "mixed")
+    side = lambda s: [
         "band",
-        F.col("node").alias("b"),
-        F.col("n").alias("nb"),
-        F.col("label").alias("lb"),
-        (F.col("label") == F.col("main")).alias("in_main"),
-    )
+        F.col("node").alias(s),
+        F.col("n").alias(f"n{s}"),
+        F.col("label").alias(f"l{s}"),
+        *[F.col(c).alias(f"{c}_{s}") for c in ("bits", "surplus", "bands")],
+    ]
+    minor = placed.where("label <> main").select(*side("a"))
+    other = placed.select(*side("b"), (F.col("label") == F.col("main")).alias("in_main"))
     once = F.col("in_main") | (F.col("a") < F.col("b"))
+    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == minor.band
     on = (minor.band == other.band) & (F.col("la") != F.col("lb")) & once & comparable("na", "nb", similarity)
-    return minor.join(other, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = minor.join(other, on & may_overlap_enough(similarity) & first)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _classes(signed: DataFrame, labels: DataFrame) -> DataFrame:
