@@ -57,33 +57,53 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-def severity_grades(texts: list[Counter], labels: np.ndarray) -> np.ndarray:
+class Sample:
+    """A labelled sample as numbers: the words of each text with their counts, and its distinct features."""
+
+    def __init__(self, texts: list[str]):
+        words: dict[str, int] = {}
+        features: dict[str, int] = {}
+        of_word: list[np.ndarray] = []
+        self.words, self.counts, self.rows = [], [], []
+        for text in texts:
+            bag = word_set(text)
+            for word in bag:
+                if word not in words:
+                    words[word] = len(words)
+                    of_word.append(np.array([features.setdefault(f, len(features)) for f in features_of(word)], np.int32))
+            ids = np.array([words[w] for w in bag], np.int32)
+            self.words.append(ids)
+            self.counts.append(np.array(list(bag.values()), np.int32))
+            self.rows.append(np.unique(np.concatenate([of_word[i] for i in ids])) if len(ids) else ids)
+        self.of_word, self.names = of_word, list(features)
+
+    def seen(self, labels: np.ndarray, label: int) -> np.ndarray:
+        """In how many texts of a label each feature occurs."""
+        own = [r for r, y in zip(self.rows, labels) if y == label]
+        return np.bincount(np.concatenate(own), minlength=len(self.names)) if own else np.zeros(len(self.names), int)
+
+
+def severity_grades(sample: Sample, labels: np.ndarray) -> np.ndarray:
     """Grades of labelled texts: 0 for label 0; for label 1 by how many marked words a text has.
 
     A word is marked if it, or a stem of it, occurs in texts of label 1 many times oftener than in others.
     One such word or none is grade 1, up to four grade 2, more grade 3.
     """
-    rows = [set(f for w in t for f in features_of(w)) for t in texts]
-    seen = [Counter(f for r, y in zip(rows, labels) if y == k for f in r) for k in (0, 1)]
     n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
-    marked = {f for f, c in seen[1].items() if c >= LEAST_ROWS and c / n1 > 20 * (seen[0][f] + 0.5) / n0}
-    count = np.array([sum(c for w, c in t.items() if not marked.isdisjoint(features_of(w))) for t in texts])
+    c0, c1 = sample.seen(labels, 0), sample.seen(labels, 1)
+    marked = (c1 >= LEAST_ROWS) & (c1 / n1 > 20 * (c0 + 0.5) / n0)
+    word = np.array([marked[f].any() for f in sample.of_word], bool)
+    count = np.array([int(c[word[w]].sum()) if len(w) else 0 for w, c in zip(sample.words, sample.counts)])
     return np.where(labels == 0, 0, np.select([count <= 1, count <= 4], [1, 2], 3))
 
 
-def telling_features(rows: list[list[str]], labels: np.ndarray) -> list[str]:
+def telling_features(sample: Sample, labels: np.ndarray) -> np.ndarray:
     """Features of ``LEAST_ROWS`` rows or more whose share of rows differs between the labels beyond chance."""
-    seen = [Counter(f for r, y in zip(rows, labels) if y == k for f in r) for k in (0, 1)]
     n0, n1 = (labels == 0).sum(), (labels == 1).sum()
-    out = []
-    for f in sorted(seen[0].keys() | seen[1].keys()):
-        c0, c1 = seen[0][f], seen[1][f]
-        if c0 + c1 < LEAST_ROWS:
-            continue
-        mean = (c0 + c1) / (n0 + n1)
-        if abs(c1 / n1 - c0 / n0) >= LEAST_Z * (mean * (1 - mean) * (1 / n0 + 1 / n1)) ** 0.5:
-            out.append(f)
-    return out
+    c0, c1 = sample.seen(labels, 0), sample.seen(labels, 1)
+    mean = (c0 + c1) / (n0 + n1)
+    error = np.sqrt(mean * (1 - mean) * (1 / n0 + 1 / n1))
+    return np.flatnonzero((c0 + c1 >= LEAST_ROWS) & (np.abs(c1 / n1 - c0 / n0) >= LEAST_Z * error))
 
 
 def fit_ordinal(texts: list[str], labels: list[int], rounds: int = 200) -> OrdinalModel:
@@ -94,12 +114,13 @@ def fit_ordinal(texts: list[str], labels: list[int], rounds: int = 200) -> Ordin
     y = np.array(labels, int)
     if len(set(labels)) < 2:
         return OrdinalModel({}, np.full(GRADES, 10.0))
-    bags = [word_set(t) for t in texts]
-    grades = severity_grades(bags, y)
-    rows = [sorted({f for w in b for f in features_of(w)}) for b in bags]
-    names = telling_features(rows, y)
-    number = {f: k for k, f in enumerate(names)}
-    cols = [np.array([number[f] for f in r if f in number], np.int64) for r in rows]
+    sample = Sample(texts)
+    grades = severity_grades(sample, y)
+    chosen = telling_features(sample, y)
+    number = np.full(len(sample.names), -1, np.int64)
+    number[chosen] = np.arange(len(chosen))
+    names = [sample.names[f] for f in chosen]
+    cols = [number[r][number[r] >= 0] for r in sample.rows]
     flat = np.concatenate(cols)
     row_of = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     w, theta = np.zeros(len(names)), np.arange(GRADES) + 1.0
@@ -107,7 +128,7 @@ def fit_ordinal(texts: list[str], labels: list[int], rounds: int = 200) -> Ordin
     # Either label weighs half, whatever their numbers in the sample.
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())[:, None]
     square_w, square_t = np.full(len(names), 1e-8), np.full(GRADES, 1e-8)
-    for step in range(rounds):
+    for _ in range(rounds):
         score = np.bincount(row_of, w[flat], minlength=len(cols))
         p = 1.0 / (1.0 + np.exp(np.clip(theta[None, :] - score[:, None], -50, 50)))
         slope = (p - over) * weight
