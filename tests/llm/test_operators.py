@@ -284,6 +284,22 @@ def test_a_chain_of_copies_is_one_class(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == brute_classes(table)
 
 
+def test_texts_that_repeat_passages_differently_are_linked(spark):
+    from tests.llm.conftest import VOCAB
+
+    own = np.random.default_rng(8)
+    words = lambda n: own.choice(VOCAB, n).tolist()
+    table = {}
+    for k in range(60):
+        passage, rest = words(90), words(260)
+        table[2 * k] = " ".join(passage + rest + words(35))
+        table[2 * k + 1] = " ".join(passage * 20 + rest + words(35))
+    truth = brute_classes(table)
+    assert len(set(truth.values())) == 60
+    docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == truth
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)

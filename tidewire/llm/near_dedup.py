@@ -108,18 +108,27 @@ def words_of(text: str) -> list[str]:
 def signed_bands(texts_words: list[list[str]], size: int, bands: int, rows: int) -> list[tuple[int, np.ndarray]]:
     """For each word list the number of distinct shingles and the band keys (without words: none).
 
-    A shingle that occurs c times weighs 1 + ln c.
+    A shingle that occurs c times weighs 1 + ln c. Links compare plain sets, which weights may make look unlike, so
+    a text that repeats a shingle also has the bands of its plain set, where they differ. Weights of 1 give both
+    signatures alike: any two texts meet by the bands of their plain sets, whatever they repeat.
     """
     found = [np.unique(shingle_hashes(words, size), return_counts=True) for words in texts_words]
     full = [k for k, (shingles, _) in enumerate(found) if len(shingles)]
     out = [(0, np.zeros(0, np.int64))] * len(found)
+
+    def keys_of(at: list[int], weigh) -> np.ndarray:
+        elements = np.concatenate([found[k][0] for k in at])
+        weights = weigh(np.concatenate([found[k][1] for k in at]))
+        sets = np.repeat(np.arange(len(at)), [len(found[k][0]) for k in at])
+        return band_keys(prob_minhash(elements, weights, sets, len(at), bands * rows), bands, rows)
+
     if full:
-        elements = np.concatenate([found[k][0] for k in full])
-        weights = 1.0 + np.log(np.concatenate([found[k][1] for k in full]))
-        sets = np.repeat(np.arange(len(full)), [len(found[k][0]) for k in full])
-        keys = band_keys(prob_minhash(elements, weights, sets, len(full), bands * rows), bands, rows)
-        for k, own in zip(full, keys):
+        for k, own in zip(full, keys_of(full, lambda counts: 1.0 + np.log(counts))):
             out[k] = len(found[k][0]), own
+    repeating = [k for k in full if found[k][1].max() > 1]
+    if repeating:
+        for k, plain in zip(repeating, keys_of(repeating, lambda counts: np.ones(len(counts)))):
+            out[k] = out[k][0], np.union1d(out[k][1], plain)
     return out
 
 
@@ -218,7 +227,7 @@ def near_classes(
     exact copies are never paired. Repeated rows belong to their id's class, each with a row; null ids get a
     class of their word sequence whose id is null if no row of it has one. Other columns are not read.
 
-    Candidates share a band of their signatures. In a band's bucket every text is compared with the bucket's
+    Candidates share a band of their signatures, weighted or plain. In a band's bucket every text is compared with the bucket's
     leader, a member drawn by a hash of the band; that is linear in the bucket. Where a bucket's members are still in
     different classes afterwards, those outside its largest class are compared with all members of other
     classes that an upper bound of the similarity does not rule out, so no candidate link is lost. Every
