@@ -1,12 +1,14 @@
 """Edge cases of the rules that SQL does not express."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as t, times, urls
-from tidewire.operators import aggregates, graph, grouping, ranking, snapshots
+from tidewire.operators import aggregates, graph, grouping, pairs, ranking, snapshots
+from tidewire.plans import views
 from tidewire.sources import feeds
 
 
@@ -162,3 +164,33 @@ def test_snapshots_swap_and_changes_fail_whole(spark, tmp_path):
         snapshots.apply_columns(table, spark.createDataFrame([(2, "b")], "id int, v string"), "id", ["v"])
     once = snapshots.upsert(table, spark.createDataFrame([(1, "b")], "id int, v string"), "id")
     assert snapshots.upsert(once, spark.createDataFrame([(1, "b")], "id int, v string"), "id").collect() == once.collect()
+
+
+def shingle_set(text):
+    words = re.findall("[a-z0-9]+", text.lower())
+    return {tuple(words[k : k + 3]) for k in range(len(words) - 2)} or {tuple(words)} - {()}
+
+
+def test_near_copies_are_told_by_whole_texts(spark):
+    own = random.Random(4)
+    prose = lambda n: " ".join("w" + str(own.randrange(9000)) for _ in range(n))
+    body = prose(400)
+    texts = {k: ("The same first line", prose(300)) for k in range(5)}
+    texts |= {10 + k: (f"First line {k} of its own {k}", body) for k in range(4)}
+    texts |= {20: ("Copy", texts[3][1]), 21: ("Copy", texts[3][1]), 22: ("Copy", texts[3][1]), 30: ("", "!"), 31: ("", None)}
+    whole = {i: f"{h}. {b or ''}" for i, (h, b) in texts.items()}
+    kept, near = [], set()
+    for i in sorted(texts):
+        s = shingle_set(whole[i])
+        like = [j for j in sorted(texts) if j < i and s and len(s & shingle_set(whole[j])) >= 0.7 * len(s | shingle_set(whole[j]))]
+        near |= {(j, i) for j in like}
+        if not set(like) & set(kept):
+            kept.append(i)
+    assert kept == [0, 1, 2, 3, 4, 10, 30, 31] and len(near) == 12
+    rows = spark.createDataFrame([(i, *x, f"https://a.example.com/{i}") for i, x in texts.items()], "id long, headline string, main_text string, url string")
+    seen = rows.where("id < 0").select(F.col("url").alias("canonical_url"))
+    assert sorted(r.id for r in views.dedup(rows, seen).collect()) == kept
+    stored, new = rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
+    got = {tuple(sorted(r)) for r in pairs.near_duplicates_of(new, stored, t.whole_text()).collect()}
+    assert got == {p for p in near if p[0] % 2 or p[1] % 2}
+    assert {r.id for r in grouping.keep_without_near_copies(rows, t.whole_text(), -F.col("id")).collect()} == {0, 1, 2, 4, 13, 22, 30, 31}

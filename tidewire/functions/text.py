@@ -196,6 +196,11 @@ def shingles(text: Column, size: int = 3) -> Column:
     return let(findall(F.lower(text), "[a-z0-9]+"), runs)
 
 
+def whole_text(headline: str = "headline", body: str = "main_text") -> Column:
+    """Headline and body of an article as one text; a missing one is empty."""
+    return F.concat(F.coalesce(headline, F.lit("")), F.lit(". "), F.coalesce(body, F.lit("")))
+
+
 def hash64(item: Column) -> Column:
     """The first 64 bits of the MD5 as a two's complement integer."""
     half = lambda at: F.conv(F.substring(F.md5(item), at, 8), 16, 10).cast("bigint")

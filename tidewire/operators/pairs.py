@@ -40,31 +40,44 @@ def band_candidates(prints: DataFrame, bands: int = 4, cap: int | None = 200) ->
     return left.join(right, ["band", "slice"]).where("a < b").select("a", "b").distinct()
 
 
+def fingerprints(rows: DataFrame, text: Column) -> DataFrame:
+    """``id, fp, s``: fingerprint and shingle hashes of each row's text, written once."""
+    rows = rows.select("id", text.alias("x"))
+    return materialize(rows.select("id", t.simhash64(F.col("x")).alias("fp"), t.shingle_hashes(F.col("x")).alias("s")), "fingerprints")
+
+
 def near_duplicates_of(new: DataFrame, stored: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7) -> DataFrame:
-    """Pairs ``(a, b)`` of a new row and an earlier one, stored or new too; both tables have ``id`` and the text."""
-    prints = lambda df: df.select("id", text.alias("x")).select(
-        "id", t.simhash64(F.col("x")).alias("fp"), t.shingle_hashes(F.col("x")).alias("s")
-    )
-    slices = lambda df: df.select("id", "fp", "s", F.posexplode(t.band_keys(F.col("fp"))).alias("band", "slice"))
-    new = materialize(prints(new), "fingerprints")
-    fresh = slices(new).select("band", "slice", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
-    known = slices(materialize(prints(stored), "fingerprints")).withColumn("old", F.lit(True))
-    known = known.unionByName(slices(new).withColumn("old", F.lit(False)))
-    known = known.select("band", "slice", "old", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
-    near = known.join(fresh, ["band", "slice"]).where((F.col("a") != F.col("b")) & (F.col("old") | (F.col("a") < F.col("b"))))
-    near = near.where(t.hamming(F.col("fa"), F.col("fb")) <= distance)
+    """Pairs ``(a, b)`` of a new row and an earlier one, stored or new too; both tables have ``id`` and the text.
+
+    Rows without shingles take no part.
+    """
+    new = fingerprints(new, text).where(F.size("s") > 0)
+    known = fingerprints(stored, text).where(F.size("s") > 0).withColumn("old", F.lit(True))
+    known = known.unionByName(new.withColumn("old", F.lit(False)))
+    slices = lambda df: df.select("*", F.posexplode(t.band_keys(F.col("fp"))).alias("band", "slice"))
+    fresh = slices(new.select(F.col("id").alias("b"), "fp")).withColumnRenamed("fp", "fb")
+    seen = slices(known.select("old", F.col("id").alias("a"), "fp")).withColumnRenamed("fp", "fa")
+    near = seen.join(fresh, ["band", "slice"]).where((F.col("a") != F.col("b")) & (F.col("old") | (F.col("a") < F.col("b"))))
+    # Shingles join what the fingerprints left over: whole texts have many.
+    near = near.where(t.hamming(F.col("fa"), F.col("fb")) <= distance).select("a", "fa", "old", "b", "fb").distinct()
+    near = near.join(known.select("old", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa")), ["old", "a", "fa"])
+    near = near.join(new.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb")), ["b", "fb"])
     return near.where(t.jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b").distinct()
 
 
 def near_duplicate_pairs(articles: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7, cap: int | None = 200) -> DataFrame:
     """Candidate pairs within ``distance`` bits whose shingle sets have a Jaccard of ``similarity`` or more."""
-    rows = articles.select("id", text.alias("x"))
-    rows = rows.select("id", t.simhash64(F.col("x")).alias("fp"), t.shingle_hashes(F.col("x")).alias("s"))
-    rows = materialize(rows, "fingerprints")
+    return near_fingerprints(fingerprints(articles, text), distance, similarity, cap)
+
+
+def near_fingerprints(rows: DataFrame, distance: int = 18, similarity: float = 0.7, cap: int | None = 200) -> DataFrame:
+    """:func:`near_duplicate_pairs` of ``rows(id, fp, s)``."""
     pairs = band_candidates(rows.select("id", "fp"), cap=cap)
-    a = rows.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa"))
-    b = rows.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").where(t.hamming(F.col("fa"), F.col("fb")) <= distance)
+    prints = lambda s: rows.select(F.col("id").alias(s), F.col("fp").alias(f"f{s}"))
+    sets = lambda s: rows.select(F.col("id").alias(s), F.col("s").alias(f"s{s}"))
+    # Shingles join what the fingerprints left over: whole texts have many.
+    both = pairs.join(prints("a"), "a").join(prints("b"), "b").where(t.hamming(F.col("fa"), F.col("fb")) <= distance).select("a", "b")
+    both = both.join(sets("a"), "a").join(sets("b"), "b")
     both = both.withColumn("similarity", t.jaccard(F.col("sa"), F.col("sb")))
     return both.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 

@@ -21,9 +21,7 @@ def ingest(items: DataFrame, now: Column, cap: int = 40) -> DataFrame:
 def dedup(new: DataFrame, seen: DataFrame) -> DataFrame:
     """New articles whose URL is unseen, without near copies of earlier ones, and with contents not stored."""
     rows = pairs.unseen(new.withColumn("canonical_url", urls.canonical(F.col("url"))), seen, "canonical_url")
-    long_ = rows.where(F.size(t.shingles(F.col("headline"))) > 0)
-    near = pairs.near_duplicate_pairs(long_, F.col("headline"), cap=None).select("a", "b")
-    kept = rows.join(grouping.greedy_keep(rows.select("id"), near), "id", "left_semi")
+    kept = rows.join(grouping.keep_without_near_copies(rows, t.whole_text(), F.col("id")), "id", "left_semi")
     kept = kept.withColumn("content_hash", F.sha2(F.concat("headline", F.lit("\n"), "main_text"), 256))
     return pairs.unique_insert(kept, seen, ("content_hash",), "id") if "content_hash" in seen.columns else kept
 

@@ -177,14 +177,9 @@ def grp_components(spark, sf_dir):
 
 @query("grp_near_dup_keep")
 def grp_near_dup_keep(spark, sf_dir):
-    rows = ad.articles(spark, sf_dir).where(F.size(t.shingles(F.col("headline"))) > 0)
-    found = pairs.near_duplicate_pairs(rows, F.col("headline"), cap=None).select("a", "b")
-    # The walk goes source by source, newest first; an edge leads from the earlier article to the later one.
-    order = rows.select("id", F.struct("source", (-F.unix_micros(F.col("publish_date").cast("timestamp"))).alias("t"), "id").alias("o"))
-    side = lambda s: order.select(F.col("id").alias(s), F.col("o").alias(f"o{s}"))
-    e = found.join(side("a"), "a").join(side("b"), "b")
-    e = e.select(F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("y"))
-    return grouping.greedy_keep(ad.articles(spark, sf_dir).select("id"), e.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # The walk goes source by source, newest first.
+    order = F.struct("source", (-F.unix_micros(F.col("publish_date").cast("timestamp"))).alias("t"), "id")
+    return grouping.keep_without_near_copies(ad.articles(spark, sf_dir), t.whole_text(), order)
 
 
 @query("grp_events")

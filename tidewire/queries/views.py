@@ -258,9 +258,8 @@ def stm_resume(spark, sf_dir):
 @query("stm_near_dup")
 def stm_near_dup(spark, sf_dir):
     """Near-duplicate pairs of every micro-batch against itself and the rows stored by earlier ones."""
-    docs = st.stream_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("headline"))
-    docs = docs.where(F.size(t.shingles(F.col("headline"))) > 0)
-    return st.run_batches(docs, "stream-near", st.against_store(shared_path(spark, "stored"), lambda new, old: pairs.near_duplicates_of(new, old, F.col("headline"))))
+    docs = st.stream_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *ad.headline_and_body())
+    return st.run_batches(docs, "stream-near", st.against_store(shared_path(spark, "stored"), lambda new, old: pairs.near_duplicates_of(new, old, t.whole_text())))
 
 
 @query("stm_ingest", f"with {ad.ARTICLES_SQL} select url as link, strftime(publish_date, '%Y-%m-%d %H:%M:%S') as published from articles")

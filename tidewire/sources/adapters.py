@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def headline_and_body() -> list[Column]:
+    """The first line of ``text`` as ``headline``, the rest as ``main_text`` (none: the first line again)."""
+    head = F.substring_index("text", "\n", 1)
+    rest = F.substring(F.col("text"), F.length(head) + 2, F.length("text"))
+    return [head.alias("headline"), F.when(rest == "", head).otherwise(rest).alias("main_text")]
+
+
 def articles(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataFrame:
     """``documents`` as articles: the first line is the headline, the rest the body; vectors on request."""
     docs = table(spark, sf_dir, "documents")
-    head = F.substring_index("text", "\n", 1)
-    rest = F.substring(F.col("text"), F.length(head) + 2, F.length("text"))
     out = docs.select(
         F.col("doc_id").alias("id"),
         "source",
-        head.alias("headline"),
-        F.when(rest == "", head).otherwise(rest).alias("main_text"),
+        *headline_and_body(),
         F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id % 96 as int))").alias("publish_date"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
     )
