@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewire.llm.common import ChunkEncoder, Memo, id_bytes, map_batches, slim
+from tidewire.llm.common import ENCODED_ROWS, ChunkEncoder, id_bytes, map_batches, slim
 
 NO_PAIR = 1 << 62
 
@@ -86,21 +86,123 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: Pieces of up to this many bytes are merged many at once; longer ones one by one.
+LONGEST_AT_ONCE, PIECES_AT_ONCE = 64, 20_000
+
+
+class PairRanks:
+    """The rank of the bytes of two tokens in a row, for arrays of token ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        of, found = ranks.get, {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = of(token[:cut]), of(token[cut:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = rank
+        self.pairs = np.array(sorted(found), np.int64)
+        self.ranks = np.array([found[p] for p in self.pairs.tolist()], np.int64)
+        self.byte_ids = np.array([of(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs, ``NO_PAIR`` where there is none; a negative id is in no pair."""
+        if not len(self.pairs):
+            return np.full(a.shape, NO_PAIR, np.int64)
+        code = np.where((a < 0) | (b < 0), -1, a << 32 | b)
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == code, self.ranks[at], NO_PAIR)
+
+
+def merge_together(pieces: list[bytes], pairs: PairRanks, size: int) -> list[bytes]:
+    """The ids of pieces of 2 to ``size`` bytes as 32-bit bytes, as :func:`merge_bytes` finds them.
+
+    Every piece has its segment tree, a row of ``2 * size`` numbers, and in a round every piece that still has a
+    pair with a rank makes its next merge: three leaves change, and so do the nodes above them.
+    """
+    many = len(pieces)
+    length = np.array([len(p) for p in pieces])
+    raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(many, size)
+    place = np.arange(size)
+    inside = place[None, :] < length[:, None]
+    token = np.where(inside, pairs.byte_ids[raw], -1)
+    if (token[inside] < 0).any():
+        raise KeyError("a byte has no rank")
+    after = np.tile(place + 1, (many, 1))
+    before = np.tile(place - 1, (many, 1))
+    tree = np.full((many, 2 * size), NO_PAIR, np.int64)
+    rank = pairs(token[:, :-1], token[:, 1:])
+    tree[:, size : 2 * size - 1] = np.where(rank == NO_PAIR, NO_PAIR, rank * size + place[:-1])
+    level = size
+    while level > 1:
+        np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2], out=tree[:, level // 2 : level])
+        level //= 2
+
+    def put(row: np.ndarray, at: np.ndarray, value: np.ndarray | int) -> None:
+        at = at + size
+        tree[row, at] = value
+        at = at >> 1
+        while len(at) and at[0]:
+            tree[row, at] = np.minimum(tree[row, 2 * at], tree[row, 2 * at + 1])
+            at = at >> 1
+
+    def pair_at(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        far = after[row, at]
+        ends = far >= length[row]
+        rank = pairs(token[row, at], np.where(ends, -1, token[row, np.where(ends, 0, far)]))
+        return np.where(rank == NO_PAIR, NO_PAIR, rank * size + at)
+
+    row = np.flatnonzero(tree[:, 1] != NO_PAIR)
+    while len(row):
+        at = tree[row, 1] % size
+        gone = after[row, at]
+        token[row, at] = tree[row, 1] // size
+        token[row, gone] = -1
+        far = after[row, gone]
+        after[row, at] = far
+        more = far < length[row]
+        before[row[more], far[more]] = at[more]
+        put(row, gone, NO_PAIR)
+        put(row, at, pair_at(row, at))
+        left = before[row, at]
+        has = left >= 0
+        put(row[has], left[has], pair_at(row[has], left[has]))
+        row = row[tree[row, 1] != NO_PAIR]
+    alive = token >= 0
+    ids = token[alive].astype("<u4").tobytes()
+    ends = np.cumsum(alive.sum(axis=1) * 4).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Codec:
     """Encodes and decodes texts with one rank file and one split pattern."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.pieces = regex.compile(pattern)
+        self.pairs = PairRanks(self.ranks)
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
-        self.by_piece = Memo(lambda piece: id_bytes(merge_bytes(piece.encode(), self.ranks)), 400_000)
-        self.by_chunk = ChunkEncoder(lambda chunk: b"".join([self.by_piece[p] for p in self.pieces.findall(chunk)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes."""
-        return self.by_chunk(texts)
+        self.encode = ChunkEncoder(regex.compile(pattern).findall, self.merge)
+
+    def merge(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as little-endian unsigned 32-bit bytes."""
+        raw = [p.encode() for p in pieces]
+        out: list[bytes] = [b""] * len(raw)
+        by_size: dict[int, list[int]] = {}
+        for k, piece in enumerate(raw):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[k] = id_bytes([whole])
+            elif len(piece) > LONGEST_AT_ONCE:
+                out[k] = id_bytes(merge_bytes(piece, self.ranks))
+            elif piece:
+                by_size.setdefault(1 << (len(piece) - 1).bit_length(), []).append(k)
+        for size, places in by_size.items():
+            for start in range(0, len(places), PIECES_AT_ONCE):
+                some = places[start : start + PIECES_AT_ONCE]
+                for k, ids in zip(some, merge_together([raw[k] for k in some], self.pairs, max(size, 2))):
+                    out[k] = ids
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -111,7 +213,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DIGESTS = pa.schema(
     [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 )
@@ -120,18 +222,16 @@ DIGESTS = pa.schema(
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(doc_id, ids, decoded)``: the ids of every whole text as little-endian unsigned 32-bit integers.
+    """``(doc_id, ids)``: the ids of every whole text as little-endian unsigned 32-bit integers.
 
     One row per input row, repeated rows and null ids included; a null or empty text has no ids. The rank
     file must lie at the same path on every machine. No shuffle: each batch is encoded where it is read.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
-        own = codec(ranks_path, pattern)
-        ids = own.encode(batch.column("text").to_pylist())
-        return {"doc_id": batch.column("doc_id"), "ids": ids, "decoded": [own.decode(i) for i in ids]}
+        return {"doc_id": batch.column("doc_id"), "ids": codec(ranks_path, pattern).encode(batch.column("text"))}
 
-    return slim(docs, id_col, text_col).mapInArrow(map_batches(run, ENCODED), "doc_id long, ids binary, decoded binary")
+    return slim(docs, id_col, text_col).mapInArrow(map_batches(run, ENCODED, ENCODED_ROWS), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -146,19 +246,25 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
     return encoded.select("doc_id", "ids").mapInArrow(map_batches(run, schema), "doc_id long, text string")
 
 
-def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every document's ids and of what they decode to."""
+def encoding_digests(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every document's ids and of what they decode to.
+
+    Rows as :func:`encode_documents` has them; ids are decoded and both are digested where they are made, so
+    neither leaves its worker.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids = batch.column("ids").to_pylist()
-        decoded = batch.column("decoded").to_pylist()
+        own = codec(ranks_path, pattern)
+        ids = own.encode(batch.column("text"))
         return {
             "doc_id": batch.column("doc_id"),
             "n_tokens": [len(i) // 4 for i in ids],
             "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-            "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],
+            "decoded_sha256": [hashlib.sha256(own.decode(i)).hexdigest() for i in ids],
         }
 
-    return encode_documents(docs, ranks_path, pattern).mapInArrow(
-        map_batches(run, DIGESTS), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return slim(docs, id_col, text_col).mapInArrow(
+        map_batches(run, DIGESTS, ENCODED_ROWS), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

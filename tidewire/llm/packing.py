@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidewire.llm.common import ChunkEncoder, Memo, id_bytes, map_batches, slim
+from tidewire.llm.common import ENCODED_ROWS, ChunkEncoder, id_bytes, map_batches, slim
 from tidewire.shared import materialize
 
 #: Pieces that one packing group holds on average; a group wastes less than one sequence or so.
@@ -44,58 +44,43 @@ def split_pattern(pre_tokenizer: dict) -> str | None:
 
 
 @lru_cache(maxsize=4)
-def json_encoder(path: str) -> ChunkEncoder:
-    """Encodes with the tokenizers library, chunk by chunk; the strings of special tokens are ordinary text.
+def json_encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
+    """Encodes texts with the tokenizers library; the strings of special tokens are ordinary text.
 
-    Most chunks that a worker has not met hold words it knows, so the pieces of a chunk are remembered too,
-    and only new pieces go to the library's model.
+    Words and marks of a byte-level tokenizer that a worker has met are remembered, and only new ones go to the
+    library's model. Other tokenizers encode whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    pattern = split_pattern(json.loads(tokenizer.to_str())["pre_tokenizer"] or {})
+    described = json.loads(tokenizer.to_str())
+    pattern = split_pattern(described["pre_tokenizer"] or {})
 
     if pattern is None:
-        return ChunkEncoder(lambda chunk: id_bytes(tokenizer.encode(chunk, add_special_tokens=False).ids))
-    normal = normalizer_of(tokenizer, json.loads(tokenizer.to_str())["normalizer"])
-    pieces, tokenize = regex.compile(pattern).findall, tokenizer.model.tokenize
-    blank = chr(BYTE_CHARS[32])
+        return lambda texts: [id_bytes(e.ids) for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    tokenize, blank = tokenizer.model.tokenize, chr(BYTE_CHARS[32])
 
-    def encode_piece(piece: str) -> bytes:
+    def encode(pieces: list[str]) -> list[bytes]:
         # Of printable ASCII only the blank has another character in the byte-level alphabet.
-        plain = piece.isascii() and piece.isprintable()
-        spelt = piece.replace(" ", blank) if plain else piece.encode().decode("latin-1").translate(BYTE_CHARS)
-        return id_bytes([t.id for t in tokenize(spelt)])
+        spelt = [
+            p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_CHARS)
+            for p in pieces
+        ]
+        return [id_bytes([t.id for t in tokenize(s)]) for s in spelt]
 
-    known = Memo(encode_piece, 400_000)
-    # What the pattern makes of a word behind a blank: one piece with the blank, or one without it.
-    lead = {(" ab", "."): " ", ("ab", "."): ""}.get(tuple(pieces(" ab.")))
+    return ChunkEncoder(regex.compile(pattern).findall, encode, normalizer_of(tokenizer, described["normalizer"]))
 
-    def encode(chunk: str) -> bytes:
-        chunk = normal(chunk)
-        if lead is not None and chunk[:1] == " ":
-            word = chunk[1:]
-            if word.isalpha():
-                return known[lead + word]
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return known[lead + word[:-1]] + known[word[-1]]
-        return b"".join([known[p] for p in pieces(chunk)])
 
-    return ChunkEncoder(encode)
-
-
-def normalizer_of(tokenizer, described: dict | None) -> Callable[[str], str]:
-    """The tokenizer's normalizer; ASCII text needs no more than lower case where that is all it does to it."""
+def normalizer_of(tokenizer, described: dict | None) -> Callable[[str], str] | None:
+    """The tokenizer's normalizer, of which it is known that it turns ASCII words into lower case; None: it has none."""
     if not described:
-        return str
+        return None
     whole = tokenizer.normalizer.normalize_str
-    steps = [x["type"] for x in described.get("normalizers", [])]
-    if steps != ["NFC", "Replace", "Lowercase"] or described["normalizers"][1]["pattern"] != {"Regex": "\\s+"}:
-        return whole
-    # A chunk of ASCII has one blank at most, in front; other ASCII white space is left to the normalizer.
-    return lambda text: text.lower() if text.isascii() and len(text.split()) == 1 and text[:1] == " " else whole(text)
+    if whole(" AbC") != " abc":
+        raise ValueError(f"no lower-casing normalizer: {described}")
+    return whole
 
 
 PIECES = pa.schema(
@@ -131,7 +116,7 @@ def cut_documents(
     def run(batch: pa.RecordBatch) -> dict:
         encoder = json_encoder(tokenizer_path)
         out: dict = {n: [] for n in PIECES.names}
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text").to_pylist())):
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text"))):
             ids += end
             n = len(ids) // 4
             stop = n % capacity or capacity
@@ -144,7 +129,7 @@ def cut_documents(
         return {n: out[n] for n in names}
 
     sql = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return slim(docs, id_col, text_col).mapInArrow(map_batches(run, schema), sql)
+    return slim(docs, id_col, text_col).mapInArrow(map_batches(run, schema, ENCODED_ROWS), sql)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

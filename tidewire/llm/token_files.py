@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewire.llm.common import map_batches, slim
+from tidewire.llm.common import ENCODED_ROWS, map_batches, slim
 from tidewire.llm.packing import json_encoder
 from tidewire.shared import materialize, shuffle_width
 
@@ -22,12 +22,12 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
 
     def run(batch: pa.RecordBatch) -> dict:
         end = np.array([end_id], "<u4").tobytes()
-        ids = [i + end for i in json_encoder(tokenizer_path)(batch.column("text").to_pylist())]
+        ids = [i + end for i in json_encoder(tokenizer_path)(batch.column("text"))]
         ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
         flat = np.frombuffer(b"".join(ids), "<i4")
         return {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
 
-    return slim(docs, id_col, text_col).mapInArrow(map_batches(run, TOKENS), "doc_id long, ids array<int>")
+    return slim(docs, id_col, text_col).mapInArrow(map_batches(run, TOKENS, ENCODED_ROWS), "doc_id long, ids array<int>")
 
 
 def write_tokens(
