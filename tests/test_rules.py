@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as t, times, urls
-from tidewire.operators import aggregates, graph, grouping, pairs, ranking, snapshots
+from tidewire.operators import aggregates, graph, grouping, pairs, ranking, snapshots, validation
 from tidewire.plans import views
 from tidewire.sources import feeds
 
@@ -194,3 +194,212 @@ def test_near_copies_are_told_by_whole_texts(spark):
     got = {tuple(sorted(r)) for r in pairs.near_duplicates_of(new, stored, t.whole_text()).collect()}
     assert got == {p for p in near if p[0] % 2 or p[1] % 2}
     assert {r.id for r in grouping.keep_without_near_copies(rows, t.whole_text(), -F.col("id")).collect()} == {0, 1, 2, 4, 13, 22, 30, 31}
+
+
+def texts_with_copies(seed, n=60):
+    own = random.Random(seed)
+    words = ["".join(own.choice("abcdefgh") for _ in range(own.randint(2, 6))) for _ in range(300)]
+    rows = []
+    for k in range(n):
+        base = [own.choice(words) for _ in range(own.randint(4, 120))]
+        rows.append(" ".join(base))
+        for _ in range(k % 4):
+            base = list(base)
+            base[own.randrange(len(base))] = "other"
+            rows.append(" ".join(base))
+        if k % 5 == 0:
+            rows += [rows[-1]] * 3
+    own.shuffle(rows)
+    return rows
+
+
+def shingles_of(text, size=3):
+    words = re.findall("[a-z0-9]+", text.lower())
+    return {" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def test_near_duplicate_pairs_without_caps(spark):
+    texts = texts_with_copies(1)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, x string")
+    prints = {r.id: r.fp for r in pairs.fingerprints(rows, F.col("x")).collect()}
+    direct = {r.id: r.fp for r in rows.select("id", t.simhash64(F.col("x")).alias("fp")).collect()}
+    assert prints == direct
+    first, truth = {}, set()
+    for k, x in enumerate(texts):
+        first.setdefault(frozenset(shingles_of(x)), k)
+    for k, x in enumerate(texts):
+        s = shingles_of(x)
+        name = first[frozenset(s)]
+        if name != k:
+            truth.add((name, k))
+            continue
+        for j in range(k):
+            o = shingles_of(texts[j])
+            if first[frozenset(o)] != j:
+                continue
+            bits = (prints[j] ^ prints[k]) & (2**64 - 1)
+            slices = any(not bits >> 16 * b & 0xFFFF for b in range(4))
+            if slices and bits.bit_count() <= 18 and len(s & o) >= 0.7 * len(s | o):
+                truth.add((j, k))
+    got = pairs.near_duplicate_pairs(rows, F.col("x")).collect()
+    assert {(r.a, r.b) for r in got} == truth and len(got) == len(truth)
+    assert sum(r.similarity < 1 for r in got) > 20 and sum(r.similarity == 1 for r in got) > 20
+
+
+def test_slices_hold_every_member(spark):
+    rows = spark.createDataFrame([(k, 7) for k in range(400)] + [(1000, 7 | 1 << 60), (1001, -1)], "id long, fp long")
+    got = {tuple(r) for r in pairs.band_candidates(rows).collect()}
+    assert got == {(0, k) for k in range(1, 400)} | {(0, 1000)}
+
+
+def test_walks_see_all_rows_in_order(spark):
+    own = random.Random(3)
+    rows = [(c, k, round(own.random(), 2), own.randint(1, 3), f"s{own.choice([0, 0, 0, 1, 2, 3])}", own.choice([0, 0, 0, *range(40)])) for c in range(4) for k in range(700)]
+    got = {}
+    df = spark.createDataFrame(rows, "card int, id int, similarity double, shared int, source string, cluster int")
+    for r in ranking.capped_related(df).collect():
+        got.setdefault(r.card, {})[r.place] = r.id
+    for card in range(4):
+        by, within, keep = {}, {}, []
+        for _, i, *_, s, c in sorted((r for r in rows if r[0] == card), key=lambda r: (-r[2], -r[3], r[1])):
+            if len(keep) < 20 and by.get(s, 0) < 4 and within.get(c, 0) < 2:
+                by[s], within[c] = by.get(s, 0) + 1, within.get(c, 0) + 1
+                keep.append(i)
+        assert [got[card][k + 1] for k in range(len(keep))] == keep and len(got[card]) == len(keep)
+    many = [(e, k, k, "city" if k < 900 else "economy" if k == 950 else "sport", [f"F{k % 3}"] if k % 2 else [], 1) for e in (1, 2) for k in range(1000)]
+    ranked = spark.createDataFrame(many, "edition int, place int, id int, category string, families array<string>, sources int")
+    for edition in (1, 2):
+        picks = [r.id for r in ranking.diverse_select(ranked).where(f"edition = {edition}").orderBy("slot").collect()]
+        assert picks == [0, 1, 2, 900, 902, 903, 950]
+
+
+@pytest.mark.parametrize(
+    "headline, impact, reporting, failure",
+    [
+        ("Fares rise", "Commuters pay 20 rupees more", "Fares rose by 20 rupees", None),
+        ("Fares rise", "Commuters could pay more", "Fares rose", ("hedge_or_mood", "could")),
+        ("Fares rise", "Commuters may pay more", "Fares rose", ("hedge_or_mood", "may")),
+        ("Fares rise", "Commuters pay more from 3 May", "Fares rose 3", None),
+        ("Fares rise", "Commuters pay 1,200 and 30 more", "Fares rose by 1200", ("unsupported_number", "30")),
+        ("Road closed", "Drivers take a detour", "The road is open", ("unsupported_consequence", "closed")),
+        ("Road closed", "Drivers take a detour", "A closure of the road", None),
+        ("Shops lose trade", "Tenants wait", "A loss of trade", None),
+        ("Government moves to ban bags", "Shoppers carry bags", "The ministry proposed a ban", ("proposal_reported_as_action", "Government moves")),
+        ("Government moves to ban bags", "Shoppers carry bags", "The ministry proposed a ban and notified it", None),
+        (None, None, None, None),
+    ],
+)
+def test_grounding(spark, headline, impact, reporting, failure):
+    found = validation.grounding_failure(F.col("h"), F.col("i"), F.lit(None).cast("string"), F.col("r"))
+    got = one(spark, found, h=headline, i=impact, r=reporting)
+    assert (got and tuple(got)) == failure
+
+
+def analysed(spark, **changes):
+    packet = [
+        (1, "a", "primary_event", "dawn", "The council spent 40 million on roads in March. PIMS Hospital was named."),
+        (1, "b", "related", "geo", "Tariffs rose 7 percent in 2021-22. The Multan police said so."),
+    ]
+    base = {
+        "card": 1,
+        "analysis": "According to Dawn, the council spent 40 million in March.",
+        "claims": [("The council spent 40 million.", ["a"])],
+        "question": "Why did tariffs rise 7 percent?",
+        "question_ids": ["b"],
+        "basis": "evidence_gap",
+        "subject": ["pims"],
+    } | changes
+    schema = "card int, analysis string, claims array<struct<text string, ids array<string>>>, question string, question_ids array<string>, basis string, subject array<string>"
+    answers = spark.createDataFrame([tuple(base.values())], schema)
+    table = spark.createDataFrame(packet, "card int, id string, role string, publisher string, evidence string")
+    return validation.analysis_errors(answers, table).first()
+
+
+@pytest.mark.parametrize(
+    "changes, errors",
+    [
+        ({}, []),
+        ({"card": 2}, ["missing_primary_articles", "unsupported_number_or_date_in_analysis", "unknown_claim_support"]),
+        ({"analysis": "Dawn says 40 million. The minister lied."}, ["unsupported_conclusion_in_analysis"]),
+        ({"analysis": "Dawn says 7 percent were spent."}, ["unsupported_number_or_date_in_analysis"]),
+        ({"analysis": "7 percent", "claims": [("7 percent in 2022", ["a", "b"])]}, []),
+        ({"claims": [("x", ["c"]), ("y", [])]}, ["unknown_claim_support"]),
+        ({"claims": [("7 percent", ["a"])]}, ["unsupported_number_or_date_in_claim"]),
+        ({"analysis": "The council spent 40 million."}, ["missing_single_source_attribution"]),
+        ({"claims": None, "analysis": "Roads."}, []),
+    ],
+)
+def test_story_analysis(spark, changes, errors):
+    got = analysed(spark, **changes)
+    assert got.errors == errors and got.accepted == (not errors)
+
+
+@pytest.mark.parametrize(
+    "changes, errors",
+    [
+        ({"question": None}, []),
+        ({"question_ids": ["c"]}, ["unknown_question_support"]),
+        ({"question": "Why did tariffs rise 9 percent after the audit and the delay?"}, ["unsupported_number_or_date_in_question"]),
+        ({"question": "What did the Rojhan audit of the budget find?"}, ["unsupported_named_subject_in_question"]),
+        ({"question": "Was it corruption that the audit of the budget found?"}, ["unsupported_conclusion_in_question"]),
+        ({"question": "Why does this keep happening?"}, ["generic_question"]),
+        ({"question": "Why does this keep happening in PIMS?", "question_ids": ["a"]}, ["generic_question"]),
+        ({"question": "Why do they ask Multan again?"}, []),
+        ({"question": "Are these independent?", "basis": "source_independence"}, []),
+    ],
+)
+def test_story_questions(spark, changes, errors):
+    got = analysed(spark, **changes)
+    assert got.question_errors == errors and got.accepted
+    assert (got.question is None) == bool(errors or changes.get("question", 1) is None)
+    assert got.related == ([] if errors or changes.get("question_ids") == ["a"] else ["b"])
+
+
+def test_editorial_stories(spark):
+    import json
+
+    story = lambda **x: {"cluster_id": "1", "impact_line": "Commuters pay more from today"} | x
+    many = [
+        (1, json.dumps({"stories": [story(priority=120), story(priority=70, category="city", impact_labels=["WORK", "x", "WORK"], story_tags=[" a ", ""]), story(priority=60)]})),
+        (2, json.dumps([story(priority="80", confidence="high", category="fashion", public_impact="low"), story(cluster_id="9")])),
+        (3, json.dumps({"stories": [story(impact_line=" ", why_it_matters=" "), story(cluster_id=" 1 ", impact_line="", why_it_matters="Parents wait longer today", headline="Short")]})),
+        (4, "no json"),
+        (5, json.dumps({"stories": [story(story_tags=["a", "b", "c", "d", "e"]), story(selection_reason="short"), 7, story(confidence=1, priority=0)]})),
+        (6, None),
+    ]
+    answers = spark.createDataFrame(many, "edition int, answer string")
+    base = [(e, 1, "A base headline", "sports", ["SAFETY"], 3, ["One Fact", "one fact", "Third"], "dawn") for e in range(1, 7)]
+    candidates = spark.createDataFrame(base, "edition int, cluster int, headline string, category string, labels array<string>, articles int, facts array<string>, source string")
+    got = {r.edition: r for r in validation.editorial_stories(answers, candidates, ["city", "sports"], ["WORK", "SAFETY"]).collect()}
+    assert set(got) == {1, 2, 5}
+    assert (got[1].priority, got[1].category, got[1].labels, got[1].tags, got[1].place) == (70, "city", ["WORK"], ["a"], 1)
+    assert (got[2].priority, got[2].category, got[2].labels, got[2].confidence, got[2].public_impact) == (75, "sports", ["SAFETY"], 0.65, "medium")
+    assert got[2].tags == ["sports", "one-fact"] and got[2].headline == "A base headline"
+    assert (got[5].priority, got[5].confidence, got[5].place) == (0, 1.0, 3)
+
+
+def test_question_phrases(spark):
+    phrases = lambda v: one(spark, t.question_phrases(F.col("v")), v=v)
+    assert phrases("Why did Lahore and PIMS wait? Officials in Multan know.") == ["multan", "pims"]
+    assert phrases("Nothing here.") == []
+
+
+def test_headline_leaders_against_the_walk(spark):
+    own = random.Random(5)
+    rows = [(k % 3, k, sorted({f"w{own.randint(0, 25)}" for _ in range(own.randint(1, 8))})) for k in range(150)]
+    got = {r.id: r.leader for r in grouping.headline_leaders(spark.createDataFrame(rows, "edition int, id int, tokens array<string>")).collect()}
+    truth = {}
+    for edition in range(3):
+        groups = []
+        for _, i, tokens in sorted((r for r in rows if r[0] == edition), key=lambda r: (-len(r[2]), r[1])):
+            mine = set(tokens)
+            if len(mine) < 3:
+                continue
+            home = next((g for g in groups if len(mine & g[1]) / min(len(mine), len(g[1])) >= 0.45), None)
+            if home is None:
+                groups.append((i, set(mine)))
+                truth[i] = i
+            else:
+                home[1].update(mine)
+                truth[i] = home[0]
+    assert got == truth

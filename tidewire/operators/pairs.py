@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewire.functions import text as t
@@ -24,26 +29,47 @@ def unique_insert(new: DataFrame, stored: DataFrame, keys: tuple[str, ...], orde
     return new
 
 
-def band_candidates(prints: DataFrame, bands: int = 4, cap: int | None = 200) -> DataFrame:
+def band_candidates(prints: DataFrame, bands: int = 4) -> DataFrame:
     """Pairs ``(a, b)`` of ``prints(id, fp)`` that share a slice of the fingerprint.
 
-    Only the ``cap`` smallest ids of a slice take part (null: all); that bound is the operator's definition.
+    Rows with one fingerprint are one class, named by its smallest id: pairs are between class names, and every other
+    member is paired with its name. No slice is cut short, and copies make no pairs among themselves.
     """
     # Written once, or each use of a fingerprint would compute it anew.
     prints = materialize(prints.select("id", "fp"), "prints").where("fp is not null")
-    keyed = prints.select("id", F.posexplode(t.band_keys(F.col("fp"), bands)).alias("band", "slice"))
-    if cap is not None:
-        place = F.row_number().over(Window.partitionBy("band", "slice").orderBy("id"))
-        keyed = keyed.withColumn("_rn", place).where(F.col("_rn") <= cap).drop("_rn")
+    names = materialize(prints.groupBy("fp").agg(F.min("id").alias("id")), "names")
+    keyed = names.select("id", F.posexplode(t.band_keys(F.col("fp"), bands)).alias("band", "slice"))
     left = keyed.select("band", "slice", F.col("id").alias("a"))
     right = keyed.select("band", "slice", F.col("id").alias("b"))
-    return left.join(right, ["band", "slice"]).where("a < b").select("a", "b").distinct()
+    between = left.join(right, ["band", "slice"]).where("a < b").select("a", "b").distinct()
+    within = prints.join(names.select("fp", F.col("id").alias("a")), "fp").where("a <> id").select("a", F.col("id").alias("b"))
+    return between.union(within)
+
+
+WORD = re.compile("[a-z0-9]+")
+
 
+def fingerprints(rows: DataFrame, text: Column, size: int = 3) -> DataFrame:
+    """``id, fp, s``: fingerprint and distinct shingle hashes of each row's text, written once.
+
+    As ``simhash64`` and ``shingle_hashes`` have them; 64 votes over every shingle of a whole text are numpy's work.
+    """
+
+    def run(batches):
+        for batch in batches:
+            prints, sets = [], []
+            for text in batch.column("x").to_pylist():
+                words = WORD.findall((text or "").lower())
+                runs = [" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
+                raw = b"".join([hashlib.md5(r.encode()).digest()[:8] for r in runs])
+                votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(runs)
+                prints.append(int.from_bytes(np.packbits(votes).tobytes(), "big", signed=True))
+                sets.append(np.unique(np.frombuffer(raw, ">i8").astype(np.int64)))
+            columns = [batch.column("id"), pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "s"])
 
-def fingerprints(rows: DataFrame, text: Column) -> DataFrame:
-    """``id, fp, s``: fingerprint and shingle hashes of each row's text, written once."""
     rows = rows.select("id", text.alias("x"))
-    return materialize(rows.select("id", t.simhash64(F.col("x")).alias("fp"), t.shingle_hashes(F.col("x")).alias("s")), "fingerprints")
+    return materialize(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long, s array<long>"), "fingerprints")
 
 
 def near_duplicates_of(new: DataFrame, stored: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7) -> DataFrame:
@@ -65,19 +91,53 @@ def near_duplicates_of(new: DataFrame, stored: DataFrame, text: Column, distance
     return near.where(t.jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b").distinct()
 
 
-def near_duplicate_pairs(articles: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7, cap: int | None = 200) -> DataFrame:
-    """Candidate pairs within ``distance`` bits whose shingle sets have a Jaccard of ``similarity`` or more."""
-    return near_fingerprints(fingerprints(articles, text), distance, similarity, cap)
+def near_duplicate_pairs(articles: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7) -> DataFrame:
+    """``(a, b, similarity)`` of texts whose fingerprints share a slice and differ in ``distance`` bits at most, and whose
+    shingle sets have a Jaccard of ``similarity`` or more.
+
+    Texts with one shingle set and fingerprint are one class, named by its smallest id: pairs are between names, and
+    every other member is paired with its name. Texts without shingles take no part.
+    """
+    prints = fingerprints(articles, text).where(F.size("s") > 0)
+    keyed = prints.withColumn("k", F.md5(F.array_join("s", ",")))
+    names = materialize(keyed.groupBy("fp", "k").agg(F.min("id").alias("name")), "names")
+    within = keyed.join(names, ["fp", "k"]).where("name <> id").select(F.col("name").alias("a"), F.col("id").alias("b"))
+    named = prints.join(names.select(F.col("name").alias("id")), "id", "left_semi")
+    return near_fingerprints(named, distance, similarity).union(within.withColumn("similarity", F.lit(1.0)))
+
+
+def rare_shingles(rows: DataFrame, similarity: float) -> DataFrame:
+    """``(id, n, token, indexed)``: of each of ``rows(id, s)`` the rarest shingles, one of which two similar sets share.
+
+    Of two sets with the similarity the larger has a common shingle among its first n - ceil(s n) + 1 in any
+    common order, the smaller among its first n - ceil(2 s n / (1 + s)) + 1 (``indexed``); from rare to frequent, few rows meet.
+    """
+    every = rows.select("id", F.size("s").alias("n"), F.explode("s").alias("token"))
+    common = every.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("id").orderBy("c", "token")
+    every = every.join(common, "token").withColumn("place", F.row_number().over(order))
+    most = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    indexed = F.col("place") <= most(2 * similarity / (1 + similarity))
+    return every.where(F.col("place") <= most(similarity)).select("id", "n", "token", indexed.alias("indexed"))
+
 
+def near_fingerprints(rows: DataFrame, distance: int = 18, similarity: float = 0.7) -> DataFrame:
+    """:func:`near_duplicate_pairs` of ``rows(id, fp, s)`` with different texts.
 
-def near_fingerprints(rows: DataFrame, distance: int = 18, similarity: float = 0.7, cap: int | None = 200) -> DataFrame:
-    """:func:`near_duplicate_pairs` of ``rows(id, fp, s)``."""
-    pairs = band_candidates(rows.select("id", "fp"), cap=cap)
+    Pairs meet at rare shingles, which finds every one with the similarity; slices and bits are tested on these. A slice
+    of 16 bits would bring together a 65,536th of all texts, however unlike.
+    """
+    rare = materialize(rare_shingles(rows, similarity), "rare-shingles")
+    side = lambda s: rare.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "indexed")])
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (similarity - 1e-9)
+    both = side("a").join(side("b"), "token").where("id_a < id_b and (indexed_a or indexed_b)").where(sizes)
+    both = both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     prints = lambda s: rows.select(F.col("id").alias(s), F.col("fp").alias(f"f{s}"))
     sets = lambda s: rows.select(F.col("id").alias(s), F.col("s").alias(f"s{s}"))
-    # Shingles join what the fingerprints left over: whole texts have many.
-    both = pairs.join(prints("a"), "a").join(prints("b"), "b").where(t.hamming(F.col("fa"), F.col("fb")) <= distance).select("a", "b")
-    both = both.join(sets("a"), "a").join(sets("b"), "b")
+    shared = F.exists(F.arrays_zip(t.band_keys(F.col("fa")).alias("x"), t.band_keys(F.col("fb")).alias("y")), lambda z: z["x"] == z["y"])
+    both = both.join(prints("a"), "a").join(prints("b"), "b").where(t.hamming(F.col("fa"), F.col("fb")) <= distance)
+    # Shingle sets join what the fingerprints left over: whole texts have many.
+    both = both.where(shared).select("a", "b").join(sets("a"), "a").join(sets("b"), "b")
     both = both.withColumn("similarity", t.jaccard(F.col("sa"), F.col("sb")))
     return both.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 

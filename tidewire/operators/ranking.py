@@ -30,54 +30,98 @@ def budgeted(df: DataFrame, group: str, order: list, size: Column, per_row: int,
     return rows.withColumn("allowed", F.greatest(F.lit(0), F.least("_c", total - F.coalesce(before, F.lit(0))))).drop("_c")
 
 
-def diverse_select(ranked: DataFrame, most: int = 12, per_category: int = 3) -> DataFrame:
-    """A finite, varied edition from ``ranked(edition, place, id, category, families, sources)``.
+def walked(rows: DataFrame, key: str, order: list, walk, schema: str) -> DataFrame:
+    """Rows of each key in ``order`` through a walk that may depend on all earlier ones, as a stream.
 
-    Down the ranking of an edition: at most ``per_category`` of a category; a candidate that repeats a named
-    family of an earlier pick needs three sources. Where no economy card came in, the best one is added or
-    takes the last place of another category. The choice depends on earlier ones, so an edition's
-    ranked candidates (a few hundred) are walked in one task.
+    ``walk()`` makes the state of one key: ``see(row)`` takes a row, ``result()`` gives output rows at the end. Only that
+    state is held, whatever the number of the key's rows; the sort spills.
     """
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["place", "id"])
-        chosen, seen, count = [], set(), {}
-        for r in rows.itertuples():
-            families = set(r.families)
-            if len(chosen) >= most:
-                break
-            if count.get(r.category, 0) >= per_category or families & seen and r.sources < 3:
-                continue
-            chosen.append(r)
-            seen |= families
-            count[r.category] = count.get(r.category, 0) + 1
-        best = next((r for r in rows.itertuples() if r.category == "economy"), None)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        now = state = None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if state is None or getattr(row, key) != now:
+                    out += state.result() if state is not None else []
+                    now, state = getattr(row, key), walk()
+                state.see(row)
+            yield pd.DataFrame(out, columns=names)
+        if state is not None:
+            yield pd.DataFrame(state.result(), columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+class Edition:
+    """The picks of one edition."""
+
+    def __init__(self, most: int, per_category: int):
+        self.most, self.per_category = most, per_category
+        self.chosen, self.seen, self.count, self.best = [], set(), {}, None
+
+    def see(self, row) -> None:
+        if self.best is None and row.category == "economy":
+            self.best = row
+        if len(self.chosen) >= self.most:
+            return
+        families = set(row.families)
+        if self.count.get(row.category, 0) >= self.per_category or families & self.seen and row.sources < 3:
+            return
+        self.chosen.append(row)
+        self.seen |= families
+        self.count[row.category] = self.count.get(row.category, 0) + 1
+
+    def result(self) -> list[tuple]:
+        chosen, best = self.chosen, self.best
         if best is not None and all(r.id != best.id for r in chosen):
-            if len(chosen) < most:
+            if len(chosen) < self.most:
                 chosen.append(best)
             else:
                 at = next((k for k in reversed(range(len(chosen))) if chosen[k].category != "economy"), None)
                 if at is not None:
                     chosen[at] = best
-        return pd.DataFrame([(r.edition, r.id, k + 1) for k, r in enumerate(chosen)], columns=["edition", "id", "slot"])
+        return [(r.edition, r.id, k + 1) for k, r in enumerate(chosen)]
+
+
+def diverse_select(ranked: DataFrame, most: int = 12, per_category: int = 3) -> DataFrame:
+    """A finite, varied edition from ``ranked(edition, place, id, category, families, sources)``.
 
+    Down the ranking of an edition: at most ``per_category`` of a category; a candidate that repeats a named
+    family of an earlier pick needs three sources. Where no economy card came in, the best one is added or
+    takes the last place of another category. The choice depends on earlier ones, so an edition's
+    candidates, all of them, pass by in order.
+    """
     kinds = dict(ranked.dtypes)
-    return ranked.groupBy("edition").applyInPandas(pick, f"edition {kinds['edition']}, id {kinds['id']}, slot int")
+    schema = f"edition {kinds['edition']}, id {kinds['id']}, slot int"
+    return walked(ranked, "edition", ["place", "id"], lambda: Edition(most, per_category), schema)
+
+
+class Related:
+    """The related articles of one card."""
+
+    def __init__(self, per_publisher: int, per_cluster: int, total: int):
+        self.limits, self.by, self.clusters, self.keep = (per_publisher, per_cluster, total), {}, {}, []
+
+    def see(self, row) -> None:
+        per_publisher, per_cluster, total = self.limits
+        by, within = self.by.get(row.source, 0), self.clusters.get(row.cluster, 0)
+        if len(self.keep) < total and by < per_publisher and within < per_cluster:
+            self.by[row.source], self.clusters[row.cluster] = by + 1, within + 1
+            self.keep.append((row.card, row.id, len(self.keep) + 1))
+
+    def result(self) -> list[tuple]:
+        return self.keep
 
 
 def capped_related(related: DataFrame, per_publisher: int = 4, per_cluster: int = 2, total: int = 20) -> DataFrame:
-    """Related articles of a card under two caps that act on each other, walked in order of similarity."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        by, clusters, keep = {}, {}, []
-        for k, r in enumerate(rows.sort_values(["similarity", "shared", "id"], ascending=[False, False, True]).itertuples()):
-            if len(keep) >= total:
-                break
-            if by.get(r.source, 0) >= per_publisher or clusters.get(r.cluster, 0) >= per_cluster:
-                continue
-            by[r.source], clusters[r.cluster] = by.get(r.source, 0) + 1, clusters.get(r.cluster, 0) + 1
-            keep.append((r.card, r.id, len(keep) + 1))
-        return pd.DataFrame(keep, columns=["card", "id", "place"])
+    """Related articles of a card under two caps that act on each other, walked in order of similarity.
 
+    A card's rows of one publisher and cluster beyond the first ``per_cluster`` can never be kept and are left out before.
+    """
+    order = [F.desc("similarity"), F.desc("shared"), "id"]
+    first = first_per(related, ["card", "source", "cluster"], order, per_cluster)
     kinds = dict(related.dtypes)
-    return related.groupBy("card").applyInPandas(pick, f"card {kinds['card']}, id {kinds['id']}, place int")
+    schema = f"card {kinds['card']}, id {kinds['id']}, place int"
+    return walked(first, "card", order, lambda: Related(per_publisher, per_cluster, total), schema)

@@ -45,7 +45,7 @@ def brief(cards: DataFrame, now: Column, most: int = 12) -> DataFrame:
         F.desc("latest"),
         "id",
     ]
-    ranked = rk.numbered(rows, ["edition"], order, "place").where("place <= 300")
+    ranked = rk.numbered(rows, ["edition"], order, "place")
     families = t.acronyms(F.col("headline"))
     return rk.diverse_select(ranked.select("edition", "place", "id", "category", families.alias("families"), "sources"), most)
 
@@ -55,3 +55,18 @@ def feed(cards: DataFrame, articles: DataFrame, limit: int = 30) -> DataFrame:
     names = articles.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_names"))
     rows = cards.join(names, "cluster").where("category is not null")
     return rows.orderBy(F.desc("sources"), F.desc("latest"), "cluster").limit(limit).select("cluster", "headline", "category", "sources", "source_names")
+
+
+def story(cards: DataFrame, articles: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """Each card with its articles, newest first: ``cluster, card, category, role, id, source, place``.
+
+    ``related(cluster, id, source, publish_date)`` are the cited articles of other clusters; they follow with their own places. Only
+    public columns are given; a cluster without a card has no story.
+    """
+    columns = ["cluster", "id", "source", "publish_date"]
+    rows = articles.select(*columns).withColumn("role", F.lit("relevant"))
+    if related is not None:
+        rows = rows.unionByName(related.select(*columns).withColumn("role", F.lit("related")))
+    rows = rk.numbered(rows, ["cluster", "role"], [F.desc("publish_date"), "id"], "place")
+    told = cards.select("cluster", F.col("headline").alias("card"), "category")
+    return rows.join(told, "cluster").select("cluster", "card", "category", "role", "id", "source", "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as t, times, urls
-from tidewire.operators import gates
+from tidewire.operators import gates, validation
 from tidewire.queries import duck as d
 from tidewire.registry import query
 from tidewire.sources import adapters as ad
@@ -94,13 +94,14 @@ def flt_relevant_articles(spark, sf_dir):
 
 @query(
     "flt_valid_drafts",
-    """select user_id from (select user_id, count(*) as n, count(distinct event_type) as k, max(value) as top, min(ts) as first, max(ts) as last
-       from events where ts >= timestamp '2024-01-29' group by user_id) where n between 1 and 12 and n = k and top < 1000000""",
+    """select user_id, day from (select user_id, cast(cast(ts as date) as varchar) as day, count(*) as n, count(distinct event_type) as k, max(value) as top
+       from events group by user_id, cast(ts as date)) where n between 1 and 12 and n = k and top < 1000000""",
 )
 def flt_valid_drafts(spark, sf_dir):
-    drafts = ad.table(spark, sf_dir, "events").where("ts >= timestamp'2024-01-29'")
-    facts = drafts.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_type").alias("k"), F.max("value").alias("top"))
-    return facts.where("n between 1 and 12 and n = k and top < 1000000").select("user_id")
+    """A user's events of a day are a draft."""
+    drafts = ad.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    facts = drafts.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_type").alias("k"), F.max("value").alias("top"))
+    return facts.where("n between 1 and 12 and n = k and top < 1000000").select("user_id", "day")
 
 
 @query(
@@ -120,10 +121,9 @@ def val_sources(spark, sf_dir):
     return gates.violations(pages, "page_id", {"bad_url": F.col("url").rlike("^https?://[^/]+"), "tier": F.col("tier").isin("A", "B")})
 
 
-@query("val_article", "select 'body' as rule, page_id::varchar as key from pages where length(trim(html)) < 200 union all select 'unique_url', url from pages group by url having count(*) > 1")
+@query("val_article", f"with {ad.ARTICLES_SQL} select 'body' as rule, id::varchar as key from articles where length(trim(main_text)) < 200 union all select 'unique_headline', headline from articles group by headline having count(*) > 1")
 def val_article(spark, sf_dir):
-    pages = ad.table(spark, sf_dir, "pages")
-    return gates.violations(pages, "page_id", {"body": F.length(F.trim("html")) >= 200}, ("url",))
+    return gates.violations(ad.articles(spark, sf_dir), "id", {"body": F.length(F.trim("main_text")) >= 200}, ("headline",))
 
 
 @query(
@@ -149,37 +149,79 @@ def val_adjudication(spark, sf_dir):
     return parsed.select("conv_id", "turn", F.when(F.col("v.same"), "same").otherwise("different").alias("verdict"))
 
 
-@query(
-    "val_editorial",
-    f"""with {ad.ARTICLES_SQL} select id, n, least(95, greatest(50, 45 + 10 * n)) as priority from (
-        select id, headline, main_text, count(*) over (partition by source) as n from articles) where length(headline) between 8 and 180 and length(substr(main_text, 1, 120)) between 16 and 220""",
-)
+def editorial_inputs(spark, sf_dir):
+    """An answer of three stories per document, made from it, and the candidate that it may choose.
+
+    The first story leaves out or breaks a field by the id, the second repeats the cluster in full, the third names another one.
+    """
+    rows = ad.articles(spark, sf_dir).select("id", "source", "headline", "main_text", F.get(t.sentences(F.col("main_text")), F.lit(0)).alias("line"))
+    category = F.element_at(F.array(*[F.lit(c) for c in ad.CATEGORIES]), (F.col("id") % 11 + 1).cast("int"))
+    label = F.element_at(F.array(*[F.lit(c) for c in ad.LABELS]), (F.col("id") % 6 + 1).cast("int"))
+    n = F.col("id") % 8
+    full = {
+        "cluster_id": F.col("id").cast("string"),
+        "priority": F.when(n != 1, (F.col("id") % 120).cast("string")),
+        "headline": F.when(n != 2, F.to_json(F.array("headline"))),
+        "impact_line": F.when(n != 3, F.to_json(F.array("line"))),
+        "category": F.when(n == 4, F.lit('["fashion"]')).otherwise(F.to_json(F.array(category))),
+        "impact_labels": F.when(n == 5, F.lit("[]")).otherwise(F.to_json(F.array(label))),
+        "story_tags": F.when(n != 6, F.to_json(F.array(category, F.lit(" "), "source"))),
+        "confidence": F.when(n == 7, F.lit('"high"')).otherwise(F.lit("0.8")),
+    }
+    inner = {"headline", "impact_line", "category"}
+    value = lambda k, c: F.regexp_extract(c, r"(?s)^\[(.*)\]$", 1) if k in inner else c
+    pairs_ = [F.when(c.isNotNull(), F.concat(F.lit(f'"{k}":'), F.lit('"') if k == "cluster_id" else F.lit(""), value(k, c), F.lit('"') if k == "cluster_id" else F.lit(""))) for k, c in full.items()]
+    story = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*pairs_)), ","), F.lit("}"))
+    again = F.to_json(F.struct(F.col("id").cast("string").alias("cluster_id"), F.lit(60).alias("priority"), F.substring("main_text", 1, 100).alias("impact_line")))
+    other = F.to_json(F.struct((F.col("id") + 1).cast("string").alias("cluster_id"), F.lit("Nobody may choose this one").alias("impact_line")))
+    list_ = F.concat(F.lit("["), F.concat_ws(",", story, again, other), F.lit("]"))
+    answer = F.when(F.col("id") % 2 == 0, list_).otherwise(F.concat(F.lit('{"stories":'), list_, F.lit("}")))
+    answers = rows.select(F.col("id").alias("edition"), answer.alias("answer"))
+    facts = F.slice(t.sentences(F.col("main_text")), 2, 2)
+    candidates = rows.select(
+        F.col("id").alias("edition"), F.col("id").alias("cluster"), "headline", category.alias("category"), F.array(label).alias("labels"),
+        F.lit(1).alias("articles"), facts.alias("facts"), "source",
+    )
+    return answers, candidates
+
+
+@query("val_editorial")
 def val_editorial(spark, sf_dir):
-    rows = ad.articles(spark, sf_dir)
-    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(counts, "source").where(F.length("headline").between(8, 180) & F.length(F.substring("main_text", 1, 120)).between(16, 220))
-    return rows.select("id", "n", F.least(F.lit(95), F.greatest(F.lit(50), 45 + 10 * F.col("n"))).alias("priority"))
+    answers, candidates = editorial_inputs(spark, sf_dir)
+    return validation.editorial_stories(answers, candidates, ad.CATEGORIES, ad.LABELS)
 
 
 @query("val_grounding")
 def val_grounding(spark, sf_dir):
-    """The first figure or date word of an impact line that the reporting does not support."""
-    rows = ad.articles(spark, sf_dir).select("id", F.substring("main_text", 1, 300).alias("line"), F.concat_ws(" ", "headline", "main_text").alias("reporting"))
-    hedge = F.regexp_extract(F.col("line"), r"(?i)\b(?:might|could|potentially|possibly|likely)\b", 0)
-    extra = F.array_except(t.evidence_tokens(F.col("line")), t.source_evidence_tokens(F.col("reporting")))
-    token = F.when(hedge != "", F.lower(hedge)).when(F.size(extra) > 0, F.get(extra, F.lit(0)))
-    cause = F.when(hedge != "", "hedge").when(F.size(extra) > 0, "unsupported_figure")
-    return rows.select("id", cause.alias("cause"), token.alias("token"))
+    """The first check that a card fails: its line is its whole body, its reporting that of the next document."""
+    rows = ad.articles(spark, sf_dir).select("id", "headline", "main_text")
+    other = rows.select((F.col("id") - 1).alias("id"), F.concat_ws(" ", "headline", "main_text").alias("reporting"))
+    rows = rows.join(other, "id", "left")
+    failed = validation.grounding_failure(F.col("headline"), F.col("main_text"), F.lit(None).cast("string"), F.col("reporting"))
+    return rows.select("id", failed.alias("f")).select("id", F.col("f.cause").alias("cause"), F.col("f.token").alias("token"))
+
+
+def analysis_inputs(spark, sf_dir):
+    """Answers and packets per document: itself is the primary article, the next one related; the body is the analysis."""
+    rows = ad.articles(spark, sf_dir).select("id", "source", "headline", "main_text")
+    evidence = F.concat_ws(" ", "headline", "main_text").alias("evidence")
+    own = rows.select(F.col("id").alias("card"), "id", F.lit("primary_event").alias("role"), F.col("source").alias("publisher"), evidence)
+    near = rows.select((F.col("id") - 1).alias("card"), "id", F.lit("related").alias("role"), F.col("source").alias("publisher"), evidence)
+    packet = own.union(near.join(rows.select(F.col("id").alias("card")), "card", "left_semi").select(own.columns))
+    said = t.sentences(F.col("main_text"))
+    claims = F.transform(said, lambda x, i: F.struct(x.alias("text"), F.array((F.col("id") + F.when(i % 4 == 3, i % 3).otherwise(0)).cast("string")).alias("ids")))
+    added = F.when(F.col("id") % 3 == 0, " It cost 22 billion.").when(F.col("id") % 7 == 0, " Dawn reports a rise.").otherwise("")
+    question = F.when(F.col("id") % 5 != 0, F.concat(F.lit("What audit or oversight of "), F.element_at(said, -1), F.lit("?")))
+    answers = rows.select(
+        F.col("id").alias("card"), F.concat("main_text", added).alias("analysis"), claims.alias("claims"), question.alias("question"),
+        F.array(F.col("id").cast("string")).alias("question_ids"), F.lit("evidence_gap").alias("basis"), t.anchor_tokens(F.col("headline")).alias("subject"),
+    )
+    return answers, packet
 
 
 @query("val_story_analysis")
 def val_story_analysis(spark, sf_dir):
-    """Errors of an answer against its packet: guilt concluded, figures without support, publishers not cited."""
-    rows = ad.articles(spark, sf_dir).select("id", "source", F.substring("main_text", 1, 400).alias("answer"), "main_text")
-    checks = {
-        "culpability": t.asserts_culpability(F.col("answer")),
-        "figures": F.size(F.array_except(t.evidence_tokens(F.col("answer")), t.source_evidence_tokens(F.col("main_text")))) > 0,
-        "publisher": F.size(F.array_remove(t.named_publishers(F.col("answer")), F.col("source"))) > 0,
-    }
-    errors = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))
-    return rows.select("id", F.array_join(errors, ",").alias("errors"))
+    """Errors of an answer against its packet: those that reject it, those that drop its question, and soft ones."""
+    checked = validation.analysis_errors(*analysis_inputs(spark, sf_dir))
+    names = ["errors", "soft_errors", "question_errors", "related"]
+    return checked.select(F.col("card").alias("id"), "accepted", "question", *[F.array_join(c, ",").alias(c) for c in names])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as t, urls
 from tidewire.operators import pairs
 from tidewire.queries import duck as d
-from tidewire.queries.texts import PATH, SIGNATURE, SIM, content_sql
+from tidewire.queries.texts import PATH, SIGNATURE, SIM, WHOLE, content_sql
 from tidewire.registry import query
 from tidewire.sources import adapters as ad
 
@@ -27,30 +27,35 @@ def join_unique_insert(spark, sf_dir):
     return pairs.unique_insert(new, stored, ("content_hash",), "doc_id").select("doc_id")
 
 
-BANDS = f"""{SIM}, k as materialized (select id, b, (fp >> (16 * b)::ubigint) & 65535 as s from sim cross join (select unnest(range(0, 4)) as b)
-    qualify row_number() over (partition by b, s order by id) <= 200),
-    band as materialized (select distinct x.id as a, y.id as b from k x join k y on x.b = y.b and x.s = y.s and x.id < y.id)"""
+SLICES = "cross join (select unnest(range(0, 4)) as b)"
+BANDS = f"""{SIM}, rep as materialized (select fp, min(id) as id from sim group by fp),
+    k as materialized (select id, b, (fp >> (16 * b)::ubigint) & 65535 as s from rep {SLICES}),
+    band as materialized (select distinct x.id as a, y.id as b from k x join k y on x.b = y.b and x.s = y.s and x.id < y.id
+        union all select r.id, s.id from rep r join sim s using (fp) where r.id <> s.id)"""
 
 
 @query("join_band_candidates", f"with {ad.ARTICLES_SQL}, {BANDS} select a, b from band")
 def join_band_candidates(spark, sf_dir):
-    prints = ad.articles(spark, sf_dir).select("id", t.simhash64(F.col("headline")).alias("fp")).where(F.size(t.shingles(F.col("headline"))) > 0)
+    prints = pairs.fingerprints(ad.articles(spark, sf_dir), t.whole_text()).where(F.size("s") > 0)
     return pairs.band_candidates(prints)
 
 
-SH = f"sh as materialized (select id, list_distinct({d.shingles('headline')}) as s from articles)"
 INTER = "len(list_intersect(x.s, y.s))"
+NEAR = f"""{SIM}, sh as materialized (select id, fp, list_sort(list_distinct({d.shingles(WHOLE)})) as s from articles join sim using (id)),
+    rep as materialized (select fp, s, min(id) as id from sh group by fp, s),
+    k as materialized (select id, b, (fp >> (16 * b)::ubigint) & 65535 as v from rep {SLICES}),
+    band as materialized (select distinct x.id as a, y.id as b from k x join k y on x.b = y.b and x.v = y.v and x.id < y.id)"""
 
 
 @query(
     "join_near_dup_pairs",
-    f"""with {ad.ARTICLES_SQL}, {BANDS}, {SH} select a, b, round({INTER}::double / (len(x.s) + len(y.s) - {INTER}), 6) as similarity
-    from band join sh x on x.id = a join sh y on y.id = b join sim p on p.id = a join sim q on q.id = b
-    where bit_count(xor(p.fp, q.fp)) <= 18 and {INTER} >= 0.7 * (len(x.s) + len(y.s) - {INTER})""",
+    f"""with {ad.ARTICLES_SQL}, {NEAR} select a, b, round({INTER}::double / (len(x.s) + len(y.s) - {INTER}), 6) as similarity
+    from band join rep x on x.id = a join rep y on y.id = b
+    where bit_count(xor(x.fp, y.fp)) <= 18 and {INTER} >= 0.7 * (len(x.s) + len(y.s) - {INTER})
+    union all select r.id, m.id, 1.0 from rep r join sh m using (fp, s) where r.id <> m.id""",
 )
 def join_near_dup_pairs(spark, sf_dir):
-    rows = ad.articles(spark, sf_dir).where(F.size(t.shingles(F.col("headline"))) > 0)
-    found = pairs.near_duplicate_pairs(rows, F.col("headline"))
+    found = pairs.near_duplicate_pairs(ad.articles(spark, sf_dir), t.whole_text())
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

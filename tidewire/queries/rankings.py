@@ -86,7 +86,7 @@ def win_related_caps(spark, sf_dir):
     rows = ad.articles(spark, sf_dir).join(vec, "id").select("id", "source", "cluster", "embedding", t.content_tokens(F.col("headline")).alias("anchors"))
     primary = rows.where("id % 50 = 0").withColumn("card", F.col("id"))
     related = pairs.related_articles(primary, rows, -1.0).join(rows.select("id", "source", "cluster"), "id")
-    return rk.capped_related(rk.first_per(related, ["card"], [F.desc("similarity"), "id"], 400))
+    return rk.capped_related(related)
 
 
 @query(
@@ -109,7 +109,7 @@ def win_story_order(spark, sf_dir):
 def win_diverse_select(spark, sf_dir):
     rows = ad.articles(spark, sf_dir).join(ad.verdicts(spark, sf_dir), "id")
     rows = rows.withColumn("edition", F.date_format("publish_date", "yyyy-MM-dd"))
-    ranked = rk.numbered(rows, ["edition"], [F.desc("confidence"), "id"], "place").where("place <= 300")
+    ranked = rk.numbered(rows, ["edition"], [F.desc("confidence"), "id"], "place")
     return rk.diverse_select(ranked.select("edition", "place", "id", "category", t.acronyms(F.col("headline")).alias("families"), F.lit(1).alias("sources")))
 
 

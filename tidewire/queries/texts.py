@@ -27,6 +27,7 @@ def on_core(name, column, sql_expr):
 
 
 body, head = lambda: F.col("main_text"), lambda: F.col("headline")
+WHOLE = "(headline || '. ' || main_text)"
 
 
 @query(
@@ -53,16 +54,16 @@ def txt_sentences(spark, sf_dir):
 
 
 on_articles("txt_acronyms", lambda: t.joined(t.acronyms(body())), d.joined(d.acronyms("main_text")))
-on_articles("txt_shingles", lambda: F.array_join(t.shingles(head()), "|"), f"array_to_string({d.shingles('headline')}, '|')")
+on_articles("txt_shingles", lambda: F.array_join(t.shingles(t.whole_text()), "|"), f"array_to_string({d.shingles(WHOLE)}, '|')")
 on_articles(
     "txt_shingle_hashes",
-    lambda: F.array_join(F.array_sort(F.transform(t.shingle_hashes(head()), lambda h: F.hex(h))), ","),
-    f"array_to_string(list_sort(list_distinct(list_transform({d.shingles('headline')}, lambda s: ltrim(upper(substr(md5(s), 1, 16)), '0')))), ',')",
+    lambda: F.array_join(F.array_sort(F.transform(t.shingle_hashes(t.whole_text()), lambda h: F.hex(h))), ","),
+    f"array_to_string(list_sort(list_distinct(list_transform({d.shingles(WHOLE)}, lambda s: ltrim(upper(substr(md5(s), 1, 16)), '0')))), ',')",
 )
 SIM = f"""sim as materialized (
     select id, sum(case when 2 * ones > n then (1::hugeint << b::int) else 0 end)::ubigint as fp from (
         select id, b, sum(((h >> b::ubigint) & 1)::int) as ones, count(*) as n from (
-            select id, unnest(list_transform({d.shingles('headline')}, lambda s: {d.hash64('s')})) as h from articles)
+            select id, unnest(list_transform({d.shingles(WHOLE)}, lambda s: {d.hash64('s')})) as h from articles)
         cross join (select unnest(range(0, 64)) as b) group by id, b)
     group by id)"""
 SIGNED = "case when fp > 9223372036854775807 then (fp::hugeint - 18446744073709551616)::bigint else fp::bigint end"
@@ -70,7 +71,7 @@ SIGNED = "case when fp > 9223372036854775807 then (fp::hugeint - 184467440737095
 
 @query("txt_simhash64", f"with {ad.ARTICLES_SQL}, {SIM} select a.id, coalesce({SIGNED}, 0)::bigint as value from articles a left join sim using (id)")
 def txt_simhash64(spark, sf_dir):
-    return ad.articles(spark, sf_dir).select("id", t.simhash64(F.col("headline")).alias("value"))
+    return ad.articles(spark, sf_dir).select("id", t.simhash64(t.whole_text()).alias("value"))
 
 
 @query(
@@ -78,7 +79,7 @@ def txt_simhash64(spark, sf_dir):
     f"with {ad.ARTICLES_SQL}, {SIM} select a.id, bit_count(xor(a.fp, b.fp))::int as value from sim a join sim b on b.id = a.id + 1",
 )
 def txt_hamming(spark, sf_dir):
-    prints = ad.articles(spark, sf_dir).select("id", t.simhash64(F.col("headline")).alias("fp")).where("fp is not null")
+    prints = ad.articles(spark, sf_dir).select("id", t.simhash64(t.whole_text()).alias("fp")).where("fp is not null")
     nxt = prints.select((F.col("id") - 1).alias("id"), F.col("fp").alias("fp2"))
     return prints.join(nxt, "id").select("id", t.hamming(F.col("fp"), F.col("fp2")).cast("int").alias("value"))
 
@@ -89,16 +90,16 @@ def txt_hamming(spark, sf_dir):
         from sim cross join (select unnest(range(0, 4)) as b)""",
 )
 def txt_band_keys(spark, sf_dir):
-    keys = t.band_keys(t.simhash64(F.col("headline")))
+    keys = t.band_keys(t.simhash64(t.whole_text()))
     return ad.articles(spark, sf_dir).select("id", F.posexplode(keys).alias("band", "value"))
 
 
 def on_pair(name, column, sql_expr, tokens, sql_tokens):
     """An overlap of the tokens of headline and body."""
 
-    @query(name, f"{A}, p as (select id, list_distinct({sql_tokens('headline')}) as a, list_distinct({sql_tokens('substr(main_text, 1, 400)')}) as b from articles) select id, round({sql_expr}, 6) as value from p")
+    @query(name, f"{A}, p as (select id, list_distinct({sql_tokens('headline')}) as a, list_distinct({sql_tokens('main_text')}) as b from articles) select id, round({sql_expr}, 6) as value from p")
     def run(spark, sf_dir):
-        two = ad.articles(spark, sf_dir).select("id", tokens(head()).alias("a"), tokens(F.substring(body(), 1, 400)).alias("b"))
+        two = ad.articles(spark, sf_dir).select("id", tokens(head()).alias("a"), tokens(body()).alias("b"))
         return two.select("id", F.round(column(F.col("a"), F.col("b")), 6).alias("value"))
 
 
@@ -199,8 +200,8 @@ on_articles(
 fold = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 on_articles(
     "txt_redundant_snippet",
-    lambda: t.redundant_snippet(F.substring(body(), 1, 120), head()),
-    f"case when not ({fold('substr(main_text, 1, 120)')} = {fold('headline')} or regexp_matches(lower(substr(main_text, 1, 120)), '^(?:photo|file photo|representational image)\\b')) then substr(main_text, 1, 120) end",
+    lambda: t.redundant_snippet(body(), head()),
+    f"case when not ({fold('main_text')} = {fold('headline')} or regexp_matches(lower(main_text), '^(?:photo|file photo|representational image)\\b')) then main_text end",
 )
 
 
@@ -214,7 +215,7 @@ def txt_impact_label(spark, sf_dir):
     return ad.table(spark, sf_dir, "events").select("event_id", t.impact_label(F.col("event_type")).alias("value"))
 
 
-IMPACT = "substr(main_text, 1, 200)"
+IMPACT = "main_text"
 NORM = f"regexp_replace(lower({IMPACT}), '[^a-z0-9 ]+', ' ', 'g')"
 
 
@@ -227,7 +228,7 @@ NORM = f"regexp_replace(lower({IMPACT}), '[^a-z0-9 ]+', ' ', 'g')"
         round(case when len(m) = 0 then 0.0::double else len(list_intersect(m, h))::double / len(m) end, 6) as restates from f""",
 )
 def txt_brief_flags(spark, sf_dir):
-    flags = t.brief_flags(F.substring(body(), 1, 200), head())
+    flags = t.brief_flags(body(), head())
     return ad.articles(spark, sf_dir).select("id", *[(F.round(c, 6) if k == "restates" else c).alias(k) for k, c in flags.items()])
 
 

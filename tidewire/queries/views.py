@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tidewire import streaming as st
 from tidewire.functions import text as t, times, urls
-from tidewire.operators import grouping, models as md, pairs, ranking as rk
+from tidewire.operators import grouping, models as md, pairs, ranking as rk, validation
 from tidewire.plans import views
 from tidewire.queries import duck as d
 from tidewire.queries.aggregates import TRIAGE_SQL, agg_brief_score
-from tidewire.queries.gates import docs_now, now
+from tidewire.queries.gates import analysis_inputs, docs_now, now
 from tidewire.queries.joins import CANON, prepared
 from tidewire.queries.rankings import grp_events
 from tidewire.registry import query
@@ -106,10 +106,14 @@ def snk_export(spark, sf_dir):
     return spark.read.schema("headline string, category string").json(path)
 
 
-@query("view_story", f"with {ad.ARTICLES_SQL} select id, source, row_number() over (order by publish_date desc, id) as place from articles where source = 'src3'")
+@query(
+    "view_story",
+    f"""with {CARDS_SQL} select a.source as cluster, cd.headline as card, cd.category, a.id, row_number() over (partition by a.source order by a.publish_date desc, a.id) as place
+    from articles a join cd on cd.cluster = a.source""",
+)
 def view_story(spark, sf_dir):
-    rows = rk.numbered(clustered(spark, sf_dir).where("cluster = 'src3'"), ["cluster"], [F.desc("publish_date"), "id"], "place")
-    return rows.select("id", "source", F.col("place").cast("long").alias("place"))
+    rows = views.story(cards(spark, sf_dir), clustered(spark, sf_dir))
+    return rows.select("cluster", "card", "category", "id", F.col("place").cast("long").alias("place"))
 
 
 @query("view_brief")
@@ -196,7 +200,7 @@ def mdl_merge_editorial(spark, sf_dir):
 
 @query("mdl_what_to_watch")
 def mdl_what_to_watch(spark, sf_dir):
-    body = F.concat(F.substring("main_text", 1, 300), F.lit(" The hearing is on January "), (F.col("id") % 28 + 1).cast("string"), F.lit(", 2024."))
+    body = F.concat("main_text", F.lit(" The hearing is on January "), (F.col("id") % 28 + 1).cast("string"), F.lit(", 2024."))
     return ad.articles(spark, sf_dir).select("id", md.watch_line(body, F.lit("2024-01-15").cast("date")).alias("line"))
 
 
@@ -209,11 +213,8 @@ def mdl_analysis_packet(spark, sf_dir):
 
 @query("mdl_analysis_outcome")
 def mdl_analysis_outcome(spark, sf_dir):
-    answers = ad.articles(spark, sf_dir).select("id", F.substring("main_text", 1, 2000).alias("answer"), "main_text")
-    bad = F.size(F.array_except(t.evidence_tokens(F.col("answer")), t.source_evidence_tokens(F.col("main_text")))) > 0
-    reason = F.when(t.asserts_culpability(F.col("answer")), "culpability").when(bad, "figures")
-    rejected = F.when(reason.isNotNull(), F.substring("answer", 1, 800))
-    return answers.select("id", reason.alias("reason"), rejected.alias("rejected"))
+    answers, packet = analysis_inputs(spark, sf_dir)
+    return validation.analysis_outcome(validation.analysis_errors(answers, packet), answers)
 
 
 @query("mdl_entities", f"with {ad.ARTICLES_SQL}, {d.event_core_cte('articles')} select distinct id, unnest({d.cues('core')}) as entity from core")
