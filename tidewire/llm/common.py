@@ -51,7 +51,7 @@ PACKERS = [struct.Struct(f"<{n}I") for n in range(32)]
 
 
 #: Words and other chunks whose ids a worker remembers; the table starts afresh when it is full.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Any white space; and where it is followed by a blank or newline, or a mark of ours stands in the text.
 WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD_TEXT = f"[{WHITE}][ \n]|\\x00"
@@ -158,7 +158,7 @@ class ChunkEncoder:
 
 
 #: Bytes of the texts that an encoder splits at once.
-BYTES_AT_ONCE = 16_000_000
+BYTES_AT_ONCE = 4_000_000
 
 
 def groups_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
