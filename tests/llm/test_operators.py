@@ -178,7 +178,8 @@ def test_packing(rows, docs, repeated, empty):
 def test_local_search_empties_bins():
     lengths = [6, 5, 5, 4, 3, 3, 2, 2]  # 30 in bins of 10
     poor = [[0], [1], [2], [3, 4], [5, 6], [7]]
-    better = packing.local_search([list(b) for b in poor], lengths, 10)
+    better, steps = packing.local_search([list(b) for b in poor], lengths, 10)
+    assert steps > 0
     assert len(better) == 3
     assert sorted(i for b in better for i in b) == list(range(8))
     assert all(sum(lengths[i] for i in b) <= 10 for b in better)

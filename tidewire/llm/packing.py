@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -17,10 +19,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tidewire.llm.common import ENCODED_ROWS, ChunkEncoder, id_bytes, map_batches, slim
 from tidewire.shared import materialize
 
-#: Pieces that one packing group holds on average; a group wastes less than one sequence or so.
+#: Pieces that one packing group holds on average; all groups' last underfull sequences are packed together again.
 GROUP_PIECES = 20_000
-#: Underfull bins that the search fails to empty before it gives up, and the items of a bin it pairs up.
-PATIENCE, PAIRED_ITEMS = 12, 24
 
 
 #: The byte-level alphabet. Printable Latin-1 bytes stand for themselves, the others, in order, for
@@ -133,13 +133,11 @@ def cut_documents(
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: longest item first, each into the fullest bin that takes it."""
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    """Bins of item numbers: each item, in the order given, goes into the fullest bin that takes it."""
     bins: list[list[int]] = []
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
     some = 0  # bit f is set while a bin has f free places
-    for i in order:
-        n = lengths[i]
+    for i, n in enumerate(lengths):
         fits = some >> n
         if fits:
             free = n + (fits & -fits).bit_length() - 1
@@ -155,89 +153,187 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empty underfull bins by moves and swaps that increase the sum of squared fills.
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """A lower bound of the number of bins.
 
-    The emptiest bin gives: an item moves to a fuller bin with room; or one of its items, or two, change
-    places with a smaller item of a fuller bin. Every step raises the fuller bin's fill, so the search ends.
-    When a bin is empty it is dropped and the next one gives; after ``PATIENCE`` bins that could not be
-    emptied, or when the bins are as few as the total length allows, the search stops.
+    For each k: items above capacity - k are alone, items above half are in bins of their own, and items from k
+    up to half need what room those leave or further bins; and of items above a third, a quarter, ... few fit together.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    open_bins = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    left, failed = len(bins), 0
-    for place, giver in enumerate(open_bins):
-        if left <= least or failed >= PATIENCE:
-            break
-        for taker in reversed(open_bins[place + 1 :]):
-            while bins[giver] and fill[giver] <= fill[taker] < capacity:
-                step = _step(bins[giver], bins[taker], lengths, capacity - fill[taker])
-                if not step:
-                    break
-                out, back = step
-                gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                bins[giver] = [i for i in bins[giver] if i not in out] + back
-                bins[taker] = [i for i in bins[taker] if i not in back] + out
-                fill[giver] -= gain
-                fill[taker] += gain
-            if not bins[giver]:
+    counts = np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1)[: capacity + 1]
+    number, total = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    below = np.maximum(k - 1, 0)
+    alone = number[capacity] - number[capacity - k]
+    large = number[capacity - k] - number[half]
+    room = large * capacity - (total[capacity - k] - total[half])
+    small = total[half] - np.where(k > 0, total[below], 0)
+    by_half = int((alone + large + np.maximum(0, -(-(small - room) // capacity))).max())
+    # Of items above a part of the capacity only so many fit into one bin.
+    parts = np.arange(1, capacity + 1)
+    return max(by_half, int((-(-(number[capacity] - number[capacity // (parts + 1)]) // parts)).max()))
+
+
+class Takers:
+    """Bins that may take items: their items and lengths in ascending order, and the most room beside an item of each length.
+
+    ``reach[s]`` is the largest room of a bin in ``ready`` that holds an item of length s (0: of any bin); heaps name that bin.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.items = [sorted(b, key=lambda i: lengths[i]) for b in bins]
+        self.sizes = [[lengths[i] for i in b] for b in self.items]
+        self.free = [capacity - sum(s) for s in self.sizes]
+        self.ready = [False] * len(bins)
+        self.heaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.reach = np.zeros(capacity + 1, np.int64)
+        self.place = np.arange(capacity + 1)
+
+    def valid(self, size: int, free: int, at: int) -> bool:
+        if not self.ready[at] or self.free[at] != free:
+            return False
+        k = bisect_left(self.sizes[at], size)
+        return not size or k < len(self.sizes[at]) and self.sizes[at][k] == size
+
+    def refresh(self, sizes) -> None:
+        for size in sizes:
+            heap = self.heaps[size]
+            while heap and not self.valid(size, -heap[0][0], heap[0][1]):
+                heappop(heap)
+            self.reach[size] = -heap[0][0] if heap else 0
+
+    def enter(self, at: int) -> None:
+        self.ready[at] = True
+        for size in (0, *set(self.sizes[at])):
+            heappush(self.heaps[size], (-self.free[at], at))
+            self.reach[size] = max(self.reach[size], self.free[at])
+
+    def leave(self, at: int) -> None:
+        self.ready[at] = False
+        self.refresh((0, *set(self.sizes[at])))
+
+    def move(self, source: int, target: int, size: int) -> None:
+        at = bisect_left(self.sizes[source], size)
+        self.sizes[source].pop(at)
+        item = self.items[source].pop(at)
+        at = bisect_left(self.sizes[target], size)
+        self.sizes[target].insert(at, size)
+        self.items[target].insert(at, item)
+        self.free[source] += size
+        self.free[target] -= size
+
+    def exchange(self, offers: list[tuple[int, ...]]) -> tuple[tuple[int, ...], int] | None:
+        """Of offers, items of one bin by their lengths, the one that moves most into a taker, and what comes back."""
+        if not offers:
+            return None
+        size = np.array([sum(o) for o in offers])
+        # An offer fits where something smaller comes back and the difference is at most the room beside it.
+        most = np.maximum.accumulate(np.where(self.reach > 0, self.place + self.reach, 0))
+        back = np.searchsorted(most, size)
+        gain = size - back
+        best = int(gain.argmax())
+        return (offers[best], int(back[best])) if gain[best] > 0 else None
+
+    def step(self, giver: int) -> bool:
+        """Make an exchange from the giver: an item that moves, or one or else two for a smaller one."""
+        sizes = self.sizes[giver]
+        one = sorted(set(sizes))
+        found = self.exchange([(a,) for a in one])
+        if found is None:
+            two = [(a, b) for k, a in enumerate(one) for b in one[k + 1 :]]
+            found = self.exchange(two + [(a, a) for a, b in zip(sizes, sizes[1:]) if a == b])
+        if found is None:
+            return False
+        out, back = found
+        taker = self.heaps[back][0][1]
+        had = set(self.sizes[taker])
+        for size in out:
+            self.move(giver, taker, size)
+        if back:
+            self.move(taker, giver, back)
+        self.refresh((0, *had))
+        self.enter(taker)
+        return True
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[list[list[int]], int]:
+    """Empty underfull bins by moves and swaps that increase the sum of squared fills; the bins and the number of steps.
+
+    The emptiest bin gives: an item moves to a fuller bin with room, or one item or two change places with a
+    smaller item of a fuller bin, until it is empty and dropped or no exchange is left; then the next one gives. Every step
+    raises a fuller bin's fill at the cost of an emptier one, so the search ends. It passes over all underfull
+    bins as long as a pass empties one and a lower bound allows fewer.
+    """
+    state = Takers(bins, lengths, capacity)
+    least, left, steps, before = least_bins(lengths, capacity), len(bins), 0, len(bins) + 1
+    while least < left < before:
+        before = left
+        open_ = sorted((k for k, s in enumerate(state.sizes) if s and state.free[k]), key=lambda k: (state.free[k], k))
+        for at in open_:
+            state.enter(at)
+        for giver in reversed(open_):
+            if left <= least:
                 break
-        if bins[giver]:
-            failed += 1
-        else:
-            left -= 1
-    return [b for b in bins if b]
-
-
-def _step(giver: list[int], taker: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills most of ``room``: items out of the giver, items back to it."""
-    best, step = 0, None
-    mine = sorted(giver, key=lambda i: -lengths[i])[:PAIRED_ITEMS]
-    theirs = sorted(set(taker), key=lambda i: lengths[i])[:PAIRED_ITEMS]
-    for i in mine:
-        if best < lengths[i] <= room:
-            best, step = lengths[i], ([i], [])
-    for j in theirs:
-        for k, i in enumerate(mine):
-            one = lengths[i] - lengths[j]
-            if best < one <= room:
-                best, step = one, ([i], [j])
-            for other in mine[k + 1 :]:
-                two = one + lengths[other]
-                if best < two <= room:
-                    best, step = two, ([i, other], [j])
-    return step
+            state.leave(giver)
+            while state.sizes[giver] and state.step(giver):
+                steps += 1
+            left -= not state.sizes[giver]
+    return [b for b in state.items if b], steps
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    """Bins of item numbers: the local search from a best fit in the order given.
+
+    If that stays above the lower bound, the search starts again from a best fit of the longest items first, and the
+    fewer bins count.
+    """
+    found, _ = local_search(best_fit(lengths, capacity), lengths, capacity)
+    if len(found) > least_bins(lengths, capacity):
+        order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+        bins = [[order[k] for k in b] for b in best_fit([lengths[i] for i in order], capacity)]
+        found = min(found, local_search(bins, lengths, capacity)[0], key=len)
+    return found
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id, piece, length``.
+    """Add ``sequence_id`` and ``offset`` to pieces with ``length``, such as :func:`cut_documents` gives.
 
-    Pieces are dealt to groups of about ``GROUP_PIECES`` by a hash of their document and place, and every
-    group is packed for itself, so a task holds lengths only, of a bounded number of pieces. More groups than
-    one cost less than a sequence each. An empty table gives an empty table; equal rows are packed one by one.
+    Pieces are dealt evenly to groups of about ``GROUP_PIECES``, whatever their ids, and every group is packed for
+    itself, so a task holds lengths only, of a bounded number of pieces. Then the emptiest sequences of all
+    groups, one of each, are packed together. An empty table gives an empty table; equal rows are packed one by one.
     """
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    schema = T.StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
+    packed = _packed(pieces, 0, groups, capacity)
+    if groups == 1:
+        return packed.drop("_last")
+    packed = materialize(packed, "packed")
+    last = packed.where("_last").select(pieces.columns)
+    again = _packed(last, groups, max(1, -(-last.count() // GROUP_PIECES)), capacity)
+    return packed.where("not _last").unionByName(again).drop("_last")
+
+
+def _packed(pieces: DataFrame, first: int, groups: int, capacity: int) -> DataFrame:
+    """Pieces packed in ``groups`` groups, numbered from ``first``; ``_last`` marks the emptiest sequence of each."""
+    schema = T.StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long").add("_last", "boolean")
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         group = int(part.pop("_group").iloc[0])
-        lengths = part["length"].tolist()
-        sequence = np.zeros(len(part), np.int64)
-        offset = np.zeros(len(part), np.int64)
-        for k, items in enumerate(pack_lengths(lengths, capacity)):
+        # Rows come in any order; the same ones are packed alike again.
+        part = part.sort_values(list(part.columns), kind="stable", ignore_index=True)
+        order = np.random.default_rng(len(part)).permutation(len(part))
+        lengths = part["length"].to_numpy()[order].tolist()
+        sequence, offset = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        bins = pack_lengths(lengths, capacity)
+        fill = [sum(lengths[i] for i in items) for items in bins]
+        for k, items in enumerate(bins):
             at = 0
             for i in items:
-                sequence[i], offset[i] = group << 32 | k, at
+                sequence[order[i]], offset[order[i]] = group << 32 | k, at
                 at += lengths[i]
-        return part.assign(sequence_id=sequence, offset=offset)
+        return part.assign(sequence_id=sequence, offset=offset, _last=sequence == (group << 32 | int(np.argmin(fill))))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(pack, schema)
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)) + first
+    return pieces.withColumn("_group", group).groupBy("_group").applyInPandas(pack, schema)
 
 
 def pack_documents(
