@@ -9,6 +9,7 @@ most, whatever the corpus, so these fits run on the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,15 +31,23 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Name:)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?",
 }
-#: What a gazetteer knows of each kind: domains, network prefixes, issuers, country codes, given names.
+#: What a gazetteer knows of each kind: mail providers, private and loop-back networks, card issuers, calling
+#: codes, area numbers that are never given out, countries of account numbers, given names.
 GAZETTEER = {
-    "email": r"@(?:[a-z0-9-]*mail[a-z0-9-]*|outlook|yahoo|proton|icloud)\.",
-    "ip": r"^(?:10|127|172|192|169)\.",
-    "card": r"^(?:4|5[1-5]|3[47]|6011|65)",
-    "phone": r"^\+(?:1|33|34|49|44|39|41|43)[^0-9]?",
-    "ssn": r"^(?!000|666|9)",
-    "iban": r"^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH)",
-    "name": r" (?:Anna|Maria|John|James|Mary|Peter|Paul|Thomas|Michael|Laura|Julia|Pierre|Marie|Jose|Juan|Carlos)(?: |$)",
+    "email": r"@(?:[a-z0-9-]*mail[a-z0-9-]*|outlook|hotmail|live|msn|yahoo|ymail|proton|icloud|me|aol|gmx|web|t-online|freenet|orange"
+    r"|wanadoo|laposte|free|sfr|libero|virgilio|terra|telefonica|btinternet|sky|comcast|verizon|att|cox|zoho|fastmail|tutanota)\.",
+    "ip": r"^(?:10|127|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168|169\.254|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7]))\.",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6011|6[45])",
+    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-69]|3[578]|42|5[09]|6[7-9]|8[0578]|9[679])[0-9])",
+    "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+    "iban": r"^(?:AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|BY|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IQ|IS|IT|JO"
+    r"|KW|KZ|LB|LC|LI|LT|LU|LV|MC|MD|ME|MK|MR|MT|MU|NL|NO|PK|PL|PS|PT|QA|RO|RS|SA|SC|SE|SI|SK|SM|TN|TR|UA|VA|VG|XK)",
+    "name": r" (?:Alexander|Alice|Amelie|Andrea|Andreas|Anna|Anne|Antoine|Antonio|Barbara|Benjamin|Bernd|Camille|Carlos|Carmen"
+    r"|Charles|Charlotte|Christian|Claire|Claudia|Cristina|Daniel|David|Diego|Dolores|Elena|Elizabeth|Emily|Emma|Eric|Eva|Felix"
+    r"|Fernando|Francisco|Frank|Gabriel|George|Hans|Harry|Heinrich|Helen|Henri|Isabel|Jack|Jacques|James|Jan|Javier|Jean|Jennifer"
+    r"|Jessica|John|Jonas|Jorge|Jose|Joseph|Juan|Julia|Julien|Karl|Katharina|Klaus|Laura|Lena|Linda|Lisa|Louis|Lucas|Lucia|Luis"
+    r"|Manuel|Margaret|Maria|Marie|Mark|Marta|Martin|Mary|Matthew|Max|Michael|Miguel|Nicolas|Oliver|Pablo|Patricia|Paul|Pedro"
+    r"|Peter|Philippe|Pierre|Rafael|Richard|Robert|Rosa|Samuel|Sandra|Sarah|Sofia|Sophie|Stefan|Susan|Thomas|Ursula|William|Wolfgang)(?: |$)",
 }
 #: Words shortly before a span that speak for a kind, and words that speak against any.
 CUES = {
@@ -53,36 +62,58 @@ CUES = {
 AGAINST = r"version|isbn|order|sku|invoice|serial|ticket|build"
 CONTEXT, LABELERS = 32, ["strict", "known", "cued", "alone"]
 MARK, OTHER = "\u0001", "\u0002"
-#: Bounds between which a labeler's reliability is estimated: a failed format check weighs more than any two others.
-BOUNDS = {"strict": (0.95, 0.99), "known": (0.55, 0.85), "cued": (0.6, 0.9), "alone": (0.5, 0.7)}
+#: Where the estimate of each labeler's reliability starts, and the bounds for all of them: better than a guess, never sure.
+START = {"strict": 0.95, "known": 0.7, "cued": 0.75, "alone": 0.6}
+LEAST, MOST = 0.51, 0.995
 #: Digits that a candidate of a numeric kind has at least; shorter runs are no candidates.
 LEAST_DIGITS = {"card": 13, "phone": 9}
 SPAN = "struct<kind:int,start:int,stop:int,strict:int,known:int,cued:int,alone:int>"
 
 
+#: A character that a text must have for a kind of candidate.
+NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an expression is computed at each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The array of ``join`` over all elements up to each one, in a logarithmic number of passes over the array.
+
+    In a pass every element takes in the one 1, 2, 4, ... places before it (null ahead of the first).
+    """
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+    return F.aggregate(steps, values, lambda acc, s: F.transform(acc, lambda x, i: join(x, F.get(acc, i - s))))
+
+
 def marked_parts(text: Column, pattern: str) -> Column:
     """The text split at the leftmost non-overlapping matches of a pattern: every second part is a match."""
     return F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
 
 
-def _places(parts: Column, kind: int) -> Column:
-    """Candidates of one kind from the parts of a marked text: the parts' lengths give places in code points."""
+def _places(text: Column, kind: int) -> Column:
+    """Candidates of one kind of a text: the lengths of its parts give places in code points."""
     name = KINDS[kind]
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), empty.alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        stop = acc["at"] + F.length(part)
-        before = F.get(parts, acc["i"] - 1)
-        after = F.get(parts, acc["i"] + 1)
-        span = _span(kind, name, acc["at"], stop, part, before, after)
-        is_hit = acc["i"] % 2 == 1
+    total = lambda x, before: x + F.coalesce(before, F.lit(0))
+
+    def spans(parts: Column, stops: Column) -> Column:
+        hits = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
         if name in LEAST_DIGITS:
-            is_hit &= F.length(F.regexp_replace(part, "[^0-9]", "")) >= LEAST_DIGITS[name]
-        out = F.when(is_hit, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
+            hits = F.filter(hits, lambda i: F.length(F.regexp_replace(F.get(parts, i), "[^0-9]", "")) >= LEAST_DIGITS[name])
+        part = lambda i: F.get(parts, i)
+        return F.transform(
+            hits, lambda i: _span(kind, name, F.get(stops, i - 1), F.get(stops, i), part(i), part(i - 1), part(i + 1))
+        )
+
+    def found(parts: Column) -> Column:
+        stops = lambda: running(F.transform(parts, lambda p: F.length(p)), total)
+        return F.when(F.size(parts) > 1, bound(stops(), lambda s: spans(parts, s))).otherwise(empty)
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(empty)
+    all_ = bound(marked_parts(text, PATTERNS[name]), found)
+    return F.when(F.contains(text, F.lit(NEEDS[name])), all_).otherwise(empty) if name in NEEDS else all_
 
 
 def _span(kind: int, name: str, start: Column, stop: Column, hit: Column, before: Column, after: Column) -> Column:
@@ -133,9 +164,12 @@ def luhn(digits: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text with the labelers' votes, kind by kind and by start."""
-    clean = F.replace(text, F.lit(MARK), F.lit(OTHER))
-    return F.concat(*[_places(marked_parts(clean, PATTERNS[k]), n) for n, k in enumerate(KINDS)])
+    """All candidate spans of a text with the labelers' votes, kind by kind and by start.
+
+    The work grows with the text and with the number of its spans times their logarithm.
+    """
+    every = lambda clean: F.concat(*[_places(clean, kind) for kind in range(len(KINDS))])
+    return bound(F.replace(text, F.lit(MARK), F.lit(OTHER)), every)
 
 
 @dataclass
@@ -161,10 +195,10 @@ class SpanModel:
 def fit_spans(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> SpanModel:
     """EM over ``(kind, votes, count)`` rows, then logistic regression on the estimated labels.
 
-    The hidden label of a span is right or not; a labeler that votes is correct with its reliability, kept
-    within ``BOUNDS``; a kind has a prior. Without rows every span is as likely as not.
+    The hidden label of a span is right or not; a labeler that votes is correct with its reliability, which
+    starts at ``START`` and stays between ``LEAST`` and ``MOST``; a kind has a prior. Without rows every span is as likely as not.
     """
-    rate = {n: sum(BOUNDS[n]) / 2 for n in LABELERS}
+    rate = dict(START)
     prior = {k: 0.5 for k in range(len(KINDS))}
     belief = [0.5] * len(patterns)
     for _ in range(rounds):
@@ -178,8 +212,7 @@ def fit_spans(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50
         for j, name in enumerate(LABELERS):
             cast = [(b if v[j] > 0 else 1 - b, c) for b, (_, v, c) in zip(belief, patterns) if v[j]]
             right, total = sum(b * c for b, c in cast), sum(c for _, c in cast)
-            low, high = BOUNDS[name]
-            rate[name] = min(high, max(low, (right + 8.0) / (total + 10.0)))
+            rate[name] = min(MOST, max(LEAST, (right + 10.0 * START[name]) / (total + 10.0)))
         for kind in prior:
             own = [(b, c) for b, (k, _, c) in zip(belief, patterns) if k == kind]
             prior[kind] = (sum(b * c for b, c in own) + 1.0) / (sum(c for _, c in own) + 2.0)
@@ -245,26 +278,50 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+#: Code points of the blocks in which a text is cut before it is masked.
+BLOCK = 512
+
+
 def mask(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans become the first one's."""
+    """The text with every span replaced by its kind in brackets; overlapping spans become the first one's.
+
+    What stays is cut out of blocks of the text, so the work grows with the text and with the number of spans.
+    """
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"), s["kind"].alias("k"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        one = F.substring(F.get(blocks, first), a % BLOCK + 1, b - a)
+        between = F.array_join(F.slice(blocks, first + 2, last - first - 1), "")
+        more = F.concat(F.substring(F.get(blocks, first), a % BLOCK + 1, F.lit(BLOCK)), between, F.left(F.get(blocks, last), b - last * BLOCK))
+        return F.when(a >= b, "").when(first == last, one).otherwise(more)
+
+    def masked(order: Column, stops: Column, blocks: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(stops, i - 1), F.lit(0))
+            return F.when(s["a"] >= at, F.concat(cut(blocks, at, s["a"]), F.get(names, s["k"]))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["a"] - acc["at"])
-        out = F.when(s["a"] >= acc["at"], F.concat(acc["out"], gap, F.get(names, s["k"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), out.alias("out"))
+        rest = cut(blocks, F.get(stops, F.size(stops) - 1), F.length(text))
+        return F.concat(F.array_join(F.transform(order, piece), ""), rest)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(order, zero, step, rest)).otherwise(text)
+    stops = lambda o: running(F.transform(o, lambda s: s["b"]), lambda x, before: F.greatest(x, before))
+    all_ = bound(order, lambda o: bound(stops(o), lambda e: bound(blocks, lambda b: masked(o, e, b))))
+    return F.when(F.size(spans) > 0, all_).otherwise(text)
 
 
 def mask_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with personal data masked in the text; rows, other columns and null texts stay."""
-    model = fit_pii(materialize(find_spans(docs, id_col, text_col), "spans"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = chosen(candidates(text), model)
-    staged = docs.withColumn("_pii_spans", spans)
-    masked = F.when(F.col(text_col).isNotNull(), mask(F.col(text_col), F.col("_pii_spans")))
-    return staged.withColumn(text_col, masked).drop("_pii_spans")
+    """The documents with personal data masked in the text; rows, other columns, empty and null texts stay.
+
+    Candidates are searched once: the documents are written with them, and both the model and the masks use that table.
+    """
+    name = "_pii_spans"
+    while name in docs.columns:
+        name += "_"
+    found = docs.withColumn(name, candidates(F.coalesce(F.col(text_col), F.lit(""))))
+    found = materialize(found, "documents-with-spans")
+    model = fit_pii(found.select(F.col(name).alias("spans")))
+    found = found.withColumn(name, chosen(F.col(name), model))
+    masked = F.when(F.col(text_col).isNotNull(), mask(F.col(text_col), F.col(name)))
+    return found.withColumn(text_col, masked).select(*docs.columns)
