@@ -403,3 +403,14 @@ def test_headline_leaders_against_the_walk(spark):
                 home[1].update(mine)
                 truth[i] = home[0]
     assert got == truth
+
+
+def test_stored_rows_expire(spark, tmp_path):
+    from tidewire import streaming
+
+    step = streaming.against_store(str(tmp_path / "s"), lambda new, old: new.select(F.col("id").alias("b")).join(old.select(F.col("id").alias("a")), F.col("a") != F.col("b")), "ts", 48)
+    batch = lambda *rows: spark.createDataFrame(rows, "id int, at string").select("id", F.to_timestamp("at").alias("ts"))
+    assert step(batch((1, "2024-01-01 10:00:00"), (2, None)), 0).count() == 0
+    assert {tuple(r) for r in step(batch((3, "2024-01-03 09:00:00")), 1).collect()} == {(3, 1)}
+    assert {tuple(r) for r in step(batch((4, "2024-01-03 11:00:00")), 2).collect()} == {(4, 3)}
+    assert {tuple(r) for r in step(batch((4, "2024-01-03 11:00:00")), 2).collect()} == {(4, 3)}

@@ -112,13 +112,9 @@ def rare_shingles(rows: DataFrame, similarity: float) -> DataFrame:
     Of two sets with the similarity the larger has a common shingle among its first n - ceil(s n) + 1 in any
     common order, the smaller among its first n - ceil(2 s n / (1 + s)) + 1 (``indexed``); from rare to frequent, few rows meet.
     """
-    every = rows.select("id", F.size("s").alias("n"), F.explode("s").alias("token"))
-    common = every.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("id").orderBy("c", "token")
-    every = every.join(common, "token").withColumn("place", F.row_number().over(order))
     most = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
     indexed = F.col("place") <= most(2 * similarity / (1 + similarity))
-    return every.where(F.col("place") <= most(similarity)).select("id", "n", "token", indexed.alias("indexed"))
+    return by_rarity(rows, "s").where(F.col("place") <= most(similarity)).select("id", "n", "token", indexed.alias("indexed"))
 
 
 def near_fingerprints(rows: DataFrame, distance: int = 18, similarity: float = 0.7) -> DataFrame:
@@ -173,17 +169,40 @@ def window_pairs(items: DataFrame, hours: float) -> DataFrame:
     return a.join(b, ["key", "bucket"]).where("a < b").where(F.abs(F.col("ua") - F.col("ub")) <= width).select("a", "b")
 
 
+def by_rarity(rows: DataFrame, tokens: str) -> DataFrame:
+    """``(id, n, token, place)``: the distinct tokens of ``rows(id, tokens)`` from rare (place 1) to frequent."""
+    every = rows.select("id", F.array_distinct(tokens).alias("k")).select("id", F.size("k").alias("n"), F.explode("k").alias("token"))
+    common = every.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    return every.join(common, "token").select("id", "n", "token", F.row_number().over(Window.partitionBy("id").orderBy("c", "token")).alias("place"))
+
+
+def candidates_for_events(articles: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that share two distinctive tokens, or one and two generic action words.
+
+    Two tokens in common are one in common besides each row's most frequent one, so no row is found by that: a token
+    that a third of all rows have brings no pairs together by itself. Generic words count only beside a distinctive token.
+    """
+    every = F.array_union("tokens", "cues")
+    generic = t.words_in(t.GENERIC_CUES)
+    rows = articles.select("id", F.array_except(every, generic).alias("k"), F.array_intersect(every, generic).alias("g"))
+    index = materialize(by_rarity(rows, "k").where("place < n").select("id", "token"), "event-tokens")
+    both = rows.where(F.size("g") >= 2).select("id", F.explode("k").alias("x"), "g").select("id", "x", F.explode("g").alias("y"))
+    index = index.union(both.select("id", F.concat_ws("\t", "x", "y")))
+    left, right = index.select("token", F.col("id").alias("a")), index.select("token", F.col("id").alias("b"))
+    return left.join(right, "token").where("a < b").select("a", "b").distinct()
+
+
 def compatible_pairs(articles: DataFrame, threshold: float | None = None, verdicts: DataFrame | None = None, headline: float = 0.20, entity: float = 0.15) -> DataFrame:
     """Pairs of ``articles(id, source, tokens, cues[, embedding])`` that may report one event.
 
-    A compatible pair shares a distinctive token, so an inverted index over tokens and cues without generic
-    action words finds every one; pairs that ``verdicts(a, b, same)`` decides are added and overrule the rule.
+    An inverted index finds every pair with the shared tokens that the rule asks for; pairs that ``verdicts(a, b, same)``
+    decides are added and overrule the rule. Vectors join the pairs that the tokens leave over.
     """
-    distinctive = F.array_except(F.array_union("tokens", "cues"), t.words_in(t.GENERIC_CUES))
-    pairs = shared_token_pairs(articles.select("id", distinctive.alias("k")), "k").select("a", "b")
+    pairs = candidates_for_events(articles)
     if verdicts is not None:
         pairs = pairs.union(verdicts.where("same").select("a", "b")).distinct()
-    side = lambda s: articles.select(*[F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in articles.columns])
+    words = articles.select("id", "source", "tokens", "cues")
+    side = lambda s: words.select(*[F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in words.columns])
     p = pairs.join(side("a"), "a").join(side("b"), "b")
     same_source = F.col("source_a") == F.col("source_b")
     shared = F.array_union(F.array_intersect("tokens_a", "tokens_b"), F.array_intersect("cues_a", "cues_b"))
@@ -193,15 +212,17 @@ def compatible_pairs(articles: DataFrame, threshold: float | None = None, verdic
     cues = F.when((F.col("d") == 1) & (F.col("n") >= 3) & (F.col("h") >= 0.20), 2).otherwise(F.col("d"))
     enough = (F.col("h") >= headline) | (F.col("e") >= entity) | ((F.col("h") >= max(0.15, headline * 0.75)) & (F.col("e") >= max(0.15, entity)))
     ok = ~own & (cues >= 2) & enough
-    keep = ["a", "b", "h", "e"]
-    if threshold is not None:
-        p = p.withColumn("similarity", cosine(F.col("embedding_a"), F.col("embedding_b")))
-        keep.append("similarity")
-        ok = ok & (F.col("similarity") >= threshold)
     if verdicts is not None:
         p = p.join(verdicts, ["a", "b"], "left")
         ok = F.when(F.col("same").isNotNull(), F.col("same") & ~own).otherwise(ok)
-    return p.where(ok).select(*keep)
+    else:
+        p = p.withColumn("same", F.lit(None).cast("boolean"))
+    p = p.where(ok).select("a", "b", "h", "e", "same")
+    if threshold is None:
+        return p.drop("same")
+    vector = lambda s: articles.select(F.col("id").alias(s), F.col("embedding").alias(f"v{s}"))
+    p = p.join(vector("a"), "a").join(vector("b"), "b").withColumn("similarity", cosine(F.col("va"), F.col("vb")))
+    return p.where(F.col("same").isNotNull() | (F.col("similarity") >= threshold)).select("a", "b", "h", "e", "similarity")
 
 
 def related_articles(primary: DataFrame, others: DataFrame, least: float) -> DataFrame:
@@ -229,11 +250,19 @@ def expectation_hits(expectations: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def duplicate_cards(cards: DataFrame, least: float = 0.75) -> DataFrame:
-    """Card pairs ``(a, b, overlap)`` of ``cards(id, tokens)`` whose smaller token set the other nearly contains."""
-    pairs = shared_token_pairs(cards, "tokens")
-    sizes = cards.select("id", F.size("tokens").alias("n"))
-    pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.withColumn("overlap", F.col("shared") / F.least("na", "nb"))
+    """Card pairs ``(a, b, overlap)`` of ``cards(id, tokens)`` whose smaller token set the other nearly contains.
+
+    Of the smaller set so many tokens are common that its n - ceil(least n) + 1 rarest have one; these meet all tokens
+    of larger sets.
+    """
+    every = materialize(by_rarity(cards, "tokens"), "card-tokens")
+    rare = every.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    small = rare.select("token", F.col("id").alias("x"), F.col("n").alias("nx"))
+    large = every.select("token", F.col("id").alias("y"), F.col("n").alias("ny"))
+    pairs = small.join(large, "token").where("x <> y and nx <= ny").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sets = lambda s: cards.select(F.col("id").alias(s), F.array_distinct("tokens").alias(f"t{s}"))
+    pairs = pairs.join(sets("a"), "a").join(sets("b"), "b")
+    pairs = pairs.withColumn("overlap", F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb")))
     return pairs.where(F.col("overlap") >= least).select("a", "b", "overlap")
 
 

@@ -239,7 +239,7 @@ def stm_late_drop(spark, sf_dir):
 
 @query("stm_dedup", f"select distinct {CANON} as c from pages")
 def stm_dedup(spark, sf_dir):
-    pages = st.stream_table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("c"), F.expr("timestamp'2024-01-01'").alias("ts"))
+    pages = st.stream_table(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("c"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, page_id)").alias("ts"))
     return st.run_to_files(st.first_seen(pages, "c", "ts", 72), "stream-dedup").select("c")
 
 
@@ -259,8 +259,9 @@ def stm_resume(spark, sf_dir):
 @query("stm_near_dup")
 def stm_near_dup(spark, sf_dir):
     """Near-duplicate pairs of every micro-batch against itself and the rows stored by earlier ones."""
-    docs = st.stream_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *ad.headline_and_body())
-    return st.run_batches(docs, "stream-near", st.against_store(shared_path(spark, "stored"), lambda new, old: pairs.near_duplicates_of(new, old, t.whole_text())))
+    docs = st.stream_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *ad.headline_and_body(), ad.publish_date())
+    step = st.against_store(shared_path(spark, "stored"), lambda new, old: pairs.near_duplicates_of(new, old, t.whole_text()), "publish_date", 96)
+    return st.run_batches(docs, "stream-near", step)
 
 
 @query("stm_ingest", f"with {ad.ARTICLES_SQL} select url as link, strftime(publish_date, '%Y-%m-%d %H:%M:%S') as published from articles")

@@ -16,6 +16,11 @@ def headline_and_body() -> list[Column]:
     return [head.alias("headline"), F.when(rest == "", head).otherwise(rest).alias("main_text")]
 
 
+def publish_date() -> Column:
+    """A time within four days, by the id."""
+    return F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id % 96 as int))").alias("publish_date")
+
+
 def articles(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataFrame:
     """``documents`` as articles: the first line is the headline, the rest the body; vectors on request."""
     docs = table(spark, sf_dir, "documents")
@@ -23,7 +28,7 @@ def articles(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataFr
         F.col("doc_id").alias("id"),
         "source",
         *headline_and_body(),
-        F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id % 96 as int))").alias("publish_date"),
+        publish_date(),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
     )
     if embedded:

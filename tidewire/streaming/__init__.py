@@ -51,17 +51,25 @@ def run_batches(stream: DataFrame, label: str, step) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def against_store(store: str, step):
+def against_store(store: str, step, ts: str | None = None, hours: int | None = None):
     """A batch step ``step(new, stored)`` that also keeps each batch's rows for the ones after it.
 
-    Rows are kept in a folder per epoch; a replayed epoch sees the epochs before it and overwrites its own.
+    Rows are kept in a folder per epoch; a replayed epoch sees the epochs before it and overwrites its own. With an
+    event time ``ts`` they are kept by its day, and a batch reads only days within ``hours`` before its oldest row;
+    what is older has expired and its folders may be removed. Rows without a time never match later ones.
     """
 
     def run(batch: DataFrame, epoch: int) -> DataFrame:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
-        kept = spark.read.schema(T.StructType([*batch.schema.fields]).add("epoch", "long")).option("basePath", store).parquet(store)
+        spark, columns = batch.sparkSession, batch.columns
+        day = F.to_date(ts) if ts else F.lit("2000-01-01").cast("date")
+        batch.withColumn("_day", day).write.mode("overwrite").partitionBy("_day").parquet(f"{store}/epoch={epoch}")
+        schema = T.StructType([*batch.schema.fields]).add("epoch", "long").add("_day", "date")
+        kept = spark.read.schema(schema).option("basePath", store).parquet(store)
         new, old = (kept.where(F.col("epoch") == epoch), kept.where(F.col("epoch") < epoch))
-        return step(new.select(*batch.columns), old.select(*batch.columns))
+        if ts:
+            oldest = new.agg(F.min(ts)).first()[0]
+            since = F.lit(oldest).cast("timestamp") - F.expr(f"interval {hours} hours")
+            old = old.where((F.col("_day") >= F.to_date(since)) & (F.col(ts) >= since))
+        return step(new.select(*columns), old.select(*columns))
 
     return run
