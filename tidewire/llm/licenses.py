@@ -33,7 +33,7 @@ NOTICE_PHRASES = {
     "public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
 }
-#: The label of an SPDX identifier, by its leading part.
+#: The label of an SPDX identifier, by its leading part; other identifiers are not known.
 IDENTIFIERS = {
     "mit": "mit",
     "apache": "apache",
@@ -47,7 +47,13 @@ IDENTIFIERS = {
     "cc-by": "cc-by",
     "cc0": "cc0",
     "unlicense": "public-domain",
+    "zlib": "zlib",
+    "artistic": "artistic",
+    "bsl": "bsl",
+    "eupl": "eupl",
 }
+#: Labels of licences that ask for a notice at most.
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc-by", "cc0", "public-domain", "zlib", "bsl"}
 TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)")
 SYMBOL = re.compile(r"\s*(?:([()])|([a-z0-9][a-z0-9.+-]*))")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
@@ -58,23 +64,25 @@ def parse_expression(text: str) -> tuple[list[str], bool, int]:
 
     Shunting-yard: operands go to the output, operators wait on a stack until one that binds no tighter
     arrives; ``with`` binds tighter than ``and``, ``and`` than ``or``. The expression ends where two operands
-    meet or another character stands.
+    meet or another character stands. The work grows with its length.
     """
     output: list[str] = []
     stack: list[str] = []
-    at, operand_next, well = 0, True, True
+    at, depth, operand_next, well = 0, 0, True, True
     while match := SYMBOL.match(text, at):
         paren, word = match.groups()
         if paren == "(":
             if not operand_next:
                 break
             stack.append(paren)
+            depth += 1
         elif paren == ")":
-            if operand_next or "(" not in stack:
+            if operand_next or not depth:
                 break
             while stack[-1] != "(":
                 output.append(stack.pop())
             stack.pop()
+            depth -= 1
         elif word in OPERATORS:
             if operand_next:
                 well = False
@@ -89,33 +97,39 @@ def parse_expression(text: str) -> tuple[list[str], bool, int]:
             output.append(word)
             operand_next = False
         at = match.end()
-    well = well and not operand_next and "(" not in stack
+    well = well and not operand_next and not depth
     return [*output, *(s for s in reversed(stack) if s != "(")], well, at
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The alternatives of an expression, each the set of labels that must all be honoured."""
-    stack: list[list[frozenset[str]]] = []
+def evaluate(postfix: list[str]) -> tuple[set[str], bool, bool]:
+    """Of an expression the labels of its known licences, whether all are known, and whether permissive ones suffice.
+
+    ``or`` is met by either side, ``and`` by both; an exception after ``with`` qualifies its licence and is none
+    itself. The sides' labels are pooled, the smaller set into the larger, so long expressions take no alternatives apart.
+    """
+    stack: list[tuple[set[str], bool, bool]] = []
     for symbol in postfix:
         if symbol not in OPERATORS:
-            stack.append([frozenset([label_of(symbol)])])
+            label = label_of(symbol)
+            stack.append(({label} if label else set(), label is not None, label in PERMISSIVE))
             continue
         if len(stack) < 2:
             continue
         right, left = stack.pop(), stack.pop()
-        if symbol == "or":
-            both = [*left, *right]
-        elif symbol == "and":
-            both = [a | b for a in left for b in right]
-        else:  # an exception qualifies the licence and is no licence itself
-            both = left
-        stack.append(list(dict.fromkeys(both)))
-    return stack[-1] if stack else []
+        if symbol == "with":
+            stack.append(left)
+            continue
+        small, large = sorted((left[0], right[0]), key=len)
+        large |= small
+        free = left[2] or right[2] if symbol == "or" else left[2] and right[2]
+        stack.append((large, left[1] and right[1], free))
+    return stack[-1] if stack else (set(), False, False)
 
 
-def label_of(identifier: str) -> str:
+def label_of(identifier: str) -> str | None:
+    """The label of a known identifier, else None."""
     known = [k for k in IDENTIFIERS if identifier == k or identifier.startswith((k + "-", k + "."))]
-    return IDENTIFIERS[max(known, key=len)] if known else identifier
+    return IDENTIFIERS[max(known, key=len)] if known else None
 
 
 @lru_cache(maxsize=1)
@@ -131,7 +145,7 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan(text: str) -> tuple:
-    """``n_words, n_base, first_word, last_word, base_labels, labels, score, expressions`` of one text."""
+    """``n_words, n_base, first_word, last_word, base_labels, labels, score, permissive, expressions`` of one text."""
     low = text.translate(UPPER) if not text.isascii() else text.lower()
     words = WORD.findall(low)
     line = f" {' '.join(words)} "
@@ -144,21 +158,24 @@ def scan(text: str) -> tuple:
             tagged = True
         else:
             more.add(label)
-    well = False
+    well, permissive = False, None
     if tagged:
         for tag in TAG.finditer(low):
             postfix, good, length = parse_expression(tag[1])
-            if postfix:
+            labels, known, free = evaluate(postfix)
+            if labels:
                 expressions.append(tag[1][:length].strip())
-                more.update(label for way in evaluate(postfix) for label in way)
-                well |= good
+                more |= labels
+                well |= good and known
+                permissive = free and permissive is not False
     first = last = None
     if starts:
         first, last = (line.count(" ", 0, at) for at in (min(starts), max(starts)))
     # A tag that parses is certain; each different phrase adds evidence, and a lone phrase is likely.
     evidence = len(starts) + 2 * len(more - base)
     score = 1.0 if well else 1.0 - 0.5**evidence if evidence else 0.0
-    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), score, expressions
+    named = ",".join(sorted(base)), ",".join(sorted(base | more))
+    return len(words), len(starts), first, last, *named, score, permissive, expressions
 
 
 SCANNED = pa.schema(
@@ -171,12 +188,13 @@ SCANNED = pa.schema(
         ("base_labels", pa.string()),
         ("labels", pa.string()),
         ("score", pa.float64()),
+        ("permissive", pa.bool_()),
         ("expressions", pa.list_(pa.string())),
     ]
 )
 SCANNED_SQL = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-    "labels string, score double, expressions array<string>"
+    "labels string, score double, permissive boolean, expressions array<string>"
 )
 
 
@@ -185,12 +203,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``n_base`` counts all places where a base phrase's words stand consecutively, ``first_word`` and
     ``last_word`` are the smallest and largest such place (null: none); ``labels`` adds to the base labels
-    those of further notice phrases and of the expressions after identifier tags; ``expressions`` holds
-    these. A null or empty text has no words, no labels and score 0. No shuffle; other columns are not read.
+    those of further notice phrases and of the known identifiers in expressions after tags; ``expressions`` holds
+    these that name one, ``permissive`` says whether permissive licences meet all of them (null: there is none). A null or empty text has no words, no labels and score 0. No shuffle; other columns are not read.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = list(zip(*map(scan, batch.column("text").to_pylist())))
-        return dict(zip(SCANNED.names, [batch.column("doc_id"), *(rows or [[]] * 8)]))
+        return dict(zip(SCANNED.names, [batch.column("doc_id"), *(rows or [[]] * 9)]))
 
     return slim(docs, id_col, text_col).mapInArrow(map_batches(run, SCANNED), SCANNED_SQL)
