@@ -64,7 +64,9 @@ def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str =
     rows = slim(docs, id_col, text_col).mapInArrow(
         map_batches(_digest, DIGESTS), "doc_id long, text_crc long, digest binary, check_bits long, n_bytes long"
     )
-    return rows.withColumn("lane", id_bucket(F.col("digest"), LANES)).withColumn("run", id_bucket(F.col("doc_id"), runs))
+    # Rows are dealt to runs by their place: copies without an id, or with one id, spread like any others.
+    run = id_bucket(F.monotonically_increasing_id(), runs)
+    return rows.withColumn("lane", id_bucket(F.col("digest"), LANES)).withColumn("run", run)
 
 
 def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

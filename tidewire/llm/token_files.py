@@ -12,6 +12,8 @@ from tidewire.llm.common import ENCODED_ROWS, map_batches, slim
 from tidewire.llm.packing import json_encoder
 from tidewire.shared import materialize, shuffle_width
 
+#: Bytes of the texts that a file holds the ids of.
+FILE_BYTES = 128 << 20
 #: Bytes of a stripe, rows between two index entries, and the Bloom filter's share of false hits.
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 8 << 20, 1000, 0.01
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -35,13 +37,18 @@ def write_tokens(
 ) -> None:
     """Write ``(doc_id, ids)`` as ORC in ascending document order: file by file, and within each file.
 
-    Documents are dealt by ranges of their id, so every file covers a range. Integers are run-length encoded
+    Documents are dealt by ranges of their id, so every file covers a range; there are as many files as the
+    texts fill, one per task of a shuffle at least. Integers are run-length encoded
     by the format; each stripe has a row index and a Bloom filter on ``doc_id``, so a reader of one document
-    or a range skips the rest, and stripes are read in parallel. Null ids come first; repeated ids stay
-    together in one file. An empty table gives files without rows.
+    or a range skips the rest, and stripes are read in parallel. Null ids come first; rows without an id, or that repeat one,
+    follow each other by a hash and may fill several files. An empty table gives files without rows.
     """
-    spread = slim(docs, id_col, text_col).repartitionByRange(shuffle_width(docs.sparkSession), "doc_id")
-    rows = token_rows(spread.sortWithinPartitions("doc_id"), tokenizer_path, end_id)
+    rows = slim(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    files = max(shuffle_width(docs.sparkSession), -(-size // FILE_BYTES))
+    tie = F.xxhash64("text", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", "text", tie.alias("tie")).repartitionByRange(files, "doc_id", "tie")
+    rows = token_rows(rows.sortWithinPartitions("doc_id", "tie"), tokenizer_path, end_id)
     (
         rows.write.option("orc.compress", "SNAPPY")
         .option("orc.stripe.size", STRIPE_BYTES)
@@ -85,7 +92,7 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     facts = read.mapInArrow(map_batches(run, FACTS), "file string, doc_id long, n_tokens long, ids_crc32 long")
     facts = materialize(facts, "token-facts")
     files = facts.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
-    # One row per file: the number of files is a parameter of the writer, not of the data.
+    # One row per file of FILE_BYTES: some hundred thousand rows for 100 TB. Files of one id follow in the order of their names.
     before = Window.orderBy(F.col("first").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("skipped"))
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32")
