@@ -23,6 +23,11 @@ def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 ROWS_AT_ONCE = 1000
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a lambda computes an expression anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def map_batches(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, rows: int = ROWS_AT_ONCE) -> Callable:
     """A ``mapInArrow`` function from one that turns up to ``rows`` rows of a batch into columns."""
 

@@ -4,39 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewire.llm.common import slim
+from tidewire.llm.common import bound, slim
 
-#: Runs of up to eight words of a line: the finest nodes, by which two texts' trees are compared.
-SEGMENT = r"(?:[^ \n]+ *){1,8}"
+#: Runs of up to four words of a line with the blanks around them, the leaves; one after the other they are the line.
+LEAF = r"(?: *+[^ \n]++ *+){1,4}+| ++"
 #: Documents that a range of neighbours holds on average, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 64, 65_536
 NO_ID = -(2**63)
 
 
 def tree_of(text: Column) -> Column:
-    """The Merkle tree of a text: ``root``, ``sections`` and ``paragraphs`` (SHA-256, hexadecimal), ``segments``.
+    """The Merkle tree of a text: ``root``, ``sections`` and ``paragraphs`` (SHA-256, hexadecimal), ``leaves``.
 
-    Blank lines part sections, newlines part paragraphs. A section's digest covers its paragraphs' digests
-    in order, the root those of the sections, so roots are equal exactly for equal texts. ``paragraphs`` has
-    an array per section; ``segments`` has the distinct hashes of the runs of words within paragraphs.
+    Blank lines part sections, newlines part paragraphs, and a paragraph's leaves are its runs of words. A
+    paragraph's digest covers its leaves' digests in order, a section's those of its paragraphs, the root those of the
+    sections, so roots are equal exactly for equal texts. ``paragraphs`` has an array per section; ``leaves`` has
+    the distinct digests of all leaves.
     """
-    paragraphs = F.transform(
-        F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256))
-    )
-    sections = F.transform(paragraphs, lambda ps: F.sha2(F.array_join(ps, ","), 256))
-    segments = F.transform(F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)), lambda s: F.xxhash64(s))
-    return F.struct(
-        F.sha2(F.array_join(sections, ","), 256).alias("root"),
-        sections.alias("sections"),
-        paragraphs.alias("paragraphs"),
-        F.array_distinct(segments).alias("segments"),
+    leaves = F.transform(
+        F.split(text, "\n\n", -1),
+        lambda s: F.transform(
+            F.split(s, "\n", -1),
+            lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda w: F.sha2(w, 256)),
+        ),
     )
 
+    def nodes(leaves: Column, paragraphs: Column, sections: Column) -> Column:
+        return F.struct(
+            F.sha2(F.array_join(sections, ","), 256).alias("root"),
+            sections.alias("sections"),
+            paragraphs.alias("paragraphs"),
+            F.array_distinct(F.flatten(F.flatten(leaves))).alias("leaves"),
+        )
+
+    of_leaves = lambda x: F.transform(x, lambda s: F.transform(s, lambda p: F.sha2(F.array_join(p, ""), 256)))
+    of_paragraphs = lambda x: F.transform(x, lambda s: F.sha2(F.array_join(s, ","), 256))
+    return bound(leaves, lambda x: bound(of_leaves(x), lambda p: bound(of_paragraphs(p), lambda s: nodes(x, p, s))))
+
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two trees, 1 for equal roots, else twice the common segments over both trees' segments."""
-    common = F.size(F.array_intersect(a["segments"], b["segments"])).cast("double")
-    all_ = F.size(a["segments"]) + F.size(b["segments"])
+    """Of two trees, 1 for equal roots, else twice the common leaves over both trees' leaves.
+
+    All leaves below an equal section or paragraph are common; so are equal runs of words below differing ones.
+    """
+    common = F.size(F.array_intersect(a["leaves"], b["leaves"])).cast("double")
+    all_ = F.size(a["leaves"]) + F.size(b["leaves"])
     return F.when(a["root"] == b["root"], 1.0).when(all_ == 0, 0.0).otherwise(2 * common / all_)
 
 
@@ -65,23 +77,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ids are cut at quantiles into ranges of about ``RANGE_ROWS`` documents, a window per range finds the
     neighbour, and the largest document of each range also visits the next range as the neighbour of its
     smallest one. So the texts are shuffled once and no task sees more than a few ranges. Rows that
-    repeat an id are ordered by a hash of their text; null ids come after all others.
+    repeat an id are ordered by a hash of their text and share a range. Null ids come after all others, by a hash of their text
+    that stands for an id below the smallest, so they fill ranges like ids do. Beyond ``MOST_RANGES`` ranges, which bound
+    what the driver sends out, ranges hold more rows; a range is sorted and read in a stream that spills, so it may be large.
     """
-    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
-    ranges = max(1, min(MOST_RANGES, docs.count() // RANGE_ROWS))
+    facts = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"), F.min("doc_id").alias("least")).first()
+    least = facts["least"] if facts["least"] is not None else 0
+    room = min(2**62, least - NO_ID)
+    below = F.lit(least - 1) - F.pmod(F.xxhash64("text"), F.lit(room)) if room else F.lit(NO_ID)
+    keyed = docs.withColumn("key", F.coalesce("doc_id", below) if facts["named"] < facts["n"] else F.col("doc_id"))
+    ranges = max(1, min(MOST_RANGES, facts["n"] // RANGE_ROWS))
     at = ",".join(str((k + 1) / ranges) for k in range(ranges))
-    found = keyed.agg(
-        F.expr(f"percentile_approx(key, cast(split('{at}', ',') as array<double>), {max(10_000, 10 * ranges)})").alias("cuts"),
-        F.max("key").alias("last"),
-    ).first()
-    cuts = sorted(set(found["cuts"] or [0]))
-    last = found["last"] or 0
-    step = max(1, int(len(cuts) ** 0.5))
-    ends = _longs([cuts[min(k + step, len(cuts)) - 1] for k in range(0, len(cuts), step)])
-    coarse = F.size(F.filter(ends, lambda c: c < F.col("key"))) * step
-    keyed = keyed.withColumn("coarse", coarse)
-    within = F.slice(_longs(cuts), F.col("coarse") + 1, F.lit(step))
-    keyed = keyed.withColumn("range", F.col("coarse") + F.size(F.filter(within, lambda c: c < F.col("key"))))
+    rough = F.expr(f"percentile_approx(key, cast(split('{at}', ',') as array<double>), {max(10_000, 10 * ranges)})").alias("cuts")
+    # Quantiles are rounded; a range ends at the largest key that it has.
+    rough = sorted(set(keyed.agg(rough).first()["cuts"] or [0]))
+    cuts = keyed.groupBy(_place_of("key", rough).alias("range")).agg(F.max("key").alias("end")).collect()
+    cuts = sorted(r["end"] for r in cuts) or [0]
+    last = cuts[-1]
+    keyed = keyed.withColumn("range", _place_of("key", cuts))
     is_end = F.col("key") == F.get(_longs(cuts), F.col("range"))
     places = F.array(
         F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")),
@@ -95,6 +108,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     return placed.where("place.guest = 0").select("doc_id", "text", "next_text")
 
 
+def _place_of(key: str, cuts: list[int]) -> Column:
+    """How many cuts are below the key, by way of every so manieth of them."""
+    step = max(1, int(len(cuts) ** 0.5))
+    ends = _longs([cuts[min(k + step, len(cuts)) - 1] for k in range(0, len(cuts), step)])
+    coarse = F.size(F.filter(ends, lambda c: c < F.col(key))) * step
+    return bound(coarse, lambda k: k + F.size(F.filter(F.slice(_longs(cuts), k + 1, F.lit(step)), lambda c: c < F.col(key))))
+
+
 def _longs(values: list[int]) -> Column:
     return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 

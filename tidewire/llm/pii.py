@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewire.llm.common import slim
+from tidewire.llm.common import bound, slim
 from tidewire.shared import materialize
 
 #: Kinds in output order; the first four are the base kinds.
@@ -74,11 +74,6 @@ SPAN = "struct<kind:int,start:int,stop:int,strict:int,known:int,cued:int,alone:i
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: inside a lambda an expression is computed at each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     """The array of ``join`` over all elements up to each one, in a logarithmic number of passes over the array.
 
