@@ -57,79 +57,73 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
-class Sample:
-    """A labelled sample as numbers: the words of each text with their counts, and its distinct features."""
-
-    def __init__(self, texts: list[str]):
-        words: dict[str, int] = {}
-        features: dict[str, int] = {}
-        of_word: list[np.ndarray] = []
-        self.words, self.counts, self.rows = [], [], []
-        for text in texts:
-            bag = word_set(text)
-            for word in bag:
-                if word not in words:
-                    words[word] = len(words)
-                    of_word.append(np.array([features.setdefault(f, len(features)) for f in features_of(word)], np.int32))
-            ids = np.array([words[w] for w in bag], np.int32)
-            self.words.append(ids)
-            self.counts.append(np.array(list(bag.values()), np.int32))
-            self.rows.append(np.unique(np.concatenate([of_word[i] for i in ids])) if len(ids) else ids)
-        self.of_word, self.names = of_word, list(features)
-
-    def seen(self, labels: np.ndarray, label: int) -> np.ndarray:
-        """In how many texts of a label each feature occurs."""
-        own = [r for r, y in zip(self.rows, labels) if y == label]
-        return np.bincount(np.concatenate(own), minlength=len(self.names)) if own else np.zeros(len(self.names), int)
-
-
-def severity_grades(sample: Sample, labels: np.ndarray) -> np.ndarray:
-    """Grades of labelled texts: 0 for label 0; for label 1 by how many marked words a text has.
-
-    A word is marked if it, or a stem of it, occurs in texts of label 1 many times oftener than in others.
-    One such word or none is grade 1, up to four grade 2, more grade 3.
-    """
-    n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
-    c0, c1 = sample.seen(labels, 0), sample.seen(labels, 1)
-    marked = (c1 >= LEAST_ROWS) & (c1 / n1 > 20 * (c0 + 0.5) / n0)
-    word = np.array([marked[f].any() for f in sample.of_word], bool)
-    count = np.array([int(c[word[w]].sum()) if len(w) else 0 for w, c in zip(sample.words, sample.counts)])
-    return np.where(labels == 0, 0, np.select([count <= 1, count <= 4], [1, 2], 3))
-
-
-def telling_features(sample: Sample, labels: np.ndarray) -> np.ndarray:
-    """Features of ``LEAST_ROWS`` rows or more whose share of rows differs between the labels beyond chance."""
-    n0, n1 = (labels == 0).sum(), (labels == 1).sum()
-    c0, c1 = sample.seen(labels, 0), sample.seen(labels, 1)
+FOUND = pa.schema([("feature", pa.string()), ("c0", pa.int64()), ("c1", pa.int64())])
+NUMBERED = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("marked", pa.int64()), ("features", pa.list_(pa.int32()))])
+
+
+def count_features(sample: DataFrame) -> DataFrame:
+    """``(feature, c0, c1)``: in how many texts of ``sample(label, text)`` with each label a feature occurs, if in ``LEAST_ROWS``."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            seen[label].update({f for word in word_set(text) for f in features_of(word)})
+        names = list(seen[0] | seen[1])
+        return {"feature": names, "c0": [seen[0][f] for f in names], "c1": [seen[1][f] for f in names]}
+
+    found = sample.select("text", "label").mapInArrow(map_batches(run, FOUND), "feature string, c0 long, c1 long")
+    return found.groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where(F.col("c0") + F.col("c1") >= LEAST_ROWS)
+
+
+def marked_features(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Features that occur in texts of label 1 many times oftener than in others."""
+    return (c1 >= LEAST_ROWS) & (c1 / max(1, n1) > 20 * (c0 + 0.5) / max(1, n0))
+
+
+def telling_features(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Features whose share of rows differs between the labels beyond chance."""
     mean = (c0 + c1) / (n0 + n1)
     error = np.sqrt(mean * (1 - mean) * (1 / n0 + 1 / n1))
-    return np.flatnonzero((c0 + c1 >= LEAST_ROWS) & (np.abs(c1 / n1 - c0 / n0) >= LEAST_Z * error))
+    return np.abs(c1 / n1 - c0 / n0) >= LEAST_Z * error
+
 
+def numbered(sample: DataFrame, marked: set[str], telling: list[str]) -> DataFrame:
+    """``(doc_id, label, marked, features)``: how many marked words a text has, and the numbers of its telling features."""
+    held = sample.sparkSession.sparkContext.broadcast((marked, {f: k for k, f in enumerate(telling)}))
 
-def fit_ordinal(texts: list[str], labels: list[int], rounds: int = 200) -> OrdinalModel:
+    def run(batch: pa.RecordBatch) -> dict:
+        marked, number = held.value
+        counts, rows = [], []
+        for text in batch.column("text").to_pylist():
+            bag = word_set(text)
+            own = {w: features_of(w) for w in bag}
+            counts.append(sum(c for w, c in bag.items() if not marked.isdisjoint(own[w])))
+            rows.append(sorted({number[f] for fs in own.values() for f in fs if f in number}))
+        return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "marked": counts, "features": rows}
+
+    sql = "doc_id long, label int, marked long, features array<int>"
+    return sample.select("doc_id", "label", "text").mapInArrow(map_batches(run, NUMBERED), sql)
+
+
+def severity_grades(labels: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Grades of labelled texts: 0 for label 0; for label 1 one marked word or none is grade 1, up to four grade 2, more grade 3."""
+    return np.where(labels == 0, 0, np.select([marked <= 1, marked <= 4], [1, 2], 3))
+
+
+def fit_ordinal(names: list[str], rows: list[np.ndarray], y: np.ndarray, grades: np.ndarray, rounds: int = 200) -> OrdinalModel:
     """Fit by proximal gradient steps on the ordinal likelihood; the L1 term keeps few features.
 
-    Without rows of both labels the model gives grade 0 to everything.
+    ``rows`` has the numbers of each text's features among ``names``.
     """
-    y = np.array(labels, int)
-    if len(set(labels)) < 2:
-        return OrdinalModel({}, np.full(GRADES, 10.0))
-    sample = Sample(texts)
-    grades = severity_grades(sample, y)
-    chosen = telling_features(sample, y)
-    number = np.full(len(sample.names), -1, np.int64)
-    number[chosen] = np.arange(len(chosen))
-    names = [sample.names[f] for f in chosen]
-    cols = [number[r][number[r] >= 0] for r in sample.rows]
-    flat = np.concatenate(cols)
-    row_of = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    flat = np.concatenate(rows).astype(np.int64)
+    row_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, theta = np.zeros(len(names)), np.arange(GRADES) + 1.0
     over = (grades[:, None] > np.arange(GRADES)[None, :]).astype(float)
     # Either label weighs half, whatever their numbers in the sample.
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())[:, None]
     square_w, square_t = np.full(len(names), 1e-8), np.full(GRADES, 1e-8)
     for _ in range(rounds):
-        score = np.bincount(row_of, w[flat], minlength=len(cols))
+        score = np.bincount(row_of, w[flat], minlength=len(rows))
         p = 1.0 / (1.0 + np.exp(np.clip(theta[None, :] - score[:, None], -50, 50)))
         slope = (p - over) * weight
         grad = np.bincount(flat, slope.sum(axis=1)[row_of], minlength=len(names))
@@ -145,9 +139,24 @@ def fit_ordinal(texts: list[str], labels: list[int], rounds: int = 200) -> Ordin
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> OrdinalModel:
-    """The model of the bounded sample; the label column is ``toxic``."""
-    rows = labelled_sample(docs, labels, "toxic", per_class).orderBy("doc_id").collect()
-    return fit_ordinal([r["text"] for r in rows], [r["label"] for r in rows])
+    """The model of the bounded sample; the label column is ``toxic``.
+
+    Texts stay on the executors: the driver gets the counts of features that occur in ``LEAST_ROWS`` texts of the
+    sample, and then numbers. Without rows of both labels the model gives grade 0 to everything.
+    """
+    sample = materialize(labelled_sample(docs, labels, "toxic", per_class), "labelled-sample")
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return OrdinalModel({}, np.full(GRADES, 10.0))
+    found = sorted(count_features(sample).collect())
+    names = np.array([r["feature"] for r in found], object)
+    c0, c1 = (np.array([r[c] for r in found], np.int64) for c in ("c0", "c1"))
+    telling = names[telling_features(c0, c1, n0, n1)].tolist()
+    rows = numbered(sample, set(names[marked_features(c0, c1, n0, n1)]), telling).orderBy("doc_id").collect()
+    y = np.array([r["label"] for r in rows])
+    grades = severity_grades(y, np.array([r["marked"] for r in rows]))
+    return fit_ordinal(telling, [np.array(r["features"], np.int32) for r in rows], y, grades)
 
 
 def _score(model: OrdinalModel, texts: list[str], memo: dict) -> tuple[np.ndarray, np.ndarray]:
