@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as t, times, urls
-from tidewire.operators import aggregates, graph, grouping, pairs, ranking, snapshots, validation
+from tidewire.operators import aggregates, graph, grouping, models, pairs, ranking, snapshots, validation
 from tidewire.plans import views
 from tidewire.sources import feeds
 
@@ -414,3 +414,14 @@ def test_stored_rows_expire(spark, tmp_path):
     assert {tuple(r) for r in step(batch((3, "2024-01-03 09:00:00")), 1).collect()} == {(3, 1)}
     assert {tuple(r) for r in step(batch((4, "2024-01-03 11:00:00")), 2).collect()} == {(4, 3)}
     assert {tuple(r) for r in step(batch((4, "2024-01-03 11:00:00")), 2).collect()} == {(4, 3)}
+
+
+def test_stories_lie_over_cards_and_packets_put_primary_articles_first(spark):
+    cards = spark.createDataFrame([(1, 1, "Costs rise by 22", "city", ["WORK"], "It cost 22 billion."), (1, 2, "Own line", "city", ["WORK"], "")], "edition int, cluster int, headline string, category string, labels array<string>, reporting string")
+    stories = spark.createDataFrame([(1, "2", "A new headline", "sports", ["SAFETY"], "Commuters pay more", 70)], "edition int, cluster string, headline string, category string, labels array<string>, impact_line string, priority int")
+    got = {r.cluster: r for r in models.merge_editorial(cards, stories).collect()}
+    assert (got[1].headline, got[1].mode, got[1].category) == ("Costs rise by 22 billion", "rules", "city")
+    assert (got[2].headline, got[2].mode, got[2].category, got[2].impact_line) == ("A new headline", "editor", "sports", "Commuters pay more")
+    rows = lambda *x: spark.createDataFrame([(1, i, "x" * n) for i, n in x], "card int, id int, main_text string")
+    packet = models.analysis_packet(rows((5, 60), (6, 60)), rows((1, 60), (2, 10)), ["id"], 50, 120)
+    assert {(r.id, r.role, r.allowed) for r in packet.collect()} == {(5, "primary_event", 50), (6, "primary_event", 50), (1, "related", 20), (2, "related", 0)}

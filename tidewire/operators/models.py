@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewire.functions import text as t
+from tidewire.operators import ranking
 
 
 def normalized(v: Column) -> Column:
@@ -42,3 +43,30 @@ def watch_line(body: Column, reference: Column) -> Column:
 
     coming = F.filter(t.sentences(body), lambda s: watch_date(s, reference).isNotNull())
     return F.get(coming, F.lit(0))
+
+
+def merge_editorial(cards: DataFrame, stories: DataFrame) -> DataFrame:
+    """Cards with their accepted story laid over them: ``edition, cluster, headline, category, labels, impact_line, priority, mode``.
+
+    ``cards(edition, cluster, headline, category, labels, reporting)``; ``stories`` from ``validation.editorial_stories``. A card
+    without a story keeps its own fields and ``mode`` is "rules", else "editor". A headline that ends in a bare number
+    gets its unit from the reporting.
+    """
+    own = ["headline", "category", "labels"]
+    over = stories.select("edition", F.col("cluster").alias("_c"), *[F.col(c).alias(f"s_{c}") for c in own], "impact_line", "priority")
+    rows = cards.withColumn("_c", F.col("cluster").cast("string")).join(over, ["edition", "_c"], "left")
+    laid = [F.coalesce(f"s_{c}", c).alias(c) for c in own]
+    mode = F.when(F.col("priority").isNull(), "rules").otherwise("editor").alias("mode")
+    rows = rows.select("edition", "cluster", *laid, "impact_line", "priority", mode, "reporting")
+    return rows.withColumn("headline", repaired_headline(F.col("headline"), F.col("reporting"))).drop("reporting")
+
+
+def analysis_packet(primary: DataFrame, related: DataFrame, order: list, per_row: int = 5000, total: int = 60_000) -> DataFrame:
+    """``card, id, role, allowed``: the characters of each article that a story analysis may read.
+
+    ``primary`` and ``related`` have ``card, id, main_text`` and what ``order`` names. Primary articles come first, so related ones
+    get what these leave of the total.
+    """
+    rows = primary.withColumn("role", F.lit("primary_event")).unionByName(related.withColumn("role", F.lit("related")), True)
+    rows = ranking.budgeted(rows, "card", ["role", *order], F.length("main_text"), per_row, total)
+    return rows.select("card", "id", "role", "allowed")

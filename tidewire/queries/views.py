@@ -10,7 +10,7 @@ from tidewire.operators import grouping, models as md, pairs, ranking as rk, val
 from tidewire.plans import views
 from tidewire.queries import duck as d
 from tidewire.queries.aggregates import TRIAGE_SQL, agg_brief_score
-from tidewire.queries.gates import analysis_inputs, docs_now, now
+from tidewire.queries.gates import analysis_inputs, docs_now, editorial_inputs, now
 from tidewire.queries.joins import CANON, prepared
 from tidewire.queries.rankings import grp_events
 from tidewire.registry import query
@@ -194,8 +194,11 @@ def mdl_candidate_rows(spark, sf_dir):
 
 @query("mdl_merge_editorial")
 def mdl_merge_editorial(spark, sf_dir):
-    rows = ad.articles(spark, sf_dir).select("id", F.concat("headline", F.lit(" 22")).alias("h"), F.concat("main_text", F.lit(" It cost 22 billion.")).alias("r"))
-    return rows.select("id", md.repaired_headline(F.col("h"), F.col("r")).alias("headline"))
+    answers, candidates = editorial_inputs(spark, sf_dir)
+    stories = validation.editorial_stories(answers, candidates, ad.CATEGORIES, ad.LABELS)
+    told = ad.articles(spark, sf_dir).select(F.col("id").alias("edition"), F.concat("main_text", F.lit(" It cost 22 billion.")).alias("reporting"))
+    cards = candidates.withColumn("headline", F.concat("headline", F.lit(" 22"))).join(told, "edition")
+    return md.merge_editorial(cards.select("edition", "cluster", "headline", "category", "labels", "reporting"), stories)
 
 
 @query("mdl_what_to_watch")
@@ -207,8 +210,15 @@ def mdl_what_to_watch(spark, sf_dir):
 @query("mdl_analysis_packet")
 def mdl_analysis_packet(spark, sf_dir):
     rows = clustered(spark, sf_dir).withColumn("publisher", F.concat(F.lit("p"), (F.col("id") % 5).cast("string")))
-    primary = rk.fair_share(rows, "cluster", "publisher", [F.desc("publish_date"), "id"], 2, 12)
-    return rk.budgeted(primary, "cluster", [F.desc("publish_date"), "id"], F.length("main_text"), 5000, 60000).select("cluster", "id", "allowed")
+    newest = [F.desc("publish_date"), "id"]
+    primary = rk.fair_share(rows, "cluster", "publisher", newest, 2, 12)
+    vectors = ad.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    anchored = lambda df: df.join(vectors, "id").select("id", "cluster", "embedding", t.anchor_tokens(F.col("headline")).alias("anchors"))
+    hits = pairs.related_articles(anchored(primary).withColumn("card", F.col("cluster")), anchored(rows), 0.0)
+    hits = hits.join(rows.select("id", F.col("publisher").alias("source"), "cluster"), "id")
+    related = rk.capped_related(hits).join(rows, "id").select("card", "id", "main_text", "publish_date")
+    primary = primary.select(F.col("cluster").alias("card"), "id", "main_text", "publish_date")
+    return md.analysis_packet(primary, related, newest)
 
 
 @query("mdl_analysis_outcome")
