@@ -141,9 +141,15 @@ SIGNED = pa.schema(
         ("bands", pa.list_(pa.int64())),
     ]
 )
-SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
-#: Bits of the map that bounds an intersection from above.
-MAP_BITS = 2048
+SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+#: Rounds in which every bucket has one leader; what they leave open is settled by prefixes.
+STAR_ROUNDS = 2
+#: A key is hot if it has more than its share of rows when all rows are cut into so many parts; so fewer keys are hot.
+HOT_PARTS, LEAST_PART = 4096, 256
+#: Cells in which shingles are counted to order them from rare to frequent.
+CELLS = 65_536
+#: Keeps a ratio that equals the threshold on the right side of it.
+EDGE = 1e-9
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -167,46 +173,60 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, t
 
 
 def shingle_sets(docs: DataFrame, involved: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``(node, shingles, bits)`` of the documents in ``involved(doc_id, node)``: distinct hashes and their bit map."""
+    """``(node, shingles)`` of the documents in ``involved(doc_id, node)``: the distinct shingle hashes."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [np.unique(shingle_hashes(words_of(t), size)) for t in batch.column("text").to_pylist()]
-        maps = np.zeros((len(sets), MAP_BITS), np.uint8)
-        for row, hashes in zip(maps, sets):
-            row[(hashes % np.uint64(MAP_BITS)).astype(np.intp)] = 1
-        maps = np.packbits(maps, axis=1).view(np.int64)
-        return {"node": batch.column("node"), "shingles": [x.astype(np.int64) for x in sets], "bits": list(maps)}
+        return {"node": batch.column("node"), "shingles": [x.astype(np.int64) for x in sets]}
 
     texts = slim(docs, id_col, text_col).join(involved, "doc_id").select("node", "text")
-    return texts.mapInArrow(map_batches(run, SETS), "node binary, shingles array<long>, bits array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(map_batches(run, SETS), "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b, ...)`` with the exact Jaccard ``similarity`` of their shingle sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    # 1e-9 keeps a ratio that equals the threshold on the right side of it.
-    enough = both >= F.lit(similarity - 1e-9) * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+    all_ = F.size("sa") + F.size("sb") - both
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, (both / all_).alias("similarity"))
 
 
-def comparable(a: str, b: str, similarity: float):
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of ``pairs(a, b, ...)`` those whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    return compared(pairs, sets).where(F.col("similarity") >= similarity - EDGE).drop("similarity")
+
+
+def comparable(a: str, b: str, similarity: float) -> Column:
     """Set sizes whose ratio allows the similarity."""
     low, high = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    return low >= F.lit(similarity - 1e-9) * high
+    return low >= F.lit(similarity - EDGE) * high
 
 
-def may_overlap_enough(similarity: float) -> Column:
-    """Whether the bit maps of ``a`` and ``b`` leave room for the similarity; never false for a pair that has it.
+def with_heads(rows: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """``rows(key, node, ...)`` joined with ``heads(key, in_bucket, ...)``, one row per key that counts its rows.
 
-    Two sets share at most one element per common bit, and beyond that no more than the smaller number of
-    elements by which either set exceeds its bits.
+    The rows of a hot key are dealt over several tasks by their node, and its head is sent to each. What is
+    broadcast are the hot keys: their rows are more than a share of all rows, so there are fewer than ``HOT_PARTS``.
     """
-    count = lambda bits: F.aggregate(bits, F.lit(0), lambda acc, x: acc + x)
-    common = count(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))))
-    most = common + F.least("surplus_a", "surplus_b")
-    return most * F.lit(1 + similarity) >= F.lit(similarity - 1e-9) * (F.col("na") + F.col("nb"))
+    total = heads.agg(F.sum("in_bucket").alias("n")).first()["n"] or 0
+    most = max(LEAST_PART, -(-total // HOT_PARTS))
+    parts = F.ceil(F.col("in_bucket") / most).cast("int")
+    hot = heads.where(F.col("in_bucket") > most).select(key, parts.alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int")
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("part", part).drop("parts")
+    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.join(heads, [key, "part"]).drop("part", "in_bucket")
+
+
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels(node, label)`` after the labels that ``edges(a, b)`` link have become one."""
+    edges = materialize(edges.select("a", "b").distinct(), "label-links")
+    if edges.isEmpty():
+        return labels
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
+    new = components(ends, edges).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return materialize(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
 def near_classes(
@@ -227,11 +247,11 @@ def near_classes(
     exact copies are never paired. Repeated rows belong to their id's class, each with a row; null ids get a
     class of their word sequence whose id is null if no row of it has one. Other columns are not read.
 
-    Candidates share a band of their signatures, weighted or plain. In a band's bucket every text is compared with the bucket's
-    leader, a member drawn by a hash of the band; that is linear in the bucket. Where a bucket's members are still in
-    different classes afterwards, those outside its largest class are compared with all members of other
-    classes that an upper bound of the similarity does not rule out, so no candidate link is lost. Every
-    comparison is exact.
+    Candidates share a band of their signatures, weighted or plain. Twice, every bucket of a band has a leader with
+    which its members of other classes are compared. First the leader is the text of the least hash, so a class of
+    copies meets the same one in most of its buckets and gives about one link a text; then each bucket draws its own. Buckets that still hold
+    several classes, such as texts around one shared passage, are settled by their rarest shingles (see
+    :func:`prefix_links`), so no candidate link is lost and no bucket is compared all with all. Every comparison is exact.
     """
     return _classed(docs, id_col, text_col, size, similarity, bands, rows).drop("text_crc")
 
@@ -252,55 +272,138 @@ def _classed(
     )
     nodes = materialize(nodes, "nodes")
     members = nodes.select("node", "rep", "n", F.explode("bands").alias("band"))
-    # Each band draws its leaders anew: a text that is unlike one leader of its class meets others.
-    rank = F.struct(F.xxhash64("band", "node"), "node", "n")
-    leaders = members.groupBy("band").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("in_bucket"))
-    leaders = leaders.where("in_bucket > 1").select("band", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
-    busy = members.join(leaders, "band").select("band", "node", "rep", "n", "a", "na")
-    busy = materialize(busy, "buckets")
-    pairs = busy.where(F.col("a") != F.col("node")).where(comparable("n", "na", similarity))
-    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    involved = busy.where("rep is not null").select(F.col("rep").alias("doc_id"), "node").distinct()
+    lead = lambda key, *more: F.min(F.struct(F.xxhash64(*key), "node", "n", *more)).alias("lead")
+    heads = members.groupBy("band").agg(lead(["node"]), F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
+    heads = heads.select("band", "in_bucket", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
+    state = materialize(with_heads(members, materialize(heads, "heads"), "band"), "buckets")
+    involved = state.where("rep is not null").select(F.col("rep").alias("doc_id"), "node").distinct()
     sets = materialize(shingle_sets(docs, involved, size, id_col, text_col), "shingle-sets")
-    links = materialize(verified(pairs, sets, similarity), "links")
-    every = nodes.select("node")
-    labels = components(every, links)
+    pairs = state.where(F.col("a") != F.col("node")).where(comparable("n", "na", similarity))
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    labels = components(nodes.select("node"), materialize(linked(pairs, sets, similarity), "links"))
+    labels = materialize(labels, "labels")
+
+    for k in range(1, STAR_ROUNDS + 1):
+        # A leader has been compared with its whole bucket and leaves it.
+        state = state.where("node <> a").select("band", "node", "n").join(labels, "node")
+        state = materialize(state, "open-buckets")
+        heads = state.groupBy("band").agg(
+            lead([F.lit(k), "band", "node"], "label"), F.count(F.lit(1)).alias("in_bucket"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        )
+        heads = heads.where("lo <> hi").select(
+            "band", "in_bucket", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("lead.label").alias("la")
+        )
+        state = materialize(with_heads(state, materialize(heads, "heads"), "band"), "buckets")
+        if state.isEmpty():
+            break
+        if k < STAR_ROUNDS:
+            pairs = state.where("label <> la").where(comparable("n", "na", similarity))
+            pairs = pairs.select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).dropDuplicates(["a", "b"])
+            edges = linked(pairs, sets, similarity).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        else:
+            edges = prefix_links(state.select("node", "n", "label").distinct(), sets, similarity)
+        labels = relabelled(labels, edges)
+    return _classes(signed, labels)
+
+
+COUNTS = pa.schema([("cell", pa.int32()), ("c", pa.int64())])
+PREFIXES = pa.schema(
+    [("node", pa.binary()), ("label", pa.binary()), ("n", pa.int64()), ("rare", pa.list_(pa.int64())), ("indexed", pa.int64())]
+)
+#: Tasks over which the members of one class are compared with those of others.
+SPREAD = 16
 
-    rest = _unresolved(busy, labels, nodes, sets, similarity)
-    rest = materialize(rest, "rest-pairs")
-    if not rest.isEmpty():
-        more = verified(rest, sets, similarity)
-        labels = components(every, materialize(links.union(more), "links"))
-    return _classes(signed, materialize(labels, "classes"))
 
+def prefixes(held: DataFrame, similarity: float) -> DataFrame:
+    """``(node, label, n, rare, indexed)``: the rarest shingles of each of ``held(node, label, n, shingles)``.
 
-def _unresolved(busy: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of one bucket that are in different classes and that sizes and bit maps do not rule out.
+    All sets are put into one order, from rare to frequent. Of two sets with the similarity, the larger has a
+    common shingle among its first n - ceil(s n) + 1, which are ``rare``, and the smaller has it among its first
+    n - ceil(2 s n / (1 + s)) + 1, which are the first ``indexed`` of them. Any order would do; frequencies are counted
+    in ``CELLS`` cells of the hashes, so what the driver collects and broadcasts is bounded, and shingles that
+    many texts share come late all the same.
+    """
 
-    A pair comes up in each bucket that it shares and is emitted for the first of its bands only.
+    def count(batches):
+        for batch in batches:
+            cells = batch.column("shingles").values.to_numpy() % CELLS
+            cell, c = np.unique(cells, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(c, pa.int64())], schema=COUNTS)
+
+    counts = np.zeros(CELLS, np.int64)
+    for row in held.select("shingles").mapInArrow(count, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).collect():
+        counts[row["cell"]] = row["c"]
+    frequency = held.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batch: pa.RecordBatch) -> dict:
+        rare, indexed = [], []
+        for shingles in batch.column("shingles"):
+            shingles = shingles.values.to_numpy()
+            n = len(shingles)
+            rare.append(shingles[np.lexsort((shingles, frequency.value[shingles % CELLS]))[: n - int(np.ceil(similarity * n - EDGE)) + 1]])
+            indexed.append(n - int(np.ceil(2 * similarity * n / (1 + similarity) - EDGE)) + 1)
+        return {**{c: batch.column(c) for c in ("node", "label", "n")}, "rare": rare, "indexed": indexed}
+
+    held = held.select("node", "label", F.col("n").cast("long").alias("n"), "shingles")
+    return held.mapInArrow(map_batches(first, PREFIXES), "node binary, label binary, n long, rare array<long>, indexed long")
+
+
+def prefix_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``(a, b)`` between the labels of ``nodes(node, n, label)`` that hold linked texts; all of them are found.
+
+    Linked texts share a rare shingle (see :func:`prefixes`). What meets at a shingle are classes, not texts:
+    the two label texts are compared once, and since 1 - Jaccard is a metric, their distance less the distances of
+    two members from their labels bounds the members' distance from below. Members of two classes are looked at only where this
+    leaves room, that is between classes that nearly touch, and paired only where their rarest shingles leave room too.
     """
-    placed = busy.select("band", "node", "n").join(labels, "node")
-    per_class = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per_class.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("k"))
-    mixed = mixed.where("k > 1").select("band", F.col("top.label").alias("main"))
-    filled = F.aggregate("bits", F.lit(0), lambda acc, x: acc + F.bit_count(x))
-    maps = sets.select("node", "bits", (F.size("shingles") - filled).alias("surplus"))
-    placed = placed.join(mixed, "band").join(maps, "node").join(nodes.select("node", "bands"), "node")
-    placed = materialize(placed, "mixed")
-    side = lambda s: [
-        "band",
-        F.col("node").alias(s),
-        F.col("n").alias(f"n{s}"),
-        F.col("label").alias(f"l{s}"),
-        *[F.col(c).alias(f"{c}_{s}") for c in ("bits", "surplus", "bands")],
-    ]
-    minor = placed.where("label <> main").select(*side("a"))
-    other = placed.select(*side("b"), (F.col("label") == F.col("main")).alias("in_main"))
-    once = F.col("in_main") | (F.col("a") < F.col("b"))
-    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == minor.band
-    on = (minor.band == other.band) & (F.col("la") != F.col("lb")) & once & comparable("na", "nb", similarity)
-    pairs = minor.join(other, on & may_overlap_enough(similarity) & first)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    held = materialize(sets.join(nodes, "node").select("node", "label", "n", "shingles"), "open-sets")
+    texts = materialize(prefixes(held, similarity), "prefixes")
+    rare = texts.select("node", "label", "n", "indexed", F.posexplode("rare").alias("place", "shingle"))
+    rare = rare.select("shingle", "node", "label", "n", (F.col("place") < F.col("indexed")).alias("indexed"))
+    heads = rare.groupBy("shingle").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("indexed").alias("any"), F.count(F.lit(1)).alias("in_bucket")
+    )
+    heads = materialize(heads.where("lo <> hi and any").select("shingle", "in_bucket"), "heads")
+    at = with_heads(rare, heads, "shingle").groupBy("shingle", "label").agg(
+        F.max("indexed").alias("indexed"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    at = materialize(at, "shared-prefixes")
+    side = lambda df, s: df.select([F.col(c).alias(c if c == "shingle" else f"{c}_{s}") for c in df.columns])
+    ratio = F.lit(similarity - EDGE)
+    sizes = (F.col("most_a") >= ratio * F.col("least_b")) & (F.col("most_b") >= ratio * F.col("least_a"))
+    meet = side(at, "a").join(side(at, "b"), "shingle").where("label_a < label_b and (indexed_a or indexed_b)").where(sizes)
+    meet = meet.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    meet = materialize(compared(meet, sets).select("a", "b", (1 - F.col("similarity")).alias("apart")), "class-pairs")
+    most = 1 - similarity + EDGE
+    links = meet.where(F.col("apart") <= most).select("a", "b")
+
+    away = compared(held.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")), sets)
+    away = away.select(F.col("a").alias("node"), (1 - F.col("similarity")).alias("away"))
+    texts = texts.join(away, "node", "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
+    texts = materialize(texts, "distances")
+    reach = texts.groupBy("label").agg(F.max("away").alias("far"), F.count(F.lit(1)).alias("c"))
+    reach = materialize(reach, "classes")
+    # Of two classes the smaller one's members come to the larger one's.
+    far = lambda s: side(reach, s).withColumnRenamed(f"label_{s}", s)
+    open_ = meet.where(F.col("apart") > most).join(far("a"), "a").join(far("b"), "b")
+    open_ = open_.where("c_a > 1 or c_b > 1").where(F.col("apart") - F.col("far_a") - F.col("far_b") <= most)
+    turned = F.col("c_a") > F.col("c_b")
+    small, large = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    left = F.when(turned, F.col("far_a")).otherwise(F.col("far_b"))
+    open_ = open_.select(small.alias("label_a"), large.alias("label_b"), "apart", left.alias("far"))
+    part = F.pmod(F.xxhash64("node_a"), F.lit(SPREAD)).cast("int")
+    guests = open_.join(side(texts, "a"), "label_a").where(F.col("apart") - F.col("away_a") - F.col("far") <= most)
+    hosts = texts.join(open_.select(F.col("label_b").alias("label")).distinct(), "label", "left_semi")
+    hosts = side(hosts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    # What two sets share lies in both prefixes, or behind the prefix of one of them.
+    behind = lambda s: F.col(f"n_{s}") - F.size(f"rare_{s}")
+    bound = F.size(F.array_intersect("rare_a", "rare_b")) + F.greatest(behind("a"), behind("b"))
+    needed = (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - EDGE
+    both = guests.withColumn("part", part).join(hosts, ["label_b", "part"])
+    both = both.where(F.col("apart") - F.col("away_a") - F.col("away_b") <= most).where(comparable("n_a", "n_b", similarity)).where(bound >= needed)
+    both = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "label_a", "label_b")
+    more = linked(both, sets, similarity).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    return links.union(more)
 
 
 def _classes(signed: DataFrame, labels: DataFrame) -> DataFrame:
