@@ -57,13 +57,15 @@ PUBLISHERS = {
     "tribune": ("tribune", "express tribune"),
 }
 PUBLISHER_WORDS = sorted({w for names in PUBLISHERS.values() for n in names for w in n.split()})
+#: Fixed value: verbs by which a text attributes something to a publisher.
 REPORTING_VERB = (
     "(?:reports?|reported|reporting|says?|said|writes?|wrote|notes?|noted|carry|carries|carried|adds?|added|quotes?|"
     "quoted|describes?|described|attributes?|attributed|confirms?|confirmed)"
 )
 #: Conclusions of guilt, and cues that attribute a sentence to someone.
-CONCLUSIONS = ["corrupt", "corruption", "lied", "lying", "ignored"]
-CONCLUSION_PHRASES = ["cover-up", "cover up", "covered up", "never happened", "never occurred"]
+CONCLUSIONS = [
+    "corrupt", "corruption", "lied", "lying", "cover-up", "cover up", "covered up", "ignored", "never happened", "never occurred",
+]
 ATTRIBUTION = (
     r"\b(?:alleged|allegedly|allegations?|accus\w+|claim\w*|said|says|according to|reports?|reported|criticis\w+|"
     r"criticiz\w+|denied|denies|denying|argued|argues|told|testified|complain\w+|opposition)\b"
@@ -407,7 +409,8 @@ def named_publishers(text: Column) -> Column:
 
 def asserts_culpability(text: Column) -> Column:
     """Whether a sentence without an attribution concludes guilt."""
-    term = "|".join([*(rf"\b{t}\b" for t in CONCLUSIONS), *CONCLUSION_PHRASES])
+    # A single word counts as a word, a phrase wherever it stands.
+    term = "|".join(rf"\b{c}\b" if c.isalpha() else c for c in CONCLUSIONS)
     return F.exists(sentences(normalize(text)), lambda s: ~F.lower(s).rlike(ATTRIBUTION) & F.lower(s).rlike(term))
 
 
@@ -483,7 +486,9 @@ def impact_label(raw: Column) -> Column:
     return F.coalesce(*[F.when(up.contains(k), F.lit(k)) for k in IMPACT_LABELS], F.lit("UPDATE"))
 
 
+#: Hedges of an impact line, and its stock form.
 HEDGE = r"(?i)\b(?:may|might|could|potential|potentially|possible|possibly|expected to|set to|likely|would)\b"
+STOCK_FORM = r"(?i)^[^.]{0,60}?\bfaces?\b"
 
 
 def brief_flags(impact: Column, headline: Column) -> dict[str, Column]:
@@ -496,6 +501,6 @@ def brief_flags(impact: Column, headline: Column) -> dict[str, Column]:
     return {
         "lacks_anchor": (F.trim(impact) != "") & ~F.coalesce(concrete, F.lit(False)),
         "hedged": impact.rlike(HEDGE),
-        "stock_form": impact.rlike(r"(?i)^[^.]{0,60}?\bfaces?\b"),
+        "stock_form": impact.rlike(STOCK_FORM),
         "restates": F.when(F.size(mine) == 0, 0.0).otherwise(share),
     }
