@@ -59,18 +59,9 @@ def test_fingerprints_of_texts_and_edits(rows, docs):
 
 
 def merkle(text):
-    """Root and distinct leaves of the tree, built from its definition."""
-    leaves, sections = set(), []
-    for section in text.split("\n\n"):
-        paragraphs = []
-        for line in section.split("\n"):
-            runs = re.findall(r"(?: *[^ ]+ *){1,4}| +", line)
-            assert "".join(runs) == line
-            own = [sha(r.encode()) for r in runs]
-            leaves.update(own)
-            paragraphs.append(sha("".join(own).encode()))
-        sections.append(sha(",".join(paragraphs).encode()))
-    return sha(",".join(sections).encode()), leaves
+    """Root of the tree and the distinct runs of words, built from their definitions."""
+    sections = [sha(",".join(sha(p.encode()) for p in s.split("\n")).encode()) for s in text.split("\n\n")]
+    return sha(",".join(sections).encode()), set(re.findall(r"(?:[^ \n]+ *){1,8}", text))
 
 
 def brute_likeness(a, b):
