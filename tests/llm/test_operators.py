@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, near_dedup, packing, pii, quality, token_files, toxicity
+from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, url_filters, vector_codes
 
 
 def sha(data):
@@ -765,3 +765,226 @@ def test_the_pipeline_keeps_what_its_stages_keep(spark, rows, tmp_path):
     ids = library_ids(JSON, [masked[i] for i in masked])
     check_packing(out, {i: [*x, 0] for i, x in zip(masked, ids)}, 2048)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "pii", "packing"]
+
+
+# 11 periodic runs
+
+
+def brute_runs(words):
+    """Every stretch of every period, the smallest period of a stretch first."""
+    found = {}
+    for q in range(1, len(words) // 4 + 1):
+        start = None
+        for k in range(len(words) - q + 1):
+            same = k < len(words) - q and words[k] == words[k + q]
+            if same and start is None:
+                start = k
+            if not same and start is not None:
+                if k - start + q >= max(6, 4 * q):
+                    found.setdefault((start, k - start + q), q)
+                start = None
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def without_repeats(words, runs):
+    gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+    return " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def split_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def test_runs_of_random_texts():
+    import random
+
+    own = random.Random(3)
+    for _ in range(400):
+        texts = []
+        for _ in range(own.randint(1, 5)):
+            letters, words = "abcdef"[: own.choice([1, 2, 2, 3, 5])], []
+            while len(words) < own.randint(0, 110):
+                words += [own.choice(letters) for _ in range(own.randint(1, 9))] * own.randint(1, 7)
+            texts.append(words)
+        for words, (n, runs, kept) in zip(texts, periodic_runs.found_in([" ".join(w) for w in texts])):
+            assert (n, runs, kept) == (len(words), brute_runs(words), without_repeats(words, runs))
+
+
+def test_runs_of_many_copies_are_found_in_little_time():
+    # Each place has another left-word class, or all of them the same.
+    apart = [w for k in range(20_000) for w in (f"item{k}", "is", "in", "stock", "at", "our", "store")]
+    (_, none, kept), (_, one, _), (_, seven, _) = periodic_runs.found_in([" ".join(apart), "x " * 100_000, "a b c d e f g " * 20_000])
+    assert none == [] and kept == " ".join(apart)
+    assert one == [(0, 100_000, 1)] and seven == [(0, 140_000, 7)]
+
+
+def test_run_report(spark, rows, docs, repeated, empty):
+    more = [(k, " ".join(f"w{j * k % 41}" for j in range(k % 90))) for k in range(5000, 5300)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got, planted = by_id(periodic_runs.run_report(both)), 0
+    for i, text in [(r[0], text_of(r)) for r in rows] + more:
+        words = split_words(text)
+        if len(words) > 2000:
+            continue
+        h, n = zlib.crc32(str(i).encode()), len(words)
+        if h % 10 == 0 and n:
+            a, planted = h // 10 % n, planted + 1
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            words = [words[j] if j < a else words[a + (j - a) % p] for j in range(n)]
+        runs = brute_runs(words)
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else None
+        assert got[i][:6] == (i, len(runs), *(best or (None,) * 3), best and 1000 * best[1] // best[2])
+        assert got[i].runs_sha256 == sha("".join(f"{s},{m},{q}\n" for s, m, q in runs).encode())
+        assert got[i].collapsed_sha256 == sha(without_repeats(words, runs).encode())
+    assert planted > 20
+    assert periodic_runs.run_report(repeated).count() == repeated.count()
+    assert periodic_runs.run_report(empty).count() == 0
+    report = by_id(periodic_runs.periodic_runs(docs))
+    assert report[rows[0][0]][1:] == (0, [], "")
+
+
+# 12 url filters
+
+
+def url_fixture():
+    urls = [f"http://a{k % 3}.example.{t}/{lang}/{k}?x=1" for k in range(40) for t in ("net", "com", "org") for lang in ("en", "fr", "de")]
+    odd = [None, "", "no scheme", "://", "x://HOST", "http://net", "http://NET/", "http://xnet/a", "a://b.org/fr/?q", "a://org/fr", "a://b://c.net/d", "http://h.net?x/y", "http://u@h.com:80/de/#f"]
+    return [*enumerate(urls + odd + urls[:50]), (None, "http://q.net/"), (7, None)]
+
+
+def brute_judgement(url):
+    if not url or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = ascii_lower(re.match(r"[^/?#]*", rest)[0])
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    fits = [r for r in url_filters.BASE_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return host, path, max(fits, key=lambda r: len(r.name), default=None)
+
+
+def brute_tokens(host, path, url):
+    fold = lambda x: re.sub("[0-9]+", "#", x)
+    asked = re.match(r"[^#]*?\?([^#]*)", url or "")
+    out = {f"{k}:{fold(x)}" for k, x in enumerate(reversed(host.split("."))) if x}
+    out |= {"/" + fold(x) for x in ascii_lower(path).split("/") if x}
+    return frozenset(out | {"?" + fold(x.split("=")[0]) for x in (asked[1].split("&") if host and asked else []) if x.split("=")[0]})
+
+
+def brute_rules(pages, support=url_filters.SUPPORT, confidence=url_filters.CONFIDENCE):
+    """Of all sets of up to four tokens the least that support, confidence and two stated rules bear out."""
+    from itertools import combinations
+
+    seen = [(brute_tokens(h, p, u), r) for u in pages for h, p, r in [brute_judgement(u)] if r]
+    counts = defaultdict(lambda: [0, 0, set()])
+    for tokens, rule in seen:
+        for size in range(1, 5):
+            for c in combinations(sorted(tokens), size):
+                n = counts[c]
+                n[0] += 1
+                if rule.verdict == "block":
+                    n[1] += 1
+                    n[2].add(rule.name)
+    good = {frozenset(c) for c, (n, b, s) in counts.items() if b >= support * len(seen) and b >= confidence * n and len(s) >= 2}
+    return {c for c in good if not any(o < c for o in good)}
+
+
+def test_urls_are_judged_as_by_brute_force(spark):
+    table = url_fixture()
+    pages = spark.createDataFrame([(*r, "x", 1) for r in table], "page_id long, url string, verdict string, rows int").repartition(3)
+    got = url_filters.judge_urls(pages).collect()
+    rules = brute_rules([u for _, u in table])
+    expected, mined = [], 0
+    for i, url in table:
+        host, path, rule = brute_judgement(url)
+        hit = rule is None and any(r <= brute_tokens(host, path, url) for r in rules)
+        mined += hit
+        expected.append((i, host, path, rule and rule.name, rule.verdict if rule else "block" if hit else "allow"))
+    assert frozenset(["/de"]) in rules and 0 < mined < len(table) / 3
+    key = lambda r: tuple(map(str, r))
+    assert sorted([r[:5] for r in got], key=key) == sorted(expected, key=key)
+    assert all((r.matched is not None) == (r.rule is None and r.verdict == "block") for r in got)
+
+
+def test_urls_of_no_pages_and_without_labels(spark):
+    kind = "page_id long, url string"
+    assert url_filters.judge_urls(spark.createDataFrame([], kind)).count() == 0
+    plain = spark.createDataFrame([(1, "http://a.info/x"), (2, None)], kind)
+    assert {r[3:5] for r in url_filters.judge_urls(plain).collect()} == {(None, "allow")}
+
+
+def test_rare_and_unsure_rules_are_pruned(spark):
+    table = [(["/a", "/b"], "r1", "block", 5), (["/a"], "r2", "block", 5), (["/b"], "r1", "allow", 5), (["/c"], "r1", "block", 9)]
+    labelled = spark.createDataFrame(table, "profile array<string>, rule string, verdict string, rows long")
+    candidates = spark.createDataFrame([(x,) for x in (["/a"], ["/b"], ["/c"], ["/a", "/b"])], "tokens array<string>")
+    kept = url_filters.pruned_rules(candidates, labelled).collect()
+    assert [(r.tokens, r.confidence, round(r.support, 3)) for r in kept] == [(["/a"], 1.0, 0.417)]
+
+
+# 13 vector codes
+
+
+def brute_codes(table):
+    """Codes by the contract, in Python's integers."""
+    import math
+
+    good = [(i, [math.floor(4096 * x) for x in v], y) for i, v, y in table if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    width = -(-max((len(v) for _, v, _ in good), default=1) // 8) * 8
+    good = [(i, v + [0] * (width - len(v)), y) for i, v, y in good]
+    cut = lambda v: [v[k : k + width // 8] for k in range(0, width, width // 8)]
+    first = sorted(good, key=lambda r: (r[0] is None, r[0]))[:16]
+    books = [[cut(v)[p] for _, v, _ in first] for p in range(8)]
+
+    def nearest(v):
+        return [min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(books[p])) for p, x in enumerate(cut(v))]
+
+    for _ in range(6):
+        own = defaultdict(list)
+        for _, v, _ in good:
+            for p, (_, k) in enumerate(nearest(v)):
+                own[p, k].append(cut(v)[p])
+        for (p, k), parts in own.items():
+            books[p][k] = [sum(c) // len(parts) for c in zip(*parts)]
+    found = [(i, nearest(v), y) for i, v, y in good]
+    error = lambda n: sum(d for d, _ in n)
+    labels = defaultdict(int)
+    for _, n, y in found:
+        labels[y] += error(n)
+    digest = sha(",".join(str(c) for b in books for e in b for c in e).encode())
+    return [(i, "".join(f"{k:02x}" for _, k in n), error(n), min(labels[y], 2**63 - 1), digest) for i, n, y in found]
+
+
+def check_codes(spark, table):
+    kind = "vec_id long, embedding array<double>, label int, code string, rows int"
+    got = vector_codes.vector_codes(spark.createDataFrame([(*r, "x", 1) for r in table], kind).repartition(3)).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(brute_codes(table), key=key)
+    return got
+
+
+def test_vector_codes(spark):
+    own = np.random.default_rng(8)
+    table = [(k * 13 % 1009, own.normal(0, 0.3, 32).tolist(), int(own.integers(0, 3))) for k in range(300)]
+    bad = [(2000, None, 1), (2001, [float("nan")] * 32, 1), (2002, [None] * 32, 1), (2003, [float("inf")] * 32, 2), (-5, [0.0] * 31 + [None], 2)]
+    same = [(3000 + k, table[5][1], None) for k in range(200)]
+    assert len(check_codes(spark, table + bad + same + [(4000, [0.25] * 32, None)])) == 501
+
+
+def test_vector_codes_of_odd_tables(spark):
+    own = np.random.default_rng(9)
+    few = [(k, own.normal(0, 1, 8).tolist(), None) for k in range(3)]
+    check_codes(spark, few)
+    check_codes(spark, [*few, (9, [0.5] * 5, 1), (10, [], 1), (11, [-3.25] * 19, 2)])
+    # Beyond 64 bits in the differences, and negative floors.
+    check_codes(spark, [(k, [float(x) for x in own.integers(-3, 4, 16) * 200_000.3], 0) for k in range(40)])
+    assert vector_codes.vector_codes(spark.createDataFrame([(1, None, 1)], "vec_id int, embedding array<float>, label int")).count() == 0
+
+
+def test_decoded_vectors_are_near(spark):
+    own = np.random.default_rng(10)
+    vectors = own.normal(0, 0.2, (40, 16))
+    rows = vector_codes.usable(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int"))
+    blocks = vector_codes.materialize(vector_codes.dictionary_blocks(rows, 16), "blocks")
+    books = vector_codes.fit_books(blocks, vector_codes.first_books(rows, 16))
+    for r in vector_codes.assign_codes(blocks, books).collect():
+        apart = ((vector_codes.decode_vector(r.code, books) - np.floor(vectors[r.vec_id] * 4096) / 4096) ** 2).sum()
+        assert apart == pytest.approx(r.error / 4096**2)

@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewire.shared import materialize
+
 
 def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only ``doc_id`` and ``text`` (null: empty), whatever else the table carries."""
@@ -43,6 +45,27 @@ def map_batches(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, rows: i
 ENCODED_ROWS = 10_000
 
 
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, one row per ``key`` (null is a key) with the number of its rows in ``count``.
+
+    A key with more than a 4,096th of all rows is hot; there are fewer than 4,096 of these, so they are broadcast. The
+    others meet by a shuffle, in which rows of hot keys are spread evenly.
+    """
+    facts = materialize(facts, "facts")
+    n = facts.agg(F.sum(count).alias("n")).first()["n"] or 0
+    others = [c for c in facts.columns if c not in (key, count)]
+    hot, cold = (facts.where(w) for w in (F.col(count) * 4096 > n, F.col(count) * 4096 <= n))
+    side = lambda df, mark: df.select(F.col(key).alias(f"_{mark}"), F.struct(*others).alias(f"_{mark}_facts"))
+    rows = rows.join(F.broadcast(side(hot, "hot")), F.col(key).eqNullSafe(F.col("_hot")), "left")
+    spread = 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(65_536))
+    rows = rows.withColumn("_spread", F.when(F.col("_hot_facts").isNull(), F.lit(0).cast("long")).otherwise(spread))
+    cold = side(cold, "cold").withColumn("_none", F.lit(0).cast("long"))
+    rows = rows.join(cold, F.col(key).eqNullSafe(F.col("_cold")) & (F.col("_spread") == F.col("_none")), "left")
+    found = F.coalesce("_hot_facts", "_cold_facts")
+    rows = rows.withColumn("_found", found).drop("_hot", "_hot_facts", "_cold", "_cold_facts", "_spread", "_none")
+    return rows.select("*", *[F.col("_found")[c].alias(c) for c in others]).drop("_found")
+
+
 def id_bucket(col: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
 

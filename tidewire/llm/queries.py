@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, near_dedup, packing, pii, quality, token_files, toxicity
+from tidewire.llm import bpe, exact_dedup, fingerprints, licenses, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, url_filters, vector_codes
 from tidewire.shared import shared_path
 
 
@@ -62,6 +62,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(documents(spark, sf_dir))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,10 +87,34 @@ QUERIES = {
         op8_token_files,
         op9_pii,
         op10_quality,
+        op11_periodic_runs,
+        op12_url_filters,
+        op13_vector_codes,
     )
 }
 
-#: SQL expresses the whole result of exact deduplication; the others are tested against brute force.
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebooks and codes as common table expressions, one pair per round."""
+    assign = lambda k: f"""d{k} as materialized (select r, part, entry, sum((v - c) * (v - c)) as d from x join b{k} using (part, place) group by all),
+        a{k} as materialized (select r, part, min(entry) as entry, min(d) as d from (select * from d{k} qualify d = min(d) over (partition by r, part)) group by r, part)"""
+    again = lambda k: f"""{assign(k)}, m{k} as materialized (select part, entry, place, sum(v)::bigint as s, count(*) as n from x join a{k} using (r, part) group by all),
+        b{k + 1} as materialized (select part, entry, place, case when n is null then c else (s - ((s % n) + n) % n) // n end as c from b{k} left join m{k} using (part, entry, place))"""
+    steps = ",\n        ".join([*map(again, range(rounds)), assign(rounds)])
+    return f"""
+        with e as materialized (
+            select row_number() over (order by vec_id) as r, vec_id, label, embedding from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0),
+        u as (select r, unnest(embedding) as y, unnest(range(len(embedding))) as k, len(embedding) // {parts} as w from e),
+        x as materialized (select r, k // w as part, k % w as place, floor(4096.0 * y::double)::bigint as v from u),
+        b0 as materialized (select part, r - 1 as entry, place, v as c from x where r <= {entries}),
+        {steps},
+        o as materialized (select r, string_agg(printf('%02x', entry::int), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by r)
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+            (select sha256(string_agg(c::varchar, ',' order by part, entry, place)) from b{rounds}) as codebooks_sha256
+        from e join o using (r)"""
+
+#: SQL expresses the whole result of exact deduplication and of vector codes; the others are tested against brute force.
 ORACLES = {
     "op2_exact_dedup": """
         with d as (
@@ -86,5 +122,6 @@ ORACLES = {
             from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
-        from d join g using (t)"""
+        from d join g using (t)""",
+    "op13_vector_codes": vector_codes_sql(),
 }
