@@ -184,10 +184,34 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 def library_ids(path, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+ODD_PIECES = ["İ", "I\u0307", "i\u0307", "\u0307", "é", "e\u0301", "\u0301", "ش\u0651", "क\u093c", "\u0958", "\ufb2a", "\u1e9e", "ǅ", "Σ", "ς", "K", "Å", "한", "\u1112\u1161"]
+ODD_PIECES += [" ", "  ", "\n", " \n", "\t", "\u00a0", "\u2003", "\x1c", "\u200b", "\x00", ".", ",", ";", ":", "!", "?", "'s", "'LL", "<", "|", "<|", "|>", "<|endoftext|>", "<|EndOfText|>"]
+ODD_PIECES += ["<|startoftext|>", "word", "Word", "WORD", "BAŞKENTİ", "a", "B", "7", "१", "²", "🎉", "日本", "-", "_", "≮", "=\u0338", "ª", "ʰ"]
+
+
+def odd_texts(n, seed):
+    import random
+
+    own = random.Random(seed)
+    return ["".join(own.choice(ODD_PIECES) for _ in range(own.randint(1, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_plain_library_call(name):
+    import pyarrow as pa
+
+    texts = ["Ankara BAŞKENTİ. Son", "İ.", "a <|endoftext|> b", *odd_texts(50_000, 5)]
+    encode = packing.json_encoder(public_tokenizers.path(name))
+    for start in range(0, len(texts), 5000):
+        part = texts[start : start + 5000]
+        got = [np.frombuffer(i, "<u4").tolist() for i in encode(pa.array(part))]
+        wrong = [(t, g, e) for t, g, e in zip(part, got, library_ids(public_tokenizers.path(name), part)) if g != e]
+        assert not wrong, wrong[:3]
+
+
 def check_packing(pieces, expected, capacity):
     assert {r.doc_id for r in pieces} == set(expected)
     for i, ids in expected.items():

@@ -13,6 +13,7 @@ from heapq import heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -45,21 +46,25 @@ def split_pattern(pre_tokenizer: dict) -> str | None:
 
 @lru_cache(maxsize=4)
 def json_encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
-    """Encodes texts with the tokenizers library; the strings of special tokens are ordinary text.
+    """Encodes texts as the tokenizers library does without special tokens of its own.
 
     Words and marks of a byte-level tokenizer that a worker has met are remembered, and only new ones go to the
-    library's model. Other tokenizers encode whole texts.
+    library's model. Other tokenizers encode whole texts, and so do all tokenizers where a text has the string of an added token,
+    which the library makes that token's id.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     described = json.loads(tokenizer.to_str())
     pattern = split_pattern(described["pre_tokenizer"] or {})
 
+    def whole(texts: pa.Array) -> list[bytes]:
+        return [id_bytes(e.ids) for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+
     if pattern is None:
-        return lambda texts: [id_bytes(e.ids) for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        return whole
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     tokenize, blank = tokenizer.model.tokenize, chr(BYTE_CHARS[32])
 
     def encode(pieces: list[str]) -> list[bytes]:
@@ -70,7 +75,19 @@ def json_encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
         ]
         return [id_bytes([t.id for t in tokenize(s)]) for s in spelt]
 
-    return ChunkEncoder(regex.compile(pattern).findall, encode, normalizer_of(tokenizer, described["normalizer"]))
+    chunked = ChunkEncoder(regex.compile(pattern).findall, encode, normalizer_of(tokenizer, described["normalizer"]))
+
+    def run(texts: pa.Array) -> list[bytes]:
+        odd = np.zeros(len(texts), bool)
+        for content in added:
+            # In any case of its letters: some added tokens are looked for in the normal form.
+            odd |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return chunked(texts)
+        special, plain = (iter(f(texts.filter(pa.array(m)))) for f, m in ((whole, odd), (chunked, ~odd)))
+        return [next(special if o else plain) for o in odd]
+
+    return run
 
 
 def normalizer_of(tokenizer, described: dict | None) -> Callable[[str], str] | None:
