@@ -263,6 +263,39 @@ def test_packing_is_near_the_bound():
     assert len(bins) <= -(-sum(lengths) // 2048) * 1.005 + 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_search_reaches_the_bound(sf):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    sizes = [len(i) + 1 for i in library_ids(JSON, [t or "" for t in texts])]
+    lengths = [n % 2048 for n in sizes if n % 2048] + [2048] * sum(n // 2048 for n in sizes)
+    start = packing.fitted(sorted(range(len(lengths)), key=lambda i: 2 * lengths[i] <= 2048), lengths, 2048)
+    bound, found = packing.least_bins(lengths, 2048), packing.pack_lengths(lengths, 2048)
+    assert len(start) > bound and len(found) == bound
+    assert sorted(i for b in found for i in b) == list(range(len(lengths)))
+    assert max(sum(lengths[i] for i in b) for b in found) <= 2048
+
+
+def test_exchanges_keep_the_tables_of_the_bins():
+    own = np.random.default_rng(12)
+    for _ in range(60):
+        lengths = own.integers(1, 100, 60).tolist()
+        bins = packing.best_fit(lengths, 128)
+        found, _ = packing.local_search([list(b) for b in bins], lengths, 128)
+        assert sorted(i for b in found for i in b) == list(range(60)) and len(found) <= len(bins)
+        assert all(sum(lengths[i] for i in b) <= 128 for b in found)
+        state = packing.Takers([list(b) for b in bins], lengths, 128)
+        for k in range(len(bins)):
+            state.enter(k)
+        for giver in range(len(bins)):
+            state.leave(giver)
+            while state.sizes[giver] and state.step(giver, True):
+                assert all(sorted(lengths[i] for i in items) == sizes for items, sizes in zip(state.items, state.sizes))
+                assert all(f == 128 - sum(s) >= 0 for f, s in zip(state.free, state.sizes))
+                assert all(state.where[n] == {k for k, s in enumerate(state.sizes) if n in s} for n in range(129))
+
+
 def test_groups_share_their_last_sequences(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_PIECES", 40)
     own = np.random.default_rng(6)

@@ -202,6 +202,12 @@ class Takers:
         self.sizes = [[lengths[i] for i in b] for b in self.items]
         self.free = [capacity - sum(s) for s in self.sizes]
         self.ready = [False] * len(bins)
+        self.open: dict[int, None] = {}
+        self.pairs: dict[int, tuple[list[int], dict[int, tuple[int, int]]]] = {}
+        self.where: list[set[int]] = [set() for _ in range(capacity + 1)]
+        for at, sizes in enumerate(self.sizes):
+            for size in sizes:
+                self.where[size].add(at)
         self.heaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
         self.reach = np.zeros(capacity + 1, np.int64)
         self.place = np.arange(capacity + 1)
@@ -221,15 +227,19 @@ class Takers:
 
     def enter(self, at: int) -> None:
         self.ready[at] = True
+        self.open[at] = None
         for size in (0, *set(self.sizes[at])):
             heappush(self.heaps[size], (-self.free[at], at))
             self.reach[size] = max(self.reach[size], self.free[at])
 
     def leave(self, at: int) -> None:
         self.ready[at] = False
+        self.open.pop(at, None)
         self.refresh((0, *set(self.sizes[at])))
 
     def move(self, source: int, target: int, size: int) -> None:
+        self.pairs.pop(source, None)
+        self.pairs.pop(target, None)
         at = bisect_left(self.sizes[source], size)
         self.sizes[source].pop(at)
         item = self.items[source].pop(at)
@@ -238,6 +248,10 @@ class Takers:
         self.items[target].insert(at, item)
         self.free[source] += size
         self.free[target] -= size
+        self.where[size].add(target)
+        at = bisect_left(self.sizes[source], size)
+        if at == len(self.sizes[source]) or self.sizes[source][at] != size:
+            self.where[size].discard(source)
 
     def exchange(self, offers: list[tuple[int, ...]]) -> tuple[tuple[int, ...], int] | None:
         """Of offers, items of one bin by their lengths, the one that moves most into a taker, and what comes back."""
@@ -251,7 +265,7 @@ class Takers:
         best = int(gain.argmax())
         return (offers[best], int(back[best])) if gain[best] > 0 else None
 
-    def step(self, giver: int) -> bool:
+    def step(self, giver: int, deep: bool) -> bool:
         """Make an exchange from the giver: an item that moves, or one or else two for a smaller one."""
         sizes = self.sizes[giver]
         one = sorted(set(sizes))
@@ -260,7 +274,7 @@ class Takers:
             two = [(a, b) for k, a in enumerate(one) for b in one[k + 1 :]]
             found = self.exchange(two + [(a, a) for a, b in zip(sizes, sizes[1:]) if a == b])
         if found is None:
-            return False
+            return deep and (self.one_for_two(giver, one) or self.split(giver, one))
         out, back = found
         taker = self.heaps[back][0][1]
         had = set(self.sizes[taker])
@@ -273,43 +287,113 @@ class Takers:
         return True
 
 
+    def one_for_two(self, giver: int, sizes: list[int]) -> bool:
+        """Change an item for two of a taker that are shorter together, by no more than its room."""
+        for at in self.open:
+            room, (sums, pairs) = self.free[at], self.pairs_of(at)
+            for whole in sizes:
+                j = bisect_left(sums, whole - room)
+                if j < len(sums) and sums[j] < whole:
+                    had = set(self.sizes[at])
+                    self.move(giver, at, whole)
+                    for part in pairs[sums[j]]:
+                        self.move(at, giver, part)
+                    self.refresh((0, *had))
+                    self.enter(at)
+                    return True
+        return False
+
+    def pairs_of(self, at: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
+        """The lengths that two items of a bin have together, in order, and a pair of each; kept until the bin changes."""
+        if at not in self.pairs:
+            sizes = self.sizes[at]
+            one = sorted(set(sizes))
+            two = {a + b: (a, b) for k, a in enumerate(one) for b in one[k + 1 :]}
+            two |= {2 * a: (a, a) for a, b in zip(sizes, sizes[1:]) if a == b}
+            self.pairs[at] = (sorted(two), two)
+        return self.pairs[at]
+
+    def split(self, giver: int, sizes: list[int]) -> bool:
+        """Change an item for two of any bin, full ones too, that are as long together and one of which moves right after.
+
+        The exchange leaves all fills as they are; the move then raises a fuller bin's, so this too ends.
+        """
+        room = int(self.reach[0])
+        for whole in reversed(sizes):
+            for part in range(min(room, whole - 1), 0, -1):
+                rest = whole - part
+                for at in self.where[part] & self.where[rest]:
+                    if at == giver or part == rest and self.sizes[at].count(part) < 2:
+                        continue
+                    had = set(self.sizes[at])
+                    self.move(giver, at, whole)
+                    self.move(at, giver, part)
+                    self.move(at, giver, rest)
+                    if self.ready[at]:
+                        self.refresh((0, *had))
+                        self.enter(at)
+                    taker = self.heaps[0][0][1]
+                    had = set(self.sizes[taker])
+                    self.move(giver, taker, part)
+                    self.refresh((0, *had))
+                    self.enter(taker)
+                    return True
+        return False
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[list[list[int]], int]:
     """Empty underfull bins by moves and swaps that increase the sum of squared fills; the bins and the number of steps.
 
     The emptiest bin gives: an item moves to a fuller bin with room, or one item or two change places with a
-    smaller item of a fuller bin, until it is empty and dropped or no exchange is left; then the next one gives. Every step
-    raises a fuller bin's fill at the cost of an emptier one, so the search ends. It passes over all underfull
-    bins as long as a pass empties one and a lower bound allows fewer.
+    smaller item of a fuller bin, or one with two shorter ones, until it is empty and dropped or no exchange is left; then the
+    next one gives. Every step raises a fuller bin's fill at the cost of an emptier one, so the search ends. It passes over all
+    underfull bins until a pass makes no step or a lower bound allows no fewer.
     """
     state = Takers(bins, lengths, capacity)
-    least, left, steps, before = least_bins(lengths, capacity), len(bins), 0, len(bins) + 1
-    while least < left < before:
-        before = left
+    least, left, steps, before, thorough = least_bins(lengths, capacity), len(bins), 0, -1, False
+    while least < left and (steps > before or not thorough):
+        thorough, before = steps == before, steps
         open_ = sorted((k for k, s in enumerate(state.sizes) if s and state.free[k]), key=lambda k: (state.free[k], k))
         for at in open_:
             state.enter(at)
+        # Exchanges that look through many bins are for those that get empty, and for all once a pass made no step without.
+        deep = True
         for giver in reversed(open_):
             if left <= least:
                 break
             state.leave(giver)
-            while state.sizes[giver] and state.step(giver):
+            while state.sizes[giver] and state.step(giver, deep):
                 steps += 1
             left -= not state.sizes[giver]
+            deep = thorough or deep and not state.sizes[giver]
     return [b for b in state.items if b], steps
 
 
+def fitted(items: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of a best fit of the items in the order given."""
+    return [[items[k] for k in b] for b in best_fit([lengths[i] for i in items], capacity)]
+
+
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: the local search from a best fit in the order given.
+    """Bins of item numbers: the local search from a best fit, longer items than half a bin first, then in the order given.
 
-    If that stays above the lower bound, the search starts again from a best fit of the longest items first, and the
-    fewer bins count.
+    The former need a bin each in any packing; what the fit wastes on the others the search wins back. Where it ends above the
+    lower bound, it escapes: the emptiest 8, 16, 32, ... bins exchange all their items at once, packed anew from the
+    longest to the shortest, and where that too increases the squared fill the search goes on from there.
     """
-    found, _ = local_search(best_fit(lengths, capacity), lengths, capacity)
-    if len(found) > least_bins(lengths, capacity):
-        order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-        bins = [[order[k] for k in b] for b in best_fit([lengths[i] for i in order], capacity)]
-        found = min(found, local_search(bins, lengths, capacity)[0], key=len)
-    return found
+    items = sorted(range(len(lengths)), key=lambda i: 2 * lengths[i] <= capacity)
+    bins, _ = local_search(fitted(items, lengths, capacity), lengths, capacity)
+    least, width = least_bins(lengths, capacity), 8
+    squares = lambda some: sum(sum(lengths[i] for i in b) ** 2 for b in some)
+    while len(bins) > least and width < 2 * len(bins):
+        bins.sort(key=lambda b: sum(lengths[i] for i in b))
+        taken = sorted((i for b in bins[:width] for i in b), key=lambda i: -lengths[i])
+        again = fitted(taken, lengths, capacity)
+        if squares(again) > squares(bins[:width]):
+            bins, _ = local_search(again + bins[width:], lengths, capacity)
+        else:
+            width *= 2
+    return bins
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
