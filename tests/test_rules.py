@@ -142,6 +142,92 @@ def test_event_groups(spark):
     assert got[0][0] == got[1][0] == got[2][0] != got[3][0]
 
 
+def brute_events(rows, links, rules):
+    """Groups of ``(id, us, vector)``, newest first, by trying every group for every article and every pair for every merge."""
+    import numpy as np
+
+    v = {i: np.array(x) / np.linalg.norm(x) for i, _, x in rows}
+    at = {i: us for i, us, _ in rows}
+    link = lambda a, b: links.get((min(a, b), max(a, b)))
+    spans = lambda g: max(map(at.get, g)) - min(map(at.get, g)) <= rules.span
+
+    def centre(g):
+        return sum(v[i] for i in g) / max(np.linalg.norm(sum(v[i] for i in g)), 1e-12)
+
+    def coherent(g):
+        cosines = [v[a] @ v[b] for k, a in enumerate(g) for b in g[:k]]
+        return sum(cosines) >= rules.mean * len(cosines) and min(v[i] @ centre(g) for i in g) >= rules.centroid
+
+    def score(i, g):
+        found = [link(i, m) for m in g if link(i, m)]
+        if len(found) < grouping.support(len(g)) or not spans([*g, i]) or not coherent([*g, i]):
+            return None
+        best = [max(c) for c in zip(*found)]
+        return 0.45 * best[0] + 0.35 * v[i] @ centre([*g, i]) + 0.12 * best[1] + 0.08 * best[2] + 0.02 * min(len(found), 3)
+
+    def merged(g, h):
+        found = [(a, b, link(a, b)) for a in g for b in h if link(a, b)]
+        if not found or max(f[2][0] for f in found) < rules.pair or not spans(g + h) or not coherent(g + h):
+            return None
+        if len({f[0] for f in found}) < grouping.support(len(g)) or len({f[1] for f in found}) < grouping.support(len(h)):
+            return None
+        return 0.7 * max(f[2][0] for f in found) + 0.3 * max(max(f[2][1:]) for f in found)
+
+    groups = []
+    for i, _, _ in rows:
+        tried = [(s, -k) for k, g in enumerate(groups) if (s := score(i, g)) is not None]
+        groups[-max(tried)[1]].append(i) if tried else groups.append([i])
+    while tried := [(s, -a, -b) for b in range(len(groups)) for a in range(b) if (s := merged(groups[a], groups[b])) is not None]:
+        _, a, b = max(tried)
+        groups[-a] += groups.pop(-b)
+    order = {i: k for k, (i, _, _) in enumerate(rows)}
+    return {(i, min(g, key=order.get), len(g)) for g in groups if len(g) == 1 or coherent(g) for i in g}
+
+
+def event_tables(seed, n):
+    own = random.Random(seed)
+    centres = [[own.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    rows = [(i, own.randint(0, 90), [c + own.gauss(0, 0.5) for c in own.choice(centres)]) for i in range(n)]
+    links = {}
+    for _ in range(4 * n):
+        a, b = sorted(own.sample(range(n), 2))
+        links[a, b] = (own.uniform(0.5, 1), own.random(), own.random())
+    return sorted(rows, key=lambda r: (-r[1], f"u{r[0]:04d}")), links
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_event_groups_are_those_of_trying_all(spark, seed):
+    rules = grouping.EventRules(centroid=0.6, mean=0.4, span_hours=30, pair=0.8)
+    rows, links = event_tables(seed, 70)
+    hour = 3_600_000_000
+    table = [(i, "s", f"u{i:04d}", us * hour, x) for i, us, x in rows]
+    articles = spark.createDataFrame(table, "id long, source string, url string, us long, embedding array<double>")
+    articles = articles.withColumn("publish_date", F.timestamp_micros("us")).drop("us")
+    pairs_ = spark.createDataFrame([(*k, *x) for k, x in links.items()], "a long, b long, similarity double, h double, e double")
+    got = {tuple(r) for r in grouping.event_groups(articles, pairs_, rules).collect()}
+    assert got == brute_events([(i, us * hour, x) for i, us, x in rows], links, rules)
+    assert len({g for _, g, _ in got}) < len(got) < 71
+
+
+def test_a_component_of_many_articles_is_a_stream():
+    import time
+    from collections import namedtuple
+
+    row = namedtuple("row", "id us embedding near")
+    own, hour, n = random.Random(1), 3_600_000_000, 50_000
+    near = lambda k: [{"b": j, "similarity": 0.95, "h": 0.5, "e": 0.5} for j in range(max(0, k - 8), k)]
+    walk, began, out, most = grouping.Events(grouping.EventRules()), time.time(), [], 0
+    for k in range(n):
+        topic = k // 500
+        vector = [1.0 if d == topic % 16 else own.gauss(0, 0.05) for d in range(16)]
+        out += walk.see(row(k, -(k * 0.01 + (50 if k >= n // 2 else 0)) * hour, vector, near(k)))
+        most = max(most, len(walk.ids))
+    out += walk.result()
+    assert len({i for i, _, _ in out}) == len(out) and max(s for _, _, s in out) > 100
+    # What a gap longer than a group's span parts is not held together.
+    assert most == n // 2 and time.time() - began < 120
+
+
 def test_diverse_select_guarantees_economy(spark):
     rows = [(1, k, k, "city", [], 1) for k in range(1, 8)] + [(1, 9, 9, "economy", [], 1)]
     ranked = spark.createDataFrame(rows, "edition int, place int, id int, category string, families array<string>, sources int")

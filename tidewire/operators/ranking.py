@@ -33,8 +33,8 @@ def budgeted(df: DataFrame, group: str, order: list, size: Column, per_row: int,
 def walked(rows: DataFrame, key: str, order: list, walk, schema: str) -> DataFrame:
     """Rows of each key in ``order`` through a walk that may depend on all earlier ones, as a stream.
 
-    ``walk()`` makes the state of one key: ``see(row)`` takes a row, ``result()`` gives output rows at the end. Only that
-    state is held, whatever the number of the key's rows; the sort spills.
+    ``walk()`` makes the state of one key: ``see(row)`` takes a row and may give output rows, ``result()`` gives those of the
+    end. Only that state is held, whatever the number of the key's rows; the sort spills.
     """
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -46,7 +46,7 @@ def walked(rows: DataFrame, key: str, order: list, walk, schema: str) -> DataFra
                 if state is None or getattr(row, key) != now:
                     out += state.result() if state is not None else []
                     now, state = getattr(row, key), walk()
-                state.see(row)
+                out += state.see(row) or []
             yield pd.DataFrame(out, columns=names)
         if state is not None:
             yield pd.DataFrame(state.result(), columns=names)
