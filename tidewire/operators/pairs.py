@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -151,12 +152,103 @@ def shared_token_pairs(rows: DataFrame, tokens: str, least: int = 1) -> DataFram
     return left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: str) -> DataFrame:
-    """Pairs of ``vectors(id, embedding, block)`` with a cosine of ``threshold`` or more within a block."""
-    a = vectors.select(block, F.col("id").alias("a"), F.col("embedding").alias("va"))
-    b = vectors.select(block, F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, block).where("a < b").withColumn("similarity", cosine(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+#: Vectors of a tile, the unit of exact similarity search, and the most pivots by which a block's vectors are parted.
+TILE_ROWS, MOST_PIVOTS = 2048, 64
+
+
+def tiles(vectors: DataFrame, block: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``(tile, block, centre, radius, longest, ids, vectors)``: at most ``tile_rows`` vectors near one pivot, of one block.
+
+    Rows are dealt by ranges of block, nearest pivot and a hash, so a block or a pivot with a large share of all rows fills many
+    tasks; each task cuts its sorted rows into tiles. Blocks that fill no tile have one pivot, so that tiles stay few.
+    """
+    rows = vectors.select(F.col(block).alias("block"), "id", "embedding").where("block is not null and embedding is not null")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("block").alias("blocks")).first()
+    count = min(MOST_PIVOTS, max(1, round(size["n"] / max(1, size["blocks"]) / tile_rows)))
+    first = rows.orderBy(F.xxhash64("id"), "id").limit(count).select("embedding").collect()
+    pivots = np.array([r["embedding"] for r in first], np.float64)
+    kinds = dict(rows.dtypes)
+
+    def part(batches):
+        for x in batches:
+            v = np.array(x["embedding"].tolist(), np.float64).reshape(len(x), -1)
+            # The nearest pivot has the least |p|^2 - 2 v p.
+            yield x.assign(cell=((pivots**2).sum(axis=1) - 2 * v @ pivots.T).argmin(axis=1) if len(x) else [])
+
+    def cut(batches):
+        held, key = [], None
+
+        def tile():
+            v = np.stack([r.embedding for r in held]).astype(np.float64)
+            centre = v.mean(axis=0)
+            apart, length = np.linalg.norm(v - centre, axis=1).max(), np.linalg.norm(v, axis=1).max()
+            return (key[0], centre.tolist(), float(apart), float(length), [r.id for r in held], v.tobytes())
+
+        for x in batches:
+            out = []
+            for r in x.itertuples(index=False):
+                if held and (key != (r.block, r.cell) or len(held) == tile_rows):
+                    out.append(tile())
+                    held.clear()
+                key = (r.block, r.cell)
+                held.append(r)
+            yield pd.DataFrame(out, columns=TILE)
+        if held:
+            yield pd.DataFrame([tile()], columns=TILE)
+
+    dealt = rows.mapInPandas(part, f"block {kinds['block']}, id {kinds['id']}, embedding {kinds['embedding']}, cell int") if count > 1 else rows.withColumn("cell", F.lit(0))
+    dealt = dealt.repartitionByRange("block", "cell", F.xxhash64("id")).sortWithinPartitions("block", "cell", F.xxhash64("id"), "id")
+    schema = f"block {kinds['block']}, centre array<double>, radius double, longest double, ids array<{kinds['id']}>, vectors binary"
+    return materialize(dealt.mapInPandas(cut, schema).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+
+
+TILE = ["block", "centre", "radius", "longest", "ids", "vectors"]
+
+
+def tile_pairs(cut: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)`` of tiles of one block, ``a <= b``, that may hold vectors with the inner product.
+
+    By the triangle inequality vectors of two tiles are at least as far apart as the tiles' centres less both radii, which with
+    their lengths bounds the product; the inequality of Cauchy and Schwarz bounds it by the centres' product and the radii.
+    """
+    side = lambda s: cut.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "centre", "radius", "longest")])
+    both = side("a").join(side("b"), "block").where("tile_a <= tile_b")
+    norm = lambda x: F.sqrt(cosine(x, x))
+    between = norm(F.zip_with("centre_a", "centre_b", lambda x, y: x - y))
+    gap = F.greatest(between - F.col("radius_a") - F.col("radius_b"), F.lit(0.0))
+    by_gap = (F.pow("longest_a", F.lit(2)) + F.pow("longest_b", F.lit(2)) - F.pow(gap, F.lit(2))) / 2
+    by_centres = cosine(F.col("centre_a"), F.col("centre_b")) + norm(F.col("centre_a")) * F.col("radius_b")
+    by_centres = by_centres + norm(F.col("centre_b")) * F.col("radius_a") + F.col("radius_a") * F.col("radius_b")
+    near = F.least(by_gap, by_centres) >= threshold - 1e-9
+    return both.where(near).select(F.col("tile_a").alias("a"), F.col("tile_b").alias("b"))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Pairs ``(a, b, similarity)`` of ``vectors(id, embedding, block)`` with a cosine of ``threshold`` or more within a block.
+
+    Vectors lie in tiles around pivots; tiles that cannot hold a pair are never brought together, the others are multiplied two
+    at a time, and only hits leave the task. Vectors are of unit length and one size; null ones take no part.
+    """
+    cut = tiles(vectors, block, tile_rows)
+    kind = dict(vectors.dtypes)["id"]
+
+    def multiply(part: pd.DataFrame) -> pd.DataFrame:
+        ends = [(np.array(r.ids), np.frombuffer(r.vectors).reshape(len(r.ids), -1)) for r in part.itertuples()]
+        (ia, va), (ib, vb) = ends[0], ends[-1]
+        x, y = np.nonzero(va @ vb.T >= threshold - 1e-9)
+        # Tiles of a pair come in either order, and one with itself has every pair twice.
+        keep = ia[x] < ib[y] if len(ends) == 1 else ia[x] != ib[y]
+        x, y = x[keep], y[keep]
+        # Summed up from left to right, as everywhere else.
+        found = np.concatenate([np.cumsum(va[x[k : k + 65_536]] * vb[y[k : k + 65_536]], axis=1)[:, -1] for k in range(0, len(x), 65_536)] or [np.zeros(0)])
+        keep = found >= threshold
+        a, b = ia[x][keep], ib[y][keep]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": found[keep]})
+
+    pairs = tile_pairs(cut, threshold)
+    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
+    ends = ends.join(cut.select("tile", "ids", "vectors"), "tile")
+    return ends.groupBy("a", "b").applyInPandas(multiply, f"a {kind}, b {kind}, similarity double")
 
 
 def window_pairs(items: DataFrame, hours: float) -> DataFrame:

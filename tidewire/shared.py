@@ -35,5 +35,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over as many tasks as a shuffle has where their files give fewer, as one large row group does."""
+    width = shuffle_width(rows.sparkSession)
+    return rows if rows.rdd.getNumPartitions() >= width else rows.repartition(width, key)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

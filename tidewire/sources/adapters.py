@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewire.shared import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,7 +25,7 @@ def publish_date() -> Column:
 
 def articles(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataFrame:
     """``documents`` as articles: the first line is the headline, the rest the body; vectors on request."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     out = docs.select(
         F.col("doc_id").alias("id"),
         "source",
