@@ -491,6 +491,68 @@ def test_headline_leaders_against_the_walk(spark):
     assert got == truth
 
 
+def test_headlines_meet_few_groups():
+    from collections import namedtuple
+
+    row = namedtuple("row", "edition id tokens")
+    own, walk = random.Random(2), grouping.Headlines(0.45)
+    # Every headline has the same frequent word, which alone brings none to a group.
+    rows = [row(1, k, ["city", *(f"w{own.randint(0, 10**6)}" for _ in range(5))]) for k in range(40_000)]
+    assert sum(len(walk.see(r)) for r in rows) == 40_000 and len(walk.leaders) > 39_000
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.9])
+def test_similar_pairs_of_tiles(spark, threshold):
+    import numpy as np
+
+    own = np.random.default_rng(4)
+    centres = own.normal(0, 1, (6, 8))
+    v = np.concatenate([centres[k % 6] + own.normal(0, 0.15, 8) for k in range(240)]).reshape(-1, 8)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table = [(k, v[k].tolist(), "x" if k % 10 else "y") for k in range(240)] + [(900, None, "x"), (901, v[0].tolist(), None)]
+    rows = spark.createDataFrame(table, "id long, embedding array<double>, label string")
+    got = {(r.a, r.b): r.similarity for r in pairs.similar_pairs(rows, threshold, "label", tile_rows=20).collect()}
+    truth = {(a, b): v[a] @ v[b] for a in range(240) for b in range(a + 1, 240) if (a % 10 == 0) == (b % 10 == 0) and v[a] @ v[b] >= threshold}
+    assert got == pytest.approx(truth)
+    cut = pairs.tiles(rows, "label", 20)
+    sizes = {r.tile: len(r.ids) for r in cut.collect()}
+    assert max(sizes.values()) <= 20 and sum(sizes.values()) == 240
+    compared = sum(sizes[r.a] * sizes[r.b] for r in pairs.tile_pairs(cut, 0.9).collect())
+    # Tiles far apart are never brought together; one with itself counts twice.
+    assert compared < 0.6 * (216 * 216 + 24 * 24) / 2
+
+
+def test_coverage_and_related_with_frequent_tokens(spark):
+    own = random.Random(7)
+    words = lambda n: sorted({"common", *(f"w{int(own.random() ** 2 * 60)}" for _ in range(n))})
+    ours = [(k, words(own.randint(1, 12))) for k in range(300)] + [(900, [])]
+    wanted = [(k, words(own.randint(1, 30))) for k in range(25)] + [(50, ["none"]), (51, [])]
+    kind = "id long, tokens array<string>"
+    got = {r.w: (r.best, r.covered) for r in pairs.coverage(spark.createDataFrame(wanted, kind), spark.createDataFrame(ours, kind)).collect()}
+    for i, tokens in wanted:
+        best = max((len({*tokens} & {*o}) / min(len(tokens), len(o)) for _, o in ours if tokens and o), default=0.0)
+        assert got[i] == (pytest.approx(best), best >= 0.5)
+    table = [(k, k % 7, t_, [own.random(), own.random()]) for k, t_ in ours]
+    others = spark.createDataFrame(table, "id long, cluster long, anchors array<string>, embedding array<double>")
+    primary = others.where("id < 20").withColumn("card", F.col("id") % 5)
+    found = {(r.card, r.id): (r.similarity, r.shared) for r in pairs.related_articles(primary, others, 0.4).collect()}
+    truth = {}
+    for a, ca, ta, va in table[:20]:
+        for b, cb, tb, vb in table:
+            if ca != cb and {*ta} & {*tb}:
+                s, shared = truth.get((a % 5, b), (-9, set()))
+                truth[a % 5, b] = (max(s, sum(x * y for x, y in zip(va, vb))), shared | ({*ta} & {*tb}))
+    truth = {k: (pytest.approx(s), len(x)) for k, (s, x) in truth.items() if s >= 0.4}
+    assert found == truth
+
+
+def test_expectations_go_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "EXPECTATIONS_AT_ONCE", 3)
+    ex = spark.createDataFrame([(k, [f"word{k}", "other"], 2) for k in range(8)], "expectation int, keywords array<string>, min_hits int")
+    cards = spark.createDataFrame([(k, f"a word{k} and the other") for k in range(10)], "card int, text string")
+    assert {tuple(r) for r in pairs.expectation_hits(ex, cards).collect()} == {(k, k, 2) for k in range(8)}
+
+
 def test_stored_rows_expire(spark, tmp_path):
     from tidewire import streaming
 

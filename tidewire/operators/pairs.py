@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewire.functions import text as t
-from tidewire.shared import materialize
+from tidewire.shared import materialize, shuffle_width
 
 
 def unseen(items: DataFrame, seen: DataFrame, key: str) -> DataFrame:
@@ -145,11 +146,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def hot_keys(many: DataFrame, key: str) -> DataFrame:
+    """Keys with more than a 4,096th of the rows, fewer than 4,096 of them."""
+    n = many.count()
+    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 4096 > n)
+    return materialize(hot.select(key, F.lit(True).alias("_hot")), "hot-keys")
+
+
+def spread_join(few: DataFrame, many: DataFrame, key: str, unique: str, hot: DataFrame | None = None) -> DataFrame:
+    """An inner join on ``key`` in which the rows of ``many`` with a hot key, told apart by ``unique``, fill many tasks.
+
+    The hot keys are broadcast, for their number is bounded; the rows of ``few`` with one go to each of its parts.
+    """
+    hot, parts = F.broadcast(hot_keys(many, key) if hot is None else hot), shuffle_width(many.sparkSession)
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(unique), F.lit(parts)).cast("int")).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    many = many.join(hot, key, "left").withColumn("_part", part).drop("_hot")
+    few = few.join(hot, key, "left").withColumn("_part", F.explode(every)).drop("_hot")
+    return few.join(many, [key, "_part"]).drop("_part")
+
+
 def shared_token_pairs(rows: DataFrame, tokens: str, least: int = 1) -> DataFrame:
     """Pairs ``(a, b, shared)`` of ``rows(id, tokens)`` that share ``least`` tokens, by an inverted index."""
-    index = rows.select("id", F.explode(tokens).alias("token"))
+    index = materialize(rows.select("id", F.explode(tokens).alias("token")), "tokens")
     left, right = index.select("token", F.col("id").alias("a")), index.select("token", F.col("id").alias("b"))
-    return left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    return spread_join(left, right, "token", "b").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
 #: Vectors of a tile, the unit of exact similarity search, and the most pivots by which a block's vectors are parted.
@@ -279,9 +300,9 @@ def candidates_for_events(articles: DataFrame) -> DataFrame:
     rows = articles.select("id", F.array_except(every, generic).alias("k"), F.array_intersect(every, generic).alias("g"))
     index = materialize(by_rarity(rows, "k").where("place < n").select("id", "token"), "event-tokens")
     both = rows.where(F.size("g") >= 2).select("id", F.explode("k").alias("x"), "g").select("id", "x", F.explode("g").alias("y"))
-    index = index.union(both.select("id", F.concat_ws("\t", "x", "y")))
+    index = index.union(materialize(both.select("id", F.concat_ws("\t", "x", "y")), "word-pairs"))
     left, right = index.select("token", F.col("id").alias("a")), index.select("token", F.col("id").alias("b"))
-    return left.join(right, "token").where("a < b").select("a", "b").distinct()
+    return spread_join(left, right, "token", "b").where("a < b").select("a", "b").distinct()
 
 
 def compatible_pairs(articles: DataFrame, threshold: float | None = None, verdicts: DataFrame | None = None, headline: float = 0.20, entity: float = 0.15) -> DataFrame:
@@ -320,23 +341,37 @@ def compatible_pairs(articles: DataFrame, threshold: float | None = None, verdic
 def related_articles(primary: DataFrame, others: DataFrame, least: float) -> DataFrame:
     """Context of cards: others of another cluster that share an anchor with a primary, by their best cosine.
 
-    ``primary(card, id, cluster, anchors, embedding)``, ``others(id, cluster, anchors, embedding)``.
+    ``primary(card, id, cluster, anchors, embedding)``, ``others(id, cluster, anchors, embedding)``. Ids meet at anchors, of
+    which hot ones are spread over tasks; the vectors join the distinct pairs that are left.
     """
-    p = primary.select("card", F.col("cluster").alias("pc"), F.col("embedding").alias("pv"), F.explode("anchors").alias("anchor"))
-    o = others.select("id", "cluster", F.col("embedding").alias("ov"), F.explode("anchors").alias("anchor"))
-    hits = p.join(o, "anchor").where("cluster <> pc")
-    best = hits.groupBy("card", "id").agg(F.max(cosine(F.col("pv"), F.col("ov"))).alias("similarity"), F.countDistinct("anchor").alias("shared"))
-    return best.where(F.col("similarity") >= least)
+    p = primary.select("card", F.col("id").alias("p"), F.col("cluster").alias("pc"), F.explode("anchors").alias("anchor"))
+    o = materialize(others.select("id", "cluster", F.explode("anchors").alias("anchor")), "anchors")
+    hits = spread_join(p, o, "anchor", "id").where("cluster <> pc").select("card", "p", "id", "anchor")
+    hits = materialize(hits, "anchor-hits")
+    shared = hits.groupBy("card", "id").agg(F.count_distinct("anchor").alias("shared"))
+    vector = lambda df, i, v: df.select(F.col("id").alias(i), F.col("embedding").alias(v)).distinct()
+    near = hits.select("card", "p", "id").distinct().join(vector(primary, "p", "pv"), "p").join(vector(others, "id", "ov"), "id")
+    near = near.withColumn("s", cosine(F.col("pv"), F.col("ov"))).where(F.col("s") >= least)
+    return near.groupBy("card", "id").agg(F.max("s").alias("similarity")).join(shared, ["card", "id"])
+
+
+#: Expectations that are compared with the cards at once.
+EXPECTATIONS_AT_ONCE = 4096
 
 
 def expectation_hits(expectations: DataFrame, cards: DataFrame) -> DataFrame:
     """Keyword hits ``(expectation, card, hits)`` where enough of an expectation's keywords occur in a card.
 
-    The expectations are a stated query set of one day, compared with every card by the broadcast of their list.
+    The expectations are a stated query set, compared with every card in blocks of a bounded number.
     """
-    held = expectations.select("expectation", "keywords", "min_hits")
+    held = materialize(expectations.select("expectation", "keywords", "min_hits"), "expectations")
+    blocks = max(1, -(-held.count() // EXPECTATIONS_AT_ONCE))
     hay = cards.select("card", t.scorer_normal(F.col("text")).alias("hay"))
-    pairs = hay.join(F.broadcast(held), F.exists("keywords", lambda k: F.contains(F.col("hay"), k)))
+    hay = materialize(hay, "hay") if blocks > 1 else hay
+    # Dealt evenly by their place in the written table, so a block holds about as many as stated.
+    held = materialize(held.withColumn("block", F.ntile(blocks).over(Window.orderBy("expectation"))), "blocks") if blocks > 1 else held.withColumn("block", F.lit(1))
+    met = [hay.join(F.broadcast(held.where(F.col("block") == k + 1).drop("block")), F.exists("keywords", lambda k: F.contains(F.col("hay"), k))) for k in range(blocks)]
+    pairs = reduce(DataFrame.union, met)
     pairs = pairs.withColumn("hits", F.size(F.filter("keywords", lambda k: F.contains(F.col("hay"), k))))
     return pairs.where(F.col("hits") >= F.greatest(F.least("min_hits", F.size("keywords")), F.lit(1))).select("expectation", "card", "hits")
 
@@ -359,10 +394,29 @@ def duplicate_cards(cards: DataFrame, least: float = 0.75) -> DataFrame:
 
 
 def coverage(wanted: DataFrame, ours: DataFrame, least: float = 0.5) -> DataFrame:
-    """Per wanted row ``(id, tokens)`` its best containment in our token sets, misses included."""
-    left = wanted.select(F.col("id").alias("w"), F.size("tokens").alias("nw"), F.explode("tokens").alias("token"))
-    right = ours.select(F.col("id").alias("o"), F.size("tokens").alias("no"), F.explode("tokens").alias("token"))
-    both = left.join(right, "token").groupBy("w", "o", "nw", "no").agg(F.count(F.lit(1)).alias("shared"))
-    best = both.groupBy("w").agg(F.max(F.col("shared") / F.least("nw", "no")).alias("best"))
-    out = wanted.select(F.col("id").alias("w")).join(best, "w", "left")
-    return out.select("w", F.coalesce("best", F.lit(0.0)).alias("best"), (F.coalesce("best", F.lit(0.0)) >= least).alias("covered"))
+    """Per wanted row ``(id, tokens)`` its best containment in our token sets, misses included.
+
+    Our rows are listed under their tokens from rare to frequent and met at places 1-3, 4-15, 16-63, ... . A row first met at a
+    place shares none of its tokens before, which bounds its containment; so it is looked at only where that beats the best so
+    far, and the search ends when no row's bound does. A frequent token is a late one of most rows, which end before it.
+    """
+    rows = ours.select("id", F.array_distinct("tokens").alias("tokens"))
+    every = materialize(by_rarity(rows, "tokens"), "postings")
+    wants = materialize(wanted.select(F.col("id").alias("w"), F.array_distinct("tokens").alias("wt")), "wanted")
+    best = materialize(wants.select("w", F.size("wt").alias("nw"), F.lit(0.0).alias("best")), "best")
+    words, hot, first, then = wants.select("w", F.explode("wt").alias("token")), hot_keys(every, "token"), 1, 4
+    while True:
+        low = best.agg(F.min("best").alias("b"), F.min("nw").alias("n")).first()
+        beats = F.col("n") - F.col("place") + 1 > F.lit(low["b"] or 0.0) * F.least("n", F.lit(low["n"] or 0))
+        ahead = every.where((F.col("place") >= first) & beats)
+        if low["b"] is None or ahead.isEmpty():
+            break
+        some = ahead.where(F.col("place") < then).select("id", "n", "token", "place")
+        met = spread_join(words, some, "token", "id", hot).join(best, "w")
+        met = met.where(F.least("nw", F.col("n") - F.col("place") + 1) > F.col("best") * F.least("n", "nw")).select("w", "id").distinct()
+        full = met.join(wants, "w").join(rows, "id")
+        shared = F.size(F.array_intersect("wt", "tokens")) / F.least(F.size("wt"), F.size("tokens"))
+        found = full.groupBy("w").agg(F.max(shared).alias("found"))
+        best = best.join(found, "w", "left").select("w", "nw", F.greatest("best", F.coalesce("found", F.lit(0.0))).alias("best"))
+        best, first, then = materialize(best, "best"), then, 4 * then
+    return best.select("w", "best", (F.col("best") >= least).alias("covered"))
