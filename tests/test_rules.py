@@ -276,12 +276,42 @@ def test_near_copies_are_told_by_whole_texts(spark):
     rows = spark.createDataFrame([(i, *x, f"https://a.example.com/{i}") for i, x in texts.items()], "id long, headline string, main_text string, url string")
     seen = rows.where("id < 0").select(F.col("url").alias("canonical_url"))
     assert sorted(r.id for r in views.dedup(rows, seen).collect()) == kept
-    stored, new = rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
-    got = {tuple(sorted(r)) for r in pairs.near_duplicates_of(new, stored, t.whole_text()).collect()}
-    assert got == {p for p in near if p[0] % 2 or p[1] % 2}
     assert {r.id for r in grouping.keep_without_near_copies(rows, t.whole_text(), -F.col("id")).collect()} == {0, 1, 2, 4, 13, 22, 30, 31}
 
 
+def run_near_stream(spark, folder, batches, hours):
+    """Each batch one file and one micro-batch, in order."""
+    import os
+    import time
+
+    from tidewire import streaming
+    from tidewire.streaming import near
+
+    kind = "id long, x string, ts timestamp"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id long, x string, at string").select("id", "x", F.to_timestamp("at").alias("ts")).coalesce(1).write.parquet(f"{folder}/b{k}")
+        for name in os.listdir(f"{folder}/b{k}"):
+            os.utime(f"{folder}/b{k}/{name}", (time.time() + k, time.time() + k))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/b*")
+    return {tuple(r) for r in streaming.run_to_files(near.near_copies(stream, F.col("x"), hours), "near-test").collect()}
+
+
+def test_a_stream_of_copies_gives_a_pair_for_each(spark, tmp_path):
+    body, other = (" ".join(f"{w}{j}" for j in range(80)) for w in "ab")
+    first = [(k, body, "2024-01-01 00:00:00") for k in range(0, 200)]
+    second = [(k, body, "2024-01-01 01:00:00") for k in range(200, 400)] + [(500, body.replace("a40", "zz"), "2024-01-01 02:00:00"), (600, other, "2024-01-01 02:00:00"), (700, "", "2024-01-01 02:00:00")]
+    got = run_near_stream(spark, tmp_path, [first, second], 24)
+    assert {p for p in got if p[1] < 500} == {(0, k) for k in range(1, 400)}
+    assert got - {(0, k) for k in range(1, 400)} == {(0, 500)}
+
+
+def test_the_state_of_a_stream_expires(spark, tmp_path):
+    body = " ".join(f"a{j}" for j in range(80))
+    batches = [[(1, body, "2024-01-01 00:00:00")], [(2, body, "2024-01-01 05:00:00")], [(3, "x y z", "2024-01-05 00:00:00")], [(4, body, "2024-01-05 01:00:00")], [(5, body, "2024-01-05 02:00:00")]]
+    # Row 3 moves the watermark past rows 1 and 2; what comes after is a class of its own.
+    assert run_near_stream(spark, tmp_path, batches, 12) == {(1, 2), (4, 5)}
+
+
 def texts_with_copies(seed, n=60):
     own = random.Random(seed)
     words = ["".join(own.choice("abcdefgh") for _ in range(own.randint(2, 6))) for _ in range(300)]

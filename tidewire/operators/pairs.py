@@ -51,22 +51,22 @@ def band_candidates(prints: DataFrame, bands: int = 4) -> DataFrame:
 WORD = re.compile("[a-z0-9]+")
 
 
-def fingerprints(rows: DataFrame, text: Column, size: int = 3) -> DataFrame:
-    """``id, fp, s``: fingerprint and distinct shingle hashes of each row's text, written once.
+def print_of(text: str | None, size: int = 3) -> tuple[int, np.ndarray]:
+    """Fingerprint and distinct shingle hashes of a text, as ``simhash64`` and ``shingle_hashes`` have them."""
+    words = WORD.findall((text or "").lower())
+    runs = [" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
+    raw = b"".join([hashlib.md5(r.encode()).digest()[:8] for r in runs])
+    votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(runs)
+    fp = int.from_bytes(np.packbits(votes).tobytes(), "big", signed=True)
+    return fp, np.unique(np.frombuffer(raw, ">i8").astype(np.int64))
 
-    As ``simhash64`` and ``shingle_hashes`` have them; 64 votes over every shingle of a whole text are numpy's work.
-    """
+
+def fingerprints(rows: DataFrame, text: Column, size: int = 3) -> DataFrame:
+    """``id, fp, s`` of each row's text by :func:`print_of`, written once: 64 votes over every shingle are numpy's work."""
 
     def run(batches):
         for batch in batches:
-            prints, sets = [], []
-            for text in batch.column("x").to_pylist():
-                words = WORD.findall((text or "").lower())
-                runs = [" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
-                raw = b"".join([hashlib.md5(r.encode()).digest()[:8] for r in runs])
-                votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(runs)
-                prints.append(int.from_bytes(np.packbits(votes).tobytes(), "big", signed=True))
-                sets.append(np.unique(np.frombuffer(raw, ">i8").astype(np.int64)))
+            prints, sets = zip(*(print_of(x, size) for x in batch.column("x").to_pylist())) if batch.num_rows else ((), ())
             columns = [batch.column("id"), pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "s"])
 
@@ -74,25 +74,6 @@ def fingerprints(rows: DataFrame, text: Column, size: int = 3) -> DataFrame:
     return materialize(rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long, s array<long>"), "fingerprints")
 
 
-def near_duplicates_of(new: DataFrame, stored: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7) -> DataFrame:
-    """Pairs ``(a, b)`` of a new row and an earlier one, stored or new too; both tables have ``id`` and the text.
-
-    Rows without shingles take no part.
-    """
-    new = fingerprints(new, text).where(F.size("s") > 0)
-    known = fingerprints(stored, text).where(F.size("s") > 0).withColumn("old", F.lit(True))
-    known = known.unionByName(new.withColumn("old", F.lit(False)))
-    slices = lambda df: df.select("*", F.posexplode(t.band_keys(F.col("fp"))).alias("band", "slice"))
-    fresh = slices(new.select(F.col("id").alias("b"), "fp")).withColumnRenamed("fp", "fb")
-    seen = slices(known.select("old", F.col("id").alias("a"), "fp")).withColumnRenamed("fp", "fa")
-    near = seen.join(fresh, ["band", "slice"]).where((F.col("a") != F.col("b")) & (F.col("old") | (F.col("a") < F.col("b"))))
-    # Shingles join what the fingerprints left over: whole texts have many.
-    near = near.where(t.hamming(F.col("fa"), F.col("fb")) <= distance).select("a", "fa", "old", "b", "fb").distinct()
-    near = near.join(known.select("old", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("s").alias("sa")), ["old", "a", "fa"])
-    near = near.join(new.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("s").alias("sb")), ["b", "fb"])
-    return near.where(t.jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b").distinct()
-
-
 def near_duplicate_pairs(articles: DataFrame, text: Column, distance: int = 18, similarity: float = 0.7) -> DataFrame:
     """``(a, b, similarity)`` of texts whose fingerprints share a slice and differ in ``distance`` bits at most, and whose
     shingle sets have a Jaccard of ``similarity`` or more.

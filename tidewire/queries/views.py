@@ -16,6 +16,7 @@ from tidewire.queries.rankings import grp_events
 from tidewire.registry import query
 from tidewire.shared import shared_path
 from tidewire.sources import adapters as ad, feeds
+from tidewire.streaming import near
 
 
 @query("src_rss", f"with {ad.ARTICLES_SQL} select url as link, {d.normalize('headline')} as headline, strftime(publish_date, '%Y-%m-%d %H:%M:%S') as published, source as tag from articles")
@@ -268,10 +269,10 @@ def stm_resume(spark, sf_dir):
 
 @query("stm_near_dup")
 def stm_near_dup(spark, sf_dir):
-    """Near-duplicate pairs of every micro-batch against itself and the rows stored by earlier ones."""
+    """Pairs of a class's first row and a near copy, as micro-batches bring them."""
     docs = st.stream_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *ad.headline_and_body(), ad.publish_date())
-    step = st.against_store(shared_path(spark, "stored"), lambda new, old: pairs.near_duplicates_of(new, old, t.whole_text()), "publish_date", 96)
-    return st.run_batches(docs, "stream-near", step)
+    docs = docs.withColumn("ts", F.col("publish_date").cast("timestamp"))
+    return st.run_to_files(near.near_copies(docs, t.whole_text(), 96), "stream-near")
 
 
 @query("stm_ingest", f"with {ad.ARTICLES_SQL} select url as link, strftime(publish_date, '%Y-%m-%d %H:%M:%S') as published from articles")
