@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Abbreviations that end in a full stop without ending a sentence.
@@ -225,6 +227,22 @@ def simhash64(text: Column, size: int = 3) -> Column:
     return let(F.transform(shingles(text, size), hash64), sign)
 
 
+def simhashes(rows: DataFrame, text: Column, size: int = 3) -> DataFrame:
+    """``rows`` with ``fp``, the :func:`simhash64` of each one's text: all 64 votes are sums of one aggregation.
+
+    Rows are told apart by their place, so repeated ids don't mix; a task adds up its shingles before anything is shuffled, and
+    only counts are.
+    """
+    placed = rows.withColumns({"_row": F.monotonically_increasing_id(), "_x": text})
+    hashes = placed.select(*rows.columns, "_row", F.explode_outer(shingles(F.col("_x"), size)).alias("_s"))
+    hashes = hashes.withColumn("_h", hash64(F.col("_s"))).drop("_s")
+    votes = [F.sum(F.getbit("_h", F.lit(b))).alias(f"_v{b}") for b in range(64)]
+    keep = [F.first(c).alias(c) for c in rows.columns]
+    counted = hashes.groupBy("_row").agg(*keep, F.count("_h").alias("_n"), *votes)
+    bits = [F.when(F.col(f"_v{b}") * 2 > F.col("_n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(0) for b in range(64)]
+    return counted.select(*rows.columns, reduce(lambda x, y: x.bitwiseOR(y), bits).alias("fp"))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as t, times, urls
 from tidewire.queries import duck as d
 from tidewire.registry import query
+from tidewire.shared import materialize
 from tidewire.sources import adapters as ad
 
 A = f"with {ad.ARTICLES_SQL} "
@@ -69,9 +70,13 @@ SIM = f"""sim as materialized (
 SIGNED = "case when fp > 9223372036854775807 then (fp::hugeint - 18446744073709551616)::bigint else fp::bigint end"
 
 
+def prints(spark, sf_dir):
+    return t.simhashes(ad.articles(spark, sf_dir).select("id", t.whole_text().alias("x")), F.col("x")).select("id", "fp")
+
+
 @query("txt_simhash64", f"with {ad.ARTICLES_SQL}, {SIM} select a.id, coalesce({SIGNED}, 0)::bigint as value from articles a left join sim using (id)")
 def txt_simhash64(spark, sf_dir):
-    return ad.articles(spark, sf_dir).select("id", t.simhash64(t.whole_text()).alias("value"))
+    return prints(spark, sf_dir).select("id", F.col("fp").alias("value"))
 
 
 @query(
@@ -79,9 +84,9 @@ def txt_simhash64(spark, sf_dir):
     f"with {ad.ARTICLES_SQL}, {SIM} select a.id, bit_count(xor(a.fp, b.fp))::int as value from sim a join sim b on b.id = a.id + 1",
 )
 def txt_hamming(spark, sf_dir):
-    prints = ad.articles(spark, sf_dir).select("id", t.simhash64(t.whole_text()).alias("fp")).where("fp is not null")
-    nxt = prints.select((F.col("id") - 1).alias("id"), F.col("fp").alias("fp2"))
-    return prints.join(nxt, "id").select("id", t.hamming(F.col("fp"), F.col("fp2")).cast("int").alias("value"))
+    own = materialize(prints(spark, sf_dir), "prints")
+    nxt = own.select((F.col("id") - 1).alias("id"), F.col("fp").alias("fp2"))
+    return own.join(nxt, "id").select("id", t.hamming(F.col("fp"), F.col("fp2")).cast("int").alias("value"))
 
 
 @query(
@@ -90,8 +95,8 @@ def txt_hamming(spark, sf_dir):
         from sim cross join (select unnest(range(0, 4)) as b)""",
 )
 def txt_band_keys(spark, sf_dir):
-    keys = t.band_keys(t.simhash64(t.whole_text()))
-    return ad.articles(spark, sf_dir).select("id", F.posexplode(keys).alias("band", "value"))
+    keys = t.band_keys(F.col("fp"))
+    return prints(spark, sf_dir).select("id", F.posexplode(keys).alias("band", "value"))
 
 
 def on_pair(name, column, sql_expr, tokens, sql_tokens):
