@@ -245,6 +245,12 @@ def test_snapshots_swap_and_changes_fail_whole(spark, tmp_path):
     snapshots.write_snapshot(spark.range(3), root)
     snapshots.write_snapshot(spark.range(5), root)
     assert snapshots.read_snapshot(spark, root).count() == 5
+    snapshots.write_snapshot(spark.range(2), root, "append")
+    broken = spark.range(4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception):
+            snapshots.write_snapshot(broken, root, mode)
+        assert sorted(r.id for r in snapshots.read_snapshot(spark, root).collect()) == [0, 0, 1, 1, 2, 3, 4]
     table = spark.createDataFrame([(1, "a")], "id int, v string")
     with pytest.raises(ValueError):
         snapshots.apply_columns(table, spark.createDataFrame([(2, "b")], "id int, v string"), "id", ["v"])
@@ -252,6 +258,55 @@ def test_snapshots_swap_and_changes_fail_whole(spark, tmp_path):
     assert snapshots.upsert(once, spark.createDataFrame([(1, "b")], "id int, v string"), "id").collect() == once.collect()
 
 
+def test_a_captured_day_is_the_same_at_any_clock(spark, sf):
+    from tidewire.queries import views as q
+
+    clocks = [q.docs_now(), q.docs_now() + F.expr("interval 400 days")]
+    one, two = (q.golden_report(spark, sf, c).first() for c in clocks)
+    assert one.latest + (two.latest - one.latest) == two.latest and (two.latest - one.latest).days == 400
+    assert {k: v for k, v in one.asDict().items() if k != "latest"} == {k: v for k, v in two.asDict().items() if k != "latest"}
+    assert one.articles > 100 and one.clusters > 1 and one["size"] > 0 and one.misses < one.articles
+
+
+def test_the_gate_names_every_failure(spark):
+    from tidewire.plans import golden
+
+    kind = "expected int, recall double, violations int, duplicates int, merged_in int, misses int, size int"
+    good = (3, 0.9, 0, 0, 5, 0, 8)
+    rows = [good, (0, *good[1:]), (3, 0.4, *good[2:]), (3, 0.9, 1, 2, 13, 4, 20)]
+    got = golden.gate(spark.createDataFrame(rows, kind), (6, 12), 0.5, 12).collect()
+    assert [(r.failures, r.passed) for r in got] == [("", True), ("unreviewed", False), ("baseline", False), ("duplicates,merged,misses,size,violations", False)]
+    free = golden.gate(spark.createDataFrame([(3, 0.1, 0, 0, 99, 0, 0)], kind), (0, 0), None, None).first()
+    assert free.passed
+
+
+def test_captures_embed_changed_keys_only(spark, tmp_path):
+    from tidewire.sources import capture
+
+    asked = []
+
+    def embed(keyed):
+        asked.append(sorted(r.headline for r in keyed.collect()))
+        return keyed.select("key", F.array(F.lit(1.0)).alias("embedding"))
+
+    def day(*rows):
+        rows = [(e, k, h, u, b, at) for k, (e, h, u, b, at) in enumerate(rows)]
+        return spark.createDataFrame(rows, "endpoint string, rank int, headline string, link string, body string, at string").withColumn("published", F.to_timestamp("at"))
+
+    t0, old = "2024-01-04 12:00:00", "2023-01-01 00:00:00"
+    first = [("a", "One", "https://x.com/1", "b", t0), ("a", "", "https://x.com/2", "b", t0), ("a", "Two", "ftp://x", "b", t0), ("a", "Three", None, "b", None), ("c", "Old", "https://y.com/1", "b", old), ("a", "One", "https://z.com/1", "b", t0)]
+    second = [("a", "One", "https://x.com/1", "b", t0), ("a", "New", "https://x.com/3", "b", t0)]
+    verdicts, now = spark.createDataFrame([("k", "city")], "key string, category string"), F.lit("2024-01-04 13:00:00").cast("timestamp")
+    capture.capture_day(day(*first), verdicts, embed, str(tmp_path / "d"), now)
+    capture.capture_day(day(*second), verdicts, embed, str(tmp_path / "d"), now + F.expr("interval 1 hour"))
+    assert asked == [["One"], ["New"]]
+    read = capture.read_captured(spark, str(tmp_path / "d"))
+    one, two = read["manifest"].orderBy("captured_at").collect()
+    assert (one.article_count, one.embedded, one.reused) == (2, 1, 0) and (two.article_count, two.embedded, two.reused) == (2, 1, 1)
+    assert one.quarantined == {"no_headline": 1, "no_link": 2, "endpoint:STALE": 1} and two.quarantined == {}
+    assert read["vectors"].count() == 2 and read["articles"].count() == 2
+
+
 def shingle_set(text):
     words = re.findall("[a-z0-9]+", text.lower())
     return {tuple(words[k : k + 3]) for k in range(len(words) - 2)} or {tuple(words)} - {()}

@@ -53,17 +53,26 @@ def upsert(table: DataFrame, change: DataFrame, key: str) -> DataFrame:
     return table.join(change.select(key), key, "left_anti").unionByName(change)
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new version beside the old ones and point to it; readers see either the old or the new one whole."""
+COMMITS = "version string, mode string, at timestamp"
+
+
+def write_snapshot(df: DataFrame, root: str, mode: str = "overwrite") -> str:
+    """Write rows beside the old ones, then commit them with one row of a log; readers see a table with or without them whole.
+
+    A writer that fails leaves no commit, so the table is as before. Commits add to each other: two appends at once both count,
+    and an overwrite hides what was committed before it.
+    """
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"unknown mode {mode}")
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    spark = df.sparkSession
-    at = F.current_timestamp().alias("at")
-    spark.range(1).select(F.lit(version).alias("version"), at).coalesce(1).write.mode("append").json(f"{root}/pointer")
+    commit = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.lit(mode).alias("mode"), F.current_timestamp().alias("at"))
+    commit.coalesce(1).write.mode("append").json(f"{root}/commits")
     return version
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The version that the newest pointer names."""
-    last = spark.read.schema("version string, at timestamp").json(f"{root}/pointer").orderBy(F.desc("at"), F.desc("version")).first()
-    return spark.read.parquet(f"{root}/{last['version']}")
+    """The rows of the last overwrite and of all appends since, by the commits' times."""
+    commits = spark.read.schema(COMMITS).json(f"{root}/commits").orderBy("at", "version").collect()
+    since = max((k for k, c in enumerate(commits) if c["mode"] == "overwrite"), default=0)
+    return spark.read.parquet(*[f"{root}/{c['version']}" for c in commits[since:]])

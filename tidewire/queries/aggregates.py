@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as t, times
 from tidewire.operators import aggregates as ag, pairs
+from tidewire.plans import golden
 from tidewire.queries import duck as d
 from tidewire.queries.gates import DOCS_NOW, NOW, docs_now, hours, now
 from tidewire.queries.joins import EXPECT_SQL, TOKS, expectations
@@ -250,9 +251,34 @@ def agg_brief_score(spark, sf_dir):
     return rows.select("expected", "matched", (F.col("expected") - F.col("matched")).alias("missed"), recall.alias("recall"))
 
 
-@query("agg_gate_golden_day", f"with {ad.ARTICLES_SQL}, {SCORE} select matched >= 0.5 * expected and expected > 0 as passed from sc")
+BUCKET = "case item_id % 10 when 9 then 'must_not_have' when 8 then 'editor_call' else 'must_have' end"
+
+
+def bucketed(spark, sf_dir):
+    bucket = F.when(F.col("expectation") % 10 == 9, "must_not_have").when(F.col("expectation") % 10 == 8, "editor_call").otherwise("must_have")
+    return expectations(spark, sf_dir).withColumn("bucket", bucket)
+
+
+@query(
+    "agg_gate_golden_day",
+    f"""with {ad.ARTICLES_SQL}, {EXPECT_SQL}, h as (select expectation, count(*) as cards from ok group by expectation),
+    b as (select expectation, {BUCKET.replace('item_id', 'expectation')} as bucket, cards from ex left join h using (expectation)),
+    s as (select count(*) filter (bucket = 'must_have') as expected, count(*) filter (bucket = 'must_have' and cards > 0) as matched,
+        count(*) filter (bucket = 'must_not_have' and cards > 0) as violations, count(*) filter (bucket = 'must_have' and cards > 1) as duplicates from b),
+    m as (select coalesce(sum(n), 0)::bigint as merged_in from (select count(*) as n from embeddings group by vec_id % 7 having count(distinct label) > 1)),
+    e as (select count(*) filter (vec_id is null) as misses, count(*) as size from articles left join embeddings on vec_id = id),
+    r as (select *, case when expected = 0 then 1.0 else matched::double / expected end as recall from s, m, e)
+    select expected, matched, violations, duplicates, merged_in, misses, size, concat_ws(',', case when recall < 0.5 then 'baseline' end, case when duplicates > 0 then 'duplicates' end,
+        case when merged_in > 12 then 'merged' end, case when misses > 0 then 'misses' end, case when size not between 6 and 12 then 'size' end,
+        case when expected = 0 then 'unreviewed' end, case when violations > 0 then 'violations' end) as failures from r""",
+)
 def agg_gate_golden_day(spark, sf_dir):
-    return agg_brief_score(spark, sf_dir).select(((F.col("matched") >= 0.5 * F.col("expected")) & (F.col("expected") > 0)).alias("passed"))
+    """Every check of the gate, with all articles as the brief."""
+    cards = ad.articles(spark, sf_dir).select(F.col("id").alias("card"), F.col("main_text").alias("text"))
+    quality = ag.partition_quality(vectors(spark, sf_dir).select((F.col("vec_id") % 7).alias("ours"), F.col("label").alias("truth")), "ours", "truth")
+    misses = ad.articles(spark, sf_dir, True).agg(F.count_if(F.col("embedding").isNull()).alias("misses"))
+    report = golden.brief_score(cards, bucketed(spark, sf_dir)).join(F.broadcast(quality.select("merged_in"))).join(F.broadcast(misses))
+    return golden.gate(report, (6, 12), 0.5, 12).select("expected", "matched", "violations", "duplicates", "merged_in", "misses", "size", "failures")
 
 
 @query(
@@ -298,9 +324,9 @@ def agg_omissions(spark, sf_dir):
     return left.select("id", F.coalesce(F.get(F.split("note", ":"), F.lit(0)), F.lit("unaccounted")).alias("reason"))
 
 
-@query("agg_gated_publish", "select user_id as token, count(*) as cards, count(*) between 1 and 12 and count(distinct event_id) = count(*) and min(value) >= 0 as allowed from events where ts >= timestamp '2024-01-28' group by user_id")
+@query("agg_gated_publish", "select user_id as token, count(*) as cards, count(*) between 1 and 12 and count(distinct event_id) = count(*) and min(value) >= 0 as allowed from events group by user_id")
 def agg_gated_publish(spark, sf_dir):
-    rows = ad.table(spark, sf_dir, "events").where("ts >= timestamp'2024-01-28'").groupBy(F.col("user_id").alias("token"))
+    rows = ad.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("token"))
     n = F.count(F.lit(1))
     return rows.agg(n.alias("cards"), (n.between(1, 12) & (F.countDistinct("event_id") == n) & (F.min("value") >= 0)).alias("allowed"))
 

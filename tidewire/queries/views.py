@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from tidewire import streaming as st
 from tidewire.functions import text as t, times, urls
 from tidewire.operators import grouping, models as md, pairs, ranking as rk, validation
-from tidewire.plans import views
+from tidewire.plans import golden, views
 from tidewire.queries import duck as d
-from tidewire.queries.aggregates import TRIAGE_SQL, agg_brief_score
+from tidewire.queries.aggregates import TRIAGE_SQL, bucketed
 from tidewire.queries.gates import analysis_inputs, docs_now, editorial_inputs, now
 from tidewire.queries.joins import CANON, prepared
 from tidewire.queries.rankings import grp_events
 from tidewire.registry import query
 from tidewire.shared import shared_path
-from tidewire.sources import adapters as ad, feeds
+from tidewire.sources import adapters as ad, capture, feeds
 from tidewire.streaming import near
 
 
@@ -65,13 +65,48 @@ def src_golden_day(spark, sf_dir):
     return feeds.read_day(spark, recorded_day(spark, sf_dir))["verdicts"].select("key", "category", "confidence")
 
 
-@query("snk_capture", "select vec_id from embeddings where vec_id % 3 = 0")
+def captured_items(spark, sf_dir, changed=False):
+    """Articles as feed items; in a later state of the day a third of the bodies are new."""
+    rows = ad.articles(spark, sf_dir)
+    body = F.when((F.col("id") % 3 == 0) & F.lit(changed), F.concat("id", F.lit(" anew "), "main_text")).otherwise(F.col("main_text"))
+    link = F.when(F.col("id") % 11 == 0, F.lit("ftp://none")).otherwise(F.col("url"))
+    return rows.select(F.col("source").alias("endpoint"), F.col("id").alias("rank"), "headline", link.alias("link"), body.alias("body"), F.col("publish_date").cast("timestamp").alias("published"))
+
+
+def recorded_verdicts(spark, sf_dir):
+    return ad.verdicts(spark, sf_dir).join(ad.articles(spark, sf_dir).select("id", F.col("url").alias("key")), "id").drop("id")
+
+
+def embed_by_hash(keyed):
+    """A stand-in for the embedding service: eight components from the key's digest, of unit length."""
+    part = lambda k: (F.conv(F.substring("key", 1 + 8 * k, 8), 16, 10).cast("double") / 2**31 - 1).alias(f"x{k}")
+    rows = keyed.select("key", F.array(*[part(k) for k in range(8)]).alias("v"))
+    norm = F.sqrt(pairs.cosine(F.col("v"), F.col("v")))
+    return rows.select("key", F.transform("v", lambda x: x / norm).alias("embedding"))
+
+
+KEYED = "sha256(headline || '. ' || substr({}, 1, 500))"
+
+
+@query(
+    "snk_capture",
+    f"""with {ad.ARTICLES_SQL}, u as (select id, headline, main_text, case when id % 3 = 0 then id || ' anew ' || main_text else main_text end as body from articles where id % 11 <> 0 and trim(headline) <> ''),
+    q as (select case when trim(headline) = '' then 'no_headline' else 'no_link' end as label, count(*) as n from articles where id % 11 = 0 or trim(headline) = '' group by 1),
+    o as (select distinct {KEYED.format('main_text')} as k from u), w as (select distinct {KEYED.format('body')} as k from u),
+    x as (select count(*) as f from w where k not in (select k from o))
+    select 1 as capture, (select count(*) from u) as article_count, (select count(*) from o) as embedded, 0::bigint as reused, (select coalesce(sum(n), 0)::bigint from q) as quarantined
+    union all select 2, (select count(*) from u), f, (select count(*) from w) - f, (select coalesce(sum(n), 0)::bigint from q) from x""",
+)
 def snk_capture(spark, sf_dir):
-    """What must be embedded anew when two thirds of the vectors are recorded."""
-    vectors = ad.table(spark, sf_dir, "embeddings")
-    path = shared_path(spark, "vectors")
-    vectors.where("vec_id % 3 <> 0").write.parquet(path)
-    return pairs.unseen(vectors, spark.read.parquet(path), "vec_id").select("vec_id")
+    """Capture a day, change a third of it, capture again: only changed keys are embedded."""
+    root, clock = shared_path(spark, "captured"), docs_now()
+    for changed in (False, True):
+        at = clock + F.expr(f"interval {int(changed)} hours")
+        capture.capture_day(captured_items(spark, sf_dir, changed), recorded_verdicts(spark, sf_dir), embed_by_hash, root, at, per_source=1 << 30, stale=24 * 365)
+    manifest = capture.read_captured(spark, root)["manifest"]
+    number = F.when(F.col("captured_at") == docs_now(), 1).otherwise(2).alias("capture")
+    held = F.aggregate(F.map_values("quarantined"), F.lit(0).cast("long"), lambda acc, n: acc + n)
+    return manifest.select(number, "article_count", "embedded", "reused", held.alias("quarantined"))
 
 
 def clustered(spark, sf_dir):
@@ -98,13 +133,19 @@ def view_feed(spark, sf_dir):
     return views.feed(cards(spark, sf_dir), clustered(spark, sf_dir))
 
 
-@query("snk_export", f"with {CARDS_SQL} select headline, category from cd where category is not null order by sources desc, latest desc, cluster limit 30")
+@query(
+    "snk_export",
+    f"with {CARDS_SQL}, f as (select headline, category from cd where category is not null order by sources desc, latest desc, cluster limit 30) select headline, category, (select count(*) from f) as card_count from f",
+)
 def snk_export(spark, sf_dir):
     path = shared_path(spark, "export")
     feed = views.feed(cards(spark, sf_dir), clustered(spark, sf_dir))
-    # At most 30 rows by the view's own limit, so one file.
-    feed.coalesce(1).write.json(path)
-    return spark.read.schema("headline string, category string").json(path)
+    # At most 30 rows by the view's own limit, so one document.
+    cards_ = F.collect_list(F.struct("place", *feed.columns))
+    feed = feed.withColumn("place", F.monotonically_increasing_id())
+    feed.agg(F.count(F.lit(1)).alias("card_count"), F.array_sort(cards_).alias("cards")).coalesce(1).write.json(path)
+    read = spark.read.schema("card_count long, cards array<struct<headline: string, category: string>>").json(path)
+    return read.select(F.inline("cards"), "card_count")
 
 
 @query(
@@ -144,14 +185,21 @@ def view_clusters(spark, sf_dir):
     return members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ","), 256).alias("cluster_id"))
 
 
+def golden_report(spark, sf_dir, clock):
+    """The first capture of the day replayed at a clock."""
+    root = shared_path(spark, "golden")
+    day = ad.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(ad.articles(spark, sf_dir).withColumnRenamed("id", "vec_id"), "vec_id")
+    keyed = day.select(capture.embedding_key(F.col("headline"), F.col("main_text")).alias("key"), "embedding").dropDuplicates(["key"])
+    embed = lambda asked: asked.join(keyed, "key")
+    capture.capture_day(captured_items(spark, sf_dir), recorded_verdicts(spark, sf_dir), embed, root, docs_now(), stale=24 * 365)
+    rules = grouping.EventRules(centroid=0.3, mean=0.05, span_hours=36, pair=0.05)
+    return golden.replay(spark, root, bucketed(spark, sf_dir), clock, rules, 0.3)
+
+
 @query("view_golden_day")
 def view_golden_day(spark, sf_dir):
-    """The recorded day read back at a later clock: every article's age stays, and the brief's score is attached."""
-    day = feeds.read_day(spark, recorded_day(spark, sf_dir))["verdicts"]
-    shifted = ad.articles(spark, sf_dir).withColumn("publish_date", F.col("publish_date") + F.expr("interval 30 days"))
-    rows = shifted.join(day.withColumnRenamed("key", "url"), "url", "left")
-    facts = rows.agg(F.count(F.lit(1)).alias("articles"), F.count("category").alias("verdicts"), F.max("publish_date").alias("latest"))
-    return facts.join(F.broadcast(agg_brief_score(spark, sf_dir)))
+    """The captured day replayed thirty days later, scored and gated."""
+    return golden.gate(golden_report(spark, sf_dir, docs_now() + F.expr("interval 30 days")), (6, 12), 0.0, 12)
 
 
 @query("view_expectations")
