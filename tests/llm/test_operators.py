@@ -570,6 +570,19 @@ def test_licence_expressions():
     assert licenses.parse_expression("") == ([], False, 0)
 
 
+def test_identifiers_are_exact_and_tags_are_found_as_words():
+    scan = lambda t: licenses.scan(t)[5:8]
+    for unknown in ("gpl-nonsense-string", "apache-helicopter", "mit-licensed", "apache", "gpl-9.0", "classpath-exception-2.0"):
+        assert scan(f"SPDX-License-Identifier: {unknown}") == ("", 0.0, None), unknown
+    assert scan("x\n// spdx-license-identifier:GPL-2.0-or-later WITH Classpath-exception-2.0 */") == ("gpl", 1.0, False)
+    assert scan("SPDX-License-Identifier: GPL-2.0 WITH made-up-exception")[1] < 1
+    assert scan("SPDX-License-Identifier: MIT WITH ISC")[1] < 1
+    assert scan("SPDX License Identifier: MIT") == ("", 0.0, None)
+    assert scan("SPDX-License-Identifier MIT") == ("", 0.0, None)
+    assert scan("a SPDX-License-Identifier: MIT b SPDX-License-Identifier: BSD-3-Clause")[0] == "bsd,mit"
+    assert scan("é SPDX-License-Identifier: CC-BY-NC-4.0\nSPDX-License-Identifier: CC-BY-4.0") == ("cc-by,cc-by-nc", 1.0, False)
+
+
 def brute_permissive(node):
     kind, *parts = node
     if kind == "with":
@@ -602,6 +615,8 @@ def test_long_expressions_take_linear_time():
     assert got[5] == "apache,isc,mit" and got[6] == 1.0 and got[7] is True
     unknown = licenses.scan("SPDX-License-Identifier: see file")
     assert unknown[5] == "" and unknown[6] < 1 and unknown[7] is None
+    many = licenses.scan("SPDX-License-Identifier: MIT\n" * 100_000)
+    assert many[5] == "mit" and len(many[8]) == 100_000
 
 
 # 8 token files

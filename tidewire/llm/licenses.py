@@ -33,28 +33,64 @@ NOTICE_PHRASES = {
     "public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
 }
-#: The label of an SPDX identifier, by its leading part; other identifiers are not known.
+#: SPDX identifiers by label, as families: what stands first, its versions and what may follow these.
+FAMILIES = [
+    ("mit", "mit", "", "|-0|-cmu|-advertising|-enna|-feh|-festival|-modern-variant|-open-group|-wu"),
+    ("apache", "apache", "1.0 1.1 2.0", ""),
+    ("gpl", "gpl", "1.0 2.0 3.0", "|+|-only|-or-later"),
+    ("lgpl", "lgpl", "2.0 2.1 3.0", "|+|-only|-or-later"),
+    ("agpl", "agpl", "1.0 3.0", "|-only|-or-later"),
+    ("mpl", "mpl", "1.0 1.1 2.0", ""),
+    ("mpl", "mpl", "2.0", "-no-copyleft-exception"),
+    ("epl", "epl", "1.0 2.0", ""),
+    ("bsd", "bsd", "1-clause 2-clause 3-clause 4-clause", ""),
+    ("bsd", "bsd", "2-clause", "-patent|-views"),
+    ("bsd", "bsd", "3-clause", "-attribution|-clear|-lbnl|-modification|-open-mpi"),
+    ("bsd", "0bsd", "", ""),
+    ("isc", "isc", "", ""),
+    ("cc-by", "cc-by", "1.0 2.0 2.5 3.0 4.0", ""),
+    ("cc-by-sa", "cc-by-sa", "1.0 2.0 2.5 3.0 4.0", ""),
+    ("cc-by-nc", "cc-by-nc", "1.0 2.0 2.5 3.0 4.0", ""),
+    ("cc-by-nd", "cc-by-nd", "1.0 2.0 2.5 3.0 4.0", ""),
+    ("cc-by-nc-sa", "cc-by-nc-sa", "1.0 2.0 2.5 3.0 4.0", ""),
+    ("cc-by-nc-nd", "cc-by-nc-nd", "1.0 2.0 2.5 3.0 4.0", ""),
+    ("cc0", "cc0", "1.0", ""),
+    ("public-domain", "unlicense", "", ""),
+    ("zlib", "zlib", "", "|-acknowledgement"),
+    ("artistic", "artistic", "1.0 2.0", ""),
+    ("artistic", "artistic", "1.0", "-cl8|-perl"),
+    ("bsl", "bsl", "1.0", ""),
+    ("eupl", "eupl", "1.0 1.1 1.2", ""),
+    ("cddl", "cddl", "1.0 1.1", ""),
+    ("ofl", "ofl", "1.0 1.1", "|-no-rfn|-rfn"),
+    ("osl", "osl", "1.0 1.1 2.0 2.1 3.0", ""),
+    ("ecl", "ecl", "1.0 2.0", ""),
+    ("upl", "upl", "1.0", ""),
+    ("psf", "psf", "2.0", ""),
+    ("psf", "python", "2.0 2.0.1", ""),
+    ("ms-pl", "ms-pl", "", ""),
+    ("ms-rl", "ms-rl", "", ""),
+    ("ncsa", "ncsa", "", ""),
+    ("postgresql", "postgresql", "", ""),
+    ("wtfpl", "wtfpl", "", ""),
+    ("x11", "x11", "", ""),
+]
 IDENTIFIERS = {
-    "mit": "mit",
-    "apache": "apache",
-    "gpl": "gpl",
-    "lgpl": "lgpl",
-    "agpl": "agpl",
-    "mpl": "mpl",
-    "epl": "epl",
-    "bsd": "bsd",
-    "isc": "isc",
-    "cc-by": "cc-by",
-    "cc0": "cc0",
-    "unlicense": "public-domain",
-    "zlib": "zlib",
-    "artistic": "artistic",
-    "bsl": "bsl",
-    "eupl": "eupl",
+    first + ("-" + version if version else "") + end: label
+    for label, first, versions, ends in FAMILIES
+    for version in versions.split() or [""]
+    for end in ends.split("|")
 }
+#: SPDX exceptions that may stand after ``with``.
+EXCEPTIONS = set(
+    "autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 "
+    "ecos-exception-2.0 fltk-exception font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gnu-javamail-exception "
+    "libtool-exception linux-syscall-note llvm-exception openjdk-assembly-exception-1.0 openvpn-openssl-exception "
+    "qt-gpl-exception-1.0 qt-lgpl-exception-1.1 swift-exception universal-foss-exception-1.0 wxwindows-exception-3.1".split()
+)
 #: Labels of licences that ask for a notice at most.
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc-by", "cc0", "public-domain", "zlib", "bsl"}
-TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)")
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc-by", "cc0", "public-domain", "zlib", "bsl", "ecl", "upl", "psf", "ncsa", "postgresql", "wtfpl", "x11"}
+TAG, BEHIND_TAG = "spdx-license-identifier", re.compile(r":[ \t]*([^\n]*)")
 SYMBOL = re.compile(r"\s*(?:([()])|([a-z0-9][a-z0-9.+-]*))")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
 
@@ -105,31 +141,28 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool, bool]:
     """Of an expression the labels of its known licences, whether all are known, and whether permissive ones suffice.
 
     ``or`` is met by either side, ``and`` by both; an exception after ``with`` qualifies its licence and is none
-    itself. The sides' labels are pooled, the smaller set into the larger, so long expressions take no alternatives apart.
+    itself, and one that is no known exception leaves not all known. The sides' labels are pooled, the smaller set into the larger, so long expressions take no alternatives apart.
     """
     stack: list[tuple[set[str], bool, bool]] = []
     for symbol in postfix:
         if symbol not in OPERATORS:
-            label = label_of(symbol)
-            stack.append(({label} if label else set(), label is not None, label in PERMISSIVE))
+            label = IDENTIFIERS.get(symbol)
+            stack.append(({label} if label else set(), label is not None or symbol in EXCEPTIONS, label in PERMISSIVE))
             continue
         if len(stack) < 2:
             continue
         right, left = stack.pop(), stack.pop()
         if symbol == "with":
-            stack.append(left)
+            stack.append((left[0], left[1] and bool(left[0]) and right[1] and not right[0], left[2]))
             continue
         small, large = sorted((left[0], right[0]), key=len)
         large |= small
         free = left[2] or right[2] if symbol == "or" else left[2] and right[2]
         stack.append((large, left[1] and right[1], free))
-    return stack[-1] if stack else (set(), False, False)
-
-
-def label_of(identifier: str) -> str | None:
-    """The label of a known identifier, else None."""
-    known = [k for k in IDENTIFIERS if identifier == k or identifier.startswith((k + "-", k + "."))]
-    return IDENTIFIERS[max(known, key=len)] if known else None
+    if not stack:
+        return set(), False, False
+    labels, known, free = stack[-1]
+    return labels, known and bool(labels), free
 
 
 @lru_cache(maxsize=1)
@@ -139,7 +172,8 @@ def automaton() -> ahocorasick.Automaton:
     for base, phrases in ((True, BASE_PHRASES), (False, NOTICE_PHRASES)):
         for phrase, label in phrases.items():
             made.add_word(f" {phrase} ", (base, label, len(phrase) + 1))
-    made.add_word(" spdx license identifier ", (None, "", 0))
+    tag = f" {TAG.replace('-', ' ')} "
+    made.add_word(tag, (None, "", len(tag) - 1))
     made.make_automaton()
     return made
 
@@ -149,18 +183,25 @@ def scan(text: str) -> tuple:
     low = text.translate(UPPER) if not text.isascii() else text.lower()
     words = WORD.findall(low)
     line = f" {' '.join(words)} "
-    base, starts, more, expressions, tagged = set(), [], set(), [], False
+    base, starts, more, expressions, tags = set(), [], set(), [], []
     for end, (kind, label, back) in automaton().iter(line):
         if kind:
             base.add(label)
             starts.append(end - back)
         elif kind is None:
-            tagged = True
+            tags.append(end - back)
         else:
             more.add(label)
     well, permissive = False, None
-    if tagged:
-        for tag in TAG.finditer(low):
+    if tags:
+        spans = [m.span() for m in WORD.finditer(low)]
+        word = before = 0
+        for at in tags:
+            word, before = word + line.count(" ", before, at), at
+            tag = BEHIND_TAG.match(low, spans[word + 2][1])
+            # The words are joined as in the tag, and a colon follows.
+            if not tag or low[spans[word][0] : spans[word + 2][1]] != TAG:
+                continue
             postfix, good, length = parse_expression(tag[1])
             labels, known, free = evaluate(postfix)
             if labels:
