@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,13 +108,19 @@ class ChunkEncoder:
     ):
         self.pieces, self.encode, self.normal = pieces, encode, normal
         self.known: dict[str, bytes] = {}
-        self.plain: dict[str, bool] = {}
         # What the pattern makes of a word of letters behind a blank, one piece with the blank or one without it; and
         # the marks that it parts from the word before them.
         trials = ["ab", "aB", "ABc", "\u00e9a"]
         leads = [lead for lead in (" ", "") if all(pieces(f" {w}.") == [lead + w, "."] for w in trials)]
         self.lead = leads[0] if leads else None
         marks = [m for m in ".,;:!?" if leads and pieces(f" ab{m}") == [f"{self.lead}ab", m]]
+        # Letters whose normal form is no letters only: the pattern may join a mark to a word with one.
+        self.unstable = ""
+        if normal is not None:
+            letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+            forms = dict(zip(letters, normal(" ".join(letters)).split(" "), strict=True))
+            self.unstable = "".join(rf"\x{{{ord(c):x}}}" for c, form in forms.items() if not form.isalpha())
+            self.unstable = self.unstable and f"[{self.unstable}]"
         self.tails = pa.array(["", *marks], pa.string())
         self.tail_ids = pa.array([b"", *encode(marks)], pa.large_binary())
         self.word = rf"^(?P<word>\p{{L}}+)(?P<tail>{'[' + ''.join(marks) + ']?' if marks else ''})$"
@@ -145,25 +152,14 @@ class ChunkEncoder:
             found = [next(rest) if ids is None else ids for ids in found]
         return pa.array(found, pa.large_binary())
 
-    def stays_word(self, word: str) -> bool:
-        """Whether a word outside ASCII has letters only in its normal form too; if not, the pattern may join a mark to it."""
-        if word not in self.plain:
-            if len(self.plain) >= REMEMBERED:
-                self.plain.clear()
-            self.plain[word] = self.normal(" " + word)[1:].isalpha()
-        return self.plain[word]
-
     def ids_of_chunks(self, chunks: pa.Array) -> pa.Array:
         """The ids of distinct chunks; words of letters are looked up without the mark behind them."""
         if self.lead is None:
             return self.ids_of(chunks)
         parsed = pc.extract_regex(chunks, self.word)
-        if self.normal is not None:
-            names = parsed.field("word").filter(pc.invert(pc.fill_null(pc.string_is_ascii(parsed.field("word")), True))).unique()
-            other = pa.array([w for w in names.to_pylist() if not self.stays_word(w)], pa.string())
-            is_word = pc.and_(parsed.is_valid(), pc.invert(pc.is_in(parsed.field("word"), other)))
-        else:
-            is_word = parsed.is_valid()
+        is_word = parsed.is_valid()
+        if self.unstable:
+            is_word = pc.and_(is_word, pc.invert(pc.match_substring_regex(chunks, self.unstable)))
         parsed = parsed.filter(is_word)
         words = parsed.field("word").dictionary_encode()
         tails = self.tail_ids.take(pc.index_in(parsed.field("tail"), self.tails))
