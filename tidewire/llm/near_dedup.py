@@ -142,6 +142,8 @@ SIGNED = pa.schema(
     ]
 )
 SETS = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+#: Rows whose words and shingles are held at once.
+TEXTS_AT_ONCE = 200
 #: Rounds in which every bucket has one leader; what they leave open is settled by prefixes.
 STAR_ROUNDS = 2
 #: A key is hot if it has more than its share of rows when all rows are cut into so many parts; so fewer keys are hot.
@@ -168,7 +170,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_col: str, t
         return {"doc_id": batch.column("doc_id"), "text_crc": crcs, "words_key": keys, "n_shingles": counts, "bands": list(own)}
 
     return slim(docs, id_col, text_col).mapInArrow(
-        map_batches(run, SIGNED), "doc_id long, text_crc long, words_key binary, n_shingles long, bands array<long>"
+        map_batches(run, SIGNED, TEXTS_AT_ONCE), "doc_id long, text_crc long, words_key binary, n_shingles long, bands array<long>"
     )
 
 
@@ -180,7 +182,7 @@ def shingle_sets(docs: DataFrame, involved: DataFrame, size: int, id_col: str, t
         return {"node": batch.column("node"), "shingles": [x.astype(np.int64) for x in sets]}
 
     texts = slim(docs, id_col, text_col).join(involved, "doc_id").select("node", "text")
-    return texts.mapInArrow(map_batches(run, SETS), "node binary, shingles array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(map_batches(run, SETS, TEXTS_AT_ONCE), "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -345,7 +347,7 @@ def prefixes(held: DataFrame, similarity: float) -> DataFrame:
         return {**{c: batch.column(c) for c in ("node", "label", "n")}, "rare": rare, "indexed": indexed}
 
     held = held.select("node", "label", F.col("n").cast("long").alias("n"), "shingles")
-    return held.mapInArrow(map_batches(first, PREFIXES), "node binary, label binary, n long, rare array<long>, indexed long")
+    return held.mapInArrow(map_batches(first, PREFIXES, TEXTS_AT_ONCE), "node binary, label binary, n long, rare array<long>, indexed long")
 
 
 def prefix_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
