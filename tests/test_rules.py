@@ -1,5 +1,7 @@
 """Edge cases of the rules that SQL does not express."""
 
+import datetime
+import html
 import random
 import re
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as t, times, urls
-from tidewire.operators import aggregates, graph, grouping, models, pairs, ranking, snapshots, validation
+from tidewire.operators import aggregates, gates, graph, grouping, models, pairs, ranking, snapshots, validation
 from tidewire.plans import views
 from tidewire.sources import feeds
 
@@ -658,3 +660,134 @@ def test_stories_lie_over_cards_and_packets_put_primary_articles_first(spark):
     rows = lambda *x: spark.createDataFrame([(1, i, "x" * n) for i, n in x], "card int, id int, main_text string")
     packet = models.analysis_packet(rows((5, 60), (6, 60)), rows((1, 60), (2, 10)), ["id"], 50, 120)
     assert {(r.id, r.role, r.allowed) for r in packet.collect()} == {(5, "primary_event", 50), (6, "primary_event", 50), (1, "related", 20), (2, "related", 0)}
+
+
+def test_entities_are_decoded_once_as_by_the_standard(spark):
+    pieces = (
+        "&amp; &lt; &#65; &#x41; &#X1F600; &#128; &#150; &#0; &#xD800; &#1114112; &#99999999999999; &eacute; &nosuch; &#38;lt; "
+        "&amp;#65; &#38;amp; a & # &#; &#65 &nbsp; &#xFDD0; &#7; &#127; &#13; &hellip; &#xFFFF; &#00065; &apos;"
+    ).split()
+    draw = random.Random(1)
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 12))) for _ in range(1000)]
+    rows = spark.createDataFrame([(v,) for v in texts], "v string").select("v", t.unescape(F.col("v")).alias("x")).collect()
+    assert [(r.v, r.x) for r in rows if r.x != html.unescape(r.v)] == []
+    assert one(spark, t.clean_markup(F.col("v")), v="<b>Rs&#8217;s</b> <![CDATA[A &#38; B]]>&#x2009;end") == "Rs’s A & B end"
+    assert one(spark, t.clean_markup(F.col("v")), v=None) == ""
+
+
+def test_items_stay_on_the_host_of_their_source(spark):
+    items = [
+        (1, "a", "https://www.one.com/x", "Told"),
+        (2, "a", " http://one.com/y ", "Told"),
+        (3, "a", "https://blog.one.com/z", "Told"),
+        (4, "b", "https://anywhere.org/", "Told"),
+        (5, "none", "https://anywhere.org/", "Told"),
+        (6, "a", "ftp://one.com/", "Told"),
+        (7, "a", "https://one.com/", " "),
+        (8, "a", None, "Told"),
+        (9, "a", "https://one.com/", None),
+    ]
+    items = spark.createDataFrame(items, "id int, source string, link string, headline string")
+    sources = spark.createDataFrame([("a", "https://one.com"), ("b", None)], "source string, url string")
+    assert {r.id for r in gates.valid_items(items, sources).collect()} == {1, 2, 4, 5}
+    assert gates.valid_items(items.limit(0), sources).count() == 0
+
+
+def test_service_health_by_the_first_matching_reason(spark):
+    day = lambda hour, n=3: datetime.datetime(2024, 1, n, hour)
+    ok = ["ok"] * 5
+    beats = [
+        ("fresh", day(9), day(9), *ok, 4, 2),
+        ("old", day(1, 1), day(1, 1), *ok, 4, 2),
+        ("edge", day(6, 2), day(6, 2), *ok, 1, 1),
+        ("failed", day(9), day(9), "failed", "unavailable", "ok", "ok", "ok", 4, 2),
+        ("later", day(8), day(8), "failed", *["ok"] * 4, 4, 2),
+        ("later", day(9), day(9), *ok, 5, 3),
+        ("quiet", day(9), day(9), "ok", "degraded", "ok", "ok", "ok", 4, 2),
+        ("story", day(9), day(9), "ok", "ok", "partial", "degraded", "ok", 4, 2),
+        ("triage", day(9), None, None, None, None, None, "degraded", None, None),
+        ("future", day(20), day(20), *ok, 1, 1),
+    ]
+    schema = "service string, last_run_at timestamp, success_at timestamp, publication string, editorial string, story_analysis string, embedding string, triage string, calls long, selected long"
+    cards = spark.createDataFrame([("cards", day(1)), ("triage", day(1)), ("aged", day(1, 1)), ("none", None)], "service string, created_at timestamp")
+    rows = aggregates.service_health(spark.createDataFrame(beats, schema), cards, F.lit("2024-01-03 10:00:00")).collect()
+    found = {r.service: (r.status, r.reason, r.age_hours, r.calls) for r in rows}
+    assert found == {
+        "fresh": ("ok", "heartbeat_fresh", 1, 4),
+        "old": ("degraded", "heartbeat_stale", 57, 4),
+        "edge": ("degraded", "heartbeat_stale", 28, 1),
+        "failed": ("degraded", "publication_failed", 1, 4),
+        "later": ("ok", "heartbeat_fresh", 1, 5),
+        "quiet": ("degraded", "heartbeat_fresh", 1, 4),
+        "story": ("degraded", "story_analysis_partial", 1, 4),
+        "triage": ("degraded", "triage_degraded", 9, 0),
+        "future": ("ok", "heartbeat_fresh", 0, 1),
+        "cards": ("ok", "latest_card_fresh", 9, 0),
+        "aged": ("degraded", "latest_card_stale", 57, 0),
+        "none": ("degraded", "no_signal", None, 0),
+    }
+
+
+def test_omissions_and_thin_cards(spark):
+    rows = [(1, 7, "national", "Seven"), (2, 5, "national", "Five"), (3, 5, "national", "Four"), (4, 9, "foreign", "Far"), (5, 2, "local", "Thin"), (6, 5, "local", "Well"), (7, None, "national", None), (8, 6, "national", "Kept")]
+    candidates = spark.createDataFrame([(1, *r) for r in rows] + [(2, 1, 1, "local", "Alone")], "edition int, id int, sources int, relevance string, headline string")
+    published = spark.createDataFrame([(1, 5), (1, 6), (1, 7), (1, 8), (2, 1)], "edition int, id int")
+    notes = spark.createDataFrame([(1, "1: a: b"), (1, "2:"), (1, "no note"), (2, "3: elsewhere")], "edition int, note string")
+    found = aggregates.omissions(candidates, published, notes).collect()
+    assert {(r.edition, r.id, r.reason) for r in found if r.kind == "omitted"} == {(1, 1, "a: b"), (1, 2, "(no reason given)"), (1, 3, "unaccounted")}
+    assert {(r.edition, r.id, r.passed_over) for r in found if r.kind == "thin"} == {(1, 5, "7-source Seven; 5-source Four"), (1, 7, "7-source Seven; 5-source Four")}
+
+
+def test_adjudication_ignores_what_was_not_asked(spark):
+    answers = [
+        ("a", '```json\n{"verdicts":[{"id":"p1","same_event":true},{"id":"p9","same_event":true},{"id":"p2","same_event":"maybe"},{"id":"p3","same_event":false,"note":1}]}\n```'),
+        ("b", '[{"id":"p1","same_event":true},{"id":"p1","same_event":false,"confidence":0.4},{"id":"p2","same_event":true,"confidence":3},7,{"id":3,"same_event":true}]'),
+        ("c", '{"verdicts":[{"id":"p1","same_event":true}'),
+        ("d", ""),
+        ("e", None),
+        ("f", '{"other":[]}'),
+    ]
+    asked = spark.createDataFrame([(b, f"p{i}", i) for b in "abcdef" for i in (1, 2, 3)], "batch string, pair_id string, pair int")
+    found = validation.adjudication_verdicts(spark.createDataFrame(answers, "batch string, answer string"), asked).collect()
+    assert {(r.batch, r.pair, r.same_event) for r in found} == {("a", 1, True), ("b", 1, False)}
+
+
+@pytest.mark.parametrize(
+    "supplied, line",
+    [
+        ("Railway hearing opens on January 9, 2024.", "Railway hearing opens on January 9, 2024."),
+        ("Railway hearing opens on January 2, 2024.", ""),
+        ("Railway hearing opens on January 9 and ended January 1.", ""),
+        ("Railway hearing opens on February 30.", ""),
+        ("the railway hearing", ""),
+        ("October 27", ""),
+        ("Cricket board meets soon", ""),
+        ("Railway Workers strike", ""),
+        ("Railway Workers strike spreads", "Railway Workers strike spreads"),
+    ],
+)
+def test_supplied_lines_to_watch(spark, supplied, line):
+    cards = spark.createDataFrame([(1, "Railway workers on strike", None, supplied, "Railway workers on strike")], "card int, headline string, lead string, supplied string, already_said string")
+    articles = spark.createDataFrame([(1, 0, "h", "The Railway hearing is on January 30.", datetime.datetime(2024, 1, 5))], "card int, place int, headline string, main_text string, published timestamp")
+    assert [r.line for r in models.what_to_watch(cards, articles).collect()] == [line]
+
+
+def test_derived_lines_to_watch(spark):
+    cards = [(n, "Railway workers on strike", "Railway news", "" if n % 2 else None, "x") for n in range(1, 7)] + [(7, None, None, None, None)]
+    bodies = {
+        1: ["The meeting is on January 20. Railway board calls a vote on Jan. 21.", "Railway hearing on January 19."],
+        2: ["Railway board met on January 1. A vote came.", "No one. The Railway hearing and strike are due Sept 4."],
+        3: ["The Fed meeting is scheduled for January 16."],
+        4: ["the railway hearing is on January 16."],
+        5: [None],
+        7: ["The Fed meeting is scheduled for January 16, 2025."],
+    }
+    rows = [(n, i, None, text, datetime.datetime(2024, 1, 5)) for n, texts in bodies.items() for i, text in enumerate(texts)]
+    articles = spark.createDataFrame(rows, "card int, place int, headline string, main_text string, published timestamp")
+    cards = spark.createDataFrame(cards, "card int, headline string, lead string, supplied string, already_said string")
+    assert {r.card: r.line for r in models.what_to_watch(cards, articles).collect()} == {
+        1: "The vote is scheduled for Jan. 21.",
+        2: "The strike is scheduled for Sept 4.",
+        3: "", 4: "", 5: "", 6: "",
+        7: "The meeting is scheduled for January 16, 2025.",
+    }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -109,13 +110,43 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: Characters of the code points 0x80 to 0x9F in numeric entities, as browsers read them, and the named entities of HTML 4.
+C1 = {chr(n): bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0)}
+NAMED = {"amp": "&", "quot": '"', "lt": "<", "gt": ">", "apos": "'"} | {name: chr(code) for name, code in name2codepoint.items()}
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
+
+
+def entity_character(entity: Column) -> Column:
+    """The character of one entity; U+FFFD for no code point, empty for one without a character, an unknown name as it stands."""
+    hexadecimal = F.substring(entity, 1, 3).isin("&#x", "&#X")
+    digits = F.regexp_extract(entity, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    # Eight digits are more than any code point has, so longer numbers may be cut before they are read.
+    read = lambda base: F.coalesce(F.conv(F.nullif(F.substring(digits, 1, 8), F.lit("")), base, 10).cast("long"), F.lit(0))
+    code = F.when(hexadecimal, read(16)).otherwise(read(10))
+
+    def character(n: Column) -> Column:
+        none = n.between(0x1, 0x8) | n.isin(0xB, 0x7F) | n.between(0xE, 0x1F) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+        known = {k: v for k, v in C1.items() if v}
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        char = F.when(n.between(0x80, 0x9F), F.translate(char, "".join(known), "".join(known.values()))).otherwise(char)
+        return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(none, "").otherwise(char)
+
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    named = F.coalesce(F.element_at(names, F.regexp_extract(entity, "^&(.*);$", 1)), entity)
+    return F.when(F.substring(entity, 2, 1) == "#", let(code, character)).otherwise(named)
+
+
+def unescape(text: Column) -> Column:
+    """Numeric and named entities as characters, each once: what an entity gives is not read again."""
+    characters = F.transform(findall(text, ENTITY), entity_character)
+    pieces = F.zip_with(F.split(text, ENTITY, -1), characters, lambda part, c: F.concat(part, F.coalesce(c, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
 def clean_markup(text: Column) -> Column:
-    """Unwrap CDATA, blank out tags, decode the five named entities and ``&nbsp;``/``&copy;``/``&middot;``, normalise."""
+    """Unwrap CDATA, blank out tags, decode entities, normalise; null is empty."""
     out = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    out = F.regexp_replace(out, "<[^>]+>", " ")
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return normalize(out)
+    return normalize(let(F.regexp_replace(out, "<[^>]+>", " "), unescape))
 
 
 def normalize(text: Column) -> Column:

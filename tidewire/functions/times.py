@@ -55,3 +55,15 @@ def watch_date(text: Column, reference: Column) -> Column:
     year = F.when(part(3) != "", part(3)).otherwise(F.date_format(reference, "yyyy"))
     day = F.try_to_date(F.concat_ws(" ", year, F.initcap(part(1)), part(2)), "yyyy MMM d")
     return F.when((part(1) != "") & (day >= reference), day)
+
+
+#: The months of a line to watch by their short and long names.
+MONTHS = "Jan(?:uary)? Feb(?:ruary)? Mar(?:ch)? Apr(?:il)? May Jun(?:e)? Jul(?:y)? Aug(?:ust)? Sep(?:t(?:ember)?)? Oct(?:ober)? Nov(?:ember)? Dec(?:ember)?".split()
+NAMED_DAY = rf"(?i)\b(?:{'|'.join(MONTHS)})\.?\s+\d{{1,2}}(?:,\s*\d{{4}})?\b"
+
+
+def named_day(mention: Column, reference: Column) -> Column:
+    """The date of a match of ``NAMED_DAY``, without a year in that of ``reference``; null for no day of the calendar."""
+    part = F.split(F.regexp_replace(mention, "[.,]", ""), r"\s+")
+    year = F.coalesce(F.get(part, F.lit(2)), F.date_format(reference, "yyyy"))
+    return F.try_to_date(F.concat_ws(" ", year, F.initcap(F.substring(part[0], 1, 3)), part[1]), "yyyy MMM d")

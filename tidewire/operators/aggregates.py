@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewire.functions.times import age_hours
+
 
 def vector_sums(members: DataFrame, group: str) -> DataFrame:
     """Per group the number of vectors and the sum of each dimension: ``(group, n, dim, s)``, combined map-side."""
@@ -100,3 +102,65 @@ def partition_quality(rows: DataFrame, ours: str, truth: str) -> DataFrame:
     total = lambda df, name: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
     # Both sides are one row.
     return total(merged, "merged_in").join(F.broadcast(total(split, "split_apart")))
+
+
+def service_health(beats: DataFrame, cards: DataFrame, now: Column, within: float = 28) -> DataFrame:
+    """Freshness, first matching reason and verdict per service, from its last heartbeat, else from its newest card.
+
+    ``beats(service, last_run_at, success_at, publication, editorial, story_analysis, embedding, triage, calls, selected)`` are runs,
+    of which the last one counts; ``cards(service, created_at)``. A missing stage status is ``unknown`` and degrades nothing; a time in
+    the future has the age 0; a service without any time is stale. Returns ``service, status, reason, signal, age_hours,
+    pipeline_is_stale, calls, selected``.
+    """
+    stages = ["publication", "editorial", "story_analysis", "embedding", "triage"]
+    beat = F.struct("last_run_at", "success_at", *stages, "calls", "selected")
+    last = beats.groupBy("service").agg(F.max_by(beat, "last_run_at").alias("b")).select("service", "b.*")
+    newest = cards.groupBy("service").agg(F.max("created_at").alias("newest"))
+    rows = last.join(newest, "service", "full_outer").withColumns({s: F.coalesce(s, F.lit("unknown")) for s in stages})
+    signal = F.when(F.col("success_at").isNotNull(), "heartbeat").when(F.col("newest").isNotNull(), "latest_card").otherwise("none")
+    age = age_hours(F.coalesce("success_at", "newest"), now)
+    age = F.when(age < 0, 0.0).otherwise(age)
+    rows = rows.withColumns({"signal": signal, "age_hours": age})
+    rows = rows.withColumn("pipeline_is_stale", F.coalesce(F.col("age_hours") >= within, F.lit(True)))
+    bad = {"story_analysis": ("partial", "unavailable"), "embedding": ("unavailable", "degraded"), "triage": ("unavailable", "degraded")}
+    reason = F.when(F.col("publication") == "failed", "publication_failed").when(F.col("editorial") == "unavailable", "editorial_unavailable")
+    for stage, states in bad.items():
+        reason = reason.when(F.col(stage).isin(*states), F.concat_ws("_", F.lit(stage), stage))
+    age_word = F.when(F.col("pipeline_is_stale"), "stale").otherwise("fresh")
+    reason = reason.when(F.col("signal") == "none", "no_signal").otherwise(F.concat_ws("_", "signal", age_word))
+    degraded = F.col("pipeline_is_stale") | (F.col("publication") == "failed") | F.col("editorial").isin("unavailable", "degraded")
+    for stage, states in bad.items():
+        degraded = degraded | F.col(stage).isin(*states)
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(
+        "service", F.when(degraded, "degraded").otherwise("ok").alias("status"), reason.alias("reason"), "signal", "age_hours",
+        "pipeline_is_stale", count("calls"), count("selected"),
+    )
+
+
+def omissions(candidates: DataFrame, published: DataFrame, notes: DataFrame, least: int = 4) -> DataFrame:
+    """What an edition left out and what it took instead: ``edition, kind, id, sources, reason, passed_over``.
+
+    ``candidates(edition, id, sources, relevance, headline)``, ``published(edition, id)``, ``notes(edition, note)`` with notes such as
+    ``id: reason``. Kind ``omitted``: a national candidate of ``least`` sources or more that is not published, with its stated reason,
+    "(no reason given)" for an empty one and ``unaccounted`` without a note. Kind ``thin``: a published card of fewer sources in an
+    edition that dropped a national candidate, with the two best dropped ones of more sources than its own. Null sources count as 0.
+    """
+    rows = candidates.withColumn("sources", F.coalesce("sources", F.lit(0)))
+    national = F.col("relevance") == "national"
+    dropped = rows.where(national).join(published.select("edition", "id"), ["edition", "id"], "left_anti")
+    part = F.split("note", ":", 2)
+    text = F.trim(F.coalesce(F.get(part, F.lit(1)), F.lit("")))
+    stated = notes.select("edition", F.trim(part[0]).alias("_id"), F.when(text == "", "(no reason given)").otherwise(text).alias("reason"))
+    stated = stated.groupBy("edition", "_id").agg(F.max("reason").alias("reason"))
+    left = dropped.where(F.col("sources") >= least).withColumn("_id", F.col("id").cast("string")).join(stated, ["edition", "_id"], "left")
+    omitted = left.select("edition", F.lit("omitted").alias("kind"), "id", "sources", F.coalesce("reason", F.lit("unaccounted")).alias("reason"))
+    # The best two of an edition decide for all of its thin cards, so no card meets every dropped candidate.
+    head = F.substring(F.trim(F.coalesce("headline", F.lit(""))), 1, 70)
+    best = dropped.select("edition", F.struct(F.col("sources").alias("n"), head.alias("head"), "id").alias("c"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("edition").orderBy(F.desc("c")))).where("r <= 2")
+    best = best.groupBy("edition").agg(F.sort_array(F.collect_list("c"), asc=False).alias("best"))
+    thin = rows.where(F.col("sources") < least).join(published.select("edition", "id").distinct(), ["edition", "id"]).join(best, "edition")
+    better = F.transform(F.filter("best", lambda c: c["n"] > F.col("sources")), lambda c: F.concat(c["n"].cast("string"), F.lit("-source "), c["head"]))
+    thin = thin.select("edition", F.lit("thin").alias("kind"), "id", "sources", F.array_join(better, "; ").alias("passed_over"))
+    return omitted.unionByName(thin, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewire.functions import urls
 from tidewire.functions.times import age_hours
 
 
@@ -66,3 +67,16 @@ def violations(table: DataFrame, key: str, rules: dict[str, Column], unique: tup
         again = table.groupBy(column).count().where(f"count > 1 and {column} is not null")
         out = out.unionByName(again.select(F.lit(f"unique_{column}").alias("rule"), F.col(column).cast("string").alias("key")))
     return out
+
+
+def valid_items(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """Items ``(source, link, headline)`` with a headline and an http(s) link on the host of their source or its ``www.`` twin.
+
+    ``sources(source, url)`` is the catalogue, one row per source; a source without a URL, or one that the catalogue lacks, allows
+    every host. Which side is small is left to the optimizer, as a catalogue grows with its publishers.
+    """
+    link = F.trim(F.coalesce("link", F.lit("")))
+    rows = items.where(link.rlike("^https?://") & (F.trim(F.coalesce("headline", F.lit(""))) != ""))
+    rows = rows.join(sources.select("source", F.col("url").alias("_base")), "source", "left")
+    anywhere = F.coalesce(F.trim("_base"), F.lit("")) == ""
+    return rows.where(anywhere | urls.host_allowed(link, F.col("_base"))).drop("_base")

@@ -262,3 +262,27 @@ def analysis_outcome(checked: DataFrame, answers: DataFrame) -> DataFrame:
         "question",
         "rejected_question",
     )
+
+
+def adjudication_verdicts(answers: DataFrame, asked: DataFrame) -> DataFrame:
+    """Verdicts of ``answers(batch, answer)`` for the pairs asked in ``asked(batch, pair_id, ...)``: its columns and ``same_event``.
+
+    An answer is JSON of an object with ``verdicts`` or of the list itself, in a code fence or bare. A verdict has a textual id, a
+    boolean and at most a confidence from 0 to 1 beside; others go, and so do ids that the batch did not ask. Of verdicts on one
+    pair the last one counts; an empty or broken answer has none, what follows the JSON is not read.
+    """
+    text = F.trim("answer")
+    bare = F.regexp_replace(F.regexp_replace(text, "^`+|`+$", ""), "^json\n", "")
+    text = F.trim(F.when(F.startswith(text, F.lit("```")), bare).otherwise(text))
+    whole = F.when(F.startswith(text, F.lit("[")), F.concat(F.lit('{"verdicts":'), text, F.lit("}"))).otherwise(text)
+    list_ = F.when(F.expr("try_parse_json(whole)").isNotNull(), F.from_json("whole", "verdicts array<string>")["verdicts"])
+    rows = answers.withColumn("whole", whole).select("batch", F.posexplode(list_).alias("place", "verdict"))
+    rows = rows.select("batch", "place", "verdict", F.expr("try_parse_json(verdict)").alias("v"))
+    keys = F.json_object_keys("verdict")
+    allowed = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in ("id", "same_event", "confidence")]))) == 0
+    kind = lambda name: F.schema_of_variant(F.expr(f"try_variant_get(v, '$.{name}', 'variant')"))
+    sure = F.coalesce(F.expr("try_variant_get(v, '$.confidence', 'double')").between(0, 1), ~F.array_contains(keys, "confidence"))
+    good = rows.where(allowed & sure & (kind("id") == "STRING") & (kind("same_event") == "BOOLEAN"))
+    verdict = F.expr("try_variant_get(v, '$.same_event', 'boolean')")
+    last = good.groupBy("batch", F.expr("try_variant_get(v, '$.id', 'string')").alias("pair_id")).agg(F.max_by(verdict, F.col("place")).alias("same_event"))
+    return asked.join(last, ["batch", "pair_id"])

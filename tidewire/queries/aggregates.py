@@ -291,11 +291,48 @@ def agg_run_health(spark, sf_dir):
     return rows.withColumn("health", F.when(F.col("cards") < 6, "too_few_cards").when(F.col("degraded") >= 4, "degraded_sources").otherwise("ok"))
 
 
-@query("agg_service_health", f"select round({hours('max(ts)')}, 4) as age_hours, case when {hours('max(ts)')} > 28 then 'stale' else 'ok' end as status from events")
+STAGES = {"publication": "error", "editorial": "signup", "story_analysis": "purchase", "embedding": "view", "triage": "click"}
+
+
+def stage_sql(kind):
+    n, good = f"count(*) filter (event_type = '{kind}')", f"count(*) filter (event_type = '{kind}' and value >= 50)"
+    none = "failed" if kind == STAGES["publication"] else "unavailable"
+    return f"case when {n} = 0 then 'unknown' when {good} = {n} then 'ok' when {good} = 0 then '{none}' when {good} * 2 >= {n} then 'partial' else 'degraded' end"
+
+
+@query(
+    "agg_service_health",
+    f"""with runs as (select user_id as service, max(ts) as last_run_at, max(case when value >= 50 then ts end) as success_at, count(*) as calls, count(*) filter (value >= 50) as selected,
+        {', '.join(f"{stage_sql(kind)} as {stage}" for stage, kind in STAGES.items())} from events where user_id % 5 <> 0 group by user_id, date_trunc('day', ts)),
+    b as (select * from runs qualify row_number() over (partition by service order by last_run_at desc) = 1),
+    c as (select user_id as service, max(ts) as newest from events where event_id % 7 = 0 group by user_id),
+    j as (select *, coalesce(success_at, newest) as seen, case when success_at is not null then 'heartbeat' when newest is not null then 'latest_card' else 'none' end as signal from b full join c using (service)),
+    k as (select *, case when {hours('seen')} < 0 then 0 else {hours('seen')} end as age, coalesce({hours('seen')} >= 28, true) as stale from j)
+    select service, case when stale or publication = 'failed' or editorial in ('unavailable', 'degraded') or story_analysis in ('partial', 'unavailable') or triage in ('unavailable', 'degraded')
+            or embedding in ('unavailable', 'degraded') then 'degraded' else 'ok' end as status,
+        case when publication = 'failed' then 'publication_failed' when editorial = 'unavailable' then 'editorial_unavailable' when story_analysis in ('partial', 'unavailable') then 'story_analysis_' || story_analysis
+            when embedding in ('unavailable', 'degraded') then 'embedding_' || embedding when triage in ('unavailable', 'degraded') then 'triage_' || triage when signal = 'none' then 'no_signal'
+            else signal || case when stale then '_stale' else '_fresh' end end as reason,
+        signal, round(age, 4) as age_hours, stale as pipeline_is_stale, coalesce(calls, 0) as calls, coalesce(selected, 0) as selected from k""",
+)
 def agg_service_health(spark, sf_dir):
-    rows = ad.feed_items(spark, sf_dir).agg(F.max("published").alias("last"))
-    age = times.age_hours(F.col("last"), now())
-    return rows.select(F.round(age, 4).alias("age_hours"), F.when(age > 28, "stale").otherwise("ok").alias("status"))
+    """Users as services: their days are runs, event types their stages; a fifth has no heartbeat but cards."""
+    events = ad.table(spark, sf_dir, "events").withColumnRenamed("user_id", "service")
+    good = F.col("value") >= 50
+
+    def state(kind):
+        one = F.col("event_type") == kind
+        n, k = F.count_if(one), F.count_if(one & good)
+        none = "failed" if kind == STAGES["publication"] else "unavailable"
+        return F.when(n == 0, "unknown").when(k == n, "ok").when(k == 0, none).when(k * 2 >= n, "partial").otherwise("degraded")
+
+    runs = events.where("service % 5 <> 0").groupBy("service", F.date_trunc("day", "ts").alias("day"))
+    beats = runs.agg(
+        F.max("ts").alias("last_run_at"), F.max(F.when(good, F.col("ts"))).alias("success_at"), F.count(F.lit(1)).alias("calls"),
+        F.count_if(good).alias("selected"), *[state(kind).alias(stage) for stage, kind in STAGES.items()],
+    )
+    cards = events.where("event_id % 7 = 0").select("service", F.col("ts").alias("created_at"))
+    return ag.service_health(beats, cards, now()).withColumn("age_hours", F.round("age_hours", 4))
 
 
 @query(
@@ -315,13 +352,29 @@ def agg_outlet_counts(spark, sf_dir):
     return rows.withColumn("known", F.col("source").isin("src0", "src1"))
 
 
-@query("agg_omissions", f"with {ad.VERDICTS_SQL} select id, case when id % 5 = 0 then 'duplicate' else 'unaccounted' end as reason from verdicts where pk_relevance = 'national' and story_type = 'hard_news' and id % 3 <> 0")
+@query(
+    "agg_omissions",
+    f"""with {ad.ARTICLES_SQL}, {ad.VERDICTS_SQL},
+    c as (select id - id % (2 + (id // 60) % 5) as id, (id // 60) % 3 as edition, count(distinct source) as sources, coalesce(bool_or(pk_relevance = 'national'), false) as national, min(headline) as headline
+        from articles left join verdicts using (id) group by 1, 2),
+    dr as (select * from c where national and (id // 2) % 4 <> 0),
+    b as (select edition, sources as n, substr(trim(headline), 1, 70) as head, row_number() over (partition by edition order by sources desc, substr(trim(headline), 1, 70) desc, id desc) as r from dr qualify r <= 2)
+    select edition, 'omitted' as kind, id, sources, case when (id // 2) % 10 = 5 then '(no reason given)' when (id // 2) % 5 = 0 then 'same event: told' else 'unaccounted' end as reason, null as passed_over from dr where sources >= 4
+    union all
+    select c.edition, 'thin', id, sources, null, coalesce(string_agg(n || '-source ' || head, '; ' order by r) filter (n > sources), '')
+    from c join b on b.edition = c.edition where sources < 4 and (id // 2) % 4 = 0 group by c.edition, id, sources""",
+)
 def agg_omissions(spark, sf_dir):
-    rows = ad.verdicts(spark, sf_dir)
-    published = rows.where("id % 3 = 0").select("id")
-    reasons = rows.where("id % 5 = 0").select("id", F.lit("duplicate: same event").alias("note"))
-    left = rows.where("pk_relevance = 'national' and story_type = 'hard_news'").join(published, "id", "left_anti").join(reasons, "id", "left")
-    return left.select("id", F.coalesce(F.get(F.split("note", ":"), F.lit(0)), F.lit("unaccounted")).alias("reason"))
+    """Two to six documents in a row are a candidate; about every fourth one is published, every fifth one has a note."""
+    rows = ad.articles(spark, sf_dir).join(ad.verdicts(spark, sf_dir).select("id", "pk_relevance"), "id", "left")
+    block = F.floor(F.col("id") / 60)
+    key, number = F.col("id") - F.col("id") % (2 + block % 5), F.floor(F.col("id") / 2)
+    national = F.coalesce(F.bool_or(F.col("pk_relevance") == "national"), F.lit(False))
+    candidates = rows.groupBy(key.alias("id"), (block % 3).alias("edition")).agg(
+        F.countDistinct("source").alias("sources"), F.when(national, "national").otherwise("other").alias("relevance"), F.min("headline").alias("headline")
+    )
+    note = F.concat(F.col("id").cast("string"), F.when(number % 10 == 5, ": ").otherwise(": same event: told"))
+    return ag.omissions(candidates, candidates.where(number % 4 == 0), candidates.where(number % 5 == 0).select("edition", note.alias("note")))
 
 
 @query("agg_gated_publish", "select user_id as token, count(*) as cards, count(*) between 1 and 12 and count(distinct event_id) = count(*) and min(value) >= 0 as allowed from events group by user_id")

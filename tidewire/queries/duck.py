@@ -96,3 +96,12 @@ def canonical_url(u: str) -> str:
 
 def host(u: str) -> str:
     return f"lower(regexp_extract(regexp_replace(trim({u}), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^([^/?#:]*)', 1))"
+
+
+def markup(x: str) -> str:
+    """As the library's rule, with the entities that the driver's pages have."""
+    out = f"regexp_replace(regexp_replace({x}, '(?s)<!.CDATA.(.*?)..>', '\\1', 'g'), '<[^>]+>', ' ', 'g')"
+    named = {"lt": "<", "gt": ">", "quot": '"', "apos": "''", "nbsp": " ", "copy": "©", "middot": "·", "amp": "&"}
+    for name, char in named.items():
+        out = f"replace({out}, '&{name};', '{char}')"
+    return normalize(out)

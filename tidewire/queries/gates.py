@@ -37,10 +37,23 @@ def flt_item_age(spark, sf_dir):
     return ad.feed_items(spark, sf_dir).where(times.age_hours(F.col("published"), now()) <= 36).select("item_id")
 
 
-@query("flt_item_valid", f"select page_id from pages where regexp_matches(url, '^https?://') and trim(html) <> '' and {d.host('url')} <> ''")
+DOMAIN = f"regexp_extract({d.host('url')}, '[^.]+[.][^.]+$', 0)"
+TWIN = "regexp_replace({}, '^www[.]', '')"
+
+
+@query(
+    "flt_item_valid",
+    f"""with r as (select page_id, trim(url) as url, {d.markup("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} as headline, {DOMAIN} as source from pages),
+    c as (select source, arg_min(url, page_id) as base from r group by source)
+    select page_id from r join c using (source) where regexp_matches(url, '^https?://') and headline <> '' and {d.host('url')} <> '' and {TWIN.format(d.host('url'))} = {TWIN.format(d.host('base'))}""",
+)
 def flt_item_valid(spark, sf_dir):
-    pages = ad.table(spark, sf_dir, "pages")
-    return pages.where(F.col("url").rlike("^https?://") & (F.trim("html") != "") & (urls.host(F.col("url")) != "")).select("page_id")
+    """Pages as items of the publisher of their domain, whose catalogue entry is the URL of its first page."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    source = F.regexp_extract(urls.host(F.col("url")), "[^.]+[.][^.]+$", 0)
+    items = ad.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("link"), t.clean_markup(title).alias("headline"), source.alias("source"))
+    sources = items.groupBy("source").agg(F.min_by("link", "page_id").alias("url"))
+    return gates.valid_items(items, sources).select("page_id")
 
 
 @query("flt_lookback", f"select event_id, user_id from events where ts >= {NOW} - interval 3 day and event_type in (select event_type from events where event_id % 97 = 0)")
@@ -141,12 +154,30 @@ def val_triage(spark, sf_dir):
     return good.select("id", F.col("a.category").alias("category"))
 
 
-@query("val_adjudication", "select conv_id, turn, case when contains(lower(text), ' the ') then 'same' else 'different' end as verdict from conversations where role = 'assistant'")
+@query(
+    "val_adjudication",
+    """select conv_id, turn, contains(lower(text), ' the ') as same_event from conversations
+    where (conv_id + turn // 8) % 11 <> 0 and turn % 8 <> 3 and length(text) % 7 <> 0 and length(text) % 5 <> 0""",
+)
 def val_adjudication(spark, sf_dir):
-    turns = ad.table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    answer = F.to_json(F.struct(F.lit("p1").alias("id"), F.lower("text").contains(" the ").alias("same")))
-    parsed = turns.select("conv_id", "turn", F.from_json(answer, "id string, same boolean").alias("v")).where("v.id = 'p1'")
-    return parsed.select("conv_id", "turn", F.when(F.col("v.same"), "same").otherwise("different").alias("verdict"))
+    """Turns as pairs in batches of eight; answers have ids nobody asked, states that are no booleans and notes beside them.
+
+    Some answers are broken, fenced, or bare lists.
+    """
+    size = F.length("text")
+    rows = ad.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat_ws("/", "conv_id", F.floor(F.col("turn") / 8)).alias("batch"), F.concat(F.lit("p"), F.col("turn") % 8).alias("pair_id"),
+        F.when(F.col("turn") % 8 == 3, "q3").otherwise(F.concat(F.lit("p"), F.col("turn") % 8)).alias("said"),
+        F.when(size % 7 == 0, '"maybe"').otherwise(F.lower("text").contains(" the ").cast("string")).alias("same"),
+        F.when(size % 5 == 0, ',"note":"none"').otherwise(',"confidence":0.8').alias("more"),
+        (F.col("conv_id") + F.floor(F.col("turn") / 8)).alias("n"),
+    )
+    verdict = F.concat(F.lit('{"id":"'), "said", F.lit('","same_event":'), "same", "more", F.lit("}"))
+    lists = rows.groupBy("batch", "n").agg(F.concat(F.lit("["), F.array_join(F.collect_list(verdict), ","), F.lit("]")).alias("list"))
+    whole = F.concat(F.lit('{"verdicts":'), "list", F.lit("}"))
+    answer = F.when(F.col("n") % 11 == 0, F.concat(F.lit("{"), whole)).when(F.col("n") % 2 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
+    answers = lists.select("batch", answer.otherwise(F.col("list")).alias("answer"))
+    return validation.adjudication_verdicts(answers, rows.select("batch", "pair_id", "conv_id", "turn")).select("conv_id", "turn", "same_event")
 
 
 def editorial_inputs(spark, sf_dir):

@@ -252,8 +252,15 @@ def mdl_merge_editorial(spark, sf_dir):
 
 @query("mdl_what_to_watch")
 def mdl_what_to_watch(spark, sf_dir):
-    body = F.concat("main_text", F.lit(" The hearing is on January "), (F.col("id") % 28 + 1).cast("string"), F.lit(", 2024."))
-    return ad.articles(spark, sf_dir).select("id", md.watch_line(body, F.lit("2024-01-15").cast("date")).alias("line"))
+    """Three documents in a row are a card; every second card has a line supplied, the others' articles end in a dated event."""
+    rows = ad.articles(spark, sf_dir).withColumn("card", F.floor(F.col("id") / 3))
+    subject = F.initcap(F.coalesce(F.get(md.words_of_story(F.col("headline")), F.lit(0)), F.lit("it")))
+    day = F.concat(F.lit(" on January "), (F.col("card") % 28 + 1).cast("string"), F.lit(", 2024."))
+    told = F.concat("main_text", F.lit(" The "), subject, F.lit(" hearing is"), day)
+    articles = rows.select("card", (F.col("id") % 3).alias("place"), "headline", told.alias("main_text"), F.col("publish_date").alias("published"))
+    supplied = F.when(F.col("card") % 2 == 0, F.concat(F.lit("Vote of "), subject, F.lit(" members"), day))
+    cards = rows.where("id % 3 = 0").select("card", "headline", F.col("headline").alias("lead"), supplied.alias("supplied"), F.col("headline").alias("already_said"))
+    return md.what_to_watch(cards, articles)
 
 
 @query("mdl_analysis_packet")
