@@ -791,3 +791,54 @@ def test_derived_lines_to_watch(spark):
         3: "", 4: "", 5: "", 6: "",
         7: "The meeting is scheduled for January 16, 2025.",
     }
+
+
+def feed_items(spark, rows):
+    schema = "endpoint string, channel string, rank int, headline string, link string, body string, published timestamp, tags array<string>"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_ingest_merges_channels_and_reports_every_endpoint(spark):
+    at = lambda hour: datetime.datetime(2024, 1, 5, hour)
+    rows = [
+        ("m1", "sitemap", 1, "Told", "https://www.a.com/1/", None, at(5), ["city"]),
+        ("f1", "rss", 9, "Told", "https://a.com/1", None, at(5), None),
+        ("f1", "rss", 0, "Long", "https://a.com/2", "x" * 600, at(4), []),
+        ("m1", "sitemap", 0, "Long", "https://a.com/2", None, at(9), ["late"]),
+        ("f1", "rss", 2, "Late one", "https://a.com/3", "Late one. More of it", at(3), ["own"]),
+        ("f1", "rss", 3, "", "https://a.com/4", "no headline", at(3), None),
+        ("f1", "rss", 4, "No link", None, "no link", at(3), None),
+        ("f2", "rss", 0, "Undated", "https://b.com/1", "none", None, None),
+        ("f3", "rss", 0, "Coming", "https://c.com/1", "none", at(20), None),
+    ]
+    items, now = feed_items(spark, rows), F.lit("2024-01-05 10:00:00").cast("timestamp")
+    found = {r.canonical_url: r for r in views.ingest(items, now).collect()}
+    assert {u: (r.channel, r.tags, r.body_status, r.bucket, r.prominence) for u, r in found.items()} == {
+        "https://a.com/1": ("rss", ["city"], "headline_only", "tail", 4),
+        "https://a.com/2": ("rss", ["late"], "full", "lead", 24),
+        "https://a.com/3": ("rss", ["own"], "summary", "topline", 18),
+    }
+    assert found["https://a.com/1"].main_text == "Told"
+    assert [r.canonical_url for r in views.ingest(items, now, 1).collect()] == ["https://a.com/1"]
+    assert views.ingest(items.limit(0), now).count() == 0
+
+    endpoints = spark.createDataFrame([("f1", "rss"), ("f2", "rss"), ("f3", "rss"), ("m1", "sitemap"), ("m2", "sitemap")], "endpoint string, channel string")
+    report = {r.endpoint: (r.status, r.newest_age_hours, r.item_count) for r in views.ingest_report(endpoints, items, now).collect()}
+    assert report == {"f1": ("ok", 5.0, 5), "f2": ("no-dates", None, 0), "f3": ("future-clock", -10.0, 0), "m1": ("ok", 1.0, 2), "m2": ("unreachable", None, 0)}
+    old = {r.endpoint: r.status for r in views.ingest_report(endpoints, items, F.lit("2024-01-08 10:00:00"), stale=48).collect()}
+    assert old["f1"] == old["m1"] == "STALE"
+
+
+def test_published_cards_have_copy_evidence_and_one_stamp(spark):
+    day = datetime.datetime(2024, 1, 4, 20)
+    cards = [("a", 1, "Dam opens", 3, 2, day, "economy", "WALLET,WORK", "national"), ("b", 2, "Rain", 1, 1, day, None, "", None), ("c", 3, "Not picked", 1, 1, day, "city", "WORK", "local")]
+    cards = spark.createDataFrame(cards, "cluster string, lead_id long, headline string, articles long, sources long, latest timestamp, category string, impact_labels string, pk_relevance string")
+    picks = spark.createDataFrame([("a", 2), ("b", 1)], "id string, slot int")
+    articles = spark.createDataFrame([(1, "Dam opens", "Dam opens. The gates were raised. Water ran."), (2, "Rain", None), (3, "Not picked", "x")], "id long, headline string, main_text string")
+    rows = {r.cluster: r for r in views.publish(picks, cards, articles, F.lit("2024-01-04 20:30:00")).collect()}
+    assert set(rows) == {"a", "b"}
+    assert (rows["a"].slot, rows["a"].snippet, rows["a"].why_it_matters) == (2, "The gates were raised. Water ran.", "This matters for wallet today.")
+    assert rows["a"].what_to_watch == "Watch for the next official economic update."
+    assert tuple(rows["a"].evidence) == (2, 3, "national", day)
+    assert (rows["b"].snippet, rows["b"].why_it_matters, rows["b"].what_to_watch) == ("Rain", "", "Watch for the next verified update.")
+    assert {(str(r.brief_run_at), str(r.edition_date)) for r in rows.values()} == {("2024-01-04 20:30:00", "2024-01-05")}

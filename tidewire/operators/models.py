@@ -122,3 +122,19 @@ def analysis_packet(primary: DataFrame, related: DataFrame, order: list, per_row
     rows = primary.withColumn("role", F.lit("primary_event")).unionByName(related.withColumn("role", F.lit("related")), True)
     rows = ranking.budgeted(rows, "card", ["role", *order], F.length("main_text"), per_row, total)
     return rows.select("card", "id", "role", "allowed")
+
+
+#: What is said where a card has no line of its own.
+WATCH = {"economy": "Watch for the next official economic update.", "health": "Watch for the next health update.", "other": "Watch for the next verified update."}
+
+
+def watch_copy(category: Column) -> Column:
+    """What to watch where a card has no line of its own."""
+    lines = {k: v for k, v in WATCH.items() if k != "other"}
+    named = [F.when(category == k, v) for k, v in lines.items()]
+    return F.coalesce(*named, F.lit(WATCH["other"]))
+
+
+def impact_copy(label: Column) -> Column:
+    """Why a card matters where it has no line of its own; null without a label."""
+    return F.concat(F.lit("This matters for "), F.lower(label), F.lit(" today."))

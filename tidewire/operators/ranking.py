@@ -125,3 +125,18 @@ def capped_related(related: DataFrame, per_publisher: int = 4, per_cluster: int
     kinds = dict(related.dtypes)
     schema = f"card {kinds['card']}, id {kinds['id']}, place int"
     return walked(first, "card", order, lambda: Related(per_publisher, per_cluster, total), schema)
+
+
+def bucket(rank: Column) -> Column:
+    return F.when(rank <= 1, "lead").when(rank <= 4, "topline").when(rank <= 8, "secondary").otherwise("tail")
+
+
+def prominence(rank: Column, rss: Column) -> Column:
+    """Score of a place in a channel: an RSS feed is ranked by its editors, a sitemap is not."""
+    score = lambda a, b, c, e: F.when(rank <= 1, a).when(rank <= 4, b).when(rank <= 8, c).otherwise(e)
+    return F.when(rss, score(24, 18, 10, 4)).otherwise(score(18, 13, 7, 2))
+
+
+def body_status(body: Column, headline: Column) -> Column:
+    """``full`` from 600 characters on, ``summary`` if longer than the headline, else ``headline_only``."""
+    return F.when(F.length(body) >= 600, "full").when(F.length(body) > F.length(headline), "summary").otherwise("headline_only")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as t, times, urls
+from tidewire.operators.models import WATCH, impact_copy, watch_copy
+from tidewire.operators.ranking import body_status, bucket, prominence
 from tidewire.queries import duck as d
 from tidewire.registry import query
 from tidewire.shared import materialize
@@ -264,21 +266,11 @@ on_articles("card_key", lambda: F.concat_ws("|", "source", F.lower(t.collapse(he
 on_articles("art_embedding_text", lambda: F.concat(head(), F.lit(". "), F.substring(body(), 1, 500)), "headline || '. ' || substr(main_text, 1, 500)")
 on_articles(
     "art_body_status",
-    lambda: F.when(F.length("main_text") >= 600, "full").when(F.length("main_text") > F.length("headline"), "summary").otherwise("headline_only"),
+    lambda: body_status(body(), head()),
     "case when length(main_text) >= 600 then 'full' when length(main_text) > length(headline) then 'summary' else 'headline_only' end",
 )
 
 
-def bucket(rank):
-    return F.when(rank <= 1, "lead").when(rank <= 4, "topline").when(rank <= 8, "secondary").otherwise("tail")
-
-
-def prominence(rank, rss):
-    """Score of a place in a channel: an RSS feed is ranked by its editors, a sitemap is not."""
-    score = lambda a, b, c, e: F.when(rank <= 1, a).when(rank <= 4, b).when(rank <= 8, c).otherwise(e)
-    return F.when(rss, score(24, 18, 10, 4)).otherwise(score(18, 13, 7, 2))
-
-
 @query(
     "art_prominence",
     f"""{A} select id, case when r <= 1 then 'lead' when r <= 4 then 'topline' when r <= 8 then 'secondary' else 'tail' end as bucket,
@@ -294,10 +286,6 @@ def art_prominence(spark, sf_dir):
     return rows.select("id", bucket(F.col("r")).alias("bucket"), prominence(F.col("r"), F.col("id") % 2 == 0).alias("score"))
 
 
-#: What is said where a card has no line of its own.
-WATCH = {"economy": "Watch for the next official economic update.", "health": "Watch for the next health update.", "other": "Watch for the next verified update."}
-
-
 @query(
     "card_fallback_copy",
     f"with {ad.VERDICTS_SQL} select id, case category when 'economy' then '{WATCH['economy']}' when 'health' then '{WATCH['health']}' else '{WATCH['other']}' end as what_to_watch, case when confidence > 0.5 then 'own line' else 'This matters for ' || lower(impact_label) || ' today.' end as why_it_matters from verdicts",
@@ -305,9 +293,7 @@ WATCH = {"economy": "Watch for the next official economic update.", "health": "W
 def card_fallback_copy(spark, sf_dir):
     rows = ad.verdicts(spark, sf_dir)
     own = F.when(F.col("confidence") > 0.5, "own line")
-    line = F.concat(F.lit("This matters for "), F.lower("impact_label"), F.lit(" today."))
-    watch = F.when(F.col("category") == "economy", WATCH["economy"]).when(F.col("category") == "health", WATCH["health"])
-    return rows.select("id", F.coalesce(watch, F.lit(WATCH["other"])).alias("what_to_watch"), F.coalesce(own, line).alias("why_it_matters"))
+    return rows.select("id", watch_copy(F.col("category")).alias("what_to_watch"), F.coalesce(own, impact_copy(F.col("impact_label"))).alias("why_it_matters"))
 
 
 NOW = f"timestamp '{ad.NOW_EVENTS}'"

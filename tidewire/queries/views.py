@@ -14,7 +14,7 @@ from tidewire.queries.gates import analysis_inputs, docs_now, editorial_inputs,
 from tidewire.queries.joins import CANON, prepared
 from tidewire.queries.rankings import grp_events
 from tidewire.registry import query
-from tidewire.shared import shared_path
+from tidewire.shared import materialize, shared_path
 from tidewire.sources import adapters as ad, capture, feeds
 from tidewire.streaming import near
 
@@ -160,14 +160,23 @@ def view_story(spark, sf_dir):
 
 @query("view_brief")
 def view_brief(spark, sf_dir):
-    return views.brief(cards(spark, sf_dir), docs_now())
+    told = cards(spark, sf_dir)
+    return views.publish(views.brief(told, docs_now()), told, ad.articles(spark, sf_dir), docs_now())
 
 
 @query("view_ingest")
 def view_ingest(spark, sf_dir):
-    path = shared_path(spark, "feeds")
-    feeds.write_feeds(ad.articles(spark, sf_dir), path)
-    return views.ingest(feeds.read_rss(spark, path), docs_now())
+    """Articles of both channels, and the catalogue's endpoints by channel and state; of the catalogue's own ones nothing is landed."""
+    rows, rss, maps = ad.articles(spark, sf_dir), shared_path(spark, "feeds"), shared_path(spark, "sitemaps")
+    feeds.write_feeds(rows, rss)
+    feeds.write_sitemaps(rows, maps)
+    items = feeds.read_rss(spark, rss).withColumn("channel", F.lit("rss"))
+    items = materialize(items.unionByName(feeds.read_sitemap(spark, maps).withColumn("channel", F.lit("sitemap")), True), "items")
+    endpoints = items.select("endpoint", "channel").distinct().unionByName(src_catalog(spark, sf_dir).select(F.col("url").alias("endpoint"), "channel"))
+    report = views.ingest_report(endpoints, items, docs_now()).groupBy("channel", "status")
+    report = report.agg(F.count(F.lit(1)).alias("endpoints"), F.sum("item_count").alias("items"), F.min("newest_age_hours").alias("newest_age_hours"))
+    told = views.ingest(items, docs_now()).withColumn("kind", F.lit("article"))
+    return told.unionByName(report.withColumn("kind", F.lit("report")), True)
 
 
 @query("view_dedup")
