@@ -842,3 +842,44 @@ def test_published_cards_have_copy_evidence_and_one_stamp(spark):
     assert tuple(rows["a"].evidence) == (2, 3, "national", day)
     assert (rows["b"].snippet, rows["b"].why_it_matters, rows["b"].what_to_watch) == ("Rain", "", "Watch for the next verified update.")
     assert {(str(r.brief_run_at), str(r.edition_date)) for r in rows.values()} == {("2024-01-04 20:30:00", "2024-01-05")}
+
+
+def worded(seed: int, n: int) -> list[tuple]:
+    """Cards with few and frequent words, copies and empty ones."""
+    rng = random.Random(seed)
+    pool = [f"w{k}" for k in range(40)] + ["launch", "court"]
+    pick = lambda most: sorted({rng.choice(pool[: rng.choice((4, 42))]) for _ in range(rng.randint(0, most))})
+    rows = [(k, rng.choice(["p", "q", None]), pick(8), [w.upper() if w.startswith("w") else w for w in pick(3)]) for k in range(n)]
+    return rows + [(n + k, *row[1:]) for k, row in enumerate(rows[:20])]
+
+
+CARDS = "id long, source string, tokens array<string>, cues array<string>"
+
+
+@pytest.fixture
+def small_steps(monkeypatch):
+    from tidewire.operators import sets
+
+    monkeypatch.setattr(sets, "TILE_ROWS", 50)
+    monkeypatch.setattr(sets, "CELLS", 300)
+    monkeypatch.setattr(sets, "MEETINGS", 200)
+
+
+def test_compatible_pairs_meet_in_tiles(spark, small_steps):
+    rows = worded(2, 130)
+    generic = set(t.GENERIC_CUES)
+    jac = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    want = {}
+    for a, s, x, c in rows:
+        for b, z, y, d in rows:
+            common = set(x) & set(y) | set(c) & set(d)
+            own = (s == z or s is None or z is None) and (not set(x) & set(y) or len(common - generic) < 2)
+            h, e, n = jac(set(x), set(y)), jac(set(c), set(d)), len(common - generic)
+            if a < b and not own and (2 if n == 1 and len(common) >= 3 and h >= 0.2 else n) >= 2 and (h >= 0.2 or e >= 0.15):
+                want[a, b] = (h, e)
+    found = pairs.compatible_pairs(spark.createDataFrame(rows, CARDS))
+    assert "token#" not in found._jdf.queryExecution().toString()
+    assert {(r.a, r.b): (r.h, r.e) for r in found.collect()} == want
+    some = sorted(want)[:2]
+    told = spark.createDataFrame([(*some[0], False), (*some[1], True)], "a long, b long, same boolean")
+    assert {(r.a, r.b) for r in pairs.compatible_pairs(spark.createDataFrame(rows, CARDS), verdicts=told).collect()} == set(want) - {some[0]}
