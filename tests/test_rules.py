@@ -883,3 +883,18 @@ def test_compatible_pairs_meet_in_tiles(spark, small_steps):
     some = sorted(want)[:2]
     told = spark.createDataFrame([(*some[0], False), (*some[1], True)], "a long, b long, same boolean")
     assert {(r.a, r.b) for r in pairs.compatible_pairs(spark.createDataFrame(rows, CARDS), verdicts=told).collect()} == set(want) - {some[0]}
+
+
+def test_most_shared_of_tiles(spark, small_steps):
+    from tidewire.operators import sets
+
+    rng = random.Random(4)
+    rows = [(*r, [rng.gauss(0, 0.3) for _ in range(3)] if k % 9 else None) for k, r in enumerate(worded(4, 130))]
+    want = []
+    jac = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    for a, _, x, c, v in rows:
+        for b, _, y, d, w in rows:
+            if a < b and v and w and len(set(x) & set(y)) >= 2 and -0.05 <= sum(p * q for p, q in zip(v, w)) <= 0.10:
+                want.append((-len(set(x) & set(y)), -(jac(set(x), set(y)) + jac(set(c), set(d))), a, b))
+    found = sets.most_shared(spark.createDataFrame(rows, CARDS + ", embedding array<double>"), 2, -0.05, 0.10, 24)
+    assert [(r.a, r.b, r.shared) for r in found.collect()] == [(a, b, -n) for n, _, a, b in sorted(want)[:24]]
