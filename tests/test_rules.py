@@ -865,6 +865,18 @@ def small_steps(monkeypatch):
     monkeypatch.setattr(sets, "MEETINGS", 200)
 
 
+@pytest.mark.parametrize("least", (0.6, 0.75, 1.0))
+def test_duplicate_cards_meet_in_tiles(spark, small_steps, least):
+    rows = worded(1, 130)
+    sets_ = {r[0]: set(r[2]) for r in rows}
+    want = {(a, b): len(sets_[a] & sets_[b]) / min(len(sets_[a]), len(sets_[b])) for a in sets_ for b in sets_ if a < b and sets_[a] and sets_[b]}
+    cards = spark.createDataFrame(rows, CARDS)
+    found = pairs.duplicate_cards(cards, least)
+    # No candidates are dealt between tasks: what is joined is tiles.
+    assert "token#" not in found._jdf.queryExecution().toString()
+    assert {(r.a, r.b): r.overlap for r in found.collect()} == {k: v for k, v in want.items() if v >= least}
+
+
 def test_compatible_pairs_meet_in_tiles(spark, small_steps):
     rows = worded(2, 130)
     generic = set(t.GENERIC_CUES)
@@ -885,6 +897,18 @@ def test_compatible_pairs_meet_in_tiles(spark, small_steps):
     assert {(r.a, r.b) for r in pairs.compatible_pairs(spark.createDataFrame(rows, CARDS), verdicts=told).collect()} == set(want) - {some[0]}
 
 
+def test_distinct_headlines_are_the_walk_by_blocks(spark, small_steps, monkeypatch):
+    monkeypatch.setattr(grouping, "FIRST_BLOCK", 20)
+    rows = worded(3, 130)
+    kept = []
+    for k, _, x, _ in rows:
+        if not any(len(set(x) & y) >= 0.6 * min(len(x), len(y)) for y in kept if x and y):
+            kept.append(set(x))
+            rows[k] = (k, "kept", x, [])
+    got = {r.id for r in grouping.distinct_headlines(spark.createDataFrame(rows, CARDS), 0.6).collect()}
+    assert got == {r[0] for r in rows if r[1] == "kept"}
+
+
 def test_most_shared_of_tiles(spark, small_steps):
     from tidewire.operators import sets
 
@@ -898,15 +922,3 @@ def test_most_shared_of_tiles(spark, small_steps):
                 want.append((-len(set(x) & set(y)), -(jac(set(x), set(y)) + jac(set(c), set(d))), a, b))
     found = sets.most_shared(spark.createDataFrame(rows, CARDS + ", embedding array<double>"), 2, -0.05, 0.10, 24)
     assert [(r.a, r.b, r.shared) for r in found.collect()] == [(a, b, -n) for n, _, a, b in sorted(want)[:24]]
-
-
-@pytest.mark.parametrize("least", (0.6, 0.75, 1.0))
-def test_duplicate_cards_meet_in_tiles(spark, small_steps, least):
-    rows = worded(1, 130)
-    sets_ = {r[0]: set(r[2]) for r in rows}
-    want = {(a, b): len(sets_[a] & sets_[b]) / min(len(sets_[a]), len(sets_[b])) for a in sets_ for b in sets_ if a < b and sets_[a] and sets_[b]}
-    cards = spark.createDataFrame(rows, CARDS)
-    found = pairs.duplicate_cards(cards, least)
-    # No candidates are dealt between tasks: what is joined is tiles.
-    assert "token#" not in found._jdf.queryExecution().toString()
-    assert {(r.a, r.b): r.overlap for r in found.collect()} == {k: v for k, v in want.items() if v >= least}
