@@ -922,3 +922,20 @@ def test_most_shared_of_tiles(spark, small_steps):
                 want.append((-len(set(x) & set(y)), -(jac(set(x), set(y)) + jac(set(c), set(d))), a, b))
     found = sets.most_shared(spark.createDataFrame(rows, CARDS + ", embedding array<double>"), 2, -0.05, 0.10, 24)
     assert [(r.a, r.b, r.shared) for r in found.collect()] == [(a, b, -n) for n, _, a, b in sorted(want)[:24]]
+
+
+def test_keywords_are_found_by_words():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    keys = {word(rng.randint(2, 5)) for _ in range(12)} | {"a b", "", "aab ba"}
+    known = pairs.Keywords(keys)
+    for _ in range(300):
+        hay = " ".join(word(rng.randint(0, 7)) for _ in range(rng.randint(0, 6)))
+        assert known.found(hay) == {k for k in keys if k in hay}
+
+
+def test_expectations_count_each_keyword(spark):
+    rows = [(1, ["fuel", "oil price", "fuel"], 2), (2, ["price", None], 2), (3, [], 1), (4, ["ice"], None), (5, None, 1)]
+    ex = spark.createDataFrame(rows, "expectation int, keywords array<string>, min_hits int")
+    cards = spark.createDataFrame([("a", "Refuelling: the OIL, price"), ("b", "Oil price"), ("c", None)], "card string, text string")
+    assert sorted(tuple(r) for r in pairs.expectation_hits(ex, cards).collect()) == [(1, "a", 2), (4, "a", 1), (4, "b", 1)]
