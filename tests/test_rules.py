@@ -939,3 +939,14 @@ def test_expectations_count_each_keyword(spark):
     ex = spark.createDataFrame(rows, "expectation int, keywords array<string>, min_hits int")
     cards = spark.createDataFrame([("a", "Refuelling: the OIL, price"), ("b", "Oil price"), ("c", None)], "card string, text string")
     assert sorted(tuple(r) for r in pairs.expectation_hits(ex, cards).collect()) == [(1, "a", 2), (4, "a", 1), (4, "b", 1)]
+
+
+def test_scorer_words_are_taken_not_replaced(spark):
+    texts = ["", "!!", "!a!", " a  b ", "É2x, y\n", "K% off", "\U0001f600a"]
+    norm = lambda x: re.sub("[^a-z0-9 ]+", " ", x.lower())
+    assert [one(spark, t.scorer_normal(F.col("v")), v=x) for x in texts] == [norm(x) for x in texts]
+    assert one(spark, t.scorer_normal(F.col("v")), v=None) == ""
+    flags = spark.createDataFrame([("Two ON two rupees", "Two rupees")], "i string, h string").select(*[c.alias(k) for k, c in t.brief_flags(F.col("i"), F.col("h")).items()])
+    assert flags.first().restates == 1.0
+    # Replacing in whole texts, once a use, was most of the time.
+    assert "regexp_replace" not in flags._jdf.queryExecution().optimizedPlan().toString()
