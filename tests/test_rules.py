@@ -950,3 +950,9 @@ def test_scorer_words_are_taken_not_replaced(spark):
     assert flags.first().restates == 1.0
     # Replacing in whole texts, once a use, was most of the time.
     assert "regexp_replace" not in flags._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentence_ends_are_sought_at_stops_only(spark):
+    plan = spark.range(1).select(t.sentences(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    # Look-behinds at every character were most of the time.
+    assert "(?=[.!?])(?<!" in plan
