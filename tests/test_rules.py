@@ -956,3 +956,7 @@ def test_sentence_ends_are_sought_at_stops_only(spark):
     plan = spark.range(1).select(t.sentences(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     # Look-behinds at every character were most of the time.
     assert "(?=[.!?])(?<!" in plan
+
+
+def test_snippet_of_a_long_text_is_its_first_sentences(spark):
+    assert one(spark, t.snippet(F.col("v")), v="One came. Two saw. " + "Word " * 20_000) == "One came. Two saw."
