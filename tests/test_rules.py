@@ -960,3 +960,12 @@ def test_sentence_ends_are_sought_at_stops_only(spark):
 
 def test_snippet_of_a_long_text_is_its_first_sentences(spark):
     assert one(spark, t.snippet(F.col("v")), v="One came. Two saw. " + "Word " * 20_000) == "One came. Two saw."
+
+
+def test_hash64_reads_one_digest_with_its_sign(spark):
+    import hashlib
+
+    words = [str(k) for k in range(200)]
+    plan = spark.createDataFrame([(w,) for w in words], "v string").select(t.hash64(F.col("v")).alias("h"))
+    assert [r.h for r in plan.collect()] == [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big", signed=True) for w in words]
+    assert plan._jdf.queryExecution().analyzed().toString().count("md5(") == 1
