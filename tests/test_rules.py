@@ -969,3 +969,11 @@ def test_hash64_reads_one_digest_with_its_sign(spark):
     plan = spark.createDataFrame([(w,) for w in words], "v string").select(t.hash64(F.col("v")).alias("h"))
     assert [r.h for r in plan.collect()] == [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big", signed=True) for w in words]
     assert plan._jdf.queryExecution().analyzed().toString().count("md5(") == 1
+
+
+def test_publishers_meet_patterns_only_where_named(spark):
+    found = lambda v: one(spark, t.named_publishers(F.col("v")), v=v)
+    assert found("DAWN said so. ACCORDING TO the geo it fell.") == ["dawn", "geo"]
+    assert found("dawn said") == found("According to it") == []
+    plan = spark.range(1).select(t.named_publishers(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("contains(") >= len(t.PUBLISHERS)
