@@ -977,3 +977,23 @@ def test_publishers_meet_patterns_only_where_named(spark):
     assert found("dawn said") == found("According to it") == []
     plan = spark.range(1).select(t.named_publishers(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("contains(") >= len(t.PUBLISHERS)
+
+
+@pytest.mark.parametrize("rows_per_tile", [8192, 40])
+def test_first_related_as_by_all_hits(spark, small_steps, monkeypatch, rows_per_tile):
+    from tidewire.operators import sets
+
+    monkeypatch.setattr(sets, "LEAST_ROWS", rows_per_tile)
+    rng = random.Random(6)
+    vec = lambda: [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(3)]
+    rows = [(k, f"s{k % 3}", k // 3 % 4 if k % 23 else None, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 3))], vec() if k % 17 else None) for k in range(150)]
+    others = spark.createDataFrame(rows, "id long, source string, cluster int, anchors array<string>, embedding array<double>")
+    for card in (F.col("id"), F.col("cluster").cast("long")):
+        primary = others.where("id % 5 = 0 and cluster is not null").withColumn("card", card)
+        old = pairs.related_articles(primary, others, -0.2).join(others.select("id", "source", "cluster"), "id")
+        old = ranking.first_per(old, ["card", "source", "cluster"], [F.desc("similarity"), F.desc("shared"), "id"], 2)
+        new = sets.first_related(primary, others, -0.2, 2)
+        new = ranking.first_per(new, ["card", "source", "cluster"], [F.desc("similarity"), F.desc("shared"), "id"], 2)
+        columns = ["card", "id", "source", "cluster", "similarity", "shared"]
+        want = sorted(tuple(r) for r in old.select(*columns).collect())
+        assert want and sorted(tuple(r) for r in new.select(*columns).collect()) == want
