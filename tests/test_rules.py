@@ -997,3 +997,11 @@ def test_first_related_as_by_all_hits(spark, small_steps, monkeypatch, rows_per_
         columns = ["card", "id", "source", "cluster", "similarity", "shared"]
         want = sorted(tuple(r) for r in old.select(*columns).collect())
         assert want and sorted(tuple(r) for r in new.select(*columns).collect()) == want
+
+
+def test_guilt_is_sought_where_a_term_stands(spark):
+    found = lambda v: one(spark, t.asserts_culpability(F.col("v")), v=v)
+    assert found("It rained. The Corrupt clerk lied.") and found("A COVER-UP.")
+    assert not found("It rained. He alleged corruption.") and found(None) is False and found("Incorruptible.") is False
+    plan = spark.range(1).select(t.asserts_culpability(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("contains(") >= len(t.CONCLUSIONS)
