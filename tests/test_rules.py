@@ -369,6 +369,69 @@ def test_the_state_of_a_stream_expires(spark, tmp_path):
     assert run_near_stream(spark, tmp_path, batches, 12) == {(1, 2), (4, 5)}
 
 
+class HeldState(dict):
+    """A map state in memory that counts what is stored."""
+
+    stored = 0
+
+    def updateValue(self, key, value):
+        self.stored += 1
+        self[tuple(key)] = value
+
+    def getValue(self, key):
+        return self.get(tuple(key))
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def removeKey(self, key):
+        del self[tuple(key)]
+
+
+class HeldHandle:
+    def __init__(self):
+        self.maps, self.timers = {}, set()
+
+    def getMapState(self, name, key, value):
+        return self.maps.setdefault(name, HeldState())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_a_key_of_a_stream_stores_many_classes_by_few_calls():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from tidewire.streaming import near
+
+    own, handle, hour = random.Random(8), HeldHandle(), 3_600_000
+    # Fingerprints of one slice and of others of the key; every fifth set is near the one before it.
+    rows, base = [], []
+    for k in range(400):
+        base = [*base[1:], k + 10**6] if k % 5 == 0 and base else own.sample(range(10**5), own.randint(5, 40))
+        part = 7 + near.PARTS * (0 if (k + 1) // 5 % 2 else own.randrange((1 << near.WIDTH) // near.PARTS))
+        rows.append((k, own.getrandbits(6) << 20 | part, np.unique(np.array(base, np.int64))))
+    frame = lambda some: pd.DataFrame([(k, [k], fp, str(k), s.tobytes(), pd.Timestamp("2024-01-01")) for k, fp, s in some], columns=["id", "ids", "fp", "k", "s", "ts"])
+    got = []
+    for some in (rows[:250], rows[250:]):
+        step = near.NearCopies(24, 18, 0.7, "long")
+        step.init(handle)
+        for part in step.handleInputRows((7,), iter([frame(some)]), None):
+            got += [tuple(p) for p in part.itertuples(index=False)]
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.7 * len(np.union1d(x, y))
+    want = {(i, j) for i, fi, si in rows for j, fj, sj in rows if i < j and fi & near.MASK == fj & near.MASK and (fi ^ fj).bit_count() <= 18 and alike(si, sj)}
+    assert len(want) > 20 and sorted(got) == sorted(want)
+    assert sum(m.stored for m in handle.maps.values()) <= 4 << near.HIGH and len(handle.timers) == 1
+    at = int(pd.Timestamp("2024-01-01").timestamp() * 1000)
+    early, late = at + 24 * hour - 1, max(handle.timers)
+    for now, left in ((early, True), (late, False)):
+        step.handleExpiredTimer((7,), None, SimpleNamespace(getExpiryTimeInMs=lambda: now))
+        assert [bool(m) for m in handle.maps.values()] == [left, left]
+
+
 def texts_with_copies(seed, n=60):
     own = random.Random(seed)
     words = ["".join(own.choice("abcdefgh") for _ in range(own.randint(2, 6))) for _ in range(300)]
