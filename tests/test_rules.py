@@ -1068,3 +1068,24 @@ def test_guilt_is_sought_where_a_term_stands(spark):
     assert not found("It rained. He alleged corruption.") and found(None) is False and found("Incorruptible.") is False
     plan = spark.range(1).select(t.asserts_culpability(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("contains(") >= len(t.CONCLUSIONS)
+
+
+def test_a_packet_of_facts_gives_the_errors_of_its_evidence(spark):
+    texts = {1: "It fell by Rs 1,200 on Monday, 2007-09. “Ünïted” a_b, 3,5", 2: None, 3: "", 4: "The 5 May audit never​ happened.", 5: "cor​rupt\n\n men, 7.5 million"}
+    said = [("In 2009 it fell by 1200.", ["1"]), ("No figure.", ["9"]), ("It took 22 billion.", ["4"]), ("No figure at all.", [])]
+    kinds = "card long, analysis string, claims array<struct<text: string, ids: array<string>>>, question string, question_ids array<string>, basis string, subject array<string>"
+    answers = spark.createDataFrame([(k, x, said, "What audit of 1,200 was there?", ["1"], "evidence_gap", []) for k, x in texts.items()], kinds)
+    packet = spark.createDataFrame([(k, k + j, "related" if j else "primary_event", "dawn", texts.get(k + j)) for k in texts for j in (0, 1)], "card long, id long, role string, publisher string, evidence string")
+    rows = lambda p: sorted(map(tuple, validation.analysis_errors(answers, p).collect()))
+    told = rows(packet)
+    assert told == rows(validation.evidence_facts(packet))
+    assert ["unsupported_conclusion_in_analysis" in r[1] for r in told] == [False, False, False, True, True]
+    words = {r.id: r.words for r in validation.evidence_facts(packet).collect()}
+    assert words[1] == " it fell by rs 1200 on monday 2007 09 ünïted a_b 35 " and words[3] == "  "
+
+
+def test_white_space_collapses_as_every_run_would(spark):
+    own = random.Random(14)
+    texts = ["".join(own.choice("ab \t\n\r\x0b\x0c ") for _ in range(own.randrange(12))) for _ in range(300)]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.collapse(F.col("x")).alias("y")).collect()
+    assert all(r.y == re.sub("[ \t\n\x0b\x0c\r]+", " ", r.x).strip(" ") for r in got)

@@ -236,9 +236,11 @@ def analysis_inputs(spark, sf_dir):
     """Answers and packets per document: itself is the primary article, the next one related; the body is the analysis."""
     rows = ad.articles(spark, sf_dir).select("id", "source", "headline", "main_text")
     evidence = F.concat_ws(" ", "headline", "main_text").alias("evidence")
-    own = rows.select(F.col("id").alias("card"), "id", F.lit("primary_event").alias("role"), F.col("source").alias("publisher"), evidence)
-    near = rows.select((F.col("id") - 1).alias("card"), "id", F.lit("related").alias("role"), F.col("source").alias("publisher"), evidence)
-    packet = own.union(near.join(rows.select(F.col("id").alias("card")), "card", "left_semi").select(own.columns))
+    # An article of two packets is read once.
+    facts = validation.evidence_facts(rows.select("id", F.col("source").alias("publisher"), evidence))
+    parts = F.array(F.struct(F.col("id").alias("card"), F.lit("primary_event").alias("role")), F.struct((F.col("id") - 1).alias("card"), F.lit("related").alias("role")))
+    packet = facts.select(F.inline(parts), "id", "publisher", "tokens", "words")
+    packet = packet.join(rows.select(F.col("id").alias("card")), "card", "left_semi")
     said = t.sentences(F.col("main_text"))
     claims = F.transform(said, lambda x, i: F.struct(x.alias("text"), F.array((F.col("id") + F.when(i % 4 == 3, i % 3).otherwise(0)).cast("string")).alias("ids")))
     added = F.when(F.col("id") % 3 == 0, " It cost 22 billion.").when(F.col("id") % 7 == 0, " Dawn reports a rise.").otherwise("")
