@@ -1089,3 +1089,21 @@ def test_white_space_collapses_as_every_run_would(spark):
     texts = ["".join(own.choice("ab \t\n\r\x0b\x0c ") for _ in range(own.randrange(12))) for _ in range(300)]
     got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.collapse(F.col("x")).alias("y")).collect()
     assert all(r.y == re.sub("[ \t\n\x0b\x0c\r]+", " ", r.x).strip(" ") for r in got)
+
+
+def test_shingles_of_one_row_alone_leave_no_row(spark):
+    own = random.Random(18)
+    sets = []
+    for k in range(150):
+        base = own.sample(range(4000), own.randint(1, 30))
+        sets += [base, [*base[1:], 5000 + k], [*base, 6000 + k]]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "id long, s array<long>")
+    rare = pairs.rare_shingles(rows, 0.7).collect()
+    holders = {}
+    for k, s in enumerate(sets):
+        for token in s:
+            holders.setdefault(token, set()).add(k)
+    assert rare and all(len(holders[r.token]) > 1 and r.n == len(sets[r.id]) for r in rare)
+    met = {(x.id, y.id) for x in rare for y in rare if x.token == y.token and x.id < y.id and (x.indexed or y.indexed)}
+    alike = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) for b in [sets[j]] if len({*a} & {*b}) >= 0.7 * len({*a} | {*b})}
+    assert len(alike) > 200 and alike <= met
