@@ -1107,3 +1107,13 @@ def test_shingles_of_one_row_alone_leave_no_row(spark):
     met = {(x.id, y.id) for x in rare for y in rare if x.token == y.token and x.id < y.id and (x.indexed or y.indexed)}
     alike = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) for b in [sets[j]] if len({*a} & {*b}) >= 0.7 * len({*a} | {*b})}
     assert len(alike) > 200 and alike <= met
+
+
+def test_a_staged_table_is_read_before_its_commit_and_counts_after_it(spark, tmp_path):
+    root = str(tmp_path / "t")
+    snapshots.write_snapshot(spark.range(2), root)
+    version, rows = snapshots.staged(spark.range(5, 8), root)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(rows) == [5, 6, 7] and ids(snapshots.read_snapshot(spark, root)) == [0, 1]
+    snapshots.commit_snapshot(rows, root, version, "append")
+    assert ids(snapshots.read_snapshot(spark, root)) == [0, 1, 5, 6, 7]

@@ -64,11 +64,22 @@ def write_snapshot(df: DataFrame, root: str, mode: str = "overwrite") -> str:
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode {mode}")
+    version, rows = staged(df, root)
+    commit_snapshot(rows, root, version, mode)
+    return version
+
+
+def staged(df: DataFrame, root: str) -> tuple[str, DataFrame]:
+    """Rows written beside the old ones without a commit: the version to commit, and the rows as written."""
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
+    return version, df.sparkSession.read.schema(df.schema).parquet(f"{root}/{version}")
+
+
+def commit_snapshot(df: DataFrame, root: str, version: str, mode: str = "overwrite") -> None:
+    """Commit a staged version; ``df`` names the session."""
     commit = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.lit(mode).alias("mode"), F.current_timestamp().alias("at"))
     commit.coalesce(1).write.mode("append").json(f"{root}/commits")
-    return version
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidewire.functions import text as t, urls
 from tidewire.operators import gates
 from tidewire.operators.ranking import first_per
-from tidewire.operators.snapshots import read_snapshot, write_snapshot
-from tidewire.shared import materialize
+from tidewire.operators.snapshots import commit_snapshot, read_snapshot, staged, write_snapshot
 
 MANIFEST = "captured_at timestamp, per_source int, article_count long, embedded long, reused long, quarantined map<string, long>"
 
@@ -41,24 +40,29 @@ def capture_day(items: DataFrame, verdicts: DataFrame, embed: Callable[[DataFram
     capture below the root has recorded, each once. Articles are the healthy items, one per URL, capped per source, newest first.
     """
     spark = items.sparkSession
-    labelled = materialize(quarantine(items, now, **limits), "labelled")
-    fine = labelled.where("label is null").withColumn("url", urls.canonical(F.col("link"))).withColumn("source", urls.host(F.col("link")))
-    one = first_per(fine, ["url"], [F.desc(F.length("body")), "endpoint", "rank"])
-    articles = first_per(one, ["source"], [F.desc("published"), "rank", "url"], per_source)
+    # What later steps read is written once, where it stays, and committed when all is there.
+    items_version, labelled = staged(quarantine(items, now, **limits), f"{root}/items")
+    at = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place")]
+    fine = labelled.select("*", *at).where("label is null").withColumn("url", urls.canonical(F.col("link"))).withColumn("source", urls.host(F.col("link")))
+    # Items are chosen without their bodies, which only the chosen ones' places meet.
+    narrow = fine.select("_file", "_place", "url", "source", "published", "endpoint", "rank", F.length("body").alias("size"))
+    one = first_per(narrow, ["url"], [F.desc("size"), "endpoint", "rank"])
+    chosen = first_per(one, ["source"], [F.desc("published"), "rank", "url"], per_source)
+    articles = fine.join(chosen.select("_file", "_place"), ["_file", "_place"], "left_semi")
     articles = articles.select("url", "source", "headline", "body", "published", embedding_key(F.col("headline"), F.col("body")).alias("key"))
-    articles = materialize(articles, "articles")
+    articles_version, articles = staged(articles, f"{root}/articles")
     keyed = articles.select("key", "headline", "body").dropDuplicates(["key"])
     known = recorded_vectors(spark, root)
     fresh = keyed if known is None else keyed.join(known.select("key"), "key", "left_anti")
-    fresh = materialize(embed(fresh).select("key", "embedding"), "fresh")
+    fresh_version, fresh = staged(embed(fresh).select("key", "embedding"), f"{root}/vectors")
     counts = labelled.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("quarantined"))
     n = articles.agg(F.count(F.lit(1)).alias("article_count"), F.count_distinct("key").alias("keys")).join(F.broadcast(fresh.agg(F.count(F.lit(1)).alias("embedded"))))
     manifest = n.join(F.broadcast(counts)).select(now.alias("captured_at"), F.lit(per_source).alias("per_source"), "article_count", "embedded", (F.col("keys") - F.col("embedded")).alias("reused"), "quarantined")
-    write_snapshot(labelled, f"{root}/items")
-    write_snapshot(articles, f"{root}/articles")
+    commit_snapshot(labelled, f"{root}/items", items_version)
+    commit_snapshot(articles, f"{root}/articles", articles_version)
     write_snapshot(verdicts, f"{root}/verdicts")
-    write_snapshot(fresh, f"{root}/vectors", "overwrite" if known is None else "append")
+    commit_snapshot(fresh, f"{root}/vectors", fresh_version, "overwrite" if known is None else "append")
     write_snapshot(manifest, f"{root}/manifest", "append")
 
 
