@@ -703,6 +703,15 @@ def test_expectations_go_by_blocks(spark, monkeypatch):
     assert {tuple(r) for r in pairs.expectation_hits(ex, cards).collect()} == {(k, k, 2) for k in range(8)}
 
 
+def test_expectations_read_a_card_once(spark):
+    ex = spark.createDataFrame([(1, ["rain", "gate"], 1)], "expectation int, keywords array<string>, min_hits int")
+    cards = spark.createDataFrame([(1, "The RAIN!"), (2, None), (3, "")], "card int, text string").repartition(2, "card")
+    hits = pairs.expectation_hits(ex, cards)
+    assert [tuple(r) for r in hits.collect()] == [(1, 1, 1)]
+    # A filter on what was read would read it anew below the shuffle.
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_stored_rows_expire(spark, tmp_path):
     from tidewire import streaming
 
