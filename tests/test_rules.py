@@ -1118,6 +1118,31 @@ def test_shingles_of_one_row_alone_leave_no_row(spark):
     assert len(alike) > 200 and alike <= met
 
 
+def test_shuffled_shingles_are_short_and_lose_no_pair(spark):
+    own = random.Random(17)
+    # Many hashes have their lowest 40 bits in common, also within a set.
+    spread = lambda k: k % 700 - ((k // 700) << 40)
+    sets = []
+    for _ in range(100):
+        base = own.sample(range(3000), own.randint(1, 30))
+        sets += [base, [*base[1:], own.randrange(3000, 4000)]]
+    rows = spark.createDataFrame([(k, [spread(x) for x in s]) for k, s in enumerate(sets)], "id long, s array<long>")
+    rare = pairs.rare_shingles(rows, 0.7).collect()
+    assert rare and all(0 <= r.token < 1 << 40 for r in rare)
+    met = {(x.id, y.id) for x in rare for y in rare if x.token == y.token and x.id < y.id and (x.indexed or y.indexed)}
+    alike = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) for b in [sets[j]] if len({*a} & {*b}) >= 0.7 * len({*a} | {*b})}
+    assert len(alike) > 50 and alike <= met
+
+
+def test_equal_shingle_sets_have_one_digest(spark):
+    texts = ["a b c d e", "A b, c d e", "a b c d e a b c d e a b c", "c d e a b c d e a b c", "a b", "", None, "ünï a b c", "K 1 2"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, x string")
+    prints = sorted(pairs.fingerprints(rows, F.col("x")).collect())
+    assert all((p.k == q.k) == ({*p.s} == {*q.s}) for p in prints for q in prints)
+    said = rows.select("id", t.simhash64(F.coalesce("x", F.lit(""))).alias("fp"), t.shingle_hashes(F.coalesce("x", F.lit(""))).alias("s"))
+    assert [(p.id, p.fp, p.s) for p in prints] == [(r.id, r.fp, sorted(r.s)) for r in sorted(said.collect())]
+
+
 def test_a_staged_table_is_read_before_its_commit_and_counts_after_it(spark, tmp_path):
     root = str(tmp_path / "t")
     snapshots.write_snapshot(spark.range(2), root)
