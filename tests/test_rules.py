@@ -1151,3 +1151,20 @@ def test_a_staged_table_is_read_before_its_commit_and_counts_after_it(spark, tmp
     assert ids(rows) == [5, 6, 7] and ids(snapshots.read_snapshot(spark, root)) == [0, 1]
     snapshots.commit_snapshot(rows, root, version, "append")
     assert ids(snapshots.read_snapshot(spark, root)) == [0, 1, 5, 6, 7]
+
+
+def test_texts_are_not_shuffled_for_few_seen_urls(spark, tmp_path):
+    own = random.Random(12)
+    rows = [(k, f"https://a.example.com/{k}", f"Head {k}", " ".join(str(own.random()) for _ in range(100))) for k in range(200)]
+    spark.createDataFrame(rows, "id long, url string, headline string, main_text string").write.parquet(str(tmp_path / "r"))
+    new = spark.read.parquet(str(tmp_path / "r"))
+    seen = new.where("id % 10 = 0").select(urls.canonical(F.col("url")).alias("canonical_url"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        kept = views.dedup(new, seen)
+        assert {r.id for r in kept.collect()} == {k for k in range(200) if k % 10}
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [canonical_url" in plan

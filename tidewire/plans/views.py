@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewire.functions import text as t, times, urls
 from tidewire.operators import aggregates as ag, gates, grouping, models as md, pairs, ranking as rk
+from tidewire.shared import materialize
 
 
 #: Hours for which a day's feeds are read: a landed day is replayed whole, whenever it was landed.
@@ -53,7 +54,9 @@ def ingest_report(endpoints: DataFrame, items: DataFrame, now: Column, **limits)
 
 def dedup(new: DataFrame, seen: DataFrame) -> DataFrame:
     """New articles whose URL is unseen, without near copies of earlier ones, and with contents not stored."""
-    rows = pairs.unseen(new.withColumn("canonical_url", urls.canonical(F.col("url"))), seen, "canonical_url")
+    # As a table of its own the URLs have a size by which the optimizer chooses the join; else all texts may be shuffled for it.
+    known = materialize(seen.select("canonical_url"), "seen-urls")
+    rows = pairs.unseen(new.withColumn("canonical_url", urls.canonical(F.col("url"))), known, "canonical_url")
     kept = rows.join(grouping.keep_without_near_copies(rows, t.whole_text(), F.col("id")), "id", "left_semi")
     kept = kept.withColumn("content_hash", F.sha2(F.concat("headline", F.lit("\n"), "main_text"), 256))
     return pairs.unique_insert(kept, seen, ("content_hash",), "id") if "content_hash" in seen.columns else kept
