@@ -1168,3 +1168,26 @@ def test_texts_are_not_shuffled_for_few_seen_urls(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "BroadcastHashJoin [canonical_url" in plan
+
+
+def long_texts(seed, n):
+    own = random.Random(seed)
+    parts = ["One came", "Dr. Khan", "e.g. so", "x", ", and", "\u0001", "   ", "\n\n", "\t", "2 rose", "Ünï", "\u00a0", "word " * 30, " " * 300, "-" * 70, "\U0001f600"]
+    ends = [".", "?!", "...", ". ", "! ", ".\n", ".  ", ". \n ", " ", ": "]
+    return ["".join(own.choice(parts) + own.choice(ends) for _ in range(own.choice([1, 3, 20, 80, 200]))) for _ in range(n)]
+
+
+def test_a_snippet_lies_in_the_beginning_of_a_long_text(spark):
+    rows = spark.createDataFrame([(x,) for x in [*long_texts(22, 600), "y" * 479 + ". Z", "Y" * 239 + ". " + "Z" * 300, None]], "v string")
+    whole = t.let(t.collapse(F.coalesce("v", F.lit(""))), lambda f: t.let(t.sentences(f), lambda parts: t._snippet(f, parts, 240)))
+    told = rows.select("v", t.snippet(F.col("v")).alias("got"), whole.alias("want"))
+    assert [r.v for r in told.collect() if r.got != r.want] == []
+    assert "substring(coalesce(v" in told._jdf.queryExecution().analyzed().toString()
+
+
+def test_first_sentences_are_those_of_the_whole_text(spark, monkeypatch):
+    monkeypatch.setattr(t, "BEGINNING", 120)
+    rows = spark.createDataFrame([(x,) for x in [*long_texts(19, 600), None, ""]], "v string")
+    told = rows.select("v", t.first_sentences(F.col("v"), 3).alias("got"), F.slice(t.sentences(F.col("v")), 1, 3).alias("want"))
+    rows = told.collect()
+    assert [r.v for r in rows if r.got != r.want] == [] and sum(r.want is not None and len(r.want) == 3 for r in rows) > 300
