@@ -1191,3 +1191,13 @@ def test_first_sentences_are_those_of_the_whole_text(spark, monkeypatch):
     told = rows.select("v", t.first_sentences(F.col("v"), 3).alias("got"), F.slice(t.sentences(F.col("v")), 1, 3).alias("want"))
     rows = told.collect()
     assert [r.v for r in rows if r.got != r.want] == [] and sum(r.want is not None and len(r.want) == 3 for r in rows) > 300
+
+
+def test_a_story_is_read_once(spark):
+    answers = spark.createDataFrame([(1, '[{"cluster_id": "1", "impact_line": "The gates of the dam were raised."}, 7]')], "edition int, answer string")
+    kinds = "edition int, cluster int, headline string, category string, labels array<string>, articles int, facts array<string>, source string"
+    cards = spark.createDataFrame([(1, 1, "Gates raised", "city", ["SAFETY"], 1, ["A dam"], "dawn")], kinds).where("edition > 0")
+    found = validation.editorial_stories(answers, cards, ["city"], ["SAFETY"])
+    assert [(r.edition, r.cluster, r.priority, r.tags) for r in found.collect()] == [(1, "1", 55, ["city", "a-dam"])]
+    # The list of an answer, and each story in it; limits that were moved down would read every story for themselves.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 2

@@ -89,14 +89,15 @@ def editorial_stories(answers: DataFrame, candidates: DataFrame, categories: lis
     """
     text = F.trim("answer")
     parsed = F.from_json(F.when(F.startswith(text, F.lit("[")), F.concat(F.lit('{"stories":'), text, F.lit("}"))).otherwise(text), "stories array<string>")
-    rows = answers.select("edition", F.posexplode(parsed["stories"]).alias("place", "story"))
     fields = (
         "cluster_id string, headline string, impact_line string, why_it_matters string, category string, impact_labels array<string>, "
         "public_impact string, story_tags array<string>, what_to_watch string, selection_reason string"
     )
-    raw = F.expr("try_parse_json(story)")
+    # A story is read where it is listed: limits that the optimizer moves down to the list then find it read, not to be read for each.
+    read = F.transform(parsed["stories"], lambda x: F.struct(F.from_json(x, fields).alias("s"), F.try_parse_json(x).alias("raw")))
+    rows = answers.select("edition", F.posexplode(read).alias("place", "story"))
     kind = lambda name: F.schema_of_variant(F.variant_get(F.col("raw"), f"$.{name}", "variant"))
-    rows = rows.select("edition", "place", F.from_json("story", fields).alias("s"), raw.alias("raw")).where("raw is not null")
+    rows = rows.select("edition", "place", "story.s", "story.raw").where("raw is not null")
     numbers = {
         "own_priority": F.when(kind("priority") == "BIGINT", F.try_variant_get(F.col("raw"), "$.priority", "long")),
         "own_confidence": F.when(kind("confidence").rlike("BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(F.col("raw"), "$.confidence", "double")),
