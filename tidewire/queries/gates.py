@@ -185,7 +185,8 @@ def editorial_inputs(spark, sf_dir):
 
     The first story leaves out or breaks a field by the id, the second repeats the cluster in full, the third names another one.
     """
-    rows = ad.articles(spark, sf_dir).select("id", "source", "headline", "main_text", F.get(t.sentences(F.col("main_text")), F.lit(0)).alias("line"))
+    rows = ad.articles(spark, sf_dir).select("id", "source", "headline", "main_text", t.first_sentences(F.col("main_text"), 3).alias("said"))
+    rows = rows.withColumn("line", F.get("said", F.lit(0)))
     category = F.element_at(F.array(*[F.lit(c) for c in ad.CATEGORIES]), (F.col("id") % 11 + 1).cast("int"))
     label = F.element_at(F.array(*[F.lit(c) for c in ad.LABELS]), (F.col("id") % 6 + 1).cast("int"))
     n = F.col("id") % 8
@@ -208,7 +209,7 @@ def editorial_inputs(spark, sf_dir):
     list_ = F.concat(F.lit("["), F.concat_ws(",", story, again, other), F.lit("]"))
     answer = F.when(F.col("id") % 2 == 0, list_).otherwise(F.concat(F.lit('{"stories":'), list_, F.lit("}")))
     answers = rows.select(F.col("id").alias("edition"), answer.alias("answer"))
-    facts = F.slice(t.sentences(F.col("main_text")), 2, 2)
+    facts = F.slice("said", 2, 2)
     candidates = rows.select(
         F.col("id").alias("edition"), F.col("id").alias("cluster"), "headline", category.alias("category"), F.array(label).alias("labels"),
         F.lit(1).alias("articles"), facts.alias("facts"), "source",
