@@ -1201,3 +1201,19 @@ def test_a_story_is_read_once(spark):
     assert [(r.edition, r.cluster, r.priority, r.tags) for r in found.collect()] == [(1, "1", 55, ["city", "a-dam"])]
     # The list of an answer, and each story in it; limits that were moved down would read every story for themselves.
     assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 2
+
+
+def test_coverage_lists_only_tokens_that_are_wanted(spark):
+    own = random.Random(26)
+    kind = "id long, tokens array<string>"
+    words = lambda n, m: [*(f"w{int(own.random() ** 2 * 40)}" for _ in range(n)), *(f"other{own.randrange(500)}" for _ in range(m))]
+    ours = [(k, words(own.randint(0, 12), own.randint(0, 30))) for k in range(300)] + [(900, []), (901, None)]
+    wanted = [(k, words(own.randint(1, 25), 0)) for k in range(25)] + [(50, ["none"])]
+    table = spark.createDataFrame(ours, kind).withColumn("tokens", F.array_distinct("tokens"))
+    asked = {x for _, tokens in wanted for x in tokens}
+    listed = pairs.postings(table, spark.createDataFrame([(x,) for x in asked], "token string")).collect()
+    of = {k: {*tokens} for k, tokens in ours if tokens}
+    assert {(r.id, r.token) for r in listed} == {(k, x) for k, tokens in of.items() for x in tokens & asked}
+    assert all(r.n == len(of[r.id]) and r.place == len(of[r.id] - asked) + r.rank for r in listed)
+    got = {r.w: r.best for r in pairs.coverage(spark.createDataFrame(wanted, kind), spark.createDataFrame(ours, kind)).collect()}
+    assert got == {k: pytest.approx(max(len({*x} & o) / min(len({*x}), len(o)) for o in of.values())) for k, x in wanted}
