@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as t, times, urls
 from tidewire.operators import aggregates, gates, graph, grouping, models, pairs, ranking, snapshots, validation
 from tidewire.plans import views
-from tidewire.sources import feeds
+from tidewire.sources import capture, feeds
 
 
 def one(spark, column, **values):
@@ -1217,3 +1217,19 @@ def test_coverage_lists_only_tokens_that_are_wanted(spark):
     assert all(r.n == len(of[r.id]) and r.place == len(of[r.id] - asked) + r.rank for r in listed)
     got = {r.w: r.best for r in pairs.coverage(spark.createDataFrame(wanted, kind), spark.createDataFrame(ours, kind)).collect()}
     assert got == {k: pytest.approx(max(len({*x} & o) / min(len({*x}), len(o)) for o in of.values())) for k, x in wanted}
+
+
+def test_bodies_are_not_shuffled_for_a_report_of_few_endpoints(spark, tmp_path):
+    own = random.Random(25)
+    rows = [(f"e{k % 3}" if k % 50 else None, f"Head {k}", f"https://a.example.com/{k}", " ".join(str(own.random()) for _ in range(100)), datetime.datetime(2024, 1, 1)) for k in range(200)]
+    kind = "endpoint string, headline string, link string, body string, published timestamp"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "items"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        told = capture.quarantine(spark.read.parquet(str(tmp_path / "items")), F.lit("2024-01-01 01:00:00").cast("timestamp"))
+        plan = told._jdf.queryExecution().sparkPlan().toString()
+        assert told.where("label is null").count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -11,6 +11,7 @@ from tidewire.functions import text as t, urls
 from tidewire.operators import gates
 from tidewire.operators.ranking import first_per
 from tidewire.operators.snapshots import commit_snapshot, read_snapshot, staged, write_snapshot
+from tidewire.shared import materialize
 
 MANIFEST = "captured_at timestamp, per_source int, article_count long, embedded long, reused long, quarantined map<string, long>"
 
@@ -22,7 +23,8 @@ def embedding_key(headline: Column, body: Column) -> Column:
 
 def quarantine(items: DataFrame, now: Column, **limits) -> DataFrame:
     """``items(endpoint, headline, link, published, ...)`` with ``label``, why one is not taken; null: it is."""
-    shut = gates.endpoint_report(items, now, **limits).select("endpoint", F.col("status").alias("_status"))
+    # As a table of its own the report has a size by which the optimizer chooses the join; else all bodies may be shuffled by endpoint.
+    shut = materialize(gates.endpoint_report(items, now, **limits).select("endpoint", F.col("status").alias("_status")), "endpoints")
     rows = items.join(shut, items.endpoint.eqNullSafe(shut.endpoint), "left").drop(shut.endpoint)
     label = (
         F.when(F.col("_status") != "ok", F.concat(F.lit("endpoint:"), "_status"))
@@ -48,7 +50,7 @@ def capture_day(items: DataFrame, verdicts: DataFrame, embed: Callable[[DataFram
     narrow = fine.select("_file", "_place", "url", "source", "published", "endpoint", "rank", F.length("body").alias("size"))
     one = first_per(narrow, ["url"], [F.desc("size"), "endpoint", "rank"])
     chosen = first_per(one, ["source"], [F.desc("published"), "rank", "url"], per_source)
-    articles = fine.join(chosen.select("_file", "_place"), ["_file", "_place"], "left_semi")
+    articles = fine.join(materialize(chosen.select("_file", "_place"), "chosen"), ["_file", "_place"], "left_semi")
     articles = articles.select("url", "source", "headline", "body", "published", embedding_key(F.col("headline"), F.col("body")).alias("key"))
     articles_version, articles = staged(articles, f"{root}/articles")
     keyed = articles.select("key", "headline", "body").dropDuplicates(["key"])
