@@ -8,11 +8,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire import registry
 from tidewire.functions import text as t, times, urls
 from tidewire.operators import aggregates, gates, graph, grouping, models, pairs, ranking, snapshots, validation
 from tidewire.plans import views
 from tidewire.sources import capture, feeds
 
+registry.load()
+
 
 def one(spark, column, **values):
     schema = ", ".join(f"{k} string" for k in values)
@@ -1233,3 +1236,19 @@ def test_bodies_are_not_shuffled_for_a_report_of_few_endpoints(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+#: Bodies of which a sentence is left, and blank ones, which have none.
+BLANK_BODIES = [(1, "Head\nOne came. Two saw."), (2, "Head\n   "), (3, ""), (4, None), (6, " ")]
+
+
+def documents(spark, path, rows):
+    made = [(k, x, "en", "dawn", len(x or "")) for k, x in rows]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_outcomes_of_blank_bodies_have_no_question(spark, tmp_path):
+    found = registry.QUERIES["mdl_analysis_outcome"](spark, documents(spark, tmp_path, BLANK_BODIES)).collect()
+    asked = {r.card: r.question or r.rejected_question for r in found}
+    assert asked == {1: "What audit or oversight of Two saw.?", 2: None, 3: None, 4: None, 6: None}

@@ -245,7 +245,7 @@ def analysis_inputs(spark, sf_dir):
     said = t.sentences(F.col("main_text"))
     claims = F.transform(said, lambda x, i: F.struct(x.alias("text"), F.array((F.col("id") + F.when(i % 4 == 3, i % 3).otherwise(0)).cast("string")).alias("ids")))
     added = F.when(F.col("id") % 3 == 0, " It cost 22 billion.").when(F.col("id") % 7 == 0, " Dawn reports a rise.").otherwise("")
-    question = F.when(F.col("id") % 5 != 0, F.concat(F.lit("What audit or oversight of "), F.element_at(said, -1), F.lit("?")))
+    question = F.when(F.col("id") % 5 != 0, F.concat(F.lit("What audit or oversight of "), F.try_element_at(said, F.lit(-1)), F.lit("?")))
     answers = rows.select(
         F.col("id").alias("card"), F.concat("main_text", added).alias("analysis"), claims.alias("claims"), question.alias("question"),
         F.array(F.col("id").cast("string")).alias("question_ids"), F.lit("evidence_gap").alias("basis"), t.anchor_tokens(F.col("headline")).alias("subject"),
