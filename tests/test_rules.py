@@ -1252,3 +1252,9 @@ def test_outcomes_of_blank_bodies_have_no_question(spark, tmp_path):
     found = registry.QUERIES["mdl_analysis_outcome"](spark, documents(spark, tmp_path, BLANK_BODIES)).collect()
     asked = {r.card: r.question or r.rejected_question for r in found}
     assert asked == {1: "What audit or oversight of Two saw.?", 2: None, 3: None, 4: None, 6: None}
+
+
+def test_analyses_of_blank_bodies_are_checked(spark, tmp_path):
+    found = registry.QUERIES["val_story_analysis"](spark, documents(spark, tmp_path, BLANK_BODIES)).collect()
+    assert sorted(r.id for r in found) == [1, 2, 3, 4, 6]
+    assert {r.id: "generic_question" in r.question_errors for r in found} == dict.fromkeys([1, 2, 3, 4, 6], False)
