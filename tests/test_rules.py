@@ -1258,3 +1258,11 @@ def test_analyses_of_blank_bodies_are_checked(spark, tmp_path):
     found = registry.QUERIES["val_story_analysis"](spark, documents(spark, tmp_path, BLANK_BODIES)).collect()
     assert sorted(r.id for r in found) == [1, 2, 3, 4, 6]
     assert {r.id: "generic_question" in r.question_errors for r in found} == dict.fromkeys([1, 2, 3, 4, 6], False)
+
+
+def test_a_brief_is_scored_with_its_impact_lines(spark, tmp_path):
+    texts = ["Fares rise\nFares rise again", "Fares rise\nCommuters face delays", "Fares rise\nIt may rain", "Fares rise\n   ", "Fares rise\nA litre is 3 rupees", None]
+    sf = documents(spark, tmp_path, enumerate(texts))
+    spark.createDataFrame([(1, "commuters delays"), (2, "weather vanes")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    found = registry.QUERIES["agg_brief_score"](spark, sf).first().asDict()
+    assert found == {"expected": 2, "matched": 1, "missed": 1, "recall": 0.5, "impact_lines": 4, "restating": 1, "lacking_anchor": 2, "hedged": 1, "stock_form": 1}
