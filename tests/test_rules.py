@@ -1266,3 +1266,18 @@ def test_a_brief_is_scored_with_its_impact_lines(spark, tmp_path):
     spark.createDataFrame([(1, "commuters delays"), (2, "weather vanes")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     found = registry.QUERIES["agg_brief_score"](spark, sf).first().asDict()
     assert found == {"expected": 2, "matched": 1, "missed": 1, "recall": 0.5, "impact_lines": 4, "restating": 1, "lacking_anchor": 2, "hedged": 1, "stock_form": 1}
+
+
+def test_every_article_is_a_card_of_related_ones(spark, tmp_path):
+    sf = documents(spark, tmp_path, [(k, f"Karim meets Salma {k}\nBody") for k in (1, 2, 3, 50)])
+    spark.createDataFrame([(k, [0.6, 0.8], k % 2) for k in (1, 2, 3, 50)], "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
+    found = {(r.card, r.place): r.id for r in registry.QUERIES["win_related_caps"](spark, sf).collect()}
+    assert found == {(1, 1): 2, (1, 2): 50, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 50, (50, 1): 1, (50, 2): 3}
+
+
+def test_tiles_of_many_rows_stay_few(spark, monkeypatch):
+    from tidewire.operators import sets
+
+    monkeypatch.setattr(sets, "LEAST_ROWS", 8)
+    # Each tile goes to every tile of the cards, so what is shuffled grows with their number.
+    assert sets.dealt_by(spark.range(400), ["id"]).count() <= sets.TILES
