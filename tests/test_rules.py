@@ -5,6 +5,7 @@ import html
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -1281,3 +1282,31 @@ def test_tiles_of_many_rows_stay_few(spark, monkeypatch):
     monkeypatch.setattr(sets, "LEAST_ROWS", 8)
     # Each tile goes to every tile of the cards, so what is shuffled grows with their number.
     assert sets.dealt_by(spark.range(400), ["id"]).count() <= sets.TILES
+
+
+def test_tiles_hold_each_word_once(spark):
+    from tidewire.operators import sets
+
+    own = random.Random(33)
+    rows = [(k, [f"word{own.randrange(300)}" for _ in range(own.randrange(20))] if k % 9 else None) for k in range(2000)]
+    tiles = sets.cut(spark.createDataFrame(rows, "id long, tokens array<string>"), 2).collect()
+    held = [sets.unpacked(pa.scalar(bytes(r.body), pa.binary())) for r in tiles]
+    # In order, a row's pairs are written as two runs.
+    assert all(part["id"].to_pylist() == sorted(part["id"].to_pylist()) for part in held)
+    assert sorted((x["id"], x["tokens"] or []) for part in held for x in part.to_pylist()) == [(k, x or []) for k, x in rows]
+    # Words and their lengths as they stand would be five times as much; each tile is shuffled once per other one.
+    assert sum(len(r.body) for r in tiles) < sum(len(w) + 4 for _, x in rows for w in x or []) / 4
+
+
+def test_tiles_of_compatible_pairs_keep_single_precision(spark, monkeypatch):
+    from tidewire.operators import sets
+
+    seen = []
+    cut = sets.cut
+    monkeypatch.setattr(sets, "cut", lambda rows, *a: seen.append(dict(rows.dtypes)["embedding"]) or cut(rows, *a))
+    rows = [(k, f"s{k}", ["dam", "gate"], ["dam", "gate"], [0.6, 0.8]) for k in range(3)]
+    for kind in ("float", "double"):
+        articles = spark.createDataFrame(rows, f"id long, source string, tokens array<string>, cues array<string>, embedding array<{kind}>")
+        found = pairs.compatible_pairs(articles, 0.5).collect()
+        assert sorted((r.a, r.b) for r in found) == [(0, 1), (0, 2), (1, 2)] and all(r.similarity == pytest.approx(1.0) for r in found)
+    assert seen == ["array<float>", "array<double>"]
