@@ -1310,3 +1310,20 @@ def test_tiles_of_compatible_pairs_keep_single_precision(spark, monkeypatch):
         found = pairs.compatible_pairs(articles, 0.5).collect()
         assert sorted((r.a, r.b) for r in found) == [(0, 1), (0, 2), (1, 2)] and all(r.similarity == pytest.approx(1.0) for r in found)
     assert seen == ["array<float>", "array<double>"]
+
+
+def test_dated_pairs_group_as_pairs_that_meet_their_dates(spark):
+    own = random.Random(45)
+    vec = lambda: [own.choice([0.1, 0.5, 0.9]) for _ in range(3)]
+    words = lambda n: own.sample([f"word{k}" for k in range(9)], n)
+    rows = [(k, f"s{k % 5}", f"u{k}", own.randrange(96) if k % 19 else None, vec() if k % 13 else None, words(4), words(3)) for k in range(160)]
+    rows += rows[40:60]
+    kind = "id long, source string, url string, h int, embedding array<double>, tokens array<string>, cues array<string>"
+    articles = spark.createDataFrame(rows, kind).withColumn("publish_date", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, h)"))
+    dated = pairs.dated_pairs(articles.withColumn("us", F.unix_micros("publish_date")), 0.05, 36)
+    assert dated.count() > 300 and {r.x for r in dated.select((F.abs("apart") <= 36 * 3600e6).alias("x")).distinct().collect()} == {True}
+    rules = grouping.EventRules(centroid=0.3, mean=0.05, span_hours=36, pair=0.05)
+    plain = pairs.compatible_pairs(articles.where("embedding is not null").drop("publish_date"), 0.05)
+    want = sorted(map(tuple, grouping.event_groups(articles, plain, rules).collect()))
+    assert len({g for _, g, _ in want}) < len(want) - 30
+    assert sorted(map(tuple, grouping.event_groups(articles, dated, rules).collect())) == want
